@@ -60,7 +60,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """The maximal runs of characters other than SPACE; none for a null text."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE))
 
 
 def lines(text: Column) -> Column:

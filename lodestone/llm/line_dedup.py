@@ -23,7 +23,7 @@ def frequent_lines(docs: DataFrame, ratio: float, min_pages: int, *, text: str =
         docs.select(F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("")).alias("_host"), F.col(text).alias("_text"))
         .where(F.col("_text").isNotNull())
         .withColumns({"_key": F.xxhash64("_text"), "_len": F.length("_text")})
-        .withColumn("_lines", F.array_distinct(F.transform(F.filter(lines(F.col("_text")), lambda x: normal_line(x) != ""), lambda x: F.xxhash64(normal_line(x)))))
+        .withColumn("_lines", F.array_distinct(F.transform(F.array_remove(F.transform(lines(F.col("_text")), normal_line), ""), lambda x: F.xxhash64(x))))
     )
     # One row for each page and line, then copies of a page fall together before anything is counted.
     held = pages.select("_host", "_key", "_len", F.explode("_lines").alias("_line")).groupBy("_host", "_line", "_key", "_len").agg(F.lit(1).alias("_one"))
@@ -53,7 +53,7 @@ def drop_lines(docs: DataFrame, *, ratio: float = RATIO, min_pages: int = MIN_PA
     """
     bad = frequent_lines(docs, ratio, min_pages, text=text, host=host)
     own = with_frequent_lines(docs.withColumn("_lines", lines(F.col(text))), bad, host)
-    kept = F.when(F.size("_bad") == 0, F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~F.array_contains("_bad", F.xxhash64(normal_line(x))) | (normal_line(x) == "")))
+    kept = F.when(F.size("_bad") == 0, F.col("_lines")).otherwise(F.filter("_lines", lambda x: ~F.array_contains("_bad", F.xxhash64(normal_line(x)))))
     return (
         own.withColumn("_kept", kept)
         .withColumns({"n_lines": F.size("_lines").cast("long"), "n_dropped": (F.size("_lines") - F.size("_kept")).cast("long"), text: F.when(F.col(text).isNotNull(), F.array_join("_kept", "\n"))})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, lines, normal_line, words
+from .common import lines, normal_line, words
 from .line_dedup import frequent_lines, with_frequent_lines
 
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
@@ -16,6 +16,7 @@ RATIO, MIN_DOCS = 0.10, 10
 MIN_LEFT_PERCENT = 50
 
 SYMBOLS = "[#*$%&|<>]"
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def quality_rules(docs: DataFrame, *, ratio: float = RATIO, min_docs: int = MIN_DOCS, min_left_percent: int = MIN_LEFT_PERCENT, text: str = "text", host: str = "source") -> DataFrame:
@@ -27,20 +28,24 @@ def quality_rules(docs: DataFrame, *, ratio: float = RATIO, min_docs: int = MIN_
     A null text has no words and fails; copies of a text count as one document; a null host is a host of its own;
     other columns pass through.
     """
-    at = WINDOW - 1
     t = F.coalesce(F.col(text), F.lit(""))
-    base = docs.withColumns({"_words": words(F.col(text)), "_lines": F.filter(lines(F.col(text)), lambda x: normal_line(x) != "")})
+    base = docs.withColumns({"_words": words(F.col(text)), "_lines": lines(F.col(text))})
     base = base.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
             "word_chars": F.length(F.array_join("_words", "")).cast("long"),
             "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_seen": F.when(F.size("_words") > at, F.transform(F.sequence(F.lit(1), F.size("_words") - at), lambda i: F.xxhash64(F.slice("_words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>")),
+            "_seen": F.transform("_words", lambda w: F.xxhash64(w)),
+            "_full": F.filter("_lines", lambda x: x.rlike(WORD)),
             "_norm": F.transform("_lines", lambda x: F.xxhash64(normal_line(x))),
-            "_count": F.transform("_lines", lambda x: F.size(F.filter(F.split(x, SPACE), lambda w: w != ""))),
+            "_count": F.transform("_lines", lambda x: F.regexp_count(x, F.lit(WORD))),
         }
     ).drop("_words", "_lines")
+    base = base.withColumn("n_dup_lines", (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long")).drop("_full")
+    # Hashes of windows of 2, 4 and 8 words, each from two of the size before.
+    for step in (1, 2, 4):
+        n = F.greatest(F.size("_seen") - step, F.lit(0))
+        base = base.withColumn("_seen", F.zip_with(F.slice("_seen", F.lit(1), n), F.slice("_seen", F.lit(step + 1), n), lambda a, b: F.xxhash64(a, b)))
     # Only texts that repeat a window pay for the sort that finds where.
     base = base.withColumn("_sorted", F.when(F.size(F.array_distinct("_seen")) < F.size("_seen"), F.array_sort(F.transform("_seen", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     base = base.withColumn(
