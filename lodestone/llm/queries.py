@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, quality, warc
+from . import decontam, line_dedup, packing, quality, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda c: F.regexp_extract(c, "<urn:page:(-?\\d+)>", 1).try_cast("bigint")
     return warc.round_trip(_table(spark, sf_dir, "pages")).select(
@@ -41,4 +45,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op7_warc, op9_quality_rules, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_decontamination, op7_warc, op9_quality_rules, op10_packing)}
