@@ -23,7 +23,7 @@ from .packing import slices
 
 #: The model is fitted on at most so many labelled rows of each class, those with the smallest hashes of their ids,
 #: and of each of these texts on all its words. Bounds the fit, not the scoring.
-TRAIN_ROWS = 6_000
+TRAIN_ROWS = 5_000
 #: Features kept, by weight. Bounds what is broadcast.
 FEATURES = 100_000
 
@@ -93,22 +93,46 @@ class Lexicon:
         return np.where(np.isinf(out), 0, out)
 
 
-def lexicon(words: Words, toxic: np.ndarray) -> Lexicon:
+@dataclass
+class Features:
+    """Each text's distinct features: feature hash and text number."""
+
+    key: np.ndarray
+    text: np.ndarray
+
+
+@dataclass
+class Hits:
+    """The words with weight of many texts: text number, place in the text, weight; and each text's words."""
+
+    text: np.ndarray
+    place: np.ndarray
+    weight: np.ndarray
+    size: np.ndarray
+
+
+def features(words: Words) -> Features:
+    """A feature counts once for each text, so that a text that repeats it does not make it certain."""
+    key, text = [], []
+    for k in words.keys:
+        live = np.flatnonzero(k)
+        once = live[np.unique(mix(k[live] + mix(words.text[live].astype(np.uint64))), return_index=True)[1]]
+        key.append(k[once])
+        text.append(words.text[once])
+    return Features(np.concatenate(key), np.concatenate(text))
+
+
+def lexicon(known: Features, toxic: np.ndarray, own: np.ndarray) -> Lexicon:
     """Log-odds of every feature between the classes with Dirichlet priors, less DOUBT standard errors, towards 0.
 
-    A feature counts once for each text, so that a text that repeats it does not make it certain.
+    toxic: each text's label; own: whether a text takes part.
     """
-    keys, sides = [], []
-    for key in words.keys:
-        live = np.flatnonzero(key)
-        once = live[np.unique(mix(key[live] + mix(words.text[live].astype(np.uint64))), return_index=True)[1]]
-        keys.append(key[once])
-        sides.append(toxic[words.text[once]])
-    key, side = np.concatenate(keys), np.concatenate(sides)
-    each, place = np.unique(key, return_inverse=True)
+    use = own[known.text]
+    each, place = np.unique(known.key[use], return_inverse=True)
+    side = toxic[known.text[use]]
     bad = np.bincount(place, side, len(each))
     good = np.bincount(place, ~side, len(each))
-    n_bad, n_good = max(1.0, toxic.sum()), max(1.0, (~toxic).sum())
+    n_bad, n_good = max(1.0, (toxic & own).sum()), max(1.0, (~toxic & own).sum())
     prior = np.maximum(PRIOR, PRIOR_TOKENS * (bad + good) / max(1.0, (bad + good).sum()))
     odds = np.log((bad + prior) / (n_bad + 2 * prior)) - np.log((good + prior) / (n_good + 2 * prior))
     doubt = DOUBT * np.sqrt(1 / (bad + prior) + 1 / (good + prior))
@@ -118,6 +142,14 @@ def lexicon(words: Words, toxic: np.ndarray) -> Lexicon:
     return Lexicon(each[best], weight[best])
 
 
+def hits(words: Words, known: Lexicon) -> Hits:
+    weight = known.weights(words)
+    at = np.flatnonzero(weight)
+    size = np.bincount(words.text, minlength=len(words.begin) - 1)
+    text = words.text[at]
+    return Hits(text, at - (np.cumsum(size) - size)[text], weight[at], size)
+
+
 def segments(score: list[float]) -> list[tuple[int, int, float]]:
     """(first, after last, score) of all maximal scoring segments, in linear time.
 
@@ -145,23 +177,21 @@ def segments(score: list[float]) -> list[tuple[int, int, float]]:
     return [(a, b, hi - lo) for a, b, lo, hi, _ in found]
 
 
-def found_in(words: Words, weight: np.ndarray, drift: float) -> Iterator[tuple[int, int, list[tuple[int, int, float]]]]:
-    """(text number, its words, maximal segments as word numbers) of the texts that hold a word with positive weight."""
-    size = np.bincount(words.text, minlength=len(words.begin) - 1)
-    first = np.cumsum(size) - size
-    gain = weight - drift
+def found_in(h: Hits, drift: float) -> Iterator[tuple[int, int, list[tuple[int, int, float]]]]:
+    """(text number, its words, maximal segments as word places) of the texts that hold a word that gains."""
+    gain = h.weight - drift
     hot = np.flatnonzero(gain > 0)
-    running = np.concatenate([[0], np.cumsum(gain)])
-    cut = np.searchsorted(words.text[hot], np.arange(len(size) + 1))
+    # Running sums before each hot word: weights so far, less the drift of all words so far.
+    before = (np.cumsum(h.weight) - h.weight)[hot] - drift * h.place[hot]
+    gain, place = gain[hot], h.place[hot]
+    cut = np.searchsorted(h.text[hot], np.arange(len(h.size) + 1))
     for k in np.flatnonzero(np.diff(cut)).tolist():
-        at = hot[cut[k] : cut[k + 1]]
-        # Only gains and the sums between them matter.
-        runs = np.flatnonzero(np.concatenate([[True], np.diff(at) > 1]))
-        opens, closes = at[runs], np.append(at[runs[1:] - 1], at[-1]) + 1
-        flow = np.empty(2 * len(opens) - 1)
-        flow[::2] = running[closes] - running[opens]
-        flow[1::2] = running[opens[1:]] - running[closes[:-1]]
-        yield k, int(size[k]), [(int(opens[a // 2] - first[k]), int(closes[(b - 1) // 2] - first[k]), s) for a, b, s in segments(flow.tolist())]
+        at = slice(cut[k], cut[k + 1])
+        flow = np.empty(2 * (cut[k + 1] - cut[k]) - 1)
+        flow[::2] = gain[at]
+        flow[1::2] = (before[at] - before[cut[k]])[1:] - (before[at] - before[cut[k]] + gain[at])[:-1]
+        where = place[at]
+        yield k, int(h.size[k]), [(int(where[a // 2]), int(where[(b - 1) // 2]) + 1, s) for a, b, s in segments(flow.tolist())]
 
 
 @dataclass
@@ -193,13 +223,13 @@ class Model:
         return self.scale * max(1, size) * math.exp(-min(700.0, self.rate * score))
 
 
-def tail(words: Words, weight: np.ndarray, toxic: np.ndarray, drift: float) -> tuple[float, float]:
-    """lambda and K from clean texts: lambda of their token gains, K from their best segments."""
-    clean = ~toxic
-    gain = (weight - drift)[clean[words.text]]
-    value, n = np.unique(np.round(gain, 2), return_counts=True)
-    top = max(float((weight - drift).max(initial=0)), 1.0)
-    value, n = np.append(value, top), np.append(n, 1.0)  # one gain of the largest size more than was seen
+def tail(h: Hits, toxic: np.ndarray, own: np.ndarray, drift: float) -> tuple[float, float]:
+    """lambda and K from clean texts: lambda of their words' gains, K from their best segments."""
+    clean = ~toxic & own
+    value, n = np.unique(np.round(h.weight[clean[h.text]], 2), return_counts=True)
+    value, n = np.append(value, 0.0), np.append(n, max(1.0, h.size[clean].sum() - n.sum()))
+    top = max(float(h.weight.max(initial=0)), drift + 1)
+    value, n = np.append(value, top) - drift, np.append(n, 1.0)  # one gain of the largest size more than was seen
     p = n / n.sum()
     if (p * value).sum() >= 0:
         value = value - (p * value).sum() - drift
@@ -208,10 +238,9 @@ def tail(words: Words, weight: np.ndarray, toxic: np.ndarray, drift: float) -> t
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if (p * np.exp(np.minimum(mid * value, 500))).sum() < 1 else (lo, mid)
     best = np.zeros(len(toxic))
-    for k, _, found in found_in(words, weight, drift):
+    for k, _, found in found_in(h, drift):
         best[k] = max((s for _, _, s in found), default=0)
-    size = np.bincount(words.text, minlength=len(toxic)).astype(float)
-    total = (size[clean] * np.exp(-lo * best[clean])).sum()
+    total = (h.size[clean] * np.exp(-lo * best[clean])).sum()
     return lo, float(min(1.0, max(1e-9, clean.sum() / max(total, 1.0))))
 
 
@@ -219,35 +248,48 @@ def fit(texts: list[bytes], toxic: np.ndarray, weights: tuple[float, float]) ->
     """A model from labelled texts; weights: rows of each class (clean, toxic) that one text stands for.
 
     The two halves of the texts score each other for the calibration; the lexicon then comes from all of them.
+    Texts are cut into words a few megabytes at a time.
     """
     if toxic.all() or not toxic.any():
         return None
     split = Splitter()
-    half = np.empty(len(texts), np.int64)
+    sizes = np.cumsum([0] + [len(t) + 1 for t in texts])
+    bounds = np.unique(np.searchsorted(sizes, np.arange(0, sizes[-1] + (2 << 20), 2 << 20)).clip(0, len(texts))).tolist()
+    parts = list(zip(bounds[:-1], bounds[1:], strict=True))
+    known = []
+    for lo, hi in parts:
+        f = features(split(texts[lo:hi]))
+        known.append(Features(f.key, (f.text + lo).astype(np.int32)))
+    known = Features(np.concatenate([f.key for f in known]), np.concatenate([f.text for f in known]))
+    first = np.zeros(len(texts), bool)
     for side in (toxic, ~toxic):
-        half[side] = np.arange(side.sum()) % 2
-    sides = []
-    for h in (0, 1):
-        own, other = np.flatnonzero(half == h), np.flatnonzero(half != h)
-        known, w = lexicon(split([texts[k] for k in other]), toxic[other]), split([texts[k] for k in own])
-        sides.append((own, w, known.weights(w)))
+        first[np.flatnonzero(side)[::2]] = True
+    crossed = [(own, lexicon(known, toxic, ~own)) for own in (first, ~first)]
+    all_hits: list[list[Hits]] = [[], []]
+    for lo, hi in parts:
+        words = split(texts[lo:hi])
+        for side, (_, lex) in zip(all_hits, crossed, strict=True):
+            h = hits(words, lex)
+            side.append(Hits(h.text + lo, h.place, h.weight, h.size))
+    sides = [(own, Hits(*(np.concatenate([getattr(h, c) for h in side]) for c in ("text", "place", "weight", "size")))) for side, (own, _) in zip(all_hits, crossed, strict=True)]
     row = np.where(toxic, weights[1], weights[0])
     row = row / row.mean()
     best = None
     for drift in DRIFTS:
         rate, scale, evidence = [], [], np.zeros(len(texts))
-        for own, w, weight in sides:
-            m = Model(Lexicon(np.empty(0, np.uint64), np.empty(0)), *tail(w, weight, toxic[own], drift), drift, 0, 0)
+        for own, h in sides:
+            m = Model(Lexicon(np.empty(0, np.uint64), np.empty(0)), *tail(h, toxic, own, drift), drift, 0, 0)
             rate.append(m.rate)
             scale.append(m.scale)
-            for k, size, found in found_in(w, weight, drift):
-                evidence[own[k]] = m.evidence(size, found)
+            for k, size, found in found_in(h, drift):
+                if own[k]:
+                    evidence[k] = m.evidence(size, found)
         a, b = calibrate(evidence, toxic, row)
         p = np.clip(1 / (1 + np.exp(-np.clip(a + b * evidence, -40, 40))), 1e-9, 1 - 1e-9)
         loss = -(row * np.where(toxic, np.log(p), np.log1p(-p))).sum()
         if best is None or loss < best[0]:
             best = (loss, sum(rate) / 2, sum(scale) / 2, drift, a, b)
-    return Model(lexicon(split(texts), toxic), *best[1:])
+    return Model(lexicon(known, toxic, np.ones(len(texts), bool)), *best[1:])
 
 
 def calibrate(evidence: np.ndarray, toxic: np.ndarray, row: np.ndarray) -> tuple[float, float]:
@@ -314,7 +356,7 @@ def score(docs: DataFrame, model: Model | None, *, text: str = "text", key: str
                 if m:
                     words = split([x or b"" for x in batch.column(1)[lo:hi].cast(pa.binary()).to_pylist()])
                     first = np.searchsorted(words.text, np.arange(n))
-                    for k, size, found in found_in(words, m.words.weights(words), m.drift):
+                    for k, size, found in found_in(hits(words, m.words), m.drift):
                         scores[k] = m.probability(m.evidence(size, found))
                         for a, b, s in found:
                             e = m.expect(size, s)
