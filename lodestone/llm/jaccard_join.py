@@ -24,7 +24,7 @@ from .packing import slices
 #: Words of an n-gram and the least Jaccard similarity, as a fraction.
 N, NUMERATOR, DENOMINATOR = 5, 4, 5
 #: Bytes of text of a slice, whose n-grams are counted together before they are dealt out.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: N-grams of a bucket, and n-grams of the sets that one tree holds.
 BUCKET, TREE = 1 << 20, 1 << 20
 
@@ -74,11 +74,10 @@ def needed(n: int | np.ndarray) -> int | np.ndarray:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of 64-bit or narrower numbers in one byte string."""
+    """Arrays of numbers in one byte string: the numbers' lowest bytes, then their second ones and so on, which compress better."""
     parts = [struct.pack("<I", len(arrays))]
     for a in arrays:
-        raw = np.ascontiguousarray(a).tobytes()
-        parts += [struct.pack("<cQ", a.dtype.char.encode(), len(raw)), raw]
+        parts += [struct.pack("<cQ", a.dtype.char.encode(), a.nbytes), np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes()]
     return b"".join(parts)
 
 
@@ -86,11 +85,17 @@ def unpack(data: bytes) -> list[np.ndarray]:
     out, at = [], 4
     for _ in range(struct.unpack_from("<I", data)[0]):
         kind, size = struct.unpack_from("<cQ", data, at)
-        out.append(np.frombuffer(data, np.dtype(kind.decode()), size // np.dtype(kind.decode()).itemsize, at + 9))
+        kind = np.dtype(kind.decode())
+        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, size, at + 9).reshape(kind.itemsize, -1).T).view(kind).reshape(-1))
         at += 9 + size
     return out
 
 
+def gaps(x: np.ndarray) -> np.ndarray:
+    """Differences of sorted numbers; the first one from 0."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
 def _batch(schema: str, **columns) -> pa.RecordBatch:
     kinds = {"bigint": pa.int64(), "binary": pa.binary(), "int": pa.int32()}
     names = [x.split() for x in schema.split(", ")]
@@ -100,10 +105,11 @@ def _batch(schema: str, **columns) -> pa.RecordBatch:
 DEALT = "key bigint, slice bigint, data binary"
 
 
-def _deal(docs: DataFrame, buckets: int, n: int) -> DataFrame:
+def _deal(docs: DataFrame, buckets: int, n: int, bits: int) -> DataFrame:
     """Each slice's n-grams by bucket: those of one document of the slice with its place, those of more with their count.
 
     A row with a negative key stays with its slice: its documents with sizes, digests and the n-grams that they share within it.
+    So a slice sends an n-gram once, however many of its documents hold it. Of the hashes the first `bits` bits are sent.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,20 +124,21 @@ def _deal(docs: DataFrame, buckets: int, n: int) -> DataFrame:
                 spread = mix(key ^ np.uint64(0x2545F4914F6CDD1D))
                 zero = np.zeros(1, np.uint64)
                 sums, twists = np.concatenate([zero, np.cumsum(key)]), np.concatenate([zero, np.cumsum(spread)])
+                key >>= np.uint64(64 - bits)
                 order = np.argsort(key, kind="stable")
-                key, own = key[order], own[order]
+                key, own = key[order], own[order].astype(np.min_scalar_type(hi - lo))
                 first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
                 count = np.diff(np.append(first, len(key)))
-                many = np.repeat(count > 1, count)
-                by_doc = np.argsort(own[many], kind="stable")
-                rows = [(-1 - number, number, pack(batch.column(0)[lo:hi].to_numpy(), size, sums[cut[1:]] - sums[cut[:-1]], twists[cut[1:]] - twists[cut[:-1]], own[many][by_doc].astype(np.uint32), key[many][by_doc]))]
+                many = count > 1
+                rows = [(-1 - number, number, pack(batch.column(0)[lo:hi].to_numpy(), size, sums[cut[1:]] - sums[cut[:-1]], twists[cut[1:]] - twists[cut[:-1]], gaps(key[first[many]]), count[many].astype(np.uint32), own[np.repeat(many, count)]))]
                 # Hashes are sorted, so buckets of equal ranges of them are runs.
-                each, count, owner = key[first], count.astype(np.uint32), own[first].astype(np.uint32)
-                bounds = np.searchsorted(each, np.array([(k << 64) // buckets for k in range(buckets)], np.uint64)).tolist() + [len(each)]
+                alone, alone_own, each, count = key[first[~many]], own[first[~many]], key[first[many]], count[many].astype(np.uint32)
+                edges = np.array([(k << bits) // buckets for k in range(buckets)], np.uint64)
+                at, of = np.append(np.searchsorted(alone, edges), len(alone)), np.append(np.searchsorted(each, edges), len(each))
                 for k in range(buckets):
-                    a, b = bounds[k], bounds[k + 1]
-                    if a < b:
-                        rows.append((k, number, pack(each[a:b], np.where(count[a:b] > 1, count[a:b] + np.uint32(1 << 31), owner[a:b]).astype(np.uint32))))
+                    x, y = slice(at[k], at[k + 1]), slice(of[k], of[k + 1])
+                    if at[k] < at[k + 1] or of[k] < of[k + 1]:
+                        rows.append((k, number, pack(gaps(alone[x]), alone_own[x], gaps(each[y]), count[y])))
                 number += 1
                 yield _batch(DEALT, key=[r[0] for r in rows], slice=[r[1] for r in rows], data=[r[2] for r in rows])
 
@@ -140,18 +147,22 @@ def _deal(docs: DataFrame, buckets: int, n: int) -> DataFrame:
 
 def _count(dealt: pa.Table) -> pa.Table:
     """A bucket: how many documents hold each n-gram; tells each slice of those that more than one holds."""
-    if dealt["key"][0].as_py() < 0:
+    bucket = dealt["key"][0].as_py()
+    if bucket < 0:
         return dealt
     number, parts = dealt["slice"].to_numpy(), [unpack(x) for x in dealt["data"].to_pylist()]
-    key, note = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-    part = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-    each, place = np.unique(key, return_inverse=True)
-    held = np.bincount(place, np.where(note >> 31, note & 0x7FFFFFFF, 1), len(each)).astype(np.int64)[place]
-    live = np.flatnonzero(held > 1)
-    cut = np.searchsorted(part[live], np.arange(len(parts) + 1))
-    keep = [k for k in range(len(parts)) if cut[k] < cut[k + 1]]
-    data = [pack(key[x], note[x], np.minimum(held[x], 0xFFFFFFFF).astype(np.uint32)) for x in (live[cut[k] : cut[k + 1]] for k in keep)]
-    return pa.Table.from_batches([_batch(DEALT, key=[0] * len(keep), slice=number[keep], data=data)])
+    alone, many = [np.cumsum(p[0]) for p in parts], [np.cumsum(p[2]) for p in parts]
+    each, place = np.unique(np.concatenate(alone + many), return_inverse=True)
+    n_alone = sum(map(len, alone))
+    held = np.bincount(place, np.concatenate([np.ones(n_alone, np.int64), *(p[3] for p in parts)]), len(each)).astype(np.uint32)[place]
+    at, of = np.cumsum([0] + [len(x) for x in alone]), n_alone + np.cumsum([0] + [len(x) for x in many])
+    rows = []
+    for k, p in enumerate(parts):
+        h = held[at[k] : at[k + 1]]
+        live = h > 1
+        if live.any() or of[k] < of[k + 1]:
+            rows.append((int(number[k]), pack(gaps(alone[k][live]), p[1][live], h[live], held[of[k] : of[k + 1]])))
+    return pa.Table.from_batches([_batch(DEALT, key=[bucket] * len(rows), slice=[r[0] for r in rows], data=[r[1] for r in rows])])
 
 
 SETS = "doc_id bigint, n bigint, digest_a bigint, digest_b bigint, held bigint, tokens binary"
@@ -159,27 +170,21 @@ SETS = "doc_id bigint, n bigint, digest_a bigint, digest_b bigint, held bigint,
 
 def _sets(rows: pa.Table) -> pa.Table:
     """A slice: each document's n-grams that others hold too, rarest first; none for a document that has too few of them."""
-    out = []
-    data = rows["data"].to_pylist()
-    home = [k for k, x in enumerate(rows["key"].to_pylist()) if x < 0]
-    ids, size, a, b, own, key = unpack(data[home[0]])
-    told = [unpack(x) for k, x in enumerate(data) if k != home[0]]
-    if told:
-        t_key, note, held = (np.concatenate([p[k] for p in told]) for k in (0, 1, 2))
-    else:
-        t_key, note, held = np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.uint32)
-    alone = note >> 31 == 0
-    order = np.argsort(t_key[~alone])
-    many_key, many_held = t_key[~alone][order], held[~alone][order]
-    own = np.concatenate([own, note[alone]]).astype(np.int64)
-    df = np.concatenate([many_held[np.searchsorted(many_key, key)] if len(key) else held[:0], held[alone]])
-    key = np.concatenate([key, t_key[alone]])
+    data, bucket = rows["data"].to_pylist(), rows["key"].to_numpy()
+    home, *told = np.argsort(bucket, kind="stable").tolist()  # the slice's own row, then the buckets' in order
+    ids, size, a, b, key, count, own = unpack(data[home])
+    told = [unpack(data[k]) for k in told]
+    key, own = np.repeat(np.cumsum(key), count), own.astype(np.int64)
+    df = np.repeat(np.concatenate([np.empty(0, np.uint32), *(p[3] for p in told)]), count)
+    key = np.concatenate([key, *(np.cumsum(p[0]) for p in told)])
+    own = np.concatenate([own, *(p[1].astype(np.int64) for p in told)])
+    df = np.concatenate([df, *(p[2] for p in told)])
     order = np.lexsort((key, df, own))
     own, key = own[order], key[order]
     cut = np.searchsorted(own, np.arange(len(ids) + 1))
     shared = np.diff(cut)
     live = (shared >= needed(size)) & (size > 0)
-    tokens = [key[cut[k] : cut[k + 1]].tobytes() if live[k] else None for k in range(len(ids))]
+    tokens = [pack(key[cut[k] : cut[k + 1]]) if live[k] else None for k in range(len(ids))]
     out = _batch(SETS, doc_id=ids, n=size.astype(np.int64), digest_a=a.view(np.int64), digest_b=b.view(np.int64), held=shared.astype(np.int64), tokens=tokens)
     return pa.Table.from_batches([out])
 
@@ -200,7 +205,7 @@ def _prefixes(sets: DataFrame) -> DataFrame:
             node, n, held = (batch.column(k).to_numpy() for k in range(3))
             # The prefix's first n-grams are those that no one else holds.
             take = n - needed(n) + 1 - (n - held)
-            token = [np.frombuffer(x, np.int64)[:k] for x, k in zip(batch.column(3).to_pylist(), take.tolist(), strict=True)]
+            token = [unpack(x)[0][:k].view(np.int64) for x, k in zip(batch.column(3).to_pylist(), take.tolist(), strict=True)]
             own = np.repeat(np.arange(len(node)), [len(x) for x in token])
             token = np.concatenate(token) if len(token) else np.empty(0, np.int64)
             size = _class(n)[own]
@@ -341,7 +346,7 @@ def _links(table: pa.Table) -> pa.Table:
     order = np.lexsort((table["node"].to_numpy(), sub, block))
     table = table.take(pa.array(order))
     block, sub, node, n = block[order], sub[order], table["node"].to_numpy(), table["n"].to_numpy()
-    tokens = [np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()]
+    tokens = [unpack(x)[0] for x in table["tokens"].to_pylist()]
     cut = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (sub[1:] != sub[:-1])])).tolist() + [len(block)]
     a, b = [], []
     for lo, hi in zip(cut[:-1], cut[1:], strict=True):
@@ -362,7 +367,9 @@ def similar(docs: DataFrame, *, n: int = N, text: str = "text", key: str = "doc_
     docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.col("doc_id").isNotNull())
     bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, bytes_ // (6 * BUCKET))
-    dealt = _deal(docs, buckets, n).repartition(int(min(10_000, max(buckets, 12))), "key")
+    # So many bits of a hash that few n-grams of the corpus share them by chance; sets are compared by them.
+    bits = min(64, max(50, bytes_.bit_length() + 20))
+    dealt = _deal(docs, buckets, n, bits).repartition(int(min(10_000, max(buckets, 12))), "key")
     told = dealt.groupBy("key").applyInArrow(_count, DEALT)
     sets = materialize(told.groupBy("slice").applyInArrow(_sets, SETS), "sets")
 
@@ -377,14 +384,13 @@ def similar(docs: DataFrame, *, n: int = N, text: str = "text", key: str = "doc_
     meets = prefix.join(met, ["token", "class"]).select(F.col("node").alias("a"), "b").where("a <> b").distinct()
     blocks = components(meets)
 
-    own = classes.join(blocks.withColumnsRenamed({"component": "block"}), "node").select("node", "n", "tokens", "block")
-    own = materialize(own, "blocks")
-    total = own.groupBy("block").agg(F.sum(F.octet_length("tokens") / 8).cast("bigint").alias("load"))
+    blocks = materialize(blocks.withColumnsRenamed({"component": "block"}), "blocks")
+    total = blocks.join(classes.select("node", "held"), "node").groupBy("block").agg(F.sum("held").alias("load"))
     parts = total.select("block", F.ceil(F.col("load") / TREE).cast("bigint").alias("parts"))
-    sum_ = total.agg(F.sum("load")).first()[0] or 0
-    tasks = int(max(12, sum_ // (TREE // 4)))
+    tasks = int(max(12, (total.agg(F.sum("load")).first()[0] or 0) // (TREE // 4)))
+    own = classes.select("node", "n", "tokens").join(blocks.join(parts, "block"), "node")
     # A block that is too large for one tree goes as pairs of its parts, each pair to a task of its own.
-    dealt = own.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    dealt = own.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
     dealt = dealt.withColumn("pair", F.least("part", "other") * F.col("parts") + F.greatest("part", "other"))
     dealt = dealt.withColumn("task", F.pmod(F.xxhash64("block", "pair"), F.lit(tasks * 16))).select("task", "block", "pair", "node", "n", "tokens")
