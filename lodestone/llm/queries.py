@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, jaccard_join, line_dedup, packing, quality, toxicity, warc
+from . import decontam, html_extract, jaccard_join, line_dedup, packing, quality, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "segments")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda c: F.regexp_extract(c, "<urn:page:(-?\\d+)>", 1).try_cast("bigint")
     return warc.round_trip(_table(spark, sf_dir, "pages")).select(
@@ -59,4 +63,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_line_dedup, op3_decontamination, op5_toxicity, op7_warc, op8_jaccard_join, op9_quality_rules, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_line_dedup, op3_decontamination, op5_toxicity, op6_suffix_dedup, op7_warc, op8_jaccard_join, op9_quality_rules, op10_packing)}
