@@ -321,13 +321,13 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, text: s
 
     def run(table: pa.Table) -> pa.Table:
         # Repeated ids give repeated rows; one of each is enough.
-        order = np.lexsort((table["_text"].to_numpy(zero_copy_only=False).astype(str), table["_key"].to_numpy()))
-        table = table.take(pa.array(order))
-        keys = table["_key"].to_numpy()
-        table = table.filter(pa.array(np.concatenate([[True], keys[1:] != keys[:-1]])))
-        toxic = table["_toxic"].to_numpy() == 1
+        chosen: dict[int, tuple[bytes, int]] = {}
+        for k, t, y in zip(table["_key"].to_pylist(), table["_text"].cast(pa.binary()).to_pylist(), table["_toxic"].to_pylist(), strict=True):
+            chosen[k] = min(chosen.get(k, (t, y)), (t, y))
+        rows_ = [chosen[k] for k in sorted(chosen)]
+        toxic = np.array([y == 1 for _, y in rows_])
         n_toxic = max(1, int(toxic.sum()))
-        m = fit(table["_text"].cast(pa.binary()).to_pylist(), toxic, ((own.n - own.toxic) / max(1, len(toxic) - n_toxic), own.toxic / n_toxic))
+        m = fit([t for t, _ in rows_], toxic, ((own.n - own.toxic) / max(1, len(toxic) - n_toxic), own.toxic / n_toxic))
         return pa.table({"model": pa.array([pickle.dumps(None if m is None else (m.words.key, m.words.weight, m.rate, m.scale, m.drift, m.a, m.b))], pa.binary())})
 
     # One task fits the bounded sample; its model has at most FEATURES weights.
