@@ -32,12 +32,27 @@ class Forest:
         return True
 
 
+#: Edges that a task joins in memory at once.
+AT_ONCE = 1 << 20
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= AT_ONCE:
+            yield tuple(np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1))
+            held, n = [], 0
+    if n:
+        yield tuple(np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1))
+
+
 def contract(edges: DataFrame) -> DataFrame:
-    """Replace each batch's edges by stars around the smallest node: the same components with at most as many edges."""
+    """Replace the edges of each task by stars around the smallest nodes: the same components with at most as many edges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for a, b in _gathered(batches):
             node, place = np.unique(np.concatenate([a, b]), return_inverse=True)
             forest = Forest(len(node))
             for x, y in zip(place[: len(a)].tolist(), place[len(a) :].tolist(), strict=True):
@@ -69,8 +84,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(contract(edges.where("a <> b")).distinct(), "edges")
     mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")).first()
     while mark.n:
-        large = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
-        now = materialize(_star(_star(large, True), False), "edges")
+        now = materialize(contract(_star(_star(now, True), False)).distinct(), "edges")
         new = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")).first()
         if new == mark:
             break
