@@ -21,7 +21,9 @@ from .packing import slices
 from .suffix_array import common_prefixes, suffix_array
 
 #: Bytes of a repeated string; bytes of an anchor; bytes of text of a slice, and of the stretches of one suffix array.
-SPAN, ANCHOR, SLICE, ARRAY = 50, 16, 4 << 20, 1 << 20
+SPAN, ANCHOR, SLICE, ARRAY = 50, 16, 3 << 20, 1 << 20
+#: Bytes of text whose anchors are found at once.
+PART = 1 << 19
 #: An anchor that more documents than this seem to hold is hot: its windows are dealt by their own bytes, one by one.
 HOT = 512
 _GRADES = np.array([1, 2, 8, 64])
@@ -35,7 +37,19 @@ def join_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, last window, anchor's hash) of each run of windows with one anchor, in order; windows by their starts."""
+    """(first window, last window, anchor's hash) of each run of windows with one anchor, in order; windows by their starts.
+
+    Texts are taken a part at a time, so that the arrays of a part stay small.
+    """
+    cut = np.unique(np.append(np.searchsorted(begin, np.arange(0, begin[-1], PART)), len(begin) - 1)).tolist()
+    parts = [_anchors(data[begin[a] : begin[b]], begin[a : b + 1] - begin[a]) for a, b in zip([0, *cut[:-1]], cut, strict=True) if a < b]
+    at = [begin[a] for a, b in zip([0, *cut[:-1]], cut, strict=True) if a < b]
+    if not parts:
+        return _anchors(data[:0], np.zeros(1, np.int64))
+    return np.concatenate([p[0] + x for p, x in zip(parts, at, strict=True)]), np.concatenate([p[1] + x for p, x in zip(parts, at, strict=True)]), np.concatenate([p[2] for p in parts])
+
+
+def _anchors(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(data) - SPAN + 1
     none = np.empty(0, np.int64)
     if n <= 0:
@@ -51,7 +65,6 @@ def anchors(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray
         low = np.minimum(low[:-step], low[step:])
         done += step
     place = (low[:n] & np.uint64((1 << 28) - 1)).astype(np.int64)
-    inside = np.ones(n + 1, np.int8)
     ends = begin[1:] - 1
     cut = np.zeros(n + 1, np.int32)
     np.add.at(cut, np.clip(np.maximum(ends - SPAN + 1, begin[:-1]), 0, n), 1)
@@ -167,14 +180,14 @@ def _stretches(shards: int):
         low, high = (np.minimum.reduceat(doc[order], cut), np.maximum.reduceat(doc[order], cut)) if len(each) else (doc, doc)
         size = (end - start)[index].astype(np.uint8)
         route = np.where(hot[index], each, mix(key[index]))
-        shard, sub = (route % np.uint64(shards)).astype(np.int64), ((route >> np.uint64(40)) & np.uint64(255)).astype(np.uint8)
+        shard, route = (route % np.uint64(shards)).astype(np.int64), (route >> np.uint64(32)).astype(np.uint32)
         out = [(-1 - number, pack(ids, begin, pressed, gaps(start.astype(np.uint32)), place.astype(np.uint32)))]
         by = np.argsort(shard, kind="stable")
         of = np.searchsorted(shard[by], np.arange(shards + 1))
         for k in range(shards):
             own = by[of[k] : of[k + 1]]
             if len(own):
-                out.append((k, pack(own.astype(np.uint32), low[own], high[own], size[own], sub[own], _press(_take(text, start[index[own]], size[own].astype(np.int64)).tobytes()))))
+                out.append((k, pack(own.astype(np.uint32), low[own], high[own], size[own], route[own], _press(_take(text, start[index[own]], size[own].astype(np.int64)).tobytes()))))
         return pa.Table.from_batches([_batch(DEALT, key=[r[0] for r in out], slice=[number] * len(out), data=[r[1] for r in out])])
 
     return run
@@ -206,29 +219,32 @@ def _match(dealt: pa.Table) -> pa.Table:
     if dealt["key"][0].as_py() < 0:
         return dealt
     number, parts = dealt["slice"].to_numpy(), [unpack(x) for x in dealt["data"].to_pylist()]
-    index, low, high, size, sub = (np.concatenate([p[k] for p in parts]) for k in range(5))
+    index, low, high, size, route = (np.concatenate([p[k] for p in parts]) for k in range(5))
     part = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
     size = size.astype(np.int64)
     text = np.frombuffer(b"".join(_unpress(p[5]) for p in parts), np.uint8)
     hasher = SpanHasher()
     start = np.cumsum(size) - size
-    content = np.empty(len(size), np.uint64)
-    sums = hasher.sums(text)
-    content = hasher.spans(sums, start, start + size)
-    del sums
-    ways = max(1, -(-len(text) // ARRAY))
-    answers = []
-    for way in range(ways):
-        own = np.flatnonzero(sub % ways == way)
-        if not len(own):
+    each, one, place = np.unique(hasher.spans(hasher.sums(text), start, start + size), return_index=True, return_inverse=True)
+    order = np.argsort(place, kind="stable")
+    least = np.minimum.reduceat(low[order], np.searchsorted(place[order], np.arange(len(each))))
+    # An anchor with a single stretch, however many slices hold it, has nothing to be sorted with.
+    _, at, count = np.unique(route[one], return_inverse=True, return_counts=True)
+    alone = count[at] == 1
+    own = np.flatnonzero(alone[place] & (least[place] < high))
+    answers = [(own, np.zeros(len(own), np.uint8), (size[own] - SPAN + 1).astype(np.uint8), least[place[own]])]
+    ways = max(1, -(-int(size[one[~alone]].sum()) // ARRAY))
+    way = np.where(alone, -1, (mix(route[one].astype(np.uint64)) % np.uint64(ways)).astype(np.int64))
+    for k in range(ways):
+        kinds = np.flatnonzero(way == k)
+        if not len(kinds):
             continue
-        each, one, place = np.unique(content[own], return_index=True, return_inverse=True)
-        least = np.full(len(each), np.iinfo(np.int64).max)
-        np.minimum.at(least, place, low[own])
-        at, holder = first_holders(_take(text, start[own[one]], size[own[one]]), size[own[one]], least)
+        at, holder = first_holders(_take(text, start[one[kinds]], size[one[kinds]]), size[one[kinds]], least[kinds])
         # Every slice's own copy of a stretch gets its runs.
+        own = np.flatnonzero(way[place] == k)
+        at = at[np.searchsorted(kinds, place[own])]
         windows = size[own] - SPAN + 1
-        mine = holder[np.repeat(at[place] - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())]
+        mine = holder[np.repeat(at - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())]
         whose, offset = np.repeat(np.arange(len(own)), windows), np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
         use = mine < high[own][whose]
         fresh = use.copy()
