@@ -76,7 +76,8 @@ def _anchors(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarra
     over = np.ones(n, bool)
     over[:-1] = fresh[1:] | ~inside[1:]
     last = np.flatnonzero(inside & over)
-    return first, last, h[place[first]] >> np.uint64(2) << np.uint64(2)
+    # The least hashes are small; mixed once more they spread evenly over buckets.
+    return first, last, mix(h[place[first]] ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(2) << np.uint64(2)
 
 
 def _cut(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[bytes]]]:
