@@ -36,7 +36,7 @@ def frequent_lines(docs: DataFrame, ratio: float, min_pages: int, *, text: str =
 def with_frequent_lines(docs: DataFrame, bad: DataFrame, host: str = "source") -> DataFrame:
     """docs with the column _bad: the hashes of its host's frequent lines, or an empty array."""
     bad = materialize(bad, "lines")
-    keyed = docs.withColumn("_host", F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("")))
+    keyed = docs.drop("_bad").withColumn("_host", F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("")))
     if small_enough(bad.select(F.explode("_bad")), BROADCAST_ROWS):
         bad = F.broadcast(bad)
     return keyed.join(bad, "_host", "left").withColumn("_bad", F.coalesce("_bad", F.array().cast("array<bigint>"))).drop("_host")

@@ -64,7 +64,9 @@ def quality_rules(docs: DataFrame, *, ratio: float = RATIO, min_docs: int = MIN_
         ),
     ).drop("_seen", "_sorted")
     covered = F.aggregate("_again", F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("sum")), lambda a, x: F.struct(x.alias("last"), (a["sum"] + F.least(F.lit(WINDOW), x - a["last"])).alias("sum")))["sum"]
-    base = base.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_again")
+    # An expression that is not deterministic keeps filters on the results from being pushed below, where each of the
+    # nested arrays would be written out many times.
+    base = base.withColumn("n_repeat_words", F.when(F.monotonically_increasing_id() >= 0, F.coalesce(covered, F.lit(0)).cast("long"))).drop("_again")
     base = base.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
     found = with_frequent_lines(base, frequent_lines(docs, ratio, min_docs, text=text, host=host), host)

@@ -2,12 +2,14 @@
 
 Every window of SPAN bytes holds one anchor, the least of the hashes of its ANCHOR-byte strings, so equal windows hold equal
 anchors. Anchors are dealt to buckets to find those of more than one document; the stretches around these are dealt,
-by anchor, to shards. A shard sorts its stretches' suffixes by induced sorting and takes permuted common prefixes; runs
+by anchor, to shards. The texts of a slice of documents lie meanwhile in a file of the shared folder, and only its name is
+passed on. A shard sorts its stretches' suffixes by induced sorting and takes permuted common prefixes; runs
 of suffixes that share SPAN bytes tell the first document of each window. Slices of documents then cut what is covered.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh_path
 from .hashing import SpanHasher, mix
 from .jaccard_join import DEALT, _batch, gaps, pack, unpack
 from .packing import slices
 from .suffix_array import common_prefixes, suffix_array
+from .warc import open_store
 
 #: Bytes of a repeated string; bytes of an anchor; bytes of text of a slice, and of the stretches of one suffix array.
-SPAN, ANCHOR, SLICE, ARRAY = 50, 16, 3 << 20, 1 << 20
+SPAN, ANCHOR, SLICE, ARRAY = 50, 16, 8 << 20, 1 << 20
 #: Bytes of text whose anchors are found at once.
 PART = 1 << 19
 #: An anchor that more documents than this seem to hold is hot: its windows are dealt by their own bytes, one by one.
@@ -101,8 +105,24 @@ def _unpress(data: np.ndarray) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data.tobytes())
 
 
-def _deal(docs: DataFrame, buckets: int) -> DataFrame:
-    """Each slice's distinct anchors, with a grade of how many of its documents hold them, by bucket; and its texts."""
+def _save(path: str, *arrays: np.ndarray) -> np.ndarray:
+    """Write arrays to a new file of the folder; its name, as bytes. An attempt that is repeated writes a file of its own."""
+    store, folder = open_store(path)
+    store.create_dir(folder, recursive=True)
+    name = uuid.uuid4().hex
+    with store.open_output_stream(f"{folder}/{name}") as f:
+        f.write(pack(*arrays))
+    return np.frombuffer(name.encode(), np.uint8)
+
+
+def _load(path: str, name: np.ndarray) -> list[np.ndarray]:
+    store, folder = open_store(path)
+    with store.open_input_stream(f"{folder}/{name.tobytes().decode()}") as f:
+        return unpack(f.read())
+
+
+def _deal(docs: DataFrame, buckets: int, path: str) -> DataFrame:
+    """Each slice's distinct anchors, with a grade of how many of its documents hold them, by bucket; and where its texts are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -122,7 +142,7 @@ def _deal(docs: DataFrame, buckets: int) -> DataFrame:
                 at = np.flatnonzero(new)
                 held = np.add.reduceat(other.astype(np.int64), at) if len(at) else at
                 each = key[at] | (np.searchsorted(_GRADES, held, "right") - 1).astype(np.uint64)
-                rows = [(-1 - number, pack(ids, begin, _press(data.tobytes())))]
+                rows = [(-1 - number, pack(_save(path, ids, begin, _press(data.tobytes()))))]
                 of = _ranges(each, buckets)
                 rows += [(k, pack(gaps(each[of[k] : of[k + 1]]))) for k in range(buckets) if of[k] < of[k + 1]]
                 yield _batch(DEALT, key=[r[0] for r in rows], slice=[number] * len(rows), data=[r[1] for r in rows])
@@ -153,14 +173,15 @@ def _take(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
 
 
-def _stretches(shards: int):
+def _stretches(shards: int, path: str):
     """A slice: its distinct stretches around shared anchors, by shard, and where it holds them."""
 
     def run(rows: pa.Table) -> pa.Table:
         data, bucket = rows["data"].to_pylist(), rows["key"].to_numpy()
         home, *told = np.argsort(bucket, kind="stable").tolist()
         number = rows["slice"][0].as_py()
-        ids, begin, pressed = unpack(data[home])
+        (name,) = unpack(data[home])
+        ids, begin, pressed = _load(path, name)
         text = np.frombuffer(_unpress(pressed), np.uint8)
         told = np.concatenate([np.empty(0, np.uint64), *(np.cumsum(unpack(data[k])[0]) for k in told)])
         first, last, key = anchors(text, begin)
@@ -172,8 +193,10 @@ def _stretches(shards: int):
         start = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
         end = np.where(np.repeat(hot, count), start + SPAN, np.repeat(last, count) + SPAN)
         key, hot = np.repeat(key, count), np.repeat(hot, count)
-        hasher = SpanHasher()
-        content = hasher.spans(hasher.sums(text), start, end)
+        hasher, content = SpanHasher(), np.empty(len(start), np.uint64)
+        for at in range(0, len(text), PART):  # starts are sorted
+            a, b = np.searchsorted(start, (at, at + PART))
+            content[a:b] = hasher.spans(hasher.sums(text[at : at + PART + 2 * SPAN]), start[a:b] - at, end[a:b] - at)
         each, index, place = np.unique(content, return_index=True, return_inverse=True)
         doc = ids[np.searchsorted(begin, start, "right") - 1]
         order = np.argsort(place, kind="stable")
@@ -182,7 +205,7 @@ def _stretches(shards: int):
         size = (end - start)[index].astype(np.uint8)
         route = np.where(hot[index], each, mix(key[index]))
         shard, route = (route % np.uint64(shards)).astype(np.int64), (route >> np.uint64(32)).astype(np.uint32)
-        out = [(-1 - number, pack(ids, begin, pressed, gaps(start.astype(np.uint32)), place.astype(np.uint32)))]
+        out = [(-1 - number, pack(name, gaps(start.astype(np.uint32)), place.astype(np.uint32)))]
         by = np.argsort(shard, kind="stable")
         of = np.searchsorted(shard[by], np.arange(shards + 1))
         for k in range(shards):
@@ -266,11 +289,12 @@ def _match(dealt: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_batch(DEALT, key=[shard] * len(rows), slice=[r[0] for r in rows], data=[r[1] for r in rows])])
 
 
-def _remove(rows: pa.Table) -> pa.Table:
+def _remove(path: str, rows: pa.Table) -> pa.Table:
     """A slice: its documents without the bytes of covered windows."""
     data, bucket = rows["data"].to_pylist(), rows["key"].to_numpy()
     home, *told = np.argsort(bucket, kind="stable").tolist()
-    ids, begin, pressed, start, place = unpack(data[home])
+    name, start, place = unpack(data[home])
+    ids, begin, pressed = _load(path, name)
     raw = _unpress(pressed)
     text = np.frombuffer(raw, np.uint8)
     gone = np.zeros(len(text), bool)
@@ -307,8 +331,9 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id")
     bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, shards = max(1, bytes_ // (20 * (1 << 20))), max(1, bytes_ // (6 << 20))
     parts = lambda n: int(min(10_000, max(n, 12)))
-    dealt = _deal(docs, buckets).repartition(parts(shards), "key")
+    path = fresh_path(docs.sparkSession, "slices")
+    dealt = _deal(docs, buckets, path).repartition(parts(shards), "key")
     told = dealt.groupBy("key").applyInArrow(_shared, DEALT).repartition(parts(shards), "slice")
-    stretches = told.groupBy("slice").applyInArrow(_stretches(shards), DEALT).repartition(parts(shards), "key")
+    stretches = told.groupBy("slice").applyInArrow(_stretches(shards, path), DEALT).repartition(parts(shards), "key")
     matched = stretches.groupBy("key").applyInArrow(_match, DEALT).repartition(parts(shards), "slice")
-    return matched.groupBy("slice").applyInArrow(_remove, SCHEMA)
+    return matched.groupBy("slice").applyInArrow(lambda rows: _remove(path, rows), SCHEMA)

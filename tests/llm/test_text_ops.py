@@ -1,0 +1,145 @@
+import random
+import zlib
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from lodestone.llm import decontam, packing, secret_scan, toxicity
+from lodestone.llm.queries import tokenizer_path
+from lodestone.llm.tokens import WordBpe
+
+DOCS = "doc_id long, text string"
+
+
+def test_ids_equal_the_tokenizers():
+    bpe = WordBpe(tokenizer_path())
+    r = random.Random(1)
+    texts = ["it's we'll I'M 12½ ²x", "İstanbul ﬁx é́", "a_b — “q” …x", "\x0b a\x1cb", "<|endoftext|> hi", "don''s .'s 'sad 'really 've", "", "日本語 テスト", "Œuvre ŸÿŠ ðÐ 'É"]
+    texts += ["".join(r.choice("abstrevlmd' ''9é—.É\n_Ž") for _ in range(r.randint(0, 60))) for _ in range(2000)]
+    plain = Tokenizer.from_file(tokenizer_path())
+    plain.encode_special_tokens = True
+    for t, ids, e in zip(texts, bpe.encode(texts), plain.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert ids.tolist() == e.ids, t
+
+
+def test_packing_places_every_id_once(spark):
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choice(["red", "blue", "sky", "apple", "house", f"x{i}"]) for _ in range(r.choice([0, 3, 40, 900])))) for i in range(120)] + [(500, None), (500, None), (501, "word " * 5000)]
+    got = packing.pack(spark.createDataFrame([(*x, 1) for x in rows], DOCS + ", length int").coalesce(3), tokenizer_path(), window=256, shard=4000).collect()
+    tok = Tokenizer.from_file(tokenizer_path())
+    want = sorted((k, [*tok.encode(t or "", add_special_tokens=False).ids, 1]) for k, t in rows)
+    whole: dict = {}
+    for p in got:
+        ids = np.frombuffer(bytes(p.ids), "<u4").tolist()
+        assert len(ids) == p.length and p.start + p.length <= p.doc_tokens
+        whole.setdefault(p.doc_id, []).append((p.start, ids, p.doc_tokens))
+    rebuilt = sorted((k, [i for _, ids, _ in sorted(v) for i in ids]) for k, v in whole.items() if k != 500)
+    assert rebuilt == [w for w in want if w[0] != 500] and len(whole[500]) == 2
+    filled: dict = {}
+    for p in sorted(got, key=lambda p: (p.sequence_id, p.offset)):
+        assert p.offset == filled.get(p.sequence_id, 0)
+        filled[p.sequence_id] = p.offset + p.length
+    assert all(n <= 256 and n & (n - 1) == 0 for n in filled.values())
+    assert packing.pack(spark.createDataFrame([], DOCS), tokenizer_path()).count() == 0
+
+
+def test_neighbours_share_rare_terms():
+    docs = [np.array(x, np.uint32) for x in ([5, 6, 7, 1], [9, 9, 1], [5, 6, 8, 1], [3, 1])]
+    assert packing.Index(docs).neighbours(0).tolist()[:2] == [0, 2]
+    assert sorted(packing.order(docs, 8)) == [0, 1, 2, 3] and packing.order(docs, 8)[:2] == [0, 2]
+
+
+ITEMS = [(1, "Alice has 3 apples and John Smith buys 5 km of rope for 3 friends today in the town."), (2, "The quick brown fox jumps"), (3, ""), (4, None), (5, "one two")]
+
+
+def leaks(spark, *texts, **options):
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], DOCS + ", item_id string")
+    return {(r.doc_id, r.item_id): r for r in decontam.find_leaks(df, spark.createDataFrame(ITEMS, "item_id long, text string"), **options).collect()}
+
+
+@pytest.mark.parametrize("block", [1 << 20, 4])
+def test_leaks_and_slots(spark, block):
+    got = leaks(
+        spark,
+        ITEMS[0][1],
+        "so: alice has 7 apples, and Bob Miller buys 9 miles of rope for 7 friends today in the town",
+        "so: alice has 7 apples, and Bob Miller buys 9 miles of rope for 8 friends today in the town",
+        "THE quick,\nbrown Fox jumps!",
+        None,
+        "",
+        "word " * 50_000,
+        "apples and rope for friends",
+        block_windows=block,
+    )
+    assert {k: r.kind for k, r in got.items()} == {(0, 1): "verbatim", (1, 1): "reparameterised", (3, 2): "verbatim"}
+    assert got[(0, 1)].n_slots == 5 and (got[(0, 1)].start, got[(0, 1)].end) == (0, 83)
+
+
+def test_no_leaks_from_empty_tables(spark):
+    items, docs = spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame([(1, "a b c d e")], DOCS)
+    assert decontam.find_leaks(docs, items).count() == 0 and decontam.find_leaks(docs.limit(0), items).count() == 0
+
+
+def test_secrets_of_held_out_findings(spark):
+    model = secret_scan.train(spark, secret_scan.labelled_findings(1500), tokenizer_path())
+    made = secret_scan.labelled_findings(400, seed=99)
+    rows = [(i, t, 0.5) for i, (t, *_) in enumerate(made)] + [(9000, None, 0.0), (9001, "", 0.0), (9002, "plain words only " * 2000, 0.0)]
+    got = secret_scan.scan(spark.createDataFrame(rows, DOCS + ", score double"), tokenizer_path(), model).where("is_secret").collect()
+    hit = {r.doc_id for r in got}
+    right = sum((i in hit) == bool(y) for i, (*_, y) in enumerate(made))
+    assert right >= 0.97 * len(made) and not hit & {9000, 9001, 9002}
+    assert secret_scan.scan(spark.createDataFrame([], DOCS), tokenizer_path(), model).count() == 0
+
+
+def brute_segments(s):
+    def rec(a, b):
+        best = None
+        for i in range(a, b):
+            t = 0.0
+            for j in range(i, b):
+                t += s[j]
+                if t > 1e-12 and (best is None or t > best[0] + 1e-9):
+                    best = (t, i, j + 1)
+        return [] if best is None else [*rec(a, best[1]), (best[1], best[2], round(best[0], 6)), *rec(best[2], b)]
+
+    return rec(0, len(s))
+
+
+def test_segments_equal_brute_force():
+    r = random.Random(3)
+    for _ in range(800):
+        s = [r.choice([-1, 1]) * r.random() for _ in range(r.randint(0, 14))]
+        assert [(a, b, round(x, 6)) for a, b, x in toxicity.segments(s)] == brute_segments(s)
+
+
+def test_toxicity_on_held_out_documents(spark):
+    r = random.Random(8)
+    clean = [f"c{i}" for i in range(300)]
+    bad = ["vileone", "viletwo", "grotty", "scumbag"]
+    rows, labels = [], []
+    for k in range(600):
+        w = [r.choice(clean) for _ in range(r.randint(20, 120))]
+        y = int(k % 4 == 0)
+        for _ in range(4 * y):
+            w.insert(r.randrange(len(w)), r.choice(bad))
+        rows.append((k, " ".join(w), k % 2))
+        labels.append((k, y))
+    rows += [(700, None, 0), (701, "", 0), (702, "scumbag vilethree", 0), (702, "scumbag vilethree", 0)]
+    docs = spark.createDataFrame(rows, DOCS + ", predicted int")
+    known = spark.createDataFrame([*labels, (1, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.train(docs, known)
+    got = toxicity.score(docs, model).collect()
+    out = {x.doc_id: x for x in got}
+    held = [k for k in range(600) if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert sum(out[k].predicted == int(k % 4 == 0) for k in held) >= 0.97 * len(held)
+    assert len(got) == len(rows) and out[700].predicted == out[701].predicted == 0 and all(0 <= x.score <= 1 for x in got)
+    span = out[0].segments[0]
+    assert any(b in rows[0][1].encode()[span.start : span.end].decode() for b in bad)
+    assert {x.doc_id for x in docs.select("doc_id").where(toxicity.held_out(docs.doc_id)).collect()} & set(range(600)) == set(held)
+
+
+def test_toxicity_without_a_class(spark):
+    docs = spark.createDataFrame([(1, "a b")], DOCS)
+    model = toxicity.train(docs, spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
+    assert model is None and toxicity.score(docs, model).first().score == 0.0
