@@ -15,7 +15,7 @@ from ..schema import SAMPLE, UNIT
 
 def read_testset(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines as SAMPLE rows; blank lines are skipped; a missing sample_id is q and the physical line number."""
-    text = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "json")).where(F.trim("json") != "")
+    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "json")).where(F.trim("json") != "")
     row = F.from_json("json", "sample_id string, question string, query string, ground_truth string, reference string, expected_source_notes string, tags array<string>, top_k bigint")
     own = text.select("line", row.alias("r")).select("line", "r.*")
     return own.select(

@@ -1,5 +1,7 @@
 import math
 
+from pyspark.sql import functions as F
+
 from lodestone.operators import bm25, fuse, rank, vectors
 from lodestone.plans import answer, evaluate
 from lodestone.plans.providers import NOT_FOUND, embed, first_of, hashed, rotate, with_retries
@@ -39,7 +41,7 @@ def test_bm25_equals_the_formula(spark):
 def test_filter_comes_before_statistics(spark):
     q = questions(spark, "range")
     whole = answer.retrieve(corpus(spark), q, 3, mode="keyword").first().keyword_score
-    part = answer.retrieve(corpus(spark), q, 3, mode="keyword", where=corpus(spark).kind == "a").first().keyword_score
+    part = answer.retrieve(corpus(spark), q, 3, mode="keyword", where=F.col("kind") == "a").first().keyword_score
     assert whole != part and part == brute_bm25(DOCS[:2], "range")[1]
 
 
@@ -83,7 +85,7 @@ def test_mmr_drops_the_duplicate_and_picks_the_diverse(spark):
 
 
 def test_flat_relevance(spark):
-    flat = candidates(spark).withColumn("rrf_score", candidates(spark).rrf_score * 0)
+    flat = candidates(spark).withColumn("rrf_score", F.col("rrf_score") * 0)
     assert [r.relevance for r in rank.relevance(flat).orderBy("rank").collect()] == [1.0, 0.75, 0.5, 0.25]
 
 
