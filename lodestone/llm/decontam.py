@@ -66,7 +66,8 @@ class Canon:
         starts = np.concatenate([[0], ends[:-1] + 1])
         self.units = np.sort(self.hasher.spans(self.hasher.sums(raw), starts, ends))
 
-    def __call__(self, texts: list[bytes]) -> Templates:
+    def __call__(self, texts: list[bytes], names: bool = True) -> Templates:
+        """names: whether names are placeholders; else they are words, as in texts whose case was changed."""
         data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         begin = np.cumsum([0] + [len(t) + 1 for t in texts])
         low = _LOWER[data]
@@ -94,7 +95,7 @@ class Canon:
         big = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & np.isin(start + 1, capital))
         stops = np.concatenate([[0], np.cumsum(_STOP[data])])
         # A sentence's first word is a word like any other.
-        name = big & ~number & ~unit & (stop - start > 1)
+        name = big & ~number & ~unit & (stop - start > 1) & names
         name[0] = False
         name[1:] &= (text[1:] == text[:-1]) & (stops[start[1:]] == stops[stop[:-1]])
         # Neighbouring names are one name.
@@ -137,9 +138,9 @@ class Bench:
     value: np.ndarray
 
 
-def bench(items: list[tuple[int, str]], window: int) -> Bench:
+def bench(items: list[tuple[int, str]], window: int, names: bool) -> Bench:
     """Items shorter than a window are one window of their own size; items under LEAST tokens are matched with nothing."""
-    t = Canon()([x.encode() for _, x in items])
+    t = Canon()([x.encode() for _, x in items], names)
     sizes = np.bincount(t.text, minlength=len(items))
     first = np.cumsum(sizes) - sizes
     tables = []
@@ -197,7 +198,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, s
 
     Returns doc_id, item_id, kind (verbatim, or reparameterised if slots differ), n_tokens and n_item_tokens (template
     tokens found and of the item), n_slots, start and end (bytes of the text). A match needs the given share of the
-    item's tokens in line, and slots that agree. Case, punctuation and white space do not count.
+    item's tokens in line, and slots that agree; of several matches the verbatim and fuller one counts. Case, punctuation and white space do not count.
     The benchmark's windows go to the executors in blocks of a bounded size, documents stay where they are.
     Null and empty texts match nothing; repeated documents each have their rows; so have repeated items.
     """
@@ -209,19 +210,30 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, s
     spark, out = docs.sparkSession, None
     for k in range(blocks):
         part = own if blocks == 1 else own.where(F.pmod(F.xxhash64("item_text"), F.lit(blocks)) == k)
-        sent = spark.sparkContext.broadcast(bench([(r.item_id, r.item_text) for r in part.toLocalIterator()], window))
+        items = [(r.item_id, r.item_text) for r in part.toLocalIterator()]
+        # Once with names as placeholders, once as words: a copy in capitals has names everywhere.
+        sent = spark.sparkContext.broadcast([(names, bench(items, window, names)) for names in (True, False)])
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            canon, b = Canon(), sent.value
+            canon, benches = Canon(), sent.value
+            b = benches[0][1]
             for batch in batches:
                 for lo, hi in slices(batch.column(1)):
                     keys = batch.column(0)[lo:hi]
                     raw = [x or b"" for x in batch.column(1)[lo:hi].cast(pa.binary()).to_pylist()]
-                    rows = matches(canon(raw), b, share)
+                    best: dict[tuple, tuple] = {}
+                    for names, block in benches:
+                        for d, i, same, n, *rest in matches(canon(raw, names), block, share):
+                            if not names and not same:
+                                continue
+                            row = (same, n / max(1, int(block.sizes[i])), (d, i, same, n, *rest), int(block.sizes[i]))
+                            if (d, i) not in best or row[:2] > best[d, i][:2]:
+                                best[d, i] = row
+                    rows = [(*r[2], r[3]) for r in best.values()]
                     yield pa.RecordBatch.from_pylist(
                         [
-                            {"doc_id": keys[d].as_py(), "item_id": int(b.ids[i]), "kind": "verbatim" if same else "reparameterised", "n_tokens": n, "n_item_tokens": int(b.sizes[i]), "n_slots": s, "start": x, "end": y}
-                            for d, i, same, n, s, x, y in rows
+                            {"doc_id": keys[d].as_py(), "item_id": int(b.ids[i]), "kind": "verbatim" if same else "reparameterised", "n_tokens": n, "n_item_tokens": size, "n_slots": s, "start": x, "end": y}
+                            for d, i, same, n, s, x, y, size in rows
                         ],
                         pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("kind", pa.string()), *((c, pa.int64()) for c in ("n_tokens", "n_item_tokens", "n_slots", "start", "end"))]),
                     )
