@@ -25,6 +25,8 @@ from .packing import slices
 N, NUMERATOR, DENOMINATOR = 5, 4, 5
 #: Bytes of text of a slice, whose n-grams are counted together before they are dealt out.
 SLICE = 4 << 20
+#: Bytes of text whose n-grams are hashed at once.
+PART = 1 << 19
 #: N-grams of a bucket, and n-grams of the sets that one tree holds.
 BUCKET, TREE = 1 << 20, 1 << 20
 
@@ -35,7 +37,17 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
 def shingles(texts: list[bytes], hasher: SpanHasher, n: int = N) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, hash) of every text's distinct n-grams, sorted; a shorter text is one n-gram, one without words none."""
+    """(text number, hash) of every text's distinct n-grams, sorted; a shorter text is one n-gram, one without words none.
+
+    Texts are taken a part at a time, so that the arrays of a part stay small.
+    """
+    sizes = np.cumsum([0] + [len(t) + 1 for t in texts])
+    cut = np.unique(np.append(np.searchsorted(sizes, np.arange(0, sizes[-1], PART)), len(texts))).tolist()
+    found = [(a, *_shingles(texts[a:b], hasher, n)) for a, b in zip([0, *cut[:-1]], cut, strict=True) if a < b]
+    return np.concatenate([np.empty(0, np.int64), *(a + own for a, own, _ in found)]), np.concatenate([np.empty(0, np.uint64), *(key for _, _, key in found)])
+
+
+def _shingles(texts: list[bytes], hasher: SpanHasher, n: int) -> tuple[np.ndarray, np.ndarray]:
     data = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
     begin = np.cumsum([0] + [len(t) + 1 for t in texts])
     word = ~_BLANK[data]
