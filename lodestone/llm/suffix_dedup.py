@@ -25,7 +25,7 @@ from .suffix_array import common_prefixes, suffix_array
 from .warc import open_store
 
 #: Bytes of a repeated string; bytes of an anchor; bytes of text of a slice, and of the stretches of one suffix array.
-SPAN, ANCHOR, SLICE, ARRAY = 50, 16, 8 << 20, 1 << 20
+SPAN, ANCHOR, SLICE, ARRAY = 50, 24, 8 << 20, 1 << 20
 #: Bytes of text whose anchors are found at once.
 PART = 1 << 19
 #: An anchor that more documents than this seem to hold is hot: its windows are dealt by their own bytes, one by one.
@@ -60,7 +60,7 @@ def _anchors(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarra
         return none, none, none.astype(np.uint64)
     raw = data.tobytes()
     eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,)).copy()
-    h = mix(eight[: -8] * np.uint64(0x9E3779B97F4A7C15) + mix(eight[8:]))
+    h = mix(eight[:-16] * np.uint64(0x9E3779B97F4A7C15) + mix(eight[8:-8] * np.uint64(0xC2B2AE3D27D4EB4F) + mix(eight[16:])))
     # The upper bits of the hash, then the place; the leftmost of equal ones wins.
     low = (h >> np.uint64(28) << np.uint64(28)) | np.arange(len(h), dtype=np.uint64)
     width, done = SPAN - ANCHOR + 1, 1
