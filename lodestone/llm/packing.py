@@ -9,77 +9,106 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+from .hashing import mix
 from .tokens import shared_bpe
 
 #: Tokens of a sequence, the id that ends a document, and tokens of a shard of the index.
 WINDOW, END, SHARD = 2048, 1, 1 << 20
-#: Rarest terms of a seed document that query the index; BM25's constants.
-TERMS, K1, B = 12, 1.2, 0.75
+#: BM25's constants; documents of the sample for each bound between shards.
+K1, B, SAMPLE = 1.2, 0.75, 64
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
+def weigh(n: int, df: np.ndarray) -> np.ndarray:
+    """BM25's idf of terms that so many of n documents hold."""
+    return np.log1p((n - df + 0.5) / (df + 0.5))
+
+
+def postings(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(term, document, times) of each pair, by term and document, and the documents' sizes; terms are token ids."""
+    sizes = np.array([len(d) for d in docs], np.int64)
+    key, tf = np.unique(np.repeat(np.arange(len(docs), dtype=np.int64), sizes) | (np.concatenate(docs).astype(np.int64) << 32), return_counts=True)
+    return key >> 32, key & 0xFFFFFFFF, tf, sizes
+
+
+def impact(idf: np.ndarray, tf: np.ndarray, size: np.ndarray, mean: float) -> np.ndarray:
+    """BM25's score of a term in a document of that size."""
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / max(1.0, mean)))
+
+
 class Index:
-    """An inverted BM25 index of one shard's documents; terms are token ids."""
-
-    def __init__(self, docs: list[np.ndarray]):
-        n, sizes = len(docs), np.array([len(d) for d in docs], np.int64)
-        key, tf = np.unique(np.repeat(np.arange(n, dtype=np.int64), sizes) | (np.concatenate(docs).astype(np.int64) << 32), return_counts=True)
-        self.term, self.doc = key >> 32, key & 0xFFFFFFFF
-        self.terms, first, df = np.unique(self.term, return_index=True, return_counts=True)
-        self.lo, self.hi = first, first + df
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        idf[df < 2] = 0  # leads to no neighbour
-        norm = K1 * (1 - B + B * sizes / max(1.0, sizes.mean()))
+    """An inverted BM25 index of one shard's documents.
+
+    idf, by term, and the mean size are the corpus's; without them, these documents are the corpus.
+    """
+
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray | None = None, mean: float = 0.0):
+        n = len(docs)
+        term, self.doc, tf, sizes = postings(docs)
+        terms, self.lo, df = np.unique(term, return_index=True, return_counts=True)
+        own = weigh(n, df) if idf is None else idf[terms]
         number = np.repeat(np.arange(len(df)), df)
-        self.weight = idf[number] * tf * (K1 + 1) / (tf + norm[self.doc])
-        by_doc = np.lexsort((-self.weight, self.doc))
-        self.best, self.cut = number[by_doc], np.searchsorted(self.doc[by_doc], np.arange(n + 1))
-        self.live, self.n = df >= 2, n
-
-    def neighbours(self, seed: int) -> np.ndarray:
-        """Documents that share the seed's weightiest terms, best first, ties by position."""
-        best = self.best[self.cut[seed] : self.cut[seed + 1]][:TERMS]
-        best = best[self.live[best]]
-        if not len(best):
-            return best
-        rows = np.concatenate([np.arange(self.lo[t], self.hi[t]) for t in best])
-        score = np.bincount(self.doc[rows], self.weight[rows], self.n)
-        found = np.flatnonzero(score)
+        self.weight = impact(own[number], tf, sizes[self.doc], sizes.mean() if idf is None else mean)
+        self.df, self.n = df, n
+        # Scores of terms that many documents hold are rows of a table, which has at most 8 times the postings.
+        wide = df * 8 > n
+        self.row = np.where(wide, np.cumsum(wide) - 1, -1)
+        self.table = np.zeros((int(wide.sum()), n), np.float32)
+        inside = wide[number]
+        self.table[self.row[number[inside]], self.doc[inside]] = self.weight[inside]
+        by_doc = np.argsort(self.doc, kind="stable")
+        self.held, self.cut = number[by_doc], np.searchsorted(self.doc[by_doc], np.arange(n + 1))
+
+    def neighbours(self, seed: int, free: np.ndarray | None = None, most: int = 0) -> np.ndarray:
+        """Documents that share any term with the seed, best first, ties by position.
+
+        free: the documents that count, all if not given. most: so many of the best, and their ties, are enough; 0 for all.
+        """
+        own = self.held[self.cut[seed] : self.cut[seed + 1]]
+        own = own[self.df[own] >= 2]
+        row = self.row[own]
+        score = self.table[row[row >= 0]].sum(0, dtype=np.float64)
+        thin = own[row < 0]
+        size = self.df[thin]
+        if len(thin):
+            rows = np.repeat(self.lo[thin] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            score += np.bincount(self.doc[rows], self.weight[rows], self.n)
+        found = np.flatnonzero(score if free is None else (score > 0) & free)
+        if 0 < most < len(found):
+            found = found[score[found] >= np.partition(score[found], -most)[-most]]
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def order(docs: list[np.ndarray], window: int) -> list[int]:
+def order(docs: list[np.ndarray], window: int, idf: np.ndarray | None = None, mean: float = 0.0) -> list[int]:
     """The documents in packing order: a window's seed, then its unused neighbours until the window is full.
 
-    A document that runs over the window's end is cut there and opens, and seeds, the next one.
+    A document that runs over the window's end is cut there and opens, and seeds, the next one. If no unused document
+    shares a term with the seed, the next one in order seeds the rest of the window.
     """
-    index, used, out, after = Index(docs), np.zeros(len(docs), bool), [], 0
-    seed, room = -1, 0
-    queue: Iterator[int] = iter(())
+    index, free, out, after = Index(docs, idf, mean), np.ones(len(docs), bool), [], 0
+    room, queue = 0, iter(())
     while True:
-        doc = next((d for d in queue if not used[d]), -1) if room else -1
-        if doc < 0:
-            while after < len(docs) and used[after]:
+        doc = next(queue, -1) if room else -1
+        seeds = doc < 0
+        if seeds:
+            while after < len(docs) and not free[after]:
                 after += 1
             if after == len(docs):
                 return out
             doc = after
-            seed = doc if not room else seed
             room = room or window
-            fresh = True
-        else:
-            fresh = False
-        used[doc] = True
+        free[doc] = False
         out.append(int(doc))
         n = len(docs[doc])
         if n >= room:
             room = (room - n) % window  # what is left of the window in which the document ends
-            seed, fresh = doc, True
+            seeds = True
         else:
             room -= n
-        if fresh and room:
-            queue = iter(index.neighbours(doc if seed < 0 else seed).tolist())
+        if seeds and room:
+            queue = iter(index.neighbours(doc, free, room).tolist())  # a document has a token at least
 
 
 def cut(sizes: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
@@ -100,28 +129,105 @@ def cut(sizes: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     return doc, at - begins[doc], np.diff(np.append(at, total)), seq, at - bounds[seq]
 
 
+def _planes(ids: np.ndarray) -> bytes:
+    """Ids by byte planes, which compress better."""
+    return ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _ids(column: pa.Array) -> list[np.ndarray]:
+    return [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").ravel() for x in column.to_pylist()]
+
+
+def signatures(docs: list[np.ndarray], keys: np.ndarray, idf: np.ndarray, mean: float) -> np.ndarray:
+    """Numbers by which related documents lie next to each other.
+
+    From the top: the weightiest term that another document holds, the second, bits of the third, bits of the key's hash.
+    """
+    term, doc, tf, sizes = postings(docs)
+    weight = impact(idf[term], tf, sizes[doc], mean)
+    by = np.lexsort((term, -weight, doc))
+    term, doc = term[by], doc[by]
+    rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
+    top = np.zeros((3, len(docs)), np.int64)
+    for k in range(3):
+        top[k, doc[rank == k]] = term[rank == k]
+    third = (mix(top[2].astype(np.uint64)) >> np.uint64(54)).astype(np.int64)
+    low = (mix(keys.astype(np.uint64)) >> np.uint64(51)).astype(np.int64)
+    return (top[0] & 0xFFFFF) << 43 | (top[1] & 0xFFFFF) << 23 | third << 13 | low
+
+
 def pack(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end: int = END, shard: int = SHARD, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Pack whole documents into sequences of at most window tokens.
 
     Returns a row per piece: doc_id, start (its document's ids before it), length, ids (binary, little-endian unsigned
-    32 bits), doc_tokens (with the end id), sequence_id, offset (in the sequence). Documents keep their partitions: each
-    partition's rows go, in order, to shards of about `shard` tokens that are indexed and packed on their own, so
-    nothing is shuffled and memory holds one shard. Sequences are full but for the powers of two at a shard's end.
+    32 bits), doc_tokens (with the end id), sequence_id, offset (in the sequence). Document count, document frequencies
+    and mean length are those of all documents. Documents are dealt out by content: in the order of their weightiest
+    terms (signatures) they make shards of about `shard` tokens, whatever file or partition they come from, and a
+    seed's neighbours are sought by all its terms among its shard's documents. Bounds between shards come from a sample that a hash of
+    each row chooses, so the result does not depend on the partitioning. Sequences are full but for the powers of two at a shard's end.
     tokenizer: path of a tokenizers file, the same on all executors. window: a power of two.
     A null or empty text is the end id alone; repeated rows are packed as often as they come; a null key stays null.
     """
     if window & (window - 1):
         raise ValueError("window must be a power of two")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, last = shared_bpe(tokenizer), np.array([end], np.uint32)
-        keys, held, n, sequence = [], [], 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for lo, hi in slices(batch.column(1)):
+                coded = [_planes(np.concatenate([ids, last])) for ids in bpe.encode([t or "" for t in batch.column(1)[lo:hi].to_pylist()])]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi].cast(pa.int64()), pa.array(coded, pa.binary())], ["doc_id", "ids"])
+
+    coded = materialize(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(encode, "doc_id bigint, ids binary"), "ids")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, tokens = np.zeros(0, np.int64), 0, 0
+        for batch in batches:
+            for lo, hi in slices(batch.column(1)):
+                term, _, _, sizes = postings(_ids(batch.column(1)[lo:hi]))
+                more = np.bincount(term, minlength=len(df))
+                more[: len(df)] += df
+                df, n, tokens = more, n + len(sizes), tokens + int(sizes.sum())
+        term = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(term, [-1, -2])), pa.array(np.append(df[term], [n, tokens]))], ["term", "df"])
+
+    total = {r.term: r.df for r in coded.mapInArrow(count, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect()}
+    n, tokens = total.pop(-1, 0), total.pop(-2, 0)
+    df = np.zeros(max(total, default=0) + 1, np.int64)
+    df[list(total)] = list(total.values())
+    idf, mean, shards = weigh(n, df), tokens / max(1, n), max(1, -(-tokens // shard))
+    bridge = np.where(df < 2, 0, idf)  # a term of one document brings it to no other
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast((idf, bridge, mean))
+
+    def deal(batches: Iterator[pa.RecordBatch], bounds=None) -> Iterator[pa.RecordBatch]:
+        _, weights, size = sent.value
+        cuts = np.empty(0, np.int64) if bounds is None else bounds.value
+        for batch in batches:
+            for lo, hi in slices(batch.column(1)):
+                keys, ids = batch.column(0)[lo:hi], batch.column(1)[lo:hi]
+                own = _ids(ids)
+                sign = signatures(own, keys.fill_null(0).to_numpy(zero_copy_only=False), weights, size)
+                yield pa.RecordBatch.from_arrays([keys, ids, pa.array(sign), pa.array(np.searchsorted(cuts, sign, "right").astype(np.int64))], ["doc_id", "ids", "sign", "shard"])
+
+    dealt, cuts = "doc_id bigint, ids binary, sign bigint, shard bigint", np.empty(0, np.int64)
+    if shards > 1:
+        sample = coded.where(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(max(1, n // (SAMPLE * shards)))) == 0)
+        drawn = sample.mapInArrow(deal, dealt).select("sign", (F.octet_length("ids") / 4).cast("bigint").alias("n")).toArrow()
+        sign, size = (drawn.column(c).to_numpy() for c in ("sign", "n"))
+        by = np.argsort(sign, kind="stable")
+        run_up = np.cumsum(size[by])
+        if len(by):
+            cuts = sign[by][np.searchsorted(run_up, np.arange(1, shards) * (run_up[-1] / shards))]
+    bounds = spark.sparkContext.broadcast(cuts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, _, size = sent.value
+        keys, held, n, sequence, at_shard = [], [], 0, 0, -1
 
         def flush() -> pa.RecordBatch:
             nonlocal sequence
-            way = order(held, window)
+            way = order(held, window, weights, size)
             sizes = np.array([len(held[d]) for d in way], np.int64)
             doc, start, length, seq, offset = cut(sizes, window)
             flat = np.concatenate([held[d] for d in way]).astype("<u4")
@@ -134,7 +240,7 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end: int = EN
                 pa.array(length),
                 pa.array([data[4 * a : 4 * (a + m)] for a, m in zip(at.tolist(), length.tolist(), strict=True)], pa.binary()),
                 pa.array(sizes[doc]),
-                pa.array(seq + sequence),
+                pa.array(seq + sequence + (at_shard << 32)),
                 pa.array(offset),
             ]
             sequence += int(seq[-1]) + 1
@@ -143,19 +249,21 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end: int = EN
             return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCHEMA.split(", ")])
 
         for batch in batches:
-            for lo, hi in slices(batch.column(1)):
-                texts = [t or "" for t in batch.column(1)[lo:hi].to_pylist()]
-                for k, ids in zip(batch.column(0)[lo:hi].to_pylist(), bpe.encode(texts), strict=True):
-                    keys.append(k)
-                    held.append(np.concatenate([ids, last]))
-                    n += len(ids) + 1
-                    if n >= shard:
-                        yield flush()
-                        n = 0
+            for k, ids, where in zip(batch.column(0).to_pylist(), _ids(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                # A shard can outgrow its share by rows that are alike in key and text.
+                if held and (where != at_shard or n >= 2 * shard):
+                    yield flush()
+                    n = 0
+                if where != at_shard:
+                    at_shard, sequence = where, 0
+                keys.append(k)
+                held.append(ids)
+                n += len(ids)
         if held:
             yield flush()
 
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    placed = coded.mapInArrow(lambda batches: deal(batches, bounds), dealt)
+    return placed.repartition(shards, "shard").sortWithinPartitions("shard", "sign", "doc_id", F.xxhash64("ids")).select("doc_id", "ids", "shard").mapInArrow(run, SCHEMA)
 
 
 def slices(column: pa.Array, chars: int = 1 << 20) -> Iterator[tuple[int, int]]:

@@ -50,6 +50,29 @@ def test_neighbours_share_rare_terms():
     assert sorted(packing.order(docs, 8)) == [0, 1, 2, 3] and packing.order(docs, 8)[:2] == [0, 2]
 
 
+def test_packing_does_not_depend_on_partitions(spark):
+    r = random.Random(6)
+    words = ["river", "copper", "violin", "garden", "market", "winter", "engine", "castle"]
+    rows = [(i, " ".join([words[i % 8]] * 20 + [r.choice(["and", "the", "of", "to"]) for _ in range(20)])) for i in range(320)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted(tuple(p) for p in packing.pack(df.repartition(k), tokenizer_path(), window=256, shard=2048).collect()) for k in (1, 5)]
+    assert got[0] == got[1]
+    held: dict = {}
+    for p in got[0]:
+        held.setdefault(p[5], []).append(p[0] % 8)
+    # Related documents are in every file, and most windows hold one kind.
+    assert sum(len(set(v)) == 1 for v in held.values()) > 0.7 * len(held)
+
+
+def test_neighbours_by_all_terms_and_statistics_of_the_corpus():
+    docs = [np.array(x, np.uint32) for x in ([*range(10, 40)], [38, 39, 50], [60, 61], [10, 70])]
+    assert set(packing.Index(docs).neighbours(0).tolist()) == {0, 1, 3}
+    for term, first in ((10, 3), (39, 1)):
+        idf = np.full(100, 0.01)
+        idf[term] = 5.0
+        assert [d for d in packing.Index(docs, idf, 8.0).neighbours(0).tolist() if d][0] == first
+
+
 ITEMS = [(1, "Alice has 3 apples and John Smith buys 5 km of rope for 3 friends today in the town."), (2, "The quick brown fox jumps"), (3, ""), (4, None), (5, "one two")]
 
 
