@@ -29,7 +29,7 @@ OTHER_WORDS = "commit sha sha1 sha256 md5 checksum digest etag uuid guid isbn ib
 PREFIXES = "AKIA ASIA ghp_ gho_ ghs_ glpat- xoxb- xoxp- sk_live_ rk_live_ AIza eyJ npm_ pypi- SG. hf_ dop_v1_ ya29.".split()
 
 _RUN = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?|(?<![A-Za-z0-9])(?:AKIA|ASIA|AIza|ghp_|gho_|ghs_|glpat-|npm_|hf_|sk_live_|rk_live_|xoxb-|xoxp-|pypi-)[A-Za-z0-9_.\-]{12,}|(?<![A-Za-z0-9_+/.~\-])(?=[A-Za-z_+/.~\-]*\d)[A-Za-z0-9_+/.~\-]{12,}={0,2}", re.ASCII)
-_GIVEN = re.compile(r"""(?i:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key)["']?\s*(?:=|:)\s*(?:"([^"\n]{6,200})"|'([^'\n]{6,200})'|([^\s"',;<>]{6,200}))""")
+_GIVEN = re.compile(r"""(?i:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key)["']?\s*(?:=|:)\s*(?:"([^"\n]{6,})"|'([^'\n]{6,})'|([^\s"',;<>]{6,}))""")
 _HEX, _PLACEHOLDER = re.compile(r"[0-9a-fA-F]+"), re.compile(r"(?i)example|sample|placeholder|changeme|your|dummy|xxxx|\*\*\*|\.\.\.|<.*>|\$\{|0123456|12345678|abcdef")
 _UUID, _NAME = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"), re.compile(r"\.(?:[a-z]{2,4}|html|json|java)$")
 _WORD = re.compile(r"[a-z]{3,}")
@@ -80,7 +80,7 @@ def describe(text: str, start: int, end: int, given: bool, words: frozenset[str]
         float(bool(_HEX.fullmatch(value))),
         sum(c in "aeiou" for c in letters) / max(1, len(letters)),
         sum(p in _PAIRS for p in pairs) / max(1, len(pairs)),
-        coverage(value[:256], words),
+        coverage(value, words),
         value.count("/") / n,
         value.count(".") / n,
         float(bool(_NAME.search(value))),
@@ -97,7 +97,11 @@ def describe(text: str, start: int, end: int, given: bool, words: frozenset[str]
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, rule) of everything that could be a secret, in order; overlapping ones are one."""
+    """(start, end, rule) of everything that could be a secret, in order.
+
+    A run within an assigned value is no candidate of its own unless the value has several words; a key block that runs
+    over assigned values takes their place.
+    """
     spans: dict[tuple[int, int], str] = {}
     for m in _GIVEN.finditer(text):
         g = m.lastindex
@@ -106,12 +110,22 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     at = 0
     for m in _RUN.finditer(text):
         a, b = m.span()
+        value = m.group()
+        rule = "private_key" if value.startswith("-----") else "marked" if value.startswith(tuple(PREFIXES)) else "run"
         while at < len(taken) and taken[at][1] <= a:
             at += 1
-        if at < len(taken) and taken[at][0] < b:
-            continue  # within an assigned value
-        value = m.group()
-        spans[(a, b)] = "private_key" if value.startswith("-----") else "marked" if value.startswith(tuple(PREFIXES)) else "run"
+        over = at
+        while over < len(taken) and taken[over][0] < b:
+            over += 1
+        if over > at:
+            low, high = min(a, taken[at][0]), max(b, taken[over - 1][1])
+            if rule == "private_key" and (low, high) != taken[at]:
+                for k in range(at, over):
+                    spans.pop(taken[k], None)
+                a, b = low, high
+            elif len(text[slice(*taken[at])].split()) < 2 or (a, b) == taken[at]:
+                continue  # the assigned value is reported
+        spans[(a, b)] = rule
     return [(a, b, r) for (a, b), r in sorted(spans.items())]
 
 

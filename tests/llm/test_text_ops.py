@@ -115,6 +115,25 @@ def test_secrets_of_held_out_findings(spark):
     assert secret_scan.scan(spark.createDataFrame([], DOCS), tokenizer_path(), model).count() == 0
 
 
+def test_long_secrets_are_found_whole():
+    r = random.Random(3)
+    key = "".join(r.choice("ABCDEFabcdef0123456789") for _ in range(900))
+    phrase = "it's a #1 pass; " * 30
+    block = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(key[k : k + 64] for k in range(0, 640, 64)) + "\n-----END RSA PRIVATE KEY-----"
+    aws = "AKIA" + "Q2" * 8
+    for text, *want in (
+        (f"token={key} end", (key, "assignment")),
+        (f'password = "{phrase}" end', (phrase, "assignment")),
+        (f"secret: {block} end", (block, "private_key")),
+        (f'token: "we use {aws} here" end', (f"we use {aws} here", "assignment"), (aws, "marked")),
+        (f'token: "{key}"', (key, "assignment")),
+    ):
+        assert [(text[a:b], rule) for a, b, rule in secret_scan.candidates(text)] == want
+    words = frozenset(["wordy"])
+    value = "wordy" * 100 + "x7" * 250
+    assert secret_scan.describe(value, 0, len(value), True, words)[secret_scan.FEATURES.index("dictionary")] == 0.5
+
+
 def brute_segments(s):
     def rec(a, b):
         best = None
