@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from .hashing import SpanHasher, mix
 from .packing import slices
 
-#: Template tokens of a window, the share of an item's template tokens that must be found in a row, and the fewest tokens of an item.
-WINDOW, SHARE, LEAST = 8, 0.5, 4
+#: Template tokens of a window, the share of an item's template tokens that must be found, the tokens found verbatim that
+#: are enough of any item, and the fewest tokens of an item that may be reparameterised.
+WINDOW, SHARE, LONG, LEAST = 8, 0.5, 32, 4
 #: Windows of the benchmark that are sent to executors at once; a larger benchmark goes in blocks.
 BLOCK_WINDOWS = 1 << 20
 
@@ -139,12 +140,12 @@ class Bench:
 
 
 def bench(items: list[tuple[int, str]], window: int, names: bool) -> Bench:
-    """Items shorter than a window are one window of their own size; items under LEAST tokens are matched with nothing."""
+    """Items shorter than a window are one window of their own size."""
     t = Canon()([x.encode() for _, x in items], names)
     sizes = np.bincount(t.text, minlength=len(items))
     first = np.cumsum(sizes) - sizes
     tables = []
-    for size in sorted({int(min(window, n)) for n in sizes if n >= LEAST}):
+    for size in sorted({int(min(window, n)) for n in sizes if n}):
         h = windows(t, size)
         at = np.flatnonzero((h != 0) & (np.minimum(sizes, window)[t.text] == size))
         at = at[np.argsort(h[at], kind="stable")]
@@ -152,7 +153,62 @@ def bench(items: list[tuple[int, str]], window: int, names: bool) -> Bench:
     return Bench(tables, np.array([i for i, _ in items], np.int64), first, sizes, t.slot, t.value)
 
 
-def matches(t: Templates, b: Bench, share: float) -> list[tuple]:
+@dataclass
+class Chain:
+    """Stretches of an item found one after the other in a text, and what their slots stand for."""
+
+    n: int
+    words: int  # tokens that are no slots, or slots of equal value
+    slots: int
+    same: bool
+    to: dict[int, int]
+    back: dict[int, int]
+    start: int
+    end: int  # in the text, as start
+    place: int  # end in the item
+
+    def then(self, at: int, end: int, line: int, t: Templates, b: Bench, first: int) -> Chain | None:
+        """This chain and what a run adds to it, if its slots agree."""
+        lo = max(at, self.end, self.place + line)
+        theirs, mine = slice(first + lo - line, first + end - line), slice(lo, end)
+        slot = b.slot[theirs]
+        to, back, equal = dict(self.to), dict(self.back), 0
+        for p, q in zip(b.value[theirs][slot].tolist(), t.value[mine][slot].tolist(), strict=True):
+            if to.setdefault(p, q) != q or back.setdefault(q, p) != p:
+                return None
+            equal += p == q
+        s = int(slot.sum())
+        return Chain(self.n + end - lo, self.words + end - lo - s + equal, self.slots + s, self.same and equal == s, to, back, self.start if self.n else lo, end, end - line)
+
+
+def chains(at: np.ndarray, end: np.ndarray, line: np.ndarray, t: Templates, b: Bench, item: int) -> Iterator[Chain]:
+    """For each run, in order of the text, the fullest agreeing chain that ends with it.
+
+    Two runs follow one another if they do so in the text and in the item, at lines not further apart than the item is long.
+    """
+    size, first, out = int(b.sizes[item]), int(b.first[item]), []
+    full = np.zeros(len(at), np.int64)
+    none = Chain(0, 0, 0, True, {}, {}, 0, 0, 0)
+    for j in range(len(at)):
+        own = none.then(int(at[j]), int(end[j]), int(line[j]), t, b, first)
+        out.append(own)
+        if own is None:
+            continue
+        full[j] = own.n
+        near = np.arange(np.searchsorted(at, at[j] - 3 * size), j)
+        near = near[(full[near] > 0) & (np.abs(line[near] - line[j]) <= size)] if len(near) and size >= LEAST else near[:0]
+        if len(near):
+            gain = end[j] - np.maximum(np.maximum(at[j], end[near]), end[near] - line[near] + line[j])
+            total = np.where(gain > 0, full[near] + gain, 0)
+            for k in near[np.argsort(-total, kind="stable")][: int((total > own.n).sum())].tolist():
+                longer = out[k].then(int(at[j]), int(end[j]), int(line[j]), t, b, first)
+                if longer:
+                    out[j], full[j] = longer, longer.n
+                    break
+        yield out[j]
+
+
+def matches(t: Templates, b: Bench, share: float, long: int = LONG) -> list[tuple]:
     """(text number, item number, verbatim, tokens, slots, start, end): each text's best agreeing match with an item."""
     hits = []
     for size, table, item, place in b.tables:
@@ -172,33 +228,41 @@ def matches(t: Templates, b: Bench, share: float) -> list[tuple]:
         return []
     order = np.lexsort((at, line, item, text))
     text, item, line, at, size = text[order], item[order], line[order], at[order], size[order]
-    cut = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (line[1:] != line[:-1])]))
+    # Hits that overlap or touch on a line are a run.
+    other = (text[1:] != text[:-1]) | (item[1:] != item[:-1])
+    opens = np.flatnonzero(np.concatenate([[True], other | (line[1:] != line[:-1]) | (at[1:] > at[:-1] + size[:-1])]))
+    last = np.append(opens[1:], len(at)) - 1
+    end = (at + size)[last]
+    text, item, line, at = text[opens], item[opens], line[opens], at[opens]
+    order = np.lexsort((at, item, text))
+    text, item, line, at, end = text[order], item[order], line[order], at[order], end[order]
+    cut = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1])]))
+    most = np.add.reduceat(end - at, cut)
+    enough = most >= np.minimum(share * b.sizes[item[cut]], long)
     best: dict[tuple[int, int], tuple] = {}
-    for lo, hi in zip(cut.tolist(), np.append(cut[1:], len(at)).tolist(), strict=True):
-        covered = np.zeros(int(b.sizes[item[lo]]), bool)  # of the item's tokens
-        for a in (at[lo:hi] - line[lo]).tolist():
-            covered[a : a + size[lo]] = True
-        n = int(covered.sum())
-        if n < share * len(covered):
-            continue
-        own = np.flatnonzero(covered)
-        theirs, mine = b.first[item[lo]] + own, line[lo] + own
-        s = b.slot[theirs]
-        pairs = set(zip(b.value[theirs[s]].tolist(), t.value[mine[s]].tolist(), strict=True))
-        if len({p for p, _ in pairs}) != len(pairs) or len({q for _, q in pairs}) != len(pairs):
-            continue  # a slot's value is not used alike
-        key, row = (int(text[lo]), int(item[lo])), (all(p == q for p, q in pairs), n, int(s.sum()), int(t.start[mine[0]]), int(t.end[mine[-1]]))
-        if key not in best or (row[1], row[0]) > (best[key][1], best[key][0]):
-            best[key] = row
+    for lo, hi in zip(cut[enough].tolist(), np.append(cut[1:], len(at))[enough].tolist(), strict=True):
+        key = (int(text[lo]), int(item[lo]))
+        whole = int(b.sizes[key[1]])
+        for c in chains(at[lo:hi], end[lo:hi], line[lo:hi], t, b, key[1]):
+            if (c.n < share * whole and c.words < long) or (whole < LEAST and not (c.same and c.n == whole)):
+                continue
+            row = (c.same, c.n, c.slots, int(t.start[c.start]), int(t.end[c.end - 1]))
+            if key not in best or (row[1], row[0]) > (best[key][1], best[key][0]):
+                best[key] = row
+                if c.same and c.n == whole:
+                    break
     return [(*k, *v) for k, v in best.items()]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, share: float = SHARE, block_windows: int = BLOCK_WINDOWS, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, share: float = SHARE, long: int = LONG, block_windows: int = BLOCK_WINDOWS, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each document and benchmark item whose template the document holds.
 
     Returns doc_id, item_id, kind (verbatim, or reparameterised if slots differ), n_tokens and n_item_tokens (template
     tokens found and of the item), n_slots, start and end (bytes of the text). A match needs the given share of the
-    item's tokens in line, and slots that agree; of several matches the verbatim and fuller one counts. Case, punctuation and white space do not count.
+    item's tokens, or `long` tokens verbatim, and slots that agree; of several matches the verbatim and fuller one counts.
+    Tokens are found in runs of a window at least, and runs that follow one another in the text as in the item add up,
+    also with words put in or left out between them. Items under LEAST tokens match verbatim and whole, wherever they
+    occur. Case, punctuation and white space do not count.
     The benchmark's windows go to the executors in blocks of a bounded size, documents stay where they are.
     Null and empty texts match nothing; repeated documents each have their rows; so have repeated items.
     """
@@ -223,7 +287,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, s
                     raw = [x or b"" for x in batch.column(1)[lo:hi].cast(pa.binary()).to_pylist()]
                     best: dict[tuple, tuple] = {}
                     for names, block in benches:
-                        for d, i, same, n, *rest in matches(canon(raw, names), block, share):
+                        for d, i, same, n, *rest in matches(canon(raw, names), block, share, long):
                             if not names and not same:
                                 continue
                             row = (same, n / max(1, int(block.sizes[i])), (d, i, same, n, *rest), int(block.sizes[i]))

@@ -115,6 +115,24 @@ def test_secrets_of_held_out_findings(spark):
     assert secret_scan.scan(spark.createDataFrame([], DOCS), tokenizer_path(), model).count() == 0
 
 
+def test_leaks_of_edited_copies_excerpts_and_short_items(spark):
+    word = lambda k: "".join(chr(97 + (k // 26**i) % 26) for i in range(3)) + "q"
+    own = [word(7 * k + 1) for k in range(60)]
+    long = [word(7 * k + 3000) for k in range(400)]
+    items = [(1, " ".join(own)), (2, " ".join(long)), (3, "Paris"), (4, "in 1789")]
+    texts = [
+        " ".join([*own[:20], "zz", *own[20:40], "zz", *own[40:]]),
+        "x y " + " ".join(long[100:150]) + " z",
+        " ".join([*own[:20], *["zz"] * 300, *own[20:40]]),  # too far apart
+        "She went to Paris in 1788 and",
+        "and in 1789, they",
+        " ".join(long[100:120]),
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.kind, r.n_tokens) for r in decontam.find_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(0, 1): ("verbatim", 60), (1, 2): ("verbatim", 50), (3, 3): ("verbatim", 1), (4, 4): ("verbatim", 2)}
+
+
 def test_long_secrets_are_found_whole():
     r = random.Random(3)
     key = "".join(r.choice("ABCDEFabcdef0123456789") for _ in range(900))
