@@ -36,15 +36,26 @@ def search(corpus: DataFrame, queries: DataFrame, k: int, *, key: str = "id", ve
     return out.withColumn("vector_score", F.round(distance_to_score(F.col("distance")), digits))
 
 
-def lsh_search(corpus: DataFrame, queries: DataFrame, k: int, *, key: str = "id", vector: str = "embedding", bucket: float = 0.5, tables: int = 8, radius: float = 1.2, seed: int = 7) -> DataFrame:
-    """Approximate search(): candidates by random-projection hashing within a distance, then exact ranking of these."""
+def lsh_search(corpus: DataFrame, queries: DataFrame, k: int, *, key: str = "id", vector: str = "embedding", bucket: float = 0.5, tables: int = 8, seed: int = 7) -> DataFrame:
+    """Approximate search(): candidates by random-projection hashing, then exact ranking of these.
+
+    A query with fewer than k candidates gets the exact search.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    double = lambda c: array_to_vector(F.transform(c, lambda x: x.cast("double")))
-    own = corpus.select(F.col(key).alias("id"), F.col(vector).alias("_v"), double(F.col(vector)).alias("features"))
-    asked = queries.select("query_id", F.col("vector").alias("_q"), double(F.col("vector")).alias("features"))
+    first = corpus.where(F.size(vector) > 0).select(F.size(vector)).first()
+    if not first:
+        return search(corpus, queries, k, key=key, vector=vector)
+    fits = lambda c: F.coalesce(F.size(c) == first[0], F.lit(False))
+    # Rows that do not fit are left out, but the plan may hash them before that.
+    double = lambda c: array_to_vector(F.when(fits(c), F.transform(c, lambda x: x.cast("double"))).otherwise(F.array_repeat(F.lit(0.0), first[0])))
+    own = corpus.where(fits(vector)).select(F.col(key).alias("id"), F.col(vector).alias("_v"), double(F.col(vector)).alias("features"))
+    asked = queries.where(fits("vector")).select("query_id", F.col("vector").alias("_q"), double(F.col("vector")).alias("features"))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(own)
-    near = model.approxSimilarityJoin(own, asked, radius).select("datasetB.query_id", "datasetA.id", F.round(squared_distance(F.col("datasetA._v"), F.col("datasetB._q")), 9).alias("distance"))
+    near = model.approxSimilarityJoin(own, asked, float("inf")).select("datasetB.query_id", "datasetA.id", F.round(squared_distance(F.col("datasetA._v"), F.col("datasetB._q")), 9).alias("distance"))
     best = Window.partitionBy("query_id").orderBy("distance", "id")
-    return near.withColumn("vector_rank", F.row_number().over(best).cast("long")).where(F.col("vector_rank") <= k).withColumn("vector_score", F.round(distance_to_score(F.col("distance")), 9))
+    found = near.withColumn("vector_rank", F.row_number().over(best).cast("long")).where(F.col("vector_rank") <= k).withColumn("vector_score", F.round(distance_to_score(F.col("distance")), 9))
+    full = found.where(F.col("vector_rank") == k).select("query_id")
+    exact = search(corpus, queries.join(full, "query_id", "left_anti").select("query_id", "vector"), k, key=key, vector=vector)
+    return found.join(full, "query_id", "left_semi").unionByName(exact)

@@ -1,4 +1,5 @@
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -52,6 +53,15 @@ def test_vectors_are_exact_and_ties_go_to_the_smaller_id(spark):
     assert [(r.id, r.distance, r.vector_score) for r in got] == [(1, 0.0, 1.0), (3, 0.0, 1.0), (2, 2.0, round(1 / 3, 9))]
 
 
+def test_lsh_finds_nine_of_ten_neighbours_and_k_rows(spark):
+    r = random.Random(8)
+    rows = [(i, [r.gauss(0, 0.5) for _ in range(16)]) for i in range(400)] + [(500, None)]
+    asked = [(i, rows[i][1]) for i in range(0, 400, 40)] + [(900, [50.0] * 16)]
+    df, qs = spark.createDataFrame(rows, "id long, embedding array<double>"), spark.createDataFrame(asked, "query_id long, vector array<double>")
+    found, exact = ({(x.query_id, x.id) for x in f(df, qs, 10).collect()} for f in (vectors.lsh_search, vectors.search))
+    assert len(found) == len(exact) == 110 and len(found & exact) >= 0.9 * len(exact)
+
+
 def test_rrf_prefers_both_channels_then_the_vector_hit(spark):
     v = spark.createDataFrame([(0, "a", 0.1, 0.9, 1), (0, "b", 0.2, 0.8, 2)], "query_id long, id string, distance double, vector_score double, vector_rank long")
     k = spark.createDataFrame([(0, "c", 5.0, 1), (0, "b", 4.0, 2)], "query_id long, id string, keyword_score double, keyword_rank long")
