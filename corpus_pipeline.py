@@ -24,15 +24,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest doc_id."""
+    """One document of each group of near duplicates: that with the smallest doc_id. Rows without an id pass."""
     first = jaccard_join.similar(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
-    leaks = decontam.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(common.materialize(leaks.select("doc_id").distinct(), "leaks"), "doc_id", "left_anti").select(*COLUMNS)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    # Rows without an id go by their text.
+    named, nameless = docs.where("doc_id is not null"), docs.where("doc_id is null").withColumn("_text", F.xxhash64("text"))
+    leaks = decontam.find_leaks(named, benchmark).select("doc_id").distinct()
+    other = decontam.find_leaks(nameless, benchmark, key="_text").select(F.col("doc_id").alias("_text")).distinct()
+    clean = named.join(common.materialize(leaks, "leaks"), "doc_id", "left_anti").select(*COLUMNS)
+    return clean.unionByName(nameless.join(common.materialize(other, "leaks"), "_text", "left_anti").select(*COLUMNS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ they are joined: paths shared by many sets are walked once, and subtrees are pru
 
 from __future__ import annotations
 
+import string
 import struct
 from collections.abc import Iterator
 
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import materialize
 from .components import Forest, components
 from .hashing import SpanHasher, mix
@@ -374,9 +376,14 @@ def similar(docs: DataFrame, *, n: int = N, text: str = "text", key: str = "doc_
     Two documents link if the Jaccard similarity of their sets of distinct word n-grams is at least NUMERATOR / DENOMINATOR.
     Words are runs of other characters than ASCII white space, A-Z in lower case; a text of fewer than n words is one n-gram.
     Null and empty texts have the empty set and link with nothing. Documents with equal sets are joined as one
-    class; repeated rows are copies and come back as often. A null doc_id is dropped.
+    class; repeated rows are copies and come back as often. A row of null doc_id links with nothing and has a null component_id.
     """
-    docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.col("doc_id").isNotNull())
+    docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    words = common.words(F.translate("text", string.ascii_uppercase, string.ascii_lowercase))
+    grams = F.when(F.size(words) <= n, F.array(F.concat_ws(" ", words))).otherwise(F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.concat_ws(" ", F.slice(words, i + 1, n))))
+    count = F.when(F.size(words) == 0, 0).otherwise(F.size(F.array_distinct(grams))).cast("bigint")
+    nameless = docs.where(F.col("doc_id").isNull()).select("doc_id", count.alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    docs = docs.where(F.col("doc_id").isNotNull())
     bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, bytes_ // (6 * BUCKET))
     # So many bits of a hash that few n-grams of the corpus share them by chance; sets are compared by them.
@@ -415,4 +422,5 @@ def similar(docs: DataFrame, *, n: int = N, text: str = "text", key: str = "doc_
         sets.select("doc_id", "n", "digest_a", "digest_b")
         .join(name, ["digest_a", "digest_b", "n"], "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        .unionByName(nameless)
     )

@@ -325,9 +325,13 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id")
 
     Texts are UTF-8 bytes (null: none). Removed is each byte covered by a SPAN-byte string that also starts in a document
     with a smaller doc_id; strings are judged on the input and do not cross documents. Shorter and empty texts stay.
-    Of rows with the same doc_id none is smaller than the other, so they keep what only they share. A null doc_id is dropped.
+    Of rows with the same doc_id none is smaller than the other, so they keep what only they share.
+    A null doc_id is smaller and larger than none: its row stays whole and takes nothing from others.
     """
-    docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.col("doc_id").isNotNull())
+    docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    kept = F.coalesce("text", F.lit("")).cast("binary")
+    nameless = docs.where(F.col("doc_id").isNull()).select("doc_id", F.octet_length(kept).cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), kept.alias("kept"))
+    docs = docs.where(F.col("doc_id").isNotNull())
     bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, shards = max(1, bytes_ // (20 * (1 << 20))), max(1, bytes_ // (6 << 20))
     parts = lambda n: int(min(10_000, max(n, 12)))
@@ -336,4 +340,4 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id")
     told = dealt.groupBy("key").applyInArrow(_shared, DEALT).repartition(parts(shards), "slice")
     stretches = told.groupBy("slice").applyInArrow(_stretches(shards, path), DEALT).repartition(parts(shards), "key")
     matched = stretches.groupBy("key").applyInArrow(_match, DEALT).repartition(parts(shards), "slice")
-    return matched.groupBy("slice").applyInArrow(lambda rows: _remove(path, rows), SCHEMA)
+    return matched.groupBy("slice").applyInArrow(lambda rows: _remove(path, rows), SCHEMA).unionByName(nameless)

@@ -134,3 +134,11 @@ def test_repeats_equal_brute_force(spark, monkeypatch, size, hot, part):
 
 def test_repeats_of_nothing(spark):
     assert sd.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_rows_without_an_id_stay(spark):
+    rows = [(1, "a b c d e f g " * 20), (None, "a b c d e f g " * 20), (None, "A\tb  c"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got, cut = jj.similar(df).collect(), sd.remove_repeats(df).collect()
+    assert sorted(((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got)) == [(0, 0, 0), (0, 1, 0), (0, 7, 0), (1, 7, 1)]
+    assert sorted((r.doc_id or 0, bytes(r.kept).decode(), r.n_removed, r.n_bytes) for r in cut) == sorted((k or 0, t or "", 0, len(t or "")) for k, t in rows)

@@ -21,3 +21,15 @@ def test_stages_keep_the_columns(spark):
     docs = spark.createDataFrame([(1, "a " * 30, "en", "s", 60)], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES[:2]:
         assert stage(spark, docs, "").columns == docs.columns
+
+
+def test_rows_without_an_id_pass_unless_they_leak(spark, tmp_path):
+    passage = "which river runs through the old copper town and turns north before it meets the sea"
+    rows = [(None, "a clean text without an id"), (None, passage), (1, "another clean text with an id")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    left = stages["near_duplicates"](spark, docs, str(tmp_path))
+    assert sorted(x.text for x in left.collect()) == sorted(t for _, t in rows)
+    clean = stages["decontamination"](spark, left, str(tmp_path))
+    assert {x.text for x in clean.collect()} == {rows[0][1], rows[2][1]}
