@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import inspect
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that ends a word: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: Bytes of rows that are sent to a Python worker at once: it and the JVM each hold a few such batches.
+BATCH, _BATCH_KEY, _BATCH_DEFAULT = "4m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -58,6 +66,44 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Set the size of batches to BATCH for the session, unless it has a size of its own."""
+    if spark.conf.get(_BATCH_KEY, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_KEY, BATCH)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live from task to task, and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(run: Callable) -> Callable:
+    """run, for mapInArrow or applyInArrow, that gives back what it freed when its task, or its group, is done."""
+    if inspect.isgeneratorfunction(run):
+
+        @functools.wraps(run)
+        def task(batches):
+            try:
+                yield from run(batches)
+            finally:
+                give_back()
+
+        return task
+
+    @functools.wraps(run)
+    def group(table):
+        try:
+            return run(table)
+        finally:
+            give_back()
+
+    return group
+
+
 def words(text: Column) -> Column:
     """The maximal runs of characters other than SPACE; none for a null text."""
     inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))

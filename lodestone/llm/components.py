@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lean, materialize
 
 
 class Forest:
@@ -61,7 +61,7 @@ def contract(edges: DataFrame) -> DataFrame:
             live = root != np.arange(len(node))
             yield pa.RecordBatch.from_arrays([pa.array(node[live]), pa.array(node[root[live]])], ["a", "b"])
 
-    return edges.select("a", "b").mapInArrow(run, "a bigint, b bigint")
+    return edges.select("a", "b").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean, small_batches
 from .hashing import SpanHasher, mix
 from .packing import slices
 
@@ -272,6 +273,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, s
     blocks = max(1, -(-total // (2 * block_windows)))
     docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     spark, out = docs.sparkSession, None
+    small_batches(spark)
     for k in range(blocks):
         part = own if blocks == 1 else own.where(F.pmod(F.xxhash64("item_text"), F.lit(blocks)) == k)
         items = [(r.item_id, r.item_text) for r in part.toLocalIterator()]
@@ -302,6 +304,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, s
                         pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("kind", pa.string()), *((c, pa.int64()) for c in ("n_tokens", "n_item_tokens", "n_slots", "start", "end"))]),
                     )
 
-        found = docs.mapInArrow(run, SCHEMA)
+        found = docs.mapInArrow(lean(run), SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import materialize
+from .common import lean, materialize, small_batches
 from .components import Forest, components
 from .hashing import SpanHasher, mix
 from .packing import slices
@@ -26,11 +26,11 @@ from .packing import slices
 #: Words of an n-gram and the least Jaccard similarity, as a fraction.
 N, NUMERATOR, DENOMINATOR = 5, 4, 5
 #: Bytes of text of a slice, whose n-grams are counted together before they are dealt out.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Bytes of text whose n-grams are hashed at once.
 PART = 1 << 19
 #: N-grams of a bucket, and n-grams of the sets that one tree holds.
-BUCKET, TREE = 1 << 20, 1 << 20
+BUCKET, TREE = 1 << 19, 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -156,7 +156,7 @@ def _deal(docs: DataFrame, buckets: int, n: int, bits: int) -> DataFrame:
                 number += 1
                 yield _batch(DEALT, key=[r[0] for r in rows], slice=[r[1] for r in rows], data=[r[2] for r in rows])
 
-    return docs.mapInArrow(run, DEALT)
+    return docs.mapInArrow(lean(run), DEALT)
 
 
 def _count(dealt: pa.Table) -> pa.Table:
@@ -226,7 +226,7 @@ def _prefixes(sets: DataFrame) -> DataFrame:
             for up in (0, 1):
                 yield _batch(PREFIX, token=token, **{"class": size + up}, node=node[own])
 
-    return sets.select("node", "n", "held", "tokens").mapInArrow(run, PREFIX)
+    return sets.select("node", "n", "held", "tokens").mapInArrow(lean(run), PREFIX)
 
 
 class Tree:
@@ -378,6 +378,7 @@ def similar(docs: DataFrame, *, n: int = N, text: str = "text", key: str = "doc_
     Null and empty texts have the empty set and link with nothing. Documents with equal sets are joined as one
     class; repeated rows are copies and come back as often. A row of null doc_id links with nothing and has a null component_id.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     words = common.words(F.translate("text", string.ascii_uppercase, string.ascii_lowercase))
     grams = F.when(F.size(words) <= n, F.array(F.concat_ws(" ", words))).otherwise(F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.concat_ws(" ", F.slice(words, i + 1, n))))
@@ -389,8 +390,8 @@ def similar(docs: DataFrame, *, n: int = N, text: str = "text", key: str = "doc_
     # So many bits of a hash that few n-grams of the corpus share them by chance; sets are compared by them.
     bits = min(64, max(50, bytes_.bit_length() + 20))
     dealt = _deal(docs, buckets, n, bits).repartition(int(min(10_000, max(buckets, 12))), "key")
-    told = dealt.groupBy("key").applyInArrow(_count, DEALT)
-    sets = materialize(told.groupBy("slice").applyInArrow(_sets, SETS), "sets")
+    told = dealt.groupBy("key").applyInArrow(lean(_count), DEALT)
+    sets = materialize(told.groupBy("slice").applyInArrow(lean(_sets), SETS), "sets")
 
     classes = (
         sets.where(F.col("tokens").isNotNull())
@@ -413,7 +414,7 @@ def similar(docs: DataFrame, *, n: int = N, text: str = "text", key: str = "doc_
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
     dealt = dealt.withColumn("pair", F.least("part", "other") * F.col("parts") + F.greatest("part", "other"))
     dealt = dealt.withColumn("task", F.pmod(F.xxhash64("block", "pair"), F.lit(tasks * 16))).select("task", "block", "pair", "node", "n", "tokens")
-    links = materialize(dealt.groupBy("task").applyInArrow(_links, LINKS), "links")
+    links = materialize(dealt.groupBy("task").applyInArrow(lean(_links), LINKS), "links")
 
     found = components(links)
     name = classes.select("digest_a", "digest_b", "n", "node").join(found, "node", "left")

@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lean, materialize, small_batches
 from .hashing import mix
-from .tokens import shared_bpe
+from .tokens import WordBpe
 
 #: Tokens of a sequence, the id that ends a document, and tokens of a shard of the index.
 WINDOW, END, SHARD = 2048, 1, 1 << 20
@@ -170,15 +170,16 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end: int = EN
     """
     if window & (window - 1):
         raise ValueError("window must be a power of two")
+    small_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, last = shared_bpe(tokenizer), np.array([end], np.uint32)
+        bpe, last = WordBpe(tokenizer), np.array([end], np.uint32)
         for batch in batches:
             for lo, hi in slices(batch.column(1)):
                 coded = [_planes(np.concatenate([ids, last])) for ids in bpe.encode([t or "" for t in batch.column(1)[lo:hi].to_pylist()])]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi].cast(pa.int64()), pa.array(coded, pa.binary())], ["doc_id", "ids"])
 
-    coded = materialize(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(encode, "doc_id bigint, ids binary"), "ids")
+    coded = materialize(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(encode), "doc_id bigint, ids binary"), "ids")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, tokens = np.zeros(0, np.int64), 0, 0
@@ -191,7 +192,7 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end: int = EN
         term = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(term, [-1, -2])), pa.array(np.append(df[term], [n, tokens]))], ["term", "df"])
 
-    total = {r.term: r.df for r in coded.mapInArrow(count, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect()}
+    total = {r.term: r.df for r in coded.mapInArrow(lean(count), "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect()}
     n, tokens = total.pop(-1, 0), total.pop(-2, 0)
     df = np.zeros(max(total, default=0) + 1, np.int64)
     df[list(total)] = list(total.values())
@@ -213,7 +214,7 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end: int = EN
     dealt, cuts = "doc_id bigint, ids binary, sign bigint, shard bigint", np.empty(0, np.int64)
     if shards > 1:
         sample = coded.where(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(max(1, n // (SAMPLE * shards)))) == 0)
-        drawn = sample.mapInArrow(deal, dealt).select("sign", (F.octet_length("ids") / 4).cast("bigint").alias("n")).toArrow()
+        drawn = sample.mapInArrow(lean(deal), dealt).select("sign", (F.octet_length("ids") / 4).cast("bigint").alias("n")).toArrow()
         sign, size = (drawn.column(c).to_numpy() for c in ("sign", "n"))
         by = np.argsort(sign, kind="stable")
         run_up = np.cumsum(size[by])
@@ -221,6 +222,9 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end: int = EN
             cuts = sign[by][np.searchsorted(run_up, np.arange(1, shards) * (run_up[-1] / shards))]
     bounds = spark.sparkContext.broadcast(cuts)
 
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from deal(batches, bounds)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, _, size = sent.value
         keys, held, n, sequence, at_shard = [], [], 0, 0, -1
@@ -262,8 +266,8 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end: int = EN
         if held:
             yield flush()
 
-    placed = coded.mapInArrow(lambda batches: deal(batches, bounds), dealt)
-    return placed.repartition(shards, "shard").sortWithinPartitions("shard", "sign", "doc_id", F.xxhash64("ids")).select("doc_id", "ids", "shard").mapInArrow(run, SCHEMA)
+    placed = coded.mapInArrow(lean(place), dealt)
+    return placed.repartition(shards, "shard").sortWithinPartitions("shard", "sign", "doc_id", F.xxhash64("ids")).select("doc_id", "ids", "shard").mapInArrow(lean(run), SCHEMA)
 
 
 def slices(column: pa.Array, chars: int = 1 << 20) -> Iterator[tuple[int, int]]:

@@ -18,6 +18,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import lean, small_batches
 from .packing import slices
 
 #: Shortest candidate; characters of context on either side; trees and their depth; labelled findings that are made.
@@ -188,6 +189,8 @@ def train(spark: SparkSession, findings: list[tuple[str, int, int, int]], tokeni
 
 
 def find_candidates(docs: DataFrame, tokenizer: str, *, text: str = "text", key: str = "doc_id") -> DataFrame:
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = dictionary(tokenizer)
         for batch in batches:
@@ -200,7 +203,7 @@ def find_candidates(docs: DataFrame, tokenizer: str, *, text: str = "text", key:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["doc_id", "start", "end", "rule", "features"])
 
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, CANDIDATES)
+    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(run), CANDIDATES)
 
 
 def scan(docs: DataFrame, tokenizer: str, model: RandomForestClassificationModel | None = None, *, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, lean, small_batches
 from .hashing import SpanHasher, mix
 from .jaccard_join import DEALT, _batch, gaps, pack, unpack
 from .packing import slices
@@ -148,7 +148,7 @@ def _deal(docs: DataFrame, buckets: int, path: str) -> DataFrame:
                 yield _batch(DEALT, key=[r[0] for r in rows], slice=[number] * len(rows), data=[r[1] for r in rows])
                 number += 1
 
-    return docs.mapInArrow(run, DEALT)
+    return docs.mapInArrow(lean(run), DEALT)
 
 
 def _shared(dealt: pa.Table) -> pa.Table:
@@ -328,6 +328,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id")
     Of rows with the same doc_id none is smaller than the other, so they keep what only they share.
     A null doc_id is smaller and larger than none: its row stays whole and takes nothing from others.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     kept = F.coalesce("text", F.lit("")).cast("binary")
     nameless = docs.where(F.col("doc_id").isNull()).select("doc_id", F.octet_length(kept).cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), kept.alias("kept"))
@@ -337,7 +338,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id")
     parts = lambda n: int(min(10_000, max(n, 12)))
     path = fresh_path(docs.sparkSession, "slices")
     dealt = _deal(docs, buckets, path).repartition(parts(shards), "key")
-    told = dealt.groupBy("key").applyInArrow(_shared, DEALT).repartition(parts(shards), "slice")
-    stretches = told.groupBy("slice").applyInArrow(_stretches(shards, path), DEALT).repartition(parts(shards), "key")
-    matched = stretches.groupBy("key").applyInArrow(_match, DEALT).repartition(parts(shards), "slice")
-    return matched.groupBy("slice").applyInArrow(lambda rows: _remove(path, rows), SCHEMA).unionByName(nameless)
+    told = dealt.groupBy("key").applyInArrow(lean(_shared), DEALT).repartition(parts(shards), "slice")
+    stretches = told.groupBy("slice").applyInArrow(lean(_stretches(shards, path)), DEALT).repartition(parts(shards), "key")
+    matched = stretches.groupBy("key").applyInArrow(lean(_match), DEALT).repartition(parts(shards), "slice")
+    return matched.groupBy("slice").applyInArrow(lean(lambda rows: _remove(path, rows)), SCHEMA).unionByName(nameless)

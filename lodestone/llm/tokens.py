@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import json
 import os
 import re
-import sys
-from types import ModuleType
 
 import numpy as np
 
@@ -61,10 +58,11 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        model = json.loads(self.tokenizer.to_str())["model"]
-        self.last = np.zeros(max(model["vocab"].values()) + 1, bool)
-        self.last[[i for s, i in model["vocab"].items() if s.endswith(model["end_of_word_suffix"])]] = True
+        vocabulary, suffix = self.tokenizer.get_vocab(), self.tokenizer.model.end_of_word_suffix
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for s, i in vocabulary.items() if s.endswith(suffix)]] = True
+        #: Texts with one of these strings, in any case, go to the tokenizer whole.
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)", re.IGNORECASE)
         self.max_words, self.hasher = max_words, SpanHasher()
         self._reset()
 
@@ -74,7 +72,7 @@ class WordBpe:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One uint32 array of ids for each text."""
-        plain = [bool(_PLAIN.fullmatch(t)) for t in texts]
+        plain = [bool(_PLAIN.fullmatch(t)) and not self.special.search(t) for t in texts]
         raw = [t.lower().encode() if p else b"" for t, p in zip(texts, plain, strict=True)]
         data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
         ends = np.cumsum([len(r) + 1 for r in raw])
@@ -114,9 +112,3 @@ class WordBpe:
             self.word = np.insert(self.word, at[new], out[new])
             self.known = np.insert(self.known, at[new], each[new])
         return out
-
-
-def shared_bpe(path: str) -> WordBpe:
-    """The process's tokenizer for a path: a Python worker keeps its words from one task to the next."""
-    held = sys.modules.setdefault("_lodestone_tokenizers", ModuleType("_lodestone_tokenizers")).__dict__
-    return held[path] if path in held else held.setdefault(path, WordBpe(path))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lean, materialize, small_batches
 from .decontam import _CLASS, _LOWER
 from .hashing import SpanHasher, mix
 from .packing import slices
@@ -331,7 +331,7 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, text: s
         return pa.table({"model": pa.array([pickle.dumps(None if m is None else (m.words.key, m.words.weight, m.rate, m.scale, m.drift, m.a, m.b))], pa.binary())})
 
     # One task fits the bounded sample; its model has at most FEATURES weights.
-    model = materialize(sample.groupBy(F.lit(0).alias("_all")).applyInArrow(run, "model binary"), "toxic-model").first()
+    model = materialize(sample.groupBy(F.lit(0).alias("_all")).applyInArrow(lean(run), "model binary"), "toxic-model").first()
     got = pickle.loads(model.model) if model else None
     return Model(Lexicon(got[0], got[1]), *got[2:]) if got else None
 
@@ -342,6 +342,7 @@ def score(docs: DataFrame, model: Model | None, *, text: str = "text", key: str
     A null or empty text has no segments and the score of a text without evidence; without a model scores are 0.
     Repeated rows are scored as often as they come.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = f"doc_id bigint, score double, predicted int, segments {SEGMENTS}"
 
@@ -366,4 +367,4 @@ def score(docs: DataFrame, model: Model | None, *, text: str = "text", key: str
                     [batch.column(0)[lo:hi], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(spans, kind)], ["doc_id", "score", "predicted", "segments"]
                 )
 
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(run), schema)
