@@ -1,7 +1,7 @@
 """Queries of the retrieval engine over the driver's tables, each with its SQL where SQL can express it.
 
-Derived inputs. Hybrid corpus: documents joined with embeddings on doc_id = vec_id. Questions: all benchmark passages;
-their vectors: the embeddings of the same number. Query vectors: the embeddings whose id is divisible by 100.
+Derived inputs. Hybrid corpus: all documents, with the embedding of the same number where there is one. Questions: all
+benchmark passages; their vectors: the embeddings of the same number, where there is one. Query vectors: the embeddings whose id is divisible by 100.
 Sync state: documents as they were before a made change.
 """
 
@@ -45,11 +45,11 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hybrid(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).join(_t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label"), "id")
+    return _docs(spark, d).join(_t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label"), "id", "left")
 
 
 def _hybrid_questions(spark: SparkSession, d: str) -> DataFrame:
-    return _questions(spark, d).join(_t(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
+    return _questions(spark, d).join(_t(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id", "left")
 
 
 def _query_vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -78,18 +78,18 @@ keyword AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY keyword_
 def _vector_sql(corpus: str, key: str, queries: str, k: int) -> str:
     """CTEs ending in near(query_id, id, distance, vector_score, vector_rank); queries: SQL with query_id, vector."""
     return f"""
-own AS (SELECT {key} AS id, embedding::DOUBLE[] AS v FROM {corpus}),
+own AS (SELECT {key} AS id, embedding::DOUBLE[] AS v FROM {corpus} WHERE embedding IS NOT NULL),
 qs AS ({queries}),
 dist AS (SELECT query_id, id, round(list_sum(list_transform(list_zip(v, vector), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 9) AS distance FROM own CROSS JOIN qs),
 near AS (SELECT *, round(1 / (1 + greatest(distance, 0)), 9) AS vector_score, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::BIGINT AS vector_rank FROM dist
          QUALIFY vector_rank <= {k})"""
 
 
-_HC = "hc AS (SELECT d.doc_id AS id, d.text, e.embedding, e.label FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)"
+_HC = "hc AS (SELECT d.doc_id AS id, d.text, e.embedding, e.label FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id)"
 _QV = "SELECT vec_id AS query_id, embedding::DOUBLE[] AS vector FROM embeddings WHERE vec_id % 100 = 0"
 _HQ = "SELECT item_id AS query_id, embedding::DOUBLE[] AS vector FROM benchmark JOIN embeddings ON item_id = vec_id"
 _RRF = f"""{_HC}, {_bm25_sql('hc', 'id', CANDIDATES)}, {_vector_sql('hc', 'id', _HQ, CANDIDATES)},
-kw AS (SELECT * FROM keyword WHERE query_id IN (SELECT query_id FROM qs)),
+kw AS (SELECT * FROM keyword),
 fused AS (SELECT coalesce(n.query_id, k.query_id) AS query_id, coalesce(n.id, k.id) AS id, distance, vector_score, vector_rank, keyword_score, keyword_rank,
                  round(coalesce(1.0::DOUBLE / ({RRF_K} + vector_rank), 0) + coalesce(1.0::DOUBLE / ({RRF_K} + keyword_rank), 0), 12) AS rrf_score
           FROM near n FULL JOIN kw k ON n.query_id = k.query_id AND n.id = k.id),
@@ -201,7 +201,15 @@ def rerank_passthrough(spark: SparkSession, d: str) -> DataFrame:
     return rank.rerank(_fused(spark, d, CANDIDATES), K).select("query_id", "id", "rerank_rank", "rerank_provider")
 
 
-@_query()
+_WORDS = "list_filter(string_split_regex(lower({0}), '\\s+'), lambda w: w <> '')"
+
+
+@_query(
+    f"""WITH {_RRF}, pairs AS (SELECT r.query_id, r.id, r.rank, list_distinct({_WORDS.format('b.text')}) AS q, {_WORDS.format('hc.text')} AS t
+                       FROM ranked r JOIN hc USING (id) JOIN benchmark b ON b.item_id = r.query_id WHERE r.rank <= {CANDIDATES}),
+sc AS (SELECT query_id, id, rank, len(list_intersect(q, t)) / greatest(1, len(q)) AS s FROM pairs)
+SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank)::BIGINT AS rerank_rank, s AS rerank_score, 'overlap' AS rerank_provider FROM sc QUALIFY rerank_rank <= {K}"""
+)
 def rerank_overlap(spark: SparkSession, d: str) -> DataFrame:
     own = _fused(spark, d, CANDIDATES).join(_questions(spark, d), "query_id").join(_docs(spark, d).select("id", "text"), "id")
     return rank.rerank(own, K, rank.overlap_scorer, provider="overlap").select("query_id", "id", "rerank_rank", "rerank_score", "rerank_provider")
@@ -215,7 +223,25 @@ def relevance_normalized(spark: SparkSession, d: str) -> DataFrame:
     return rank.relevance(_fused(spark, d, CANDIDATES)).select("query_id", "id", "relevance")
 
 
-@_query()
+_PRINT = r"substring(trim(regexp_replace(lower(hc.text), '\s+', ' ', 'g')), 1, 500)"
+_MMR_STEP = """
+p{i} AS (SELECT *, {i}::BIGINT AS mmr_rank FROM w{j} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY worst >= 0.82, round(0.65 * relevance - 0.35 * worst, 9) DESC, relevance DESC, place) = 1),
+w{i} AS (SELECT w.* EXCLUDE (worst), greatest(w.worst, CASE WHEN len(w.t) > 0 AND len(p.t) > 0 THEN len(list_intersect(w.t, p.t)) / len(list_distinct(w.t || p.t)) ELSE 0 END) AS worst
+         FROM w{j} w JOIN p{i} p ON w.query_id = p.query_id WHERE w.id <> p.id)"""
+
+
+@_query(
+    f"""WITH {_RRF},
+once AS (SELECT r.query_id, r.id, r.rank, r.rrf_score AS raw, list_distinct({_TOKENS.format('hc.text')}) AS t FROM ranked r JOIN hc USING (id) WHERE r.rank <= {CANDIDATES}
+         QUALIFY row_number() OVER (PARTITION BY r.query_id, CASE WHEN {_PRINT} = '' THEN r.id::VARCHAR ELSE {_PRINT} END ORDER BY r.rank) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS place, min(raw) OVER q AS lo, max(raw) OVER q AS hi, count(*) OVER q AS n FROM once WINDOW q AS (PARTITION BY query_id)),
+w0 AS (SELECT query_id, id, rank, t, n, place, round(CASE WHEN hi > lo THEN (raw - lo) / (hi - lo) ELSE 1 - place / n END, 9) AS relevance, 0::DOUBLE AS worst FROM o),"""
+    + ",".join(_MMR_STEP.format(i=i, j=i - 1) for i in (1, 2, 3, 4))
+    + """,
+taken AS (SELECT * FROM p1 UNION ALL BY NAME SELECT * FROM p2 UNION ALL BY NAME SELECT * FROM p3 UNION ALL BY NAME SELECT * FROM p4)
+SELECT query_id, id, relevance, mmr_rank, round(0.65 * relevance - 0.35 * worst, 9) AS mmr_score, round(worst, 9) AS mmr_penalty, worst >= 0.82 AS mmr_duplicate FROM taken WHERE n > 4
+UNION ALL SELECT query_id, id, relevance, place + 1, 1, 0, false FROM w0 WHERE n <= 4"""
+)
 def mmr_topk(spark: SparkSession, d: str) -> DataFrame:
     own = _fused(spark, d, CANDIDATES).join(_docs(spark, d).select("id", "text"), "id")
     return rank.mmr(own, 4).select("query_id", "id", "relevance", "mmr_rank", "mmr_score", "mmr_penalty", "mmr_duplicate")
@@ -265,22 +291,69 @@ def paragraph_split(spark: SparkSession, d: str) -> DataFrame:
     return own.select("doc_id", F.size("l").cast("long").alias("n_paragraphs"), F.sha2(F.array_join("l", "\x1e"), 256).alias("sha"))
 
 
-@_query()
+# A long text without blank lines is packed by sentences; a long sentence is cut into windows.
+_CUTS = _STRIP.format("substring({0}, (i * " + str(_SIZE - _OVERLAP) + " + 1)::BIGINT, " + str(_SIZE) + ")")
+_WINDOWS = "list_filter(list_transform(range(0, greatest(0, ceil((length({0}) - " + str(_SIZE) + ") / " + str(_SIZE - _OVERLAP) + "))::BIGINT + 1), lambda i: " + _CUTS + "), lambda c: c <> '')"
+_TAIL = _STRIP.format(f"right(a.held, {_OVERLAP})")
+
+
+def _pieces_sql(source: str, key: str) -> str:
+    """CTEs ending in pieces({key}, chunks) of the source's texts that are not blank."""
+    return (
+        f"""d AS (SELECT {key}, {_STRIP.format("regexp_replace(text, '" + chr(92) + "r" + chr(92) + "n?', chr(10), 'g')")} AS t FROM {source}),
+s AS (SELECT {key}, t, list_filter(list_transform(string_split(regexp_replace(t, '([.!?。！？])\\s+', '\\1' || chr(30), 'g'), chr(30)), lambda x: {_STRIP.format("x")}), lambda x: x <> '') AS l FROM d WHERE t <> ''),
+f AS (SELECT {key}, t, len(l) AS n, list_reduce([{{'out': []::VARCHAR[], 'held': '', 'seg': ''}}] || list_transform(l, lambda x: {{'out': []::VARCHAR[], 'held': '', 'seg': x}}), lambda a, b: {{
+      'out': CASE WHEN length(b.seg) > {_SIZE} THEN (CASE WHEN a.held <> '' THEN list_append(a.out, a.held) ELSE a.out END) || {_WINDOWS.format("b.seg")}
+                  WHEN length(a.held) + (CASE WHEN a.held <> '' THEN 2 ELSE 0 END) + length(b.seg) <= {_SIZE} THEN a.out ELSE list_append(a.out, a.held) END,
+      'held': CASE WHEN length(b.seg) > {_SIZE} THEN '' WHEN a.held = '' THEN b.seg WHEN length(a.held) + 2 + length(b.seg) <= {_SIZE} THEN a.held || chr(10) || chr(10) || b.seg
+                   WHEN {_TAIL} <> '' AND length({_TAIL}) + 2 + length(b.seg) <= {_SIZE} THEN {_TAIL} || chr(10) || chr(10) || b.seg ELSE b.seg END,
+      'seg': ''}}) AS r FROM s),
+pieces AS (SELECT {key}, t, CASE WHEN length(t) <= {_SIZE} THEN [t] WHEN n < 2 THEN {_WINDOWS.format("t")} ELSE list_filter(list_append(r.out, {_STRIP.format("r.held")}), lambda x: x <> '') END AS chunks FROM f)"""
+    )
+
+
+@_query(
+    f"""WITH {_pieces_sql('documents', 'doc_id')}, u AS (SELECT doc_id, unnest(chunks) AS text, (generate_subscripts(chunks, 1) - 1)::BIGINT AS chunk_id FROM pieces)
+SELECT doc_id || '_chunk_' || chunk_id AS id, text, doc_id::VARCHAR AS parent_id, chunk_id, 'text' AS block_types FROM u"""
+)
 def recursive_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunk.chunk_documents(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), _SIZE, _OVERLAP)
 
 
-@_query()
+@_query(
+    f"""WITH d AS (SELECT doc_id, {_STRIP.format("regexp_replace(text, '\\r\\n?', chr(10), 'g')")} AS t FROM documents),
+l AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: {_STRIP.format('x')}), lambda x: x <> '') AS l FROM d WHERE t <> ''),
+f AS (SELECT doc_id, list_reduce([{{'out': []::VARCHAR[], 'held': '', 'seg': ''}}] || list_transform(l, lambda x: {{'out': []::VARCHAR[], 'held': '', 'seg': x}}), lambda a, b: {{
+      'out': CASE WHEN length(a.held) + length(b.seg) + 1 <= {_SIZE} OR a.held = '' THEN a.out ELSE list_append(a.out, {_STRIP.format('a.held')}) END,
+      'held': CASE WHEN length(a.held) + length(b.seg) + 1 <= {_SIZE} THEN a.held ELSE right(a.held, {_OVERLAP}) END || b.seg || chr(10), 'seg': ''}}) AS r FROM l),
+c AS (SELECT doc_id, list_filter(list_append(r.out, {_STRIP.format('r.held')}), lambda x: x <> '') AS chunks FROM f),
+u AS (SELECT doc_id, unnest(chunks) AS text, (generate_subscripts(chunks, 1) - 1)::BIGINT AS chunk_id FROM c)
+SELECT doc_id || '_chunk_' || chunk_id AS id, text, doc_id::VARCHAR AS parent_id, chunk_id, 'text' AS block_types FROM u"""
+)
 def simple_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunk.chunk_documents(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), _SIZE, _OVERLAP, mode="simple")
 
 
-@_query()
+# No turn is a heading, so a conversation is a greedy packing of its turns; one that is too long is cut on its own.
+@_query(
+    f"""WITH {_pieces_sql('conversations', 'conv_id, turn, role')},
+tl AS (SELECT conv_id, list({{'out': []::STRUCT(t VARCHAR, u VARCHAR[], k VARCHAR[], s BIGINT)[], 't': t, 'u': [conv_id || '_' || turn], 'k': [role], 'p': CASE WHEN length(t) > {_SIZE} THEN chunks END}} ORDER BY turn) AS l FROM pieces GROUP BY conv_id),
+tf AS (SELECT conv_id, list_reduce([{{'out': []::STRUCT(t VARCHAR, u VARCHAR[], k VARCHAR[], s BIGINT)[], 't': '', 'u': []::VARCHAR[], 'k': []::VARCHAR[], 'p': NULL::VARCHAR[]}}] || l, lambda a, b: CASE
+      WHEN b.p IS NOT NULL THEN {{'out': (CASE WHEN a.t <> '' THEN list_append(a.out, {{'t': a.t, 'u': a.u, 'k': a.k, 's': NULL::BIGINT}}) ELSE a.out END)
+           || list_transform(list_zip(b.p, range(len(b.p))), lambda x: {{'t': x[1], 'u': b.u, 'k': b.k, 's': x[2]}}), 't': '', 'u': []::VARCHAR[], 'k': []::VARCHAR[], 'p': NULL::VARCHAR[]}}
+      WHEN a.t = '' THEN {{'out': a.out, 't': b.t, 'u': b.u, 'k': b.k, 'p': NULL::VARCHAR[]}}
+      WHEN length(a.t) + 2 + length(b.t) <= {_SIZE} THEN {{'out': a.out, 't': a.t || chr(10) || chr(10) || b.t, 'u': a.u || b.u, 'k': a.k || b.k, 'p': NULL::VARCHAR[]}}
+      ELSE {{'out': list_append(a.out, {{'t': a.t, 'u': a.u, 'k': a.k, 's': NULL::BIGINT}}), 't': b.t, 'u': b.u, 'k': b.k, 'p': NULL::VARCHAR[]}} END) AS r FROM tl),
+c AS (SELECT conv_id, CASE WHEN r.t <> '' THEN list_append(r.out, {{'t': r.t, 'u': r.u, 'k': r.k, 's': NULL::BIGINT}}) ELSE r.out END AS chunks FROM tf),
+o AS (SELECT conv_id, unnest(chunks) AS c, (generate_subscripts(chunks, 1) - 1)::BIGINT AS chunk_id FROM c)
+SELECT conv_id || '_turn_chunk_' || chunk_id AS id, conv_id::VARCHAR AS parent_id, chunk_id, c.t AS text, array_to_string(c.u, ',') AS unit_ids,
+       array_to_string(list_transform(list_filter(list_zip(c.k, range(len(c.k))), lambda p: list_position(c.k, p[1]) = p[2] + 1), lambda p: p[1]), ',') AS block_types, NULL::VARCHAR AS block_ids, NULL::VARCHAR AS bbox, c.s AS split_part FROM o"""
+)
 def units_scoped_chunks(spark: SparkSession, d: str) -> DataFrame:
     turns = _t(spark, d, "conversations")
     meta = F.create_map(F.lit("document_id"), F.col("conv_id").cast("string"), F.lit("block_type"), F.col("role"), F.lit("source_granularity"), F.lit("turn"))
     units = turns.select(F.concat_ws("_", "conv_id", "turn").alias("id"), F.col("turn").alias("ordinal"), "text", meta.alias("meta"))
-    return chunk.chunk_units(units, _SIZE, _OVERLAP, call="document_id").drop("meta")
+    return chunk.chunk_units(units, _SIZE, _OVERLAP, call="document_id").drop("meta").withColumn("unit_ids", F.array_join("unit_ids", ","))
 
 
 @_query(
@@ -305,15 +378,17 @@ def markdown_line_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    """WITH u AS (SELECT conv_id, turn, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 END AS level, substring(text, 1, 40) AS head FROM conversations),
-w AS (SELECT conv_id, turn, last_value(CASE WHEN level = 1 THEN head END IGNORE NULLS) OVER o AS h1, last_value(CASE WHEN level = 1 THEN turn END IGNORE NULLS) OVER o AS a1,
-             last_value(CASE WHEN level = 2 THEN head END IGNORE NULLS) OVER o AS h2, last_value(CASE WHEN level = 2 THEN turn END IGNORE NULLS) OVER o AS a2
-      FROM u WINDOW o AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))
-SELECT conv_id, turn, concat_ws(' > ', h1, CASE WHEN a2 > coalesce(a1, -1) THEN h2 END) AS heading_path FROM w"""
+    """WITH u AS (SELECT conv_id, turn, text, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 END AS level FROM conversations),
+k AS (SELECT *, count(level) OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM u),
+g AS (SELECT *, CASE WHEN level IS NOT NULL THEN k + least(0, min(level - k) FILTER (level IS NOT NULL) OVER (PARTITION BY conv_id ORDER BY turn)) END AS depth FROM k),
+w AS (SELECT conv_id, turn, last_value(CASE WHEN depth = 1 THEN text END IGNORE NULLS) OVER o AS h1, last_value(CASE WHEN depth = 1 THEN k END IGNORE NULLS) OVER o AS a1,
+             last_value(CASE WHEN depth = 2 THEN text END IGNORE NULLS) OVER o AS h2, last_value(CASE WHEN depth = 2 THEN k END IGNORE NULLS) OVER o AS a2
+      FROM g WINDOW o AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, turn, concat_ws(' > ', h1, CASE WHEN a2 > coalesce(a1, 0) THEN h2 END) AS heading_path FROM w"""
 )
 def heading_path_fill(spark: SparkSession, d: str) -> DataFrame:
     level = F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2).cast("long")
-    own = _t(spark, d, "conversations").select("conv_id", "turn", level.alias("level"), F.substring("text", 1, 40).alias("text"))
+    own = _t(spark, d, "conversations").select("conv_id", "turn", level.alias("level"), "text")
     return blocks.heading_paths(own, "conv_id", "turn").select("conv_id", "turn", "heading_path")
 
 
@@ -428,9 +503,8 @@ _RELEVANT = "rel AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b J
 
 
 def _relevant(spark: SparkSession, d: str) -> DataFrame:
-    """(query_id, id): documents that hold a passage verbatim. The passages are a fixed test set, sent to the documents."""
-    passages = F.broadcast(_t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("_p")))
-    return _docs(spark, d).select("id", "text").join(passages, F.contains("text", "_p")).select("query_id", "id")
+    """(query_id, id): documents that hold a passage verbatim."""
+    return evaluate.holders(_docs(spark, d), _questions(spark, d))
 
 
 @_query(
@@ -467,7 +541,17 @@ def eval_summary(spark: SparkSession, d: str) -> DataFrame:
     return own.select("pipeline_name", "question_count", F.round("average_context_count", 9).alias("average_context_count"), F.round("average_source_count", 9).alias("average_source_count"))
 
 
-@_query()
+_LABELS = "CASE pipeline_name " + " ".join(f"WHEN '{n}' THEN '{evaluate.PRESETS[n]['label']}'" for n in ("vector", "keyword", "hybrid_rrf")) + " END"
+
+
+@_query(
+    f"""WITH {_EVAL}, depth AS (SELECT 'vector' AS pipeline_name, query_id::VARCHAR AS sample_id, count(*) AS n FROM near GROUP BY query_id UNION ALL
+  SELECT 'keyword', query_id::VARCHAR, count(*) FROM kw GROUP BY query_id UNION ALL SELECT 'hybrid_rrf', query_id::VARCHAR, count(*) FROM ranked WHERE rank <= {CANDIDATES} GROUP BY query_id)
+SELECT pipeline_name, {_LABELS} AS pipeline_label, sample_id, b.text AS question, '' AS answer, '' AS error, 0::BIGINT AS attempt_count, true AS generation_skipped, b.text AS ground_truth, '' AS expected_source_notes,
+  'benchmark' AS tags, source_count, source_ids, source_ids AS source_titles, n::BIGINT AS retrieved_count, n::BIGINT AS reranked_count, source_count AS final_count, pipeline_name AS retrieval_mode, {CANDIDATES}::BIGINT AS candidate_k,
+  false AS rerank_enabled, false AS mmr_enabled, NULL::DOUBLE AS faithfulness, NULL::DOUBLE AS answer_relevancy, NULL::DOUBLE AS context_precision, NULL::DOUBLE AS context_recall, '' AS ragas_error
+FROM rec JOIN depth USING (pipeline_name, sample_id) JOIN benchmark b ON b.item_id::VARCHAR = sample_id"""
+)
 def report_rows(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.report_rows(_records(spark, d))
 

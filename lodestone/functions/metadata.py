@@ -132,6 +132,23 @@ def content_hash(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", *marked), 256)
 
 
+# What of a lesson's and of a unit's metadata counts for the lesson's hash.
+LESSON_KEYS = ("title", "week", "date", "module", "lecturer", "label", "is_summary_done", "notion_url")
+UNIT_KEYS = ("block_id", "block_index", "block_type", "notion_block_type", "markdown_block_type", "heading_path", "code_language", "image_url", "caption", "line_index")
+
+
+def lesson_hash(meta: Column, text: Column, units: Column) -> Column:
+    """SHA-256 of a lesson: the listed keys of its metadata that it has, its metadata text, and its units (id, text, meta) in order.
+
+    Hashed is compact JSON with sorted keys, so neither the order of keys nor edit times, chunk ids and the like count.
+    """
+    pick = lambda m, keys: F.map_from_entries(F.array_sort(F.map_entries(F.map_filter(F.coalesce(m, F.create_map().cast("map<string,string>")), lambda k, v: k.isin(*keys)))))
+    s = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    unit = lambda u: F.struct(s(u["id"]).alias("id"), pick(u["meta"], UNIT_KEYS).alias("metadata"), s(u["text"]).alias("text"))
+    payload = F.struct(F.transform(units, unit).alias("content_units"), pick(meta, LESSON_KEYS).alias("metadata"), s(text).alias("metadata_document_text"))
+    return F.sha2(F.to_json(payload, {"ignoreNullFields": "false"}), 256)
+
+
 def source_label(source_type: Column, file: Column, page: Column, title_: Column, chunk: Column) -> Column:
     """How a source is named in a prompt's context."""
     s = lambda c: F.coalesce(c.cast("string"), F.lit(""))

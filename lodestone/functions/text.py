@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: Characters of a token; dots at its edges are cut off.
 TOKEN = r"([0-9A-Za-zÀ-ỹ_+\-#.]+)"
 FINGERPRINT_CHARS = 500
+_OTHER = r"[^\x00-\x7F]"
 
 
 @cache
@@ -37,10 +38,12 @@ def _folding() -> tuple[str, str, dict[str, str]]:
 def fold_accents(text: Column) -> Column:
     """Lower case without combining marks; letters that have no decomposition stay as they are."""
     source, target, many = _folding()
-    out = F.lower(text)
+    low = F.lower(text)
+    out = low
     for c, bare in many.items():
         out = F.replace(out, F.lit(c), F.lit(bare))
-    return F.translate(out, source, target)
+    # Most texts have none of the letters that become several.
+    return F.translate(F.when(low.rlike(f"[{''.join(many)}]"), out).otherwise(low), source, target)
 
 
 def raw_tokens(text: Column) -> Column:
@@ -51,7 +54,10 @@ def raw_tokens(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """raw_tokens, each followed by its accent-free twin if that differs."""
-    return F.flatten(F.transform(raw_tokens(text), lambda t: F.when(fold_accents(t) != t, F.array(t, fold_accents(t))).otherwise(F.array(t))))
+    raw = raw_tokens(text)
+    # Only tokens with other than ASCII letters are folded, and texts of ASCII letters not even looked at for them.
+    both = F.flatten(F.transform(raw, lambda t: F.when(t.rlike(_OTHER), F.array_distinct(F.array(t, fold_accents(t)))).otherwise(F.array(t))))
+    return F.when(text.rlike(_OTHER), both).otherwise(raw)
 
 
 def fingerprint(text: Column) -> Column:

@@ -37,21 +37,27 @@ def build(corpus: DataFrame, *, key: str = "id", text: str = "text") -> Index:
 def search(corpus: DataFrame, queries: DataFrame, k: int, *, key: str = "id", text: str = "text", k1: float = 1.5, b: float = 0.75, digits: int = 9) -> DataFrame:
     """(query_id, id, keyword_score, keyword_rank) of the k best documents with a score above 0 for each query(query_id, question).
 
-    Only the queries' terms are kept of each document before anything is shuffled; frequencies, document frequencies,
-    their number and mean length come from the whole corpus as given. Ties go to the smaller id.
+    The corpus is tokenised once. Only the queries' terms of a document leave their task, dealt out by document, so
+    term counts and scores need no further shuffle, and each task keeps its k best of a query before the last one.
+    Document frequencies, their number and mean length come from the whole corpus as given, by a marker row of each
+    document. Ties go to the smaller id.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
     wanted = asked.select("term").distinct()
-    # Tokenised once; the array serves the length and the terms.
-    tok = corpus.select(F.col(key).alias("id"), tokens(F.col(text)).alias("tokens"))
-    stats = tok.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    each = tok.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
     if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        wanted = F.broadcast(wanted)
-    postings = each.join(wanted, "term", "left_semi").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = terms.join(F.broadcast(stats)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0).alias("avgdl"))
+        wanted = F.broadcast(wanted.unionByName(queries.sparkSession.createDataFrame([("",)], "term string")))
+    else:
+        wanted = wanted.unionByName(queries.sparkSession.createDataFrame([("",)], "term string"))
+    tok = corpus.select(F.col(key).alias("id"), tokens(F.col(text)).alias("tokens"))
+    # No token is empty, so an empty one marks the document.
+    each = tok.select("id", F.size("tokens").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("term")).where(F.col("term").isNotNull())
+    own = each.join(wanted, "term", "left_semi").repartition("id").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    terms = own.groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("total"))
+    mark = F.col("term") == ""
+    stats = terms.agg(F.coalesce(F.max(F.when(mark, F.col("df"))), F.lit(0)).alias("n"), F.max(F.when(mark, F.col("total") / F.col("df"))).alias("avgdl"))
+    n, avgdl = F.col("n"), F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
+    weights = asked.join(terms.crossJoin(F.broadcast(stats)), "term").select("query_id", "term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), avgdl.alias("avgdl"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = postings.join(asked.join(idf, "term"), "term").groupBy("query_id", "id").agg(F.round(F.sum(weight), digits).alias("keyword_score")).where("keyword_score > 0")
+    scored = own.join(weights, "term").groupBy("query_id", "id").agg(F.round(F.sum(weight), digits).alias("keyword_score")).where("keyword_score > 0")
     best = Window.partitionBy("query_id").orderBy(F.desc("keyword_score"), "id")
     return scored.withColumn("keyword_rank", F.row_number().over(best).cast("long")).where(F.col("keyword_rank") <= k)

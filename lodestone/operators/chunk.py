@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..errors import ConfigError
+from ..sources.scratch import materialize
 
-#: Units are chunked within equal values of these metadata keys.
+# Units are chunked within equal values of these metadata keys.
 SCOPE = ("source_type", "document_id", "page_id", "page_number", "source_granularity", "heading_path")
 _SENTENCE, _PARAGRAPH = re.compile(r"(?<=[.!?。！？])\s+"), re.compile(r"\n\s*\n")
 _GLUE = "\n\n"
+#: Ordinals of a stretch whose scopes are numbered in one task.
+STRETCH = 100_000
 
 
 def check(size: int, overlap: int) -> None:
@@ -152,7 +155,7 @@ def chunk_units(units: DataFrame, size: int, overlap: int, *, scope: tuple[str,
 
     Returns id "<parent>_<granularity>_chunk_<n>", parent_id, chunk_id, text, unit_ids, block_types, block_ids, bbox,
     split_part and the first unit's meta. n runs over the whole call, scopes in the order of their first units; with `call`
-    (a metadata key, such as a page) each of its values is a call of its own, which also bounds the running sum.
+    (a metadata key, such as a page) each of its values is a call of its own.
     A scope's units are folded in one group, so a scope should be a page or a document.
     """
     check(size, overlap)
@@ -168,10 +171,14 @@ def chunk_units(units: DataFrame, size: int, overlap: int, *, scope: tuple[str,
         table["split_part"] = table["split_part"].astype("Int64")
         return table.assign(_call=key[0], scope_first=int(group["ordinal"].min()), n=range(len(rows)))[["_call", *(x.split()[0] for x in CHUNKS.split(", "))]]
 
-    made = own.groupBy(*names).applyInPandas(run, f"_call string, {CHUNKS}")
-    # Scopes are numbered by running sums over one row for each, not over the chunks.
-    counts = made.groupBy("_call", "scope_first").agg(F.count("*").alias("_m"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_m").over(Window.partitionBy("_call").orderBy("scope_first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_m")
+    # Written once, as it is both counted and numbered.
+    made = materialize(own.groupBy(*names).applyInPandas(run, f"_call string, {CHUNKS}"), "chunks")
+    # Scopes are numbered by running sums over one row for each: within stretches of the call, whose own sums are added up first.
+    counts = made.groupBy("_call", "scope_first").agg(F.count("*").alias("_m")).withColumn("_stretch", F.floor(F.col("scope_first") / STRETCH))
+    earlier = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    stretches = counts.groupBy("_call", "_stretch").agg(F.sum("_m").alias("_all")).withColumn("_ahead", F.coalesce(F.sum("_all").over(earlier("_call", "_stretch")), F.lit(0))).drop("_all")
+    inside = counts.withColumn("_inside", F.coalesce(F.sum("_m").over(earlier("_call", "_stretch", "scope_first")), F.lit(0)))
+    before = inside.join(stretches, ["_call", "_stretch"]).select("_call", "scope_first", (F.col("_inside") + F.col("_ahead")).alias("_before"))
     meta = lambda k: F.col("meta").getItem(k)
     document = F.coalesce(F.nullif(meta("document_id"), F.lit("")), F.nullif(meta("page_id"), F.lit("")), F.lit("document"))
     parent = F.coalesce(F.nullif(meta("parent_id"), F.lit("")), F.when(meta("page_number").isNotNull(), F.concat(document, F.lit("_page_"), meta("page_number"))).otherwise(document))

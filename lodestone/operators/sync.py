@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import one_line
 from ..functions.text import parse_iso
 from ..schema import SYNC_STATE
+from ..sources.scratch import materialize
 from ..sources.store import CorpusStore
 
 COUNTERS = ("new", "changed", "hash_unchanged", "skipped", "removed")
@@ -72,11 +78,63 @@ def next_state(changes: DataFrame, state: DataFrame, indexed: DataFrame, now: st
 
 def apply(store: CorpusStore, changes: DataFrame, documents: DataFrame) -> None:
     """Bring the store up to date: rows of changed and removed pages go and documents(id, text, meta, embedding) of new and changed pages come, in one swap."""
-    stale = changes.where(F.col("status").isin("changed", "removed", "new")).select(F.col("page_id").alias("_page"))
-    old = store.read()
-    kept = old.join(stale, F.col("meta").getItem("page_id") == F.col("_page"), "left_anti")
-    fresh = documents.withColumn("source_type", F.coalesce(F.col("meta").getItem("source_type"), F.lit("unknown"))).select(*old.columns)
-    store._swap(kept.join(fresh.select("id"), "id", "left_anti").select(*old.columns).unionByName(fresh))
+    stale = changes.where(F.col("status").isin("changed", "removed", "new")).select("page_id")
+    store.replace_pages(stale, documents)
+
+
+def run(store: CorpusStore, lessons: DataFrame, state: DataFrame, prepare: Callable[[DataFrame], DataFrame], now: str, *, live: bool = True, write_back: Callable[[str, str], None] | None = None) -> Synced:
+    """One sync of lessons(page_id, content_hash, remote_hash, last_edited_time, title, ...) against the state of the last one.
+
+    Only new and changed lessons are prepared: prepare(lessons) -> (id, text, meta with page_id, embedding). The store changes in
+    one swap; then hashes are written back, on the executors; failures are counted and do not stop the sync. Lessons
+    with a blank page_id are left out. live: allow the cheap skips, which trust the remote hash and edit time.
+    """
+    lessons = lessons.where(F.trim(F.coalesce("page_id", F.lit(""))) != "")
+    changes = materialize(diff(lessons.select("page_id", "content_hash", "remote_hash", "last_edited_time", "title"), state, live=live), "changes")
+    due = changes.where(F.col("status").isin("new", "changed")).select("page_id")
+    documents = materialize(prepare(lessons.join(due, "page_id", "left_semi")), "documents")
+    apply(store, changes, documents)
+    indexed = documents.groupBy(F.col("meta").getItem("page_id").alias("page_id")).agg(F.sort_array(F.collect_list("id")).alias("indexed_ids"))
+    after = materialize(next_state(changes, state, indexed, now), "state")
+    written = write_hashes(outbox(changes), write_back) if write_back else outbox(changes).select("page_id", F.lit(None).cast("string").alias("error")).limit(0)
+    written = materialize(written, "written")
+    counts = written.agg(F.count_if(F.col("error") == "").alias("hashes_written"), F.count_if(F.col("error") != "").alias("hash_write_failures"))
+    return Synced(changes, documents, after, summary(changes).crossJoin(counts), written)
+
+
+@dataclass
+class Synced:
+    """What a sync did: status of each page, its new documents, the next state, one row of counters, and each write-back's error."""
+
+    changes: DataFrame
+    documents: DataFrame
+    state: DataFrame
+    summary: DataFrame
+    written: DataFrame
+
+
+def write_hashes(outbox_: DataFrame, write_back: Callable[[str, str], None]) -> DataFrame:
+    """(page_id, error) of write_back(page_id, content_hash) for each row; error is "" if it worked."""
+
+    def run_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            errors = []
+            for page, sha in zip(batch["page_id"], batch["content_hash"], strict=True):
+                try:
+                    write_back(page, sha)
+                    errors.append("")
+                except Exception as e:  # noqa: BLE001  counted
+                    errors.append(one_line(e))
+            yield pd.DataFrame({"page_id": batch["page_id"], "error": errors})
+
+    return outbox_.mapInPandas(run_, "page_id string, error string")
+
+
+def repair_state(state: DataFrame, store: CorpusStore, *, page: str = "page_id") -> DataFrame:
+    """state with indexed_ids as the store holds them; pages of which the store holds nothing lose their hash, so that the next sync takes them anew."""
+    held = store.get().groupBy(F.col("meta").getItem(page).alias("page_id")).agg(F.sort_array(F.collect_list("id")).alias("_ids"))
+    own = state.join(held, "page_id", "left")
+    return own.withColumns({"content_hash": F.when(F.col("_ids").isNotNull(), F.col("content_hash")).otherwise(""), "indexed_ids": F.coalesce("_ids", F.array().cast("array<string>"))}).select(*state.columns)
 
 
 def outbox(changes: DataFrame) -> DataFrame:

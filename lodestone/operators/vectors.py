@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.text import distance_to_score
 
-#: Query vectors that are sent to every executor at once.
-BLOCK = 10_000
+#: Query vectors that are sent to every executor at once; distances that a task holds at once.
+BLOCK, CELLS = 2_000, 1 << 21
 
 
 def squared_distance(left: Column, right: Column) -> Column:
@@ -17,22 +23,58 @@ def squared_distance(left: Column, right: Column) -> Column:
     return F.aggregate(F.zip_with(left, right, lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
+def _nearest(ids: list, asked: np.ndarray, k: int, digits: int, kind: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's k nearest rows of each query vector, and all rows as near as the last of them: one matrix product for a slice of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        norms, best = (asked * asked).sum(1), np.full(len(asked), np.inf)
+        for batch in batches:
+            values = batch.column(1)
+            own = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
+            step = max(1, CELLS // len(asked))
+            for lo in range(0, len(own), step):
+                part = own[lo : lo + step]
+                rough = norms[:, None] + (part * part).sum(1)[None, :] - 2 * asked @ part.T
+                # A row that is clearly farther than k others of this slice, or of an earlier one, is out; the rest is measured exactly.
+                if len(part) >= k:
+                    best = np.minimum(best, np.partition(rough, k - 1, axis=1)[:, k - 1])
+                q, r = np.nonzero(rough <= (best + 1e-6 * (1 + np.abs(best)))[:, None])
+                at = 0
+                while at < len(q):
+                    a, b = q[at : at + step], r[at : at + step]
+                    exact = np.round(((part[b] - asked[a]) ** 2).sum(1), digits)
+                    rows = pa.array((b + lo).astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in a.tolist()], kind), batch.column(0).take(rows), pa.array(exact)], ["query_id", "id", "distance"])
+                    at += step
+
+    return run
+
+
 def search(corpus: DataFrame, queries: DataFrame, k: int, *, key: str = "id", vector: str = "embedding", digits: int = 9) -> DataFrame:
     """(query_id, id, distance, vector_score, vector_rank) of the k nearest rows for each query(query_id, vector).
 
-    The query side is checked: up to BLOCK vectors are broadcast and every task keeps its k best of each query before
-    the shuffle; more queries go in blocks. Null or empty vectors match nothing. Ties go to the smaller id.
+    Query vectors go to the executors in blocks of at most BLOCK of one size; rows of that size are compared with a block
+    by matrix products, a slice at a time, and only those that can be among the k nearest leave their task. Null or empty vectors match
+    nothing. Ties go to the smaller id.
     """
     own = corpus.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(key).alias("id"), F.col(vector).alias("_v"))
-    asked = queries.where(F.col("vector").isNotNull() & (F.size("vector") > 0)).select("query_id", F.col("vector").alias("_q"))
-    n = asked.count()
-    blocks, out = max(1, -(-n // BLOCK)), None
-    for i in range(blocks):
-        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        found = own.join(F.broadcast(part), F.size("_v") == F.size("_q")).select("query_id", "id", F.round(squared_distance(F.col("_v"), F.col("_q")), digits).alias("distance"))
-        best = Window.partitionBy("query_id").orderBy("distance", "id")
-        found = found.withColumn("vector_rank", F.row_number().over(best).cast("long")).where(F.col("vector_rank") <= k)
-        out = found if out is None else out.unionByName(found)
+    asked = queries.where(F.col("vector").isNotNull() & (F.size("vector") > 0)).select("query_id", F.col("vector").cast("array<double>").alias("_q"))
+    sizes = asked.groupBy(F.size("_q").alias("size")).count().collect()  # a row for each size of vectors
+    kind, out = to_arrow_type(asked.schema["query_id"].dataType), None
+    schema = StructType([StructField("query_id", asked.schema["query_id"].dataType), StructField("id", own.schema["id"].dataType), StructField("distance", DoubleType())])
+    for size, n in sizes:
+        blocks = -(-n // BLOCK)
+        for i in range(blocks):
+            part = asked.where((F.size("_q") == size) & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)).toArrow()
+            if not part.num_rows:
+                continue
+            matrix = np.array(part["_q"].to_pylist(), np.float64)
+            found = own.where(F.size("_v") == size).mapInArrow(_nearest(part["query_id"].to_pylist(), matrix, k, digits, kind), schema)
+            out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = queries.sparkSession.createDataFrame([], schema)
+    best = Window.partitionBy("query_id").orderBy("distance", "id")
+    out = out.withColumn("vector_rank", F.row_number().over(best).cast("long")).where(F.col("vector_rank") <= k)
     return out.withColumn("vector_score", F.round(distance_to_score(F.col("distance")), digits))
 
 

@@ -12,6 +12,7 @@ from ..config import Settings
 from ..errors import ConfigError
 from ..functions.metadata import source_label
 from ..operators import bm25, fuse, rank, vectors
+from ..sources.scratch import materialize
 from ..sources.store import as_filter
 from .providers import NOT_FOUND, extract_answer, with_retries
 
@@ -25,23 +26,43 @@ def mode_of(name: str) -> str:
     return MODES[clean]
 
 
-def retrieve(corpus: DataFrame, questions: DataFrame, k: int, *, mode: str = "vector", where: Mapping[str, object] | Column | None = None, candidate_k: int | None = None, settings: Settings | None = None) -> DataFrame:
+def _asked(questions: DataFrame, k: int = 1) -> DataFrame:
+    return questions.where(F.trim(F.coalesce("question", F.lit(""))) != "").where(F.lit(k > 0))
+
+
+def channels(corpus: DataFrame, questions: DataFrame, depth: int, modes: set[str], *, where: Mapping[str, object] | Column | None = None, settings: Settings | None = None) -> dict[str, DataFrame]:
+    """The hits of each channel that the modes need, `depth` for each question, written once for several uses."""
+    s, condition = settings or Settings(), as_filter(where)
+    own = corpus if condition is None else corpus.where(condition)
+    out = {}
+    if modes & {"vector", "hybrid_rrf"}:
+        out["vector"] = materialize(vectors.search(own, _asked(questions), depth), "near")
+    if modes & {"keyword", "hybrid_rrf"}:
+        out["keyword"] = materialize(bm25.search(own, _asked(questions), depth, k1=s.bm25_k1, b=s.bm25_b), "keyword")
+    return out
+
+
+def retrieve(
+    corpus: DataFrame, questions: DataFrame, k: int, *, mode: str = "vector", where: Mapping[str, object] | Column | None = None, candidate_k: int | None = None, settings: Settings | None = None, found: dict[str, DataFrame] | None = None
+) -> DataFrame:
     """The k best rows of corpus(id, text, [embedding, meta]) for each of questions(query_id, question, [vector]).
 
     Returns query_id, question, rank, id, text, the channels' scores and ranks, and retrieval_mode. The filter comes before
-    keyword statistics. Keyword mode needs no vectors. Blank questions and k <= 0 give no rows.
+    keyword statistics. Keyword mode needs no vectors. Blank questions and k <= 0 give no rows. found: hits of the
+    channels that were searched before, as deep at least.
     """
     s, mode = settings or Settings(), mode_of(mode)
     condition = as_filter(where)
     own = corpus if condition is None else corpus.where(condition)
-    asked = questions.where(F.trim(F.coalesce("question", F.lit(""))) != "").where(F.lit(k > 0))
-    take = max(k, candidate_k or s.candidate_k)
+    asked, take = _asked(questions, k), max(k, candidate_k or s.candidate_k)
+    near = lambda n: found["vector"].where(F.col("vector_rank") <= n) if found else vectors.search(own, asked, n)
+    held = lambda n: found["keyword"].where(F.col("keyword_rank") <= n) if found else bm25.search(own, asked, n, k1=s.bm25_k1, b=s.bm25_b)
     if mode == "vector":
-        hits = vectors.search(own, asked, k).withColumns({"rank": F.col("vector_rank"), "retrieval_mode": F.lit(mode)})
+        hits = near(k).withColumns({"rank": F.col("vector_rank"), "retrieval_mode": F.lit(mode)})
     elif mode == "keyword":
-        hits = bm25.search(own, asked, k, k1=s.bm25_k1, b=s.bm25_b).withColumns({"rank": F.col("keyword_rank"), "retrieval_mode": F.lit(mode)})
+        hits = held(k).withColumns({"rank": F.col("keyword_rank"), "retrieval_mode": F.lit(mode)})
     else:
-        hits = fuse.rrf(vectors.search(own, asked, take), bm25.search(own, asked, take, k1=s.bm25_k1, b=s.bm25_b), k, take, rrf_k=s.rrf_k)
+        hits = fuse.rrf(near(take), held(take), k, take, rrf_k=s.rrf_k)
     return hits.join(asked.select("query_id", "question"), "query_id").join(own.drop("embedding", "question"), "id")
 
 
@@ -54,22 +75,26 @@ def build_context(sources: DataFrame, order: str = "rank") -> DataFrame:
     return sources.groupBy("query_id").agg(F.array_join(F.transform(held, line), "\n\n").alias("context"))
 
 
-def select_sources(corpus: DataFrame, questions: DataFrame, *, top_k: int | None = None, mode: str = "vector", where: Mapping[str, object] | Column | None = None, candidate_k: int | None = None, rerank: bool | None = None, scorer: rank.Scorer | None = None, rerank_top_n: int | None = None, mmr: bool | None = None, mmr_lambda: float | None = None, settings: Settings | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(candidates, reranked, sources): the funnel of a question. A value of 0 counts as not given."""
+def select_sources(corpus: DataFrame, questions: DataFrame, *, top_k: int | None = None, mode: str = "vector", where: Mapping[str, object] | Column | None = None, candidate_k: int | None = None, rerank: bool | None = None, scorer: rank.Scorer | None = None, rerank_top_n: int | None = None, mmr: bool | None = None, mmr_lambda: float | None = None, settings: Settings | None = None, found: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates, reranked, sources): the funnel of a question. A value of 0 counts as not given.
+
+    Each step is written, at most a few dozen rows for each question, so none is planned again for the next one or for counts.
+    """
     s = settings or Settings()
     final = max(1, top_k or s.final_context_k)
     rerank = s.rerank_enabled if rerank is None else rerank
     mmr = s.mmr_enabled if mmr is None else mmr
     take = max(final, candidate_k or (s.rerank_candidates if rerank or mmr else final))
-    found = retrieve(corpus, questions, take, mode=mode, where=where, candidate_k=take, settings=s)
+    found = materialize(retrieve(corpus, questions, take, mode=mode, where=where, candidate_k=take, settings=s, found=found), "candidates")
     better = rank.rerank(found, max(final, rerank_top_n or s.rerank_top_n), scorer, provider="none" if scorer is None else "overlap") if rerank else found
+    better = materialize(better, "reranked") if rerank and scorer else better
     order = F.col("rerank_rank") if rerank else F.col("rank")
     ranked = better.withColumn("rank", order)
     if mmr:
         chosen = rank.mmr(ranked, final, lambda_=s.mmr_lambda if mmr_lambda is None else mmr_lambda, similarity=s.mmr_similarity).withColumn("final_rank", F.col("mmr_rank"))
     else:
         chosen = ranked.where(F.col("rank") <= final).withColumn("final_rank", F.col("rank"))
-    return found, better, chosen
+    return found, better, materialize(chosen, "sources") if mmr else chosen
 
 
 def answer(corpus: DataFrame, questions: DataFrame, *, generator: Callable[[str], str] | None = extract_answer, attempts: int = 0, delay: float = 0.0, **options: object) -> DataFrame:

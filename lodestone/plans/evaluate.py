@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..config import Settings
+from ..errors import one_line
 from ..functions.text import escape_markdown, finite, join_list, metric_summary, preview
-from .answer import answer
+from .answer import MODES, answer, channels
 
 # Metrics of the judge, the presets, and the columns of the report.
 METRICS = ("faithfulness", "answer_relevancy", "context_precision", "context_recall")
@@ -28,6 +32,8 @@ REPORT_COLUMNS = (
 
 #: judge(question, answer, contexts, ground_truth) -> metric values; runs on executors.
 Judge = Callable[[str, str, list[str], str], dict[str, float]]
+#: Records that go to a judge between two delays.
+JUDGE_BATCH = 4
 
 
 def run(corpus: DataFrame, samples: DataFrame, presets: list[str], *, top_k: int = 4, candidate_k: int | None = None, limit: int | None = None, judge: Judge | None = None, **options: object) -> DataFrame:
@@ -35,12 +41,16 @@ def run(corpus: DataFrame, samples: DataFrame, presets: list[str], *, top_k: int
     if limit:
         samples = samples.orderBy("sample_id").limit(limit)
     asked = samples.withColumnRenamed("sample_id", "query_id")
+    # The channels are searched once, as deep as any preset needs.
+    settings = options.get("settings") or Settings()
+    deep = {n: candidate_k or (settings.rerank_candidates if PRESETS[n]["rerank"] or PRESETS[n]["mmr"] else top_k) for n in presets}
+    found = channels(corpus, asked, max([top_k, *deep.values()]), {MODES[PRESETS[n]["mode"]] for n in presets}, settings=settings, where=options.get("where"))
     out = None
     for name in presets:
         p = PRESETS[name]
-        got = answer(corpus, asked, mode=p["mode"], rerank=p["rerank"], mmr=p["mmr"], top_k=top_k, candidate_k=candidate_k, **options)
+        got = answer(corpus, asked, mode=p["mode"], rerank=p["rerank"], mmr=p["mmr"], top_k=top_k, candidate_k=candidate_k, found=found, **options)
         got = got.withColumnRenamed("query_id", "sample_id").withColumns(
-            {"pipeline_name": F.lit(name), "pipeline_label": F.lit(p["label"]), "retrieval_mode": F.lit(p["mode"]), "candidate_k": F.lit(candidate_k or (30 if p["rerank"] or p["mmr"] else top_k)).cast("long"), "rerank_enabled": F.lit(p["rerank"]), "mmr_enabled": F.lit(p["mmr"])}
+            {"pipeline_name": F.lit(name), "pipeline_label": F.lit(p["label"]), "retrieval_mode": F.lit(p["mode"]), "candidate_k": F.lit(deep[name]).cast("long"), "rerank_enabled": F.lit(p["rerank"]), "mmr_enabled": F.lit(p["mmr"])}
         )
         out = got if out is None else out.unionByName(got)
     extra = [c for c in ("ground_truth", "expected_source_notes", "tags") if c in samples.columns]
@@ -59,15 +69,54 @@ def skip_reason(error: Column, answer_: Column, contexts: Column, truth: Column)
     )
 
 
-def score(records: DataFrame, judge: Judge | None) -> DataFrame:
-    """records with metrics map<string,double> (finite values only) and ragas_error."""
+def score(records: DataFrame, judge: Judge | None, *, batch: int = JUDGE_BATCH, delay: float = 0.0, attempts: int = 0, secrets: tuple[str, ...] = ()) -> DataFrame:
+    """records with metrics map<string,double> (finite values only) and ragas_error.
+
+    Records that cannot be judged are not sent and tell why. After each batch a task waits for the delay; a record whose
+    judge fails is tried again up to `attempts` times, and then tells the error, secrets masked.
+    """
     truth = F.col("ground_truth") if "ground_truth" in records.columns else F.lit(None).cast("string")
     own = records.withColumn("ragas_error", skip_reason(F.col("error"), F.col("answer"), F.col("contexts"), truth))
     if judge is None:
         return own.withColumns({"metrics": F.lit(None).cast("map<string,double>"), "ragas_error": F.lit(None).cast("string")})
-    call = F.udf(lambda q, a, c, t: {k: float(v) for k, v in judge(q, a, c, t).items()}, "map<string,double>")
-    got = F.when(F.col("ragas_error").isNull(), call("question", "answer", "contexts", truth))
-    return own.withColumn("metrics", F.map_filter(got, lambda k, v: finite(v).isNotNull()))
+
+    @F.pandas_udf("metrics map<string,double>, error string")
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        sent = 0
+        for asked in batches:
+            out: list[tuple[dict | None, str | None]] = []
+            for skip, *row in zip(*asked, strict=True):
+                if skip is not None:
+                    out.append((None, None))
+                    continue
+                if sent and sent % batch == 0:
+                    time.sleep(delay)
+                sent += 1
+                out.append(_judged(judge, row, attempts, delay, secrets))
+            yield pd.DataFrame({"metrics": pd.Series([m for m, _ in out], dtype=object), "error": pd.Series([e for _, e in out], dtype=object)})
+
+    own = own.withColumn("_got", run("ragas_error", "question", "answer", "contexts", truth))
+    return own.withColumns({"metrics": F.map_filter("_got.metrics", lambda k, v: finite(v).isNotNull()), "ragas_error": F.coalesce("ragas_error", "_got.error")}).drop("_got")
+
+
+def _judged(judge: Judge, row: list, attempts: int, delay: float, secrets: tuple[str, ...]) -> tuple[dict | None, str | None]:
+    error = ""
+    for n in range(attempts + 1):
+        try:
+            question, answer_, contexts, truth = row
+            return {k: float(v) for k, v in judge(question, answer_, [] if contexts is None else list(contexts), truth).items()}, None
+        except Exception as e:  # noqa: BLE001  told in the record
+            error = one_line(e, secrets)
+            if n < attempts:
+                time.sleep(delay)
+    return None, f"failed: {error}"
+
+
+def backfill(records: DataFrame, judge: Judge, **options: object) -> DataFrame:
+    """records with those judged anew that have an answer but neither metrics nor a reason; the others stay as they are."""
+    open_ = F.col("metrics").isNull() & F.col("ragas_error").isNull()
+    done = records.where(~open_)
+    return done.unionByName(score(records.where(open_).drop("metrics", "ragas_error"), judge, **options).select(*done.columns))
 
 
 def summarize(records: DataFrame) -> DataFrame:
@@ -124,6 +173,38 @@ def markdown(records: DataFrame, testset: str, now: str) -> str:
     return "\n".join(lines) + "\n"
 
 
+#: Words of the window by which passages and documents are joined; windows that are sent to every executor.
+WORDS, BROADCAST_WINDOWS = 4, 200_000
+
+
+def holders(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(query_id, id): docs(id, text) that hold the text of passages(query_id, question), whatever stands around it.
+
+    All words of a passage but its first and last are words of a text that holds it; a window of them is joined by its hash, and
+    what is found is verified. Passages of fewer than three words are compared with every document.
+    """
+    cut = lambda c: F.split(c, r"\s+")
+    asked = passages.where("question is not null").select("query_id", "question", cut(F.col("question")).alias("_w"))
+    inner = F.size("_w") - 2
+    out = None
+    for n, whose in ((WORDS, inner >= WORDS), (1, (inner > 0) & (inner < WORDS))):
+        keys = asked.where(whose).select("query_id", "question", F.xxhash64(F.slice("_w", 2, n)).alias("_key"))
+        if keys.isEmpty():
+            continue
+        if keys.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
+            keys = F.broadcast(keys)
+        held = docs.select("id", cut(F.col("text")).alias("_w")).where(F.size("_w") >= n)
+        held = held.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.xxhash64(F.slice("_w", i, F.lit(n)))))).alias("_key"))
+        met = held.join(keys, "_key").select("id", "query_id", "question").distinct()
+        found = met.join(docs.select("id", "text"), "id").where(F.contains("text", "question")).select("query_id", "id")
+        out = found if out is None else out.unionByName(found)
+    short = asked.where(inner <= 0).select("query_id", "question")
+    if out is None or not short.isEmpty():
+        found = docs.select("id", "text").join(short, F.contains("text", "question")).select("query_id", "id")
+        out = found if out is None else out.unionByName(found)
+    return out.distinct()
+
+
 def recall_at_k(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """(query_id, n_relevant, n_found, recall) over queries with a relevant id."""
     found = hits.where(F.col("rank") <= k).join(relevant, ["query_id", "id"], "left_semi").groupBy("query_id").agg(F.count("*").alias("n_found"))

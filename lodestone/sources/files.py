@@ -35,8 +35,9 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def read_binaries(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """path, content, document_id (SHA-256 of the content) and mime of each file."""
-    mime = F.udf(lambda p: mimetypes.guess_type(p)[0] or "application/octet-stream", "string")
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content", F.sha2("content", 256).alias("document_id"), mime("path").alias("mime"))
+    ending = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    known = F.create_map(*(F.lit(x) for e, kind in sorted(mimetypes.types_map.items()) for x in (e.lstrip("."), kind)))
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content", F.sha2("content", 256).alias("document_id"), F.coalesce(known[ending], F.lit("application/octet-stream")).alias("mime"))
 
 
 Parser = Callable[[bytes], list[dict]]
@@ -68,13 +69,19 @@ def box(value: object) -> str:
     return ",".join(f"{float(v):.2f}" for v in value) if isinstance(value, list | tuple) and len(value) == 4 else ""
 
 
+def table_lines(rows: list[list[str]]) -> str:
+    """Rows of cells as a Markdown table: empty rows go, short ones are padded, the first is the header."""
+    full = [r for r in rows if any(r)]
+    width = max(map(len, full), default=0)
+    padded = [[c.replace("|", "\\|") for c in r] + [""] * (width - len(r)) for r in full]
+    return "\n".join(f"| {' | '.join(r)} |" for r in [*padded[:1], ["---"] * width, *padded[1:]]) if full else ""
+
+
 def pdf_units(files: DataFrame, parser: Parser = pdf_blocks, ocr: Callable[[bytes], dict] | None = None, cap: int = 20) -> DataFrame:
     """UNIT rows of files(path, content, document_id): text blocks in page order, OCR of images up to a cap, then all tables.
 
     A failed OCR leaves a marked unit (ocr_error). A file that has no pages is an error.
     """
-    from ..operators.blocks import table_lines
-
     def units(path: str, content: bytes, sha: str) -> Iterator[tuple]:
         pages = parser(bytes(content))
         if not pages:

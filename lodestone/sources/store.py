@@ -1,15 +1,17 @@
-"""The corpus store: versions of a Parquet table with a pointer to the current one."""
+"""The corpus store: a bucketed Parquet table, with a list of the buckets of each version."""
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import StoreError
 from ..schema import STORED
+from .scratch import materialize
 
 
 def as_filter(where: Mapping[str, object] | Column | None) -> Column | None:
@@ -23,58 +25,104 @@ def as_filter(where: Mapping[str, object] | Column | None) -> Column | None:
     return out
 
 
+#: Buckets of a new store. A change rewrites the buckets that it touches.
+BUCKETS = 64
+
+
 class CorpusStore:
-    """Documents with vectors under a path, partitioned by source_type; one writer at a time.
+    """Documents with vectors under a path, in buckets by id; one writer at a time.
 
-    A mutation writes a new version and then swaps the pointer, so readers see the old or the new version, and a failed
-    write leaves the old one. Files go through Hadoop's file systems.
+    A mutation writes the buckets that it touches anew, and then a list of where each bucket is; the newest list counts.
+    So readers see the old or the new version, a failed write leaves the old one, and what a small change costs does not
+    grow with the store. Files go through Hadoop's file systems.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.new_buckets = spark, path.rstrip("/"), buckets
         jvm = spark.sparkContext._jvm
         self._p = jvm.org.apache.hadoop.fs.Path
         self._fs = self._p(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._p(self.path))
 
-    def _pointer(self) -> str | None:
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._p(self.path)) if s.getPath().getName().startswith("CURRENT-"))
-        return names[-1].partition("-v-")[2] if names else None
+    def _lists(self) -> list[str]:
+        return sorted(n for s in self._fs.listStatus(self._p(self.path)) if (n := s.getPath().getName()).startswith("CURRENT-"))
 
-    def read(self) -> DataFrame:
-        current = self._pointer()
-        if current is None:
-            return self.spark.createDataFrame([], STORED)
-        return self.spark.read.schema(STORED).parquet(f"{self.path}/{current}")
+    def _list(self, name: str | None) -> dict:
+        """{"buckets": their number, "at": {bucket: folder}} of a version."""
+        if name is None:
+            return {"buckets": self.new_buckets, "at": {}}
+        return json.loads(self.spark.read.text(f"{self.path}/{name}", wholetext=True).first().value)
 
-    def _swap(self, table: DataFrame) -> None:
+    def _current(self) -> dict:
+        names = self._lists()
+        return self._list(names[-1] if names else None)
+
+    def _read(self, current: dict, buckets: set[int] | None = None) -> DataFrame:
+        paths = [f"{self.path}/{folder}" for b, folder in current["at"].items() if buckets is None or int(b) in buckets]
+        return self.spark.read.schema(STORED).parquet(*paths) if paths else self.spark.createDataFrame([], STORED)
+
+    def read(self) -> DataFrame:
+        return self._read(self._current())
+
+    def _rewrite(self, touched: Callable[[Column], DataFrame], keep: Callable[[DataFrame], DataFrame], fresh: DataFrame | None = None) -> None:
+        """Write anew the buckets of touched(bucket of an id): what keep() leaves of their rows, and the fresh rows."""
+        current = self._current()
+        bucket = F.pmod(F.xxhash64("id"), F.lit(current["buckets"])).cast("int").alias("bucket")
+        numbers = {r.bucket for r in touched(bucket).distinct().collect()}  # at most as many as there are buckets
+        if not numbers:
+            return
+        table = keep(self._read(current, numbers)).select(*STORED.names)
+        table = table if fresh is None else table.unionByName(fresh.select(*STORED.names))
         name = f"data-{uuid.uuid4().hex}"
-        table.select(*STORED.names).write.partitionBy("source_type").parquet(f"{self.path}/{name}")
-        old = sorted(s.getPath().getName() for s in self._fs.listStatus(self._p(self.path)) if s.getPath().getName().startswith("CURRENT-"))
-        number = int(old[-1][8:20]) + 1 if old else 0
-        self._fs.create(self._p(f"{self.path}/CURRENT-{number:012d}-v-{name}")).close()
-        for o in old[:-1]:  # readers of the last version may still run
+        table.select("*", bucket).repartition(len(numbers), "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{name}")
+        written = [n for s in self._fs.listStatus(self._p(f"{self.path}/{name}")) if (n := s.getPath().getName()).startswith("bucket=")]
+        at = {b: folder for b, folder in current["at"].items() if int(b) not in numbers} | {n.partition("=")[2]: f"{name}/{n}" for n in written}
+        old = self._lists()
+        out = self._fs.create(self._p(f"{self.path}/CURRENT-{int(old[-1][8:20]) + 1 if old else 0:012d}"))
+        out.write(bytearray(json.dumps({"buckets": current["buckets"], "at": at}).encode()))
+        out.close()
+        # Readers of the last version may still run; folders of older ones go.
+        live = {*at.values(), *current["at"].values()}
+        for o in old[:-1]:
+            for folder in set(self._list(o)["at"].values()) - live:
+                self._fs.delete(self._p(f"{self.path}/{folder}"), True)
             self._fs.delete(self._p(f"{self.path}/{o}"), False)
-            self._fs.delete(self._p(f"{self.path}/{o.partition('-v-')[2]}"), True)
 
-    def upsert(self, rows: DataFrame) -> None:
-        """Replace by id, add what is new. Of repeated ids in the batch one wins; a row without a vector is refused."""
-        rows = rows.withColumn("source_type", F.coalesce(F.col("meta").getItem("source_type"), F.lit("unknown")))
+    def _checked(self, rows: DataFrame) -> DataFrame:
+        """The rows to store, written once: of repeated ids one; a row without a vector is refused."""
+        rows = rows.withColumn("source_type", F.coalesce(F.col("meta").getItem("source_type"), F.lit("unknown"))).dropDuplicates(["id"]).select(*STORED.names)
+        rows = materialize(rows, "upsert")
         if not rows.where(F.col("embedding").isNull() | (F.size("embedding") < 1)).isEmpty():
             raise StoreError("every document needs a vector")
-        rows = rows.dropDuplicates(["id"])
-        self._swap(self.read().join(rows.select("id"), "id", "left_anti").select(*STORED.names).unionByName(rows.select(*STORED.names)))
+        return rows
+
+    def upsert(self, rows: DataFrame) -> None:
+        """Replace by id, add what is new. Of repeated ids in the batch one wins; a row without a vector is refused."""
+        rows = self._checked(rows)
+        self._rewrite(lambda bucket: rows.select(bucket), lambda old: old.join(rows.select("id"), "id", "left_anti"), rows)
 
     def delete(self, where: Mapping[str, object] | Column | None) -> None:
         """Delete the rows that match; nothing for an empty condition or a blank value."""
         if where is None or (isinstance(where, Mapping) and (not where or any(v in (None, "") for v in where.values()))):
             return
-        self._swap(self.read().where(~F.coalesce(as_filter(where), F.lit(False))))
+        gone = F.coalesce(as_filter(where), F.lit(False))
+        self._rewrite(lambda bucket: self.read().where(gone).select(bucket), lambda old: old.where(~gone))
 
     def replace_source(self, source_type: str, rows: DataFrame) -> None:
         """One source's rows anew, other sources as they are, in one swap."""
-        rows = rows.withColumn("source_type", F.lit(source_type)).select(*STORED.names)
-        self._swap(self.read().where(F.col("source_type") != source_type).unionByName(rows))
+        rows = self._checked(rows).withColumn("source_type", F.lit(source_type))
+        own = F.col("source_type") == source_type
+        self._rewrite(lambda bucket: self.read().where(own).select(bucket).unionByName(rows.select(bucket)), lambda old: old.where(~own).join(rows.select("id"), "id", "left_anti"), rows)
+
+    def replace_pages(self, pages: DataFrame, rows: DataFrame) -> None:
+        """Remove all rows of pages(page_id), and add or replace the rows, in one swap."""
+        rows, stale = self._checked(rows), pages.select(F.col("page_id").alias("_page")).distinct()
+        of = F.col("meta").getItem("page_id") == F.col("_page")
+        self._rewrite(
+            lambda bucket: self.read().join(stale, of, "left_semi").select(bucket).unionByName(rows.select(bucket)),
+            lambda old: old.join(stale, of, "left_anti").join(rows.select("id"), "id", "left_anti"),
+            rows,
+        )
 
     def get(self, where: Mapping[str, object] | Column | None = None, limit: int | None = None) -> DataFrame:
         """id, text, meta; the filter reaches the scan, and vectors are not read."""

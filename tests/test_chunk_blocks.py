@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 
@@ -73,6 +74,18 @@ def test_heading_paths_forget_deeper_levels(spark):
     assert [r.heading_path for r in got] == ["A", "A > B", "A > B", "A > C", "D"]
 
 
+def test_heading_paths_equal_a_stack(spark):
+    r = random.Random(5)
+    rows = [(f"d{i % 7}", i, r.choice([None, 1, 2, 3, 3]), f"t{i}") for i in range(300)]
+    got = {x.n: x.heading_path for x in blocks.heading_paths(spark.createDataFrame(rows, "doc string, n long, level long, text string"), "doc", "n").collect()}
+    stacks: dict = {}
+    for doc, n, level, text_ in rows:
+        own = stacks.setdefault(doc, [])
+        if level:
+            own[level - 1 :] = [text_]
+        assert got[n] == " > ".join(own)
+
+
 def test_block_tree_by_recursion(spark):
     rows = [("p", "a", None, 0), ("p", "b", "a", 0), ("p", "c", "b", 1)]
     got = blocks.block_tree(spark.createDataFrame(rows, "page_id string, id string, parent_id string, position int")).orderBy("depth").collect()

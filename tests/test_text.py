@@ -11,7 +11,7 @@ def one(spark, column, **values):
 
 
 def test_tokens_keep_accents_and_add_plain_twins(spark):
-    assert one(spark, text.tokens(F.col("t")), t="Giới thiệu match-case range() đ.") == ["giới", "gioi", "thiệu", "thieu", "match-case", "range", "đ"]
+    assert one(spark, text.tokens(F.col("t")), t="Phở bò, c++ v1.2 Über_x đá.") == ["phở", "pho", "bò", "bo", "c++", "v1.2", "über_x", "uber_x", "đá", "đa"]
     assert one(spark, text.tokens(F.col("t")), t=None) == []
     assert one(spark, text.tokens(F.col("t")), t="... ()") == []
 
@@ -80,7 +80,7 @@ def test_page_metadata_by_alias(spark):
 
 
 def test_empty_titles_are_not_worth_indexing(spark):
-    df = spark.createDataFrame([("Emty",), ("  ",), ("Real",)], "title string")
+    df = spark.createDataFrame([(" EMPTY ",), ("  ",), ("Week one",)], "title string")
     none = F.lit(None).cast("string")
     got = df.select(metadata.worth_indexing(title=F.col("title"), week=none, date=none, module=none, lecturer=none, label=F.lit("x")).alias("w")).collect()
     assert [r.w for r in got] == [False, False, True]
