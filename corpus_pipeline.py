@@ -14,23 +14,31 @@ ORACLE_SQL = None
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; a null or empty text fails them, repeated rows are judged alike."""
     return quality.quality_rules(docs).where("kept").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their site's boilerplate lines."""
+    """Documents without their site's boilerplate lines. Every row stays; a null text stays null."""
     return line_dedup.drop_lines(docs).selectExpr("doc_id", "text", "lang", "source", "cast(length(text) as bigint) as n_chars")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest doc_id. Rows without an id pass."""
-    first = jaccard_join.similar(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    """One document of each group of near duplicates: that with the smallest doc_id.
+
+    Of repeated rows one stays. Rows without an id, and empty texts, are in no group and pass.
+    """
+    found = common.materialize(jaccard_join.similar(docs).where("doc_id = component_id").select("doc_id"), "near")
+    once = found.groupBy("doc_id").agg(F.count("*").alias("n"))
+    docs = docs.select(*COLUMNS)
+    # Rows of ids that come once are not moved for their copies' sake.
+    alone = docs.join(once.where("n = 1").select("doc_id"), "doc_id", "left_semi")
+    again = docs.join(once.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return alone.unionByName(again).select(*COLUMNS).unionByName(docs.where("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark. Null and empty texts hold none; repeated rows go or stay together."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     # Rows without an id go by their text.
     named, nameless = docs.where("doc_id is not null"), docs.where("doc_id is null").withColumn("_text", F.xxhash64("text"))
@@ -41,7 +49,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences."""
+    """Training sequences of all rows; a null or empty text is its end id alone."""
     pieces = packing.pack(docs, tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

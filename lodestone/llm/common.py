@@ -1,70 +1,26 @@
-"""What the operators of this subpackage share: the shared folder, written intermediate tables and small SQL pieces."""
+"""What the operators of this subpackage share: written intermediate tables, memory of Python workers and small SQL pieces."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import functools
 import inspect
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import fresh_path, materialize, shared_dir
+
+__all__ = ["fresh_path", "materialize", "shared_dir"]
+
 #: The white space that ends a word: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
 #: Bytes of rows that are sent to a Python worker at once: it and the JVM each hold a few such batches.
 BATCH, _BATCH_KEY, _BATCH_DEFAULT = "4m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir of the session.
-
-    Where it is unset (tests, a single machine), a temporary folder is set for the session and used.
-    """
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lodestone-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(_clean)
-    _written.append((spark, path))
-    return path
-
-
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the session may have gone first
-            return
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives the loss of any executor."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def small_batches(spark: SparkSession) -> None:
     """Set the size of batches to BATCH for the session, unless it has a size of its own."""

@@ -2,7 +2,8 @@
 
 Numbers, names and units become typed placeholders, so a question whose parameters were changed keeps its template.
 Windows of template tokens are hash-joined with the benchmark's, matches are lined up, and the slots must agree:
-one value of the item always stands for one value of the document, and the other way round.
+one value of the item always stands for one value of the document, and the other way round. A window of placeholders
+alone says nothing of its template, so it is joined by its values; next to a found window placeholders count as they are.
 """
 
 from __future__ import annotations
@@ -12,11 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, small_batches
-from .hashing import SpanHasher, mix
+from .common import fresh_path, lean, materialize, small_batches
+from .folding import fold
+from .hashing import Sequence, SpanHasher, common, mix
 from .packing import slices
 
 #: Template tokens of a window, the share of an item's template tokens that must be found, the tokens found verbatim that
@@ -39,8 +42,6 @@ _BLANK, _LETTER, _DIGIT = 0, 1, 2
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[[*range(65, 91), *range(97, 123), *range(0x80, 0x100)]] = _LETTER
 _CLASS[range(48, 58)] = _DIGIT
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _STOP = np.zeros(256, np.int32)
 _STOP[list(b".!?:;\n\"")] = 1
 _NUMBER, _NAME, _UNIT = (np.uint64(int(x)) for x in (0x6E756D, 0x6E616D, 0x756E69))
@@ -70,12 +71,8 @@ class Canon:
 
     def __call__(self, texts: list[bytes], names: bool = True) -> Templates:
         """names: whether names are placeholders; else they are words, as in texts whose case was changed."""
-        data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-        begin = np.cumsum([0] + [len(t) + 1 for t in texts])
-        low = _LOWER[data]
-        after_c3 = np.flatnonzero(data[:-1] == 0xC3) + 1
-        capital = after_c3[(data[after_c3] >= 0x80) & (data[after_c3] <= 0x9E) & (data[after_c3] != 0x97)]
-        low[capital] += 32
+        folded = fold(texts)
+        data, begin, back = folded.data, folded.begin, folded.back
         kind = _CLASS[data]
         point = np.flatnonzero((data == 44) | (data == 46))
         point = point[(point > 0) & (point < len(data) - 1)]
@@ -87,14 +84,13 @@ class Canon:
             none = np.empty(0, np.int64)
             return Templates(none, none.astype(np.uint64), none.astype(bool), none.astype(np.uint64), none, none)
         text = np.searchsorted(begin, start, "right") - 1
-        sums = self.hasher.sums(low)
+        sums = self.hasher.sums(data)
         token = self.hasher.spans(sums, start, stop)
         value = token.copy()
         number = kind[start] == _DIGIT
         prior = np.concatenate([[False], number[:-1]])
         unit = prior & ~number & np.isin(token, self.units)
-        first = data[start]
-        big = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & np.isin(start + 1, capital))
+        big = folded.upper[start]
         stops = np.concatenate([[0], np.cumsum(_STOP[data])])
         # A sentence's first word is a word like any other.
         name = big & ~number & ~unit & (stop - start > 1) & names
@@ -110,32 +106,60 @@ class Canon:
             stop[opens] = stop[closes]
         token[number], token[name], token[unit] = _NUMBER, _NAME, _UNIT
         keep = ~more
-        at = begin[text[keep]]
-        return Templates(text[keep], token[keep], (number | name | unit)[keep], value[keep], start[keep] - at, stop[keep] - at)
+        return Templates(text[keep], token[keep], (number | name | unit)[keep], value[keep], back[start[keep]], back[stop[keep]])
 
 
 def windows(t: Templates, size: int) -> np.ndarray:
-    """The hash of the window of so many tokens that starts at each token; 0 where it would leave the text."""
+    """The hash of the window of so many tokens that starts at each token; 0 where it would leave the text.
+
+    A window without a word is hashed by its slots' values.
+    """
     n = len(t.token) - size + 1
     out = np.zeros(len(t.token), np.uint64)
     if n <= 0:
         return out
-    h = np.zeros(n, np.uint64)
+    h, v = np.zeros(n, np.uint64), np.ones(n, np.uint64)
     for k in range(size):
         h = h * np.uint64(0x9E3779B97F4A7C15) + t.token[k : k + n]
+        v = v * np.uint64(0xC2B2AE3D27D4EB4F) + t.value[k : k + n]
+    slots = np.concatenate([[0], np.cumsum(t.slot)])
+    h = np.where(slots[size:] - slots[:n] == size, v, h)
     whole = t.text[:n] == t.text[size - 1 :]
     out[:n][whole] = mix(h + np.uint64(size))[whole] | np.uint64(1)
     return out
 
 
+def before(h: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The hash of the window one token before each; 0 at the start of a text."""
+    out = np.zeros(len(h), np.uint64)
+    out[1:] = np.where(text[1:] == text[:-1], h[:-1], 0)
+    return out
+
+
+@dataclass
+class Table:
+    """Windows of one size, by their hash and that of the window before.
+
+    each: their distinct hashes; lefts: those of the windows before; key: number of the hash * len(lefts) + number of the one before, in order.
+    """
+
+    size: int
+    each: np.ndarray
+    lefts: np.ndarray
+    key: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
+
+
 @dataclass
 class Bench:
-    """A block of the benchmark, ready to be joined: sorted window hashes by window size, and each item's templates."""
+    """A block of the benchmark, ready to be joined: tables by window size, and each item's templates."""
 
-    tables: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]
+    tables: list[Table]
     ids: np.ndarray
     first: np.ndarray
     sizes: np.ndarray
+    token: np.ndarray
     slot: np.ndarray
     value: np.ndarray
 
@@ -148,10 +172,47 @@ def bench(items: list[tuple[int, str]], window: int, names: bool) -> Bench:
     tables = []
     for size in sorted({int(min(window, n)) for n in sizes if n}):
         h = windows(t, size)
+        left = before(h, t.text)
         at = np.flatnonzero((h != 0) & (np.minimum(sizes, window)[t.text] == size))
-        at = at[np.argsort(h[at], kind="stable")]
-        tables.append((size, h[at], t.text[at], at - first[t.text[at]]))
-    return Bench(tables, np.array([i for i, _ in items], np.int64), first, sizes, t.slot, t.value)
+        each, number = np.unique(h[at], return_inverse=True)
+        lefts, other = np.unique(left[at], return_inverse=True)
+        key = number * len(lefts) + other
+        order = np.argsort(key, kind="stable")
+        at = at[order]
+        tables.append(Table(size, each, lefts, key[order], t.text[at], at - first[t.text[at]]))
+    return Bench(tables, np.array([i for i, _ in items], np.int64), first, sizes, t.token, t.slot, t.value)
+
+
+def seeds(t: Templates, b: Bench) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window's place in the texts, item, window's place in the item) of equal windows before which there are no equal ones.
+
+    So a stretch that repeats itself in the item and in the text gives as many seeds as the two have windows together, not
+    as many as they have pairs.
+    """
+    found = []
+    for table in b.tables:
+        h = windows(t, table.size)
+        seen = np.zeros(1 << 20, bool)
+        seen[(table.each >> np.uint64(44)).astype(np.int64)] = True
+        at = np.flatnonzero(seen[(h >> np.uint64(44)).astype(np.int64)] & (h != 0))
+        number = np.minimum(np.searchsorted(table.each, h[at]), len(table.each) - 1)
+        live = table.each[number] == h[at]
+        at, number = at[live], number[live]
+        left = before(h, t.text)[at]
+        other = np.minimum(np.searchsorted(table.lefts, left), len(table.lefts) - 1)
+        same = (table.lefts[other] == left) & (left != 0)
+        n = len(table.lefts)
+        lo, hi = np.searchsorted(table.key, number * n), np.searchsorted(table.key, (number + 1) * n)
+        mid = np.where(same, np.searchsorted(table.key, number * n + other), hi)
+        after = np.where(same, np.searchsorted(table.key, number * n + other + 1), hi)
+        for a, z in ((lo, mid), (after, hi)):
+            m = z - a
+            rows = np.repeat(a - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            found.append((np.repeat(at, m), table.item[rows], table.place[rows]))
+    if not found:
+        none = np.empty(0, np.int64)
+        return none, none, none
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 @dataclass
@@ -211,30 +272,22 @@ def chains(at: np.ndarray, end: np.ndarray, line: np.ndarray, t: Templates, b: B
 
 def matches(t: Templates, b: Bench, share: float, long: int = LONG) -> list[tuple]:
     """(text number, item number, verbatim, tokens, slots, start, end): each text's best agreeing match with an item."""
-    hits = []
-    for size, table, item, place in b.tables:
-        h = windows(t, size)
-        seen = np.zeros(1 << 20, bool)
-        seen[(table >> np.uint64(44)).astype(np.int64)] = True
-        at = np.flatnonzero(seen[(h >> np.uint64(44)).astype(np.int64)] & (h != 0))
-        lo, hi = np.searchsorted(table, h[at], "left"), np.searchsorted(table, h[at], "right")
-        n = hi - lo
-        rows = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        at = np.repeat(at, n)
-        hits.append((t.text[at], item[rows], at - place[rows], at, np.full(len(at), size)))
-    if not hits:
-        return []
-    text, item, line, at, size = (np.concatenate(x) for x in zip(*hits, strict=True))
+    at, item, place = seeds(t, b)
     if not len(at):
         return []
+    # A seed's run goes as far as the templates agree.
+    text, first = t.text[at], b.first[item]
+    sizes = np.bincount(t.text)
+    starts = np.cumsum(sizes) - sizes
+    ours, theirs = Sequence(t.token), Sequence(b.token)
+    left = common(ours, at, theirs, first + place, np.minimum(at - starts[text], place), back=True)
+    right = common(ours, at, theirs, first + place, np.minimum(starts[text] + sizes[text] - at, b.sizes[item] - place))
+    line, at, end = at - place, at - left, at + right
     order = np.lexsort((at, line, item, text))
-    text, item, line, at, size = text[order], item[order], line[order], at[order], size[order]
-    # Hits that overlap or touch on a line are a run.
-    other = (text[1:] != text[:-1]) | (item[1:] != item[:-1])
-    opens = np.flatnonzero(np.concatenate([[True], other | (line[1:] != line[:-1]) | (at[1:] > at[:-1] + size[:-1])]))
-    last = np.append(opens[1:], len(at)) - 1
-    end = (at + size)[last]
-    text, item, line, at = text[opens], item[opens], line[opens], at[opens]
+    text, item, line, at, end = text[order], item[order], line[order], at[order], end[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (line[1:] != line[:-1]) | (at[1:] != at[:-1])
+    text, item, line, at, end = text[new], item[new], line[new], at[new], end[new]
     order = np.lexsort((at, item, text))
     text, item, line, at, end = text[order], item[order], line[order], at[order], end[order]
     cut = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1])]))
@@ -262,8 +315,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, s
     tokens found and of the item), n_slots, start and end (bytes of the text). A match needs the given share of the
     item's tokens, or `long` tokens verbatim, and slots that agree; of several matches the verbatim and fuller one counts.
     Tokens are found in runs of a window at least, and runs that follow one another in the text as in the item add up,
-    also with words put in or left out between them. Items under LEAST tokens match verbatim and whole, wherever they
-    occur. Case, punctuation and white space do not count.
+    also with words put in or left out between them. An item without words in any window, such as a list of numbers, is
+    found by its values. Items under LEAST tokens match verbatim and whole, wherever they occur. Case, in any script,
+    punctuation and white space do not count. Of equally full matches the first in the text counts.
     The benchmark's windows go to the executors in blocks of a bounded size, documents stay where they are.
     Null and empty texts match nothing; repeated documents each have their rows; so have repeated items.
     """
@@ -272,38 +326,49 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, s
     total = own.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
     blocks = max(1, -(-total // (2 * block_windows)))
     docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    spark, out = docs.sparkSession, None
+    spark = docs.sparkSession
     small_batches(spark)
+    if blocks == 1:
+        return _search(docs, [(r.item_id, r.item_text) for r in own.toLocalIterator()], window, share, long)[0]
+    # Rows are dealt to blocks one by one, so copies of an item do not meet in one. The driver holds one block at a time.
+    path, out = fresh_path(spark, "items"), None
+    own.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("bigint")).write.partitionBy("block").parquet(path)
     for k in range(blocks):
-        part = own if blocks == 1 else own.where(F.pmod(F.xxhash64("item_text"), F.lit(blocks)) == k)
-        items = [(r.item_id, r.item_text) for r in part.toLocalIterator()]
-        # Once with names as placeholders, once as words: a copy in capitals has names everywhere.
-        sent = spark.sparkContext.broadcast([(names, bench(items, window, names)) for names in (True, False)])
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            canon, benches = Canon(), sent.value
-            b = benches[0][1]
-            for batch in batches:
-                for lo, hi in slices(batch.column(1)):
-                    keys = batch.column(0)[lo:hi]
-                    raw = [x or b"" for x in batch.column(1)[lo:hi].cast(pa.binary()).to_pylist()]
-                    best: dict[tuple, tuple] = {}
-                    for names, block in benches:
-                        for d, i, same, n, *rest in matches(canon(raw, names), block, share, long):
-                            if not names and not same:
-                                continue
-                            row = (same, n / max(1, int(block.sizes[i])), (d, i, same, n, *rest), int(block.sizes[i]))
-                            if (d, i) not in best or row[:2] > best[d, i][:2]:
-                                best[d, i] = row
-                    rows = [(*r[2], r[3]) for r in best.values()]
-                    yield pa.RecordBatch.from_pylist(
-                        [
-                            {"doc_id": keys[d].as_py(), "item_id": int(b.ids[i]), "kind": "verbatim" if same else "reparameterised", "n_tokens": n, "n_item_tokens": size, "n_slots": s, "start": x, "end": y}
-                            for d, i, same, n, s, x, y, size in rows
-                        ],
-                        pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("kind", pa.string()), *((c, pa.int64()) for c in ("n_tokens", "n_item_tokens", "n_slots", "start", "end"))]),
-                    )
-
-        found = docs.mapInArrow(lean(run), SCHEMA)
+        part = spark.read.parquet(path).where(F.col("block") == k)
+        found, sent = _search(docs, [(r.item_id, r.item_text) for r in part.toLocalIterator()], window, share, long)
+        found = materialize(found, "found")
+        sent.destroy()
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def _search(docs: DataFrame, items: list[tuple[int, str]], window: int, share: float, long: int) -> tuple[DataFrame, Broadcast]:
+    """Rows of find_leaks for a block of items, and what was broadcast for it."""
+    # Once with names as placeholders, once as words: a copy in capitals has names everywhere.
+    sent = docs.sparkSession.sparkContext.broadcast([(names, bench(items, window, names)) for names in (True, False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        canon, benches = Canon(), sent.value
+        b = benches[0][1]
+        for batch in batches:
+            for lo, hi in slices(batch.column(1)):
+                keys = batch.column(0)[lo:hi]
+                raw = [x or b"" for x in batch.column(1)[lo:hi].cast(pa.binary()).to_pylist()]
+                best: dict[tuple, tuple] = {}
+                for names, block in benches:
+                    for d, i, same, n, *rest in matches(canon(raw, names), block, share, long):
+                        if not names and not same:
+                            continue
+                        row = (same, n / max(1, int(block.sizes[i])), (d, i, same, n, *rest), int(block.sizes[i]))
+                        if (d, i) not in best or row[:2] > best[d, i][:2]:
+                            best[d, i] = row
+                rows = [(*r[2], r[3]) for r in best.values()]
+                yield pa.RecordBatch.from_pylist(
+                    [
+                        {"doc_id": keys[d].as_py(), "item_id": int(b.ids[i]), "kind": "verbatim" if same else "reparameterised", "n_tokens": n, "n_item_tokens": size, "n_slots": s, "start": x, "end": y}
+                        for d, i, same, n, s, x, y, size in rows
+                    ],
+                    pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("kind", pa.string()), *((c, pa.int64()) for c in ("n_tokens", "n_item_tokens", "n_slots", "start", "end"))]),
+                )
+
+    return docs.mapInArrow(lean(run), SCHEMA), sent

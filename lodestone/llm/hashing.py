@@ -47,3 +47,25 @@ class SpanHasher:
 
     def spans(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((sums[end] - sums[start]) * self._down[start] + (end - start).astype(np.uint64))
+
+
+class Sequence:
+    """64-bit hashes of any stretch of a sequence of numbers."""
+
+    def __init__(self, numbers: np.ndarray) -> None:
+        up, self.down = powers(_BASE, len(numbers)), powers(_INVERSE, len(numbers) + 1)
+        self.sums = np.zeros(len(numbers) + 1, np.uint64)
+        np.cumsum(mix(numbers.astype(np.uint64)) * up[: len(numbers)], out=self.sums[1:])
+
+    def hashes(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return (self.sums[start + size] - self.sums[start]) * self.down[start]
+
+
+def common(a: Sequence, i: np.ndarray, b: Sequence, j: np.ndarray, most: np.ndarray, back: bool = False) -> np.ndarray:
+    """How many numbers, at most `most`, the sequences share from places i and j on (back: before them), by bisection."""
+    low, high = np.zeros(len(i), np.int64), most.astype(np.int64)
+    while (low < high).any():
+        n = (low + high + 1) // 2
+        same = a.hashes(i - n, n) == b.hashes(j - n, n) if back else a.hashes(i, n) == b.hashes(j, n)
+        low, high = np.where(same, n, low), np.where(same, high, n - 1)
+    return low

@@ -14,11 +14,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 # HTML element names by how they are read.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe textarea title svg math canvas object video audio noembed xmp select".split())
+RAW = set("script style iframe textarea title noembed xmp".split())
+EMBEDDED = set("noscript template svg canvas object video audio select annotation".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-CLUTTER = set("nav footer aside form button fieldset dialog menu head".split())
+INLINE |= set("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle semantics".split())
+CLUTTER = set("nav footer aside form button fieldset dialog menu head".split()) | EMBEDDED
 PARAGRAPHS = set("p pre blockquote td li dd figcaption".split())
 CONTAINERS = set("article main section div body td blockquote".split())
 # An opening tag on the left ends an open element on the right.
@@ -36,7 +40,10 @@ related recommended recommendations popular trending pagination pager paging ski
 """.split())
 GOOD_WORDS = set("article body content entry main page post story text blog hentry".split())
 
-_OPEN = re.compile(r"""<(?:!--|!|\?|(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]{0,65536}+"|'[^']{0,65536}+')*+)>|(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>)""")
+#: A sibling, or an element around the best container, needs this share of its points; how many levels up points go.
+SHARE, REACH = 0.2, 5
+
+_OPEN = re.compile(r"""<(?:!--|!|\?|(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>)""")
 _ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _TOKEN = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -73,6 +80,7 @@ def parse(page: str) -> Node:
     """The tree of a page; what browsers would repair is repaired in the plain cases."""
     root = node = Node("html", None)
     at, size, lower = 0, len(page), None
+    unclosed: set[str] = set()
     while at < size:
         found = _OPEN.search(page, at)
         if not found:
@@ -99,15 +107,20 @@ def parse(page: str) -> Node:
             elif tag == "p":
                 node.kids.append(Node("p", node))
             continue
-        if tag in RAW:
-            if not attributes.endswith("/") or tag in ("script", "style", "title", "textarea"):
-                lower = lower or page.lower()
-                if len(lower) != size:  # a character that grows in lower case
-                    lower = re.sub("[A-Z]", lambda m: m.group().lower(), page)
-                end = lower.find(f"</{tag}", at)
+        if tag in RAW or tag in EMBEDDED:
+            if attributes.endswith("/") and tag not in ("script", "style", "title", "textarea"):
+                continue
+            lower = lower or page.lower()
+            if len(lower) != size:  # a character that grows in lower case
+                lower = re.sub("[A-Z]", lambda m: m.group().lower(), page)
+            end = -1 if tag in unclosed else lower.find(f"</{tag}", at)
+            if end < 0 and tag not in ("script", "style"):
+                unclosed.add(tag)  # nothing ends it, so it holds nothing
+                continue
+            if tag in RAW:
                 stop = -1 if end < 0 else page.find(">", end)
                 at = size if stop < 0 else stop + 1
-            continue
+                continue
         ends = ENDS.get(tag)
         if ends:
             up = node
@@ -164,7 +177,7 @@ def score(root: Node) -> Node | None:
             continue
         points = (1 + x.commas + min(x.chars / 100, 3)) * (1 - x.links / x.chars)
         up, level = x.parent, 0
-        while up and level < 5:
+        while up and level < REACH:
             up.points += points / (1, 2, 6, 9, 12)[level]
             up, level = up.parent, level + 1
     best = None
@@ -176,20 +189,31 @@ def score(root: Node) -> Node | None:
     return best
 
 
+def around(best: Node) -> Node:
+    """The outermost element around the best container that is marked as content, has its share of points and is no list of links.
+
+    An element that holds other articles is none: which of these belong is for their own points to tell.
+    """
+    up, inner, points, level = best.parent, best, best.points, 0
+    while up and up.tag not in ("body", "html") and level < REACH:
+        rest, links = up.chars - best.chars, up.links - best.links
+        others = any(isinstance(k, Node) and k is not inner and not k.bad and k.chars and k.tag == "article" for k in up.kids)
+        if up.weight > 0 and up.points >= SHARE * points and links <= 0.5 * max(1, rest) and not others:
+            best = up
+        inner, up, level = up, up.parent, level + 1
+    return best
+
+
 def top(root: Node) -> list[Node]:
-    """The best container and the siblings that belong to it, in page order."""
+    """The best container and the siblings that belong to it, in page order. Of containers with equal points the first counts."""
     best = score(root)
     if best is None:
         marked = [x for x, _, ends in walk(root) if ends and isinstance(x, Node) and x.tag in ("article", "main") and x.chars]
         return marked[:1] or [root]
-    up = best
-    while up.parent and up.tag not in ("article", "main"):
-        up = up.parent
-    if up.tag in ("article", "main"):
-        best = up
+    best = around(best)
     if not best.parent:
         return [best]
-    least, out = max(10, 0.2 * best.points), []
+    least, out = max(10, SHARE * best.points), []
     for x in best.parent.kids:
         if x is best:
             out.append(x)
@@ -224,8 +248,9 @@ def blocks(nodes: list[Node]) -> list[str]:
                 line.append(x)
             elif x.tag not in INLINE:
                 flush()
-                # Lists and boxes that are mostly links, and page headers without the article's title, are no text.
-                if not ends and x is not node and ((x.tag in ("ul", "ol", "div", "section", "table", "dl") and x.chars and x.links > 0.5 * x.chars) or (x.tag == "header" and not any(isinstance(k, Node) and k.tag in ("h1", "h2") for k in x.kids))):
+                # Lists and boxes that are mostly links are text only in what is marked as content; page headers without the
+                # article's title are none.
+                if not ends and x is not node and ((not node.weight and x.tag in ("ul", "ol", "div", "section", "table", "dl") and x.chars and x.links > 0.5 * x.chars) or (x.tag == "header" and not any(isinstance(k, Node) and k.tag in ("h1", "h2") for k in x.kids))):
                     skip = x
         flush()
     return out
@@ -241,9 +266,12 @@ def extract(pages: DataFrame, *, html: str = "html") -> DataFrame:
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined by line feeds.
     A null or empty html gives an empty text; other columns, and repeated rows, pass through.
-    A column named text or n_chars is replaced.
+    A column named text or n_chars is replaced. Elements that nothing ends hold nothing, but for scripts and styles, which
+    then go to the page's end.
     """
 
+    small_batches(pages.sparkSession)
+
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:

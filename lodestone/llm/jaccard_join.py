@@ -4,6 +4,8 @@ A document's set is its distinct word n-grams, as 64-bit hashes. A document whos
 others to reach the threshold has no partner; which ones others hold is found by dealing n-grams to buckets. What is left is
 ordered globally, rarest first; documents that share an n-gram of their prefixes meet in blocks, in whose prefix trees
 they are joined: paths shared by many sets are walked once, and subtrees are pruned by what is left of both lengths.
+A block that is too large for one tree is cut into cells, by the n-grams of the prefixes, and two cells meet only with
+those of their documents that share such an n-gram.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .common import lean, materialize, small_batches
-from .components import Forest, components
+from .components import components
 from .hashing import SpanHasher, mix
 from .packing import slices
 
@@ -29,8 +31,8 @@ N, NUMERATOR, DENOMINATOR = 5, 4, 5
 SLICE = 2 << 20
 #: Bytes of text whose n-grams are hashed at once.
 PART = 1 << 19
-#: N-grams of a bucket, and n-grams of the sets that one tree holds.
-BUCKET, TREE = 1 << 19, 1 << 20
+#: N-grams of a bucket; cost of the sets that one tree holds: their n-grams, and so many more for each set.
+BUCKET, TREE, EACH = 1 << 19, 1 << 18, 128
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -119,17 +121,29 @@ def _batch(schema: str, **columns) -> pa.RecordBatch:
 DEALT = "key bigint, slice bigint, data binary"
 
 
-def _deal(docs: DataFrame, buckets: int, n: int, bits: int) -> DataFrame:
+def bucket_starts(buckets: int) -> np.ndarray:
+    """The least hash of each of so many equal ranges."""
+    width = -(-(1 << 64) // buckets)
+    return np.arange(buckets, dtype=np.uint64) * np.uint64(width % (1 << 64))
+
+
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    """The range of each hash."""
+    width = -(-(1 << 64) // buckets)
+    return (key // np.uint64(width)).astype(np.int64) if buckets > 1 else np.zeros(len(key), np.int64)
+
+
+def _deal(docs: DataFrame, buckets: int, n: int) -> DataFrame:
     """Each slice's n-grams by bucket: those of one document of the slice with its place, those of more with their count.
 
     A row with a negative key stays with its slice: its documents with sizes, digests and the n-grams that they share within it.
-    So a slice sends an n-gram once, however many of its documents hold it. Of the hashes the first `bits` bits are sent.
+    So a slice sends an n-gram once, however many of its documents hold it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        hasher, number = SpanHasher(), TaskContext.get().partitionId() << 24
+        hasher, number, starts = SpanHasher(), TaskContext.get().partitionId() << 24, bucket_starts(buckets)
         for batch in batches:
             for lo, hi in slices(batch.column(1), SLICE):
                 own, key = shingles([x or b"" for x in batch.column(1)[lo:hi].cast(pa.binary()).to_pylist()], hasher, n)
@@ -138,21 +152,18 @@ def _deal(docs: DataFrame, buckets: int, n: int, bits: int) -> DataFrame:
                 spread = mix(key ^ np.uint64(0x2545F4914F6CDD1D))
                 zero = np.zeros(1, np.uint64)
                 sums, twists = np.concatenate([zero, np.cumsum(key)]), np.concatenate([zero, np.cumsum(spread)])
-                key >>= np.uint64(64 - bits)
                 order = np.argsort(key, kind="stable")
                 key, own = key[order], own[order].astype(np.min_scalar_type(hi - lo))
                 first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
                 count = np.diff(np.append(first, len(key)))
                 many = count > 1
                 rows = [(-1 - number, number, pack(batch.column(0)[lo:hi].to_numpy(), size, sums[cut[1:]] - sums[cut[:-1]], twists[cut[1:]] - twists[cut[:-1]], gaps(key[first[many]]), count[many].astype(np.uint32), own[np.repeat(many, count)]))]
-                # Hashes are sorted, so buckets of equal ranges of them are runs.
+                # Hashes are sorted, so buckets of equal ranges of them are runs; those that get nothing are passed over.
                 alone, alone_own, each, count = key[first[~many]], own[first[~many]], key[first[many]], count[many].astype(np.uint32)
-                edges = np.array([(k << bits) // buckets for k in range(buckets)], np.uint64)
-                at, of = np.append(np.searchsorted(alone, edges), len(alone)), np.append(np.searchsorted(each, edges), len(each))
-                for k in range(buckets):
-                    x, y = slice(at[k], at[k + 1]), slice(of[k], of[k + 1])
-                    if at[k] < at[k + 1] or of[k] < of[k + 1]:
-                        rows.append((k, number, pack(gaps(alone[x]), alone_own[x], gaps(each[y]), count[y])))
+                to = np.unique(np.concatenate([bucket_of(alone, buckets), bucket_of(each, buckets)]))
+                at, of = np.searchsorted(alone, starts[to]).tolist(), np.searchsorted(each, starts[to]).tolist()
+                for k, a, b, c, d in zip(to.tolist(), at, [*at[1:], len(alone)], of, [*of[1:], len(each)], strict=False):
+                    rows.append((k, number, pack(gaps(alone[a:b]), alone_own[a:b], gaps(each[c:d]), count[c:d])))
                 number += 1
                 yield _batch(DEALT, key=[r[0] for r in rows], slice=[r[1] for r in rows], data=[r[2] for r in rows])
 
@@ -334,8 +345,11 @@ class Tree:
         return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
-def join_block(tokens: list[np.ndarray], sizes: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets: their n-grams in global order, rarest first, and their full sizes."""
+def join_block(tokens: list[np.ndarray], sizes: np.ndarray, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets: their n-grams in global order, rarest first, and their full sizes.
+
+    side: with it, only links between sets of both sides are sought.
+    """
     each, place = np.unique(np.concatenate(tokens), return_inverse=True)
     # In the tree the order is turned round, commonest first, so that copies share long paths.
     count = np.bincount(place, minlength=len(each))
@@ -343,11 +357,16 @@ def join_block(tokens: list[np.ndarray], sizes: np.ndarray) -> list[tuple[int, i
     rank[np.lexsort((each, -count))] = np.arange(len(each))
     cut = np.cumsum([0] + [len(t) for t in tokens])
     sets = [np.sort(rank[place[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    tree, mark, forest, out = Tree(sets, sizes), np.zeros(len(each), np.int64), Forest(len(sets)), []
-    for k, x in enumerate(sets):
-        for p in tree.partners(x, int(sizes[k]), mark).tolist():
-            if forest.join(k, p):
-                out.append((k, p))
+    held = np.arange(len(sets)) if side is None else np.flatnonzero(~side)
+    asked = held if side is None else np.flatnonzero(side)
+    tree, mark, label, out = Tree([sets[k] for k in held.tolist()], sizes[held]), np.zeros(len(each), np.int64), np.arange(len(sets)), []
+    for k in asked.tolist():
+        found = held[tree.partners(sets[k], int(sizes[k]), mark)]
+        found = found[label[found] != label[k]]
+        if len(found):  # one link to each part that it joins
+            parts, one = np.unique(label[found], return_index=True)
+            out += [(k, p) for p in found[one].tolist()]
+            label[np.isin(label, parts)] = label[k]
     return out
 
 
@@ -355,21 +374,51 @@ LINKS = "a bigint, b bigint"
 
 
 def _links(table: pa.Table) -> pa.Table:
-    """A task's blocks, one after another."""
-    block, sub = table["block"].to_numpy(), table["pair"].to_numpy()
-    order = np.lexsort((table["node"].to_numpy(), sub, block))
+    """A task's blocks, one after another: (x, x) joins a cell's sets, (x, y) those of two cells, of which side tells."""
+    x, y, node = (table[c].to_numpy() for c in ("x", "y", "node"))
+    order = np.lexsort((node, y, x))
     table = table.take(pa.array(order))
-    block, sub, node, n = block[order], sub[order], table["node"].to_numpy(), table["n"].to_numpy()
-    tokens = [unpack(x)[0] for x in table["tokens"].to_pylist()]
-    cut = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (sub[1:] != sub[:-1])])).tolist() + [len(block)]
+    x, y, node, n, side = x[order], y[order], node[order], table["n"].to_numpy(), table["side"].to_numpy()
+    cut = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])).tolist() + [len(x)]
     a, b = [], []
     for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-        for x, y in join_block(tokens[lo:hi], n[lo:hi]):
-            a.append(int(node[lo + x]))
-            b.append(int(node[lo + y]))
+        tokens = [unpack(t)[0] for t in table["tokens"][lo:hi].to_pylist()]
+        for p, q in join_block(tokens, n[lo:hi], None if x[lo] == y[lo] else side[lo:hi].astype(bool)):
+            a.append(int(node[lo + p]))
+            b.append(int(node[lo + q]))
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+PIECE = ["x", "y", "node", "side"]
+
+
+def _pieces(prefix: DataFrame, blocks: DataFrame, classes: DataFrame) -> DataFrame:
+    """(x, y, node, side): which sets meet. prefix: (token, class, node) where more than one set has the token.
+
+    A block of one tree is a cell. A larger one is cut: sets with the same least n-gram go to a cell together, as near copies
+    mostly do, and where these are too many they are dealt over several.
+    """
+    cost = F.col("held") + EACH
+    own = blocks.join(classes.select("node", cost.alias("cost")), "node")
+    load = materialize(own.groupBy("block").agg(F.sum("cost").alias("load")), "loads")
+    whole = blocks.join(load.where(F.col("load") <= TREE), "block").select(F.col("block").alias("x"), F.col("block").alias("y"), "node", F.lit(0).alias("side"))
+    large = load.where(F.col("load") > TREE)
+    if large.isEmpty():
+        return whole
+    inner = prefix.join(own.join(large, "block"), "node")
+    anchor = inner.groupBy("node").agg(F.min(F.xxhash64("token")).alias("anchor"), F.first("block").alias("block"), F.first("cost").alias("cost"), F.first("load").alias("load"))
+    anchor = materialize(anchor, "anchors")
+    group = anchor.groupBy("block", "anchor").agg(F.ceil(F.sum("cost") / TREE).cast("bigint").alias("parts"))
+    few, many = F.xxhash64("block", F.pmod("anchor", F.ceil(F.col("load") / TREE).cast("bigint"))), F.xxhash64("block", "anchor", F.pmod(F.xxhash64("node"), F.col("parts")))
+    cell = materialize(anchor.join(group, ["block", "anchor"]).select("node", F.when(F.col("parts") > 1, many).otherwise(few).alias("cell")), "cells")
+    met = prefix.join(cell, "node")
+    other = met.select("token", "class", F.col("cell").alias("other")).distinct()
+    cross = met.join(other, ["token", "class"]).where("cell <> other")
+    cross = cross.select(F.least("cell", "other").alias("x"), F.greatest("cell", "other").alias("y"), "node", (F.col("cell") > F.col("other")).cast("int").alias("side")).distinct()
+    home = cell.select(F.col("cell").alias("x"), F.col("cell").alias("y"), "node", F.lit(0).alias("side"))
+    return whole.unionByName(home).unionByName(cross)
+
+
 def similar(docs: DataFrame, *, n: int = N, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that a document reaches over links, itself included.
 
@@ -387,9 +436,7 @@ def similar(docs: DataFrame, *, n: int = N, text: str = "text", key: str = "doc_
     docs = docs.where(F.col("doc_id").isNotNull())
     bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, bytes_ // (6 * BUCKET))
-    # So many bits of a hash that few n-grams of the corpus share them by chance; sets are compared by them.
-    bits = min(64, max(50, bytes_.bit_length() + 20))
-    dealt = _deal(docs, buckets, n, bits).repartition(int(min(10_000, max(buckets, 12))), "key")
+    dealt = _deal(docs, buckets, n).repartition(max(12, buckets // 4), "key")
     told = dealt.groupBy("key").applyInArrow(lean(_count), DEALT)
     sets = materialize(told.groupBy("slice").applyInArrow(lean(_sets), SETS), "sets")
 
@@ -401,20 +448,13 @@ def similar(docs: DataFrame, *, n: int = N, text: str = "text", key: str = "doc_
     classes = materialize(classes, "classes")
     prefix = _prefixes(classes)
     met = prefix.groupBy("token", "class").agg(F.min("node").alias("b"), F.count("*").alias("m")).where("m > 1").drop("m")
-    meets = prefix.join(met, ["token", "class"]).select(F.col("node").alias("a"), "b").where("a <> b").distinct()
-    blocks = components(meets)
-
-    blocks = materialize(blocks.withColumnsRenamed({"component": "block"}), "blocks")
-    total = blocks.join(classes.select("node", "held"), "node").groupBy("block").agg(F.sum("held").alias("load"))
-    parts = total.select("block", F.ceil(F.col("load") / TREE).cast("bigint").alias("parts"))
-    tasks = int(max(12, (total.agg(F.sum("load")).first()[0] or 0) // (TREE // 4)))
-    own = classes.select("node", "n", "tokens").join(blocks.join(parts, "block"), "node")
-    # A block that is too large for one tree goes as pairs of its parts, each pair to a task of its own.
-    dealt = own.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-    dealt = dealt.withColumn("pair", F.least("part", "other") * F.col("parts") + F.greatest("part", "other"))
-    dealt = dealt.withColumn("task", F.pmod(F.xxhash64("block", "pair"), F.lit(tasks * 16))).select("task", "block", "pair", "node", "n", "tokens")
-    links = materialize(dealt.groupBy("task").applyInArrow(lean(_links), LINKS), "links")
+    prefix = materialize(prefix.join(met, ["token", "class"]), "prefixes")
+    blocks = materialize(components(prefix.where("node <> b").select(F.col("node").alias("a"), "b").distinct()).withColumnsRenamed({"component": "block"}), "blocks")
+    pieces = materialize(_pieces(prefix.drop("b"), blocks, classes), "pieces")
+    pieces = pieces.join(classes.select("node", "n", "tokens", (F.col("held") + EACH).alias("cost")), "node")
+    tasks = max(12, (pieces.agg(F.sum("cost")).first()[0] or 0) // (TREE // 4))
+    dealt = pieces.withColumn("task", F.pmod(F.xxhash64("x", "y"), F.lit(16 * tasks))).select("task", *PIECE, "n", "tokens")
+    links = materialize(dealt.repartition(tasks, "task").groupBy("task").applyInArrow(lean(_links), LINKS), "links")
 
     found = components(links)
     name = classes.select("digest_a", "digest_b", "n", "node").join(found, "node", "left")

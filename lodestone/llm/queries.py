@@ -50,8 +50,15 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda c: F.regexp_extract(c, "<urn:page:(-?\\d+)>", 1).try_cast("bigint")
-    return warc.round_trip(_table(spark, sf_dir, "pages")).select(
-        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"), "target_uri"
+    got = warc.round_trip(_table(spark, sf_dir, "pages"))
+    # Sizes and digests of responses are those of the payloads that were read; a revisit has none and tells them by its headers.
+    return got.select(
+        number("record_id").alias("page_id"),
+        F.coalesce(F.octet_length("payload").cast("long"), "payload_bytes").alias("payload_bytes"),
+        F.coalesce(warc.digest(F.col("payload")), "payload_digest").alias("payload_digest"),
+        "record_type",
+        number("refers_to").alias("refers_to"),
+        "target_uri",
     )
 
 

@@ -11,6 +11,7 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -29,23 +30,44 @@ SECRET_WORDS = "password passwd pwd passphrase secret token apikey api_key api-k
 OTHER_WORDS = "commit sha sha1 sha256 md5 checksum digest etag uuid guid isbn iban card account phone order invoice version build release id serial ticket tracking example sample placeholder dummy test file path url http https www".split()
 PREFIXES = "AKIA ASIA ghp_ gho_ ghs_ glpat- xoxb- xoxp- sk_live_ rk_live_ AIza eyJ npm_ pypi- SG. hf_ dop_v1_ ya29.".split()
 
-_RUN = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?|(?<![A-Za-z0-9])(?:AKIA|ASIA|AIza|ghp_|gho_|ghs_|glpat-|npm_|hf_|sk_live_|rk_live_|xoxb-|xoxp-|pypi-)[A-Za-z0-9_.\-]{12,}|(?<![A-Za-z0-9_+/.~\-])(?=[A-Za-z_+/.~\-]*\d)[A-Za-z0-9_+/.~\-]{12,}={0,2}", re.ASCII)
+# A key block goes to its end; without one it is the lines of its code.
+_RUN = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----)[\s\S])*-----END [A-Z ]*PRIVATE KEY-----|(?:\s+[A-Za-z0-9+/=]{16,})*)|(?<![A-Za-z0-9])(?:AKIA|ASIA|AIza|ghp_|gho_|ghs_|glpat-|npm_|hf_|sk_live_|rk_live_|xoxb-|xoxp-|pypi-)[A-Za-z0-9_.\-]{12,}|(?<![A-Za-z0-9_+/.~\-])(?=[A-Za-z_+/.~\-]*\d)[A-Za-z0-9_+/.~\-]{12,}={0,2}", re.ASCII)
 _GIVEN = re.compile(r"""(?i:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key)["']?\s*(?:=|:)\s*(?:"([^"\n]{6,})"|'([^'\n]{6,})'|([^\s"',;<>]{6,}))""")
 _HEX, _PLACEHOLDER = re.compile(r"[0-9a-fA-F]+"), re.compile(r"(?i)example|sample|placeholder|changeme|your|dummy|xxxx|\*\*\*|\.\.\.|<.*>|\$\{|0123456|12345678|abcdef")
 _UUID, _NAME = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"), re.compile(r"\.(?:[a-z]{2,4}|html|json|java)$")
 _WORD = re.compile(r"[a-z]{3,}")
 
-FEATURES = "length entropy digits upper symbols transitions hexadecimal vowels letter_pairs dictionary slashes dots extension uuid prefix placeholder given quoted secret_near other_near repeats block".split()
+FEATURES = "length entropy digits upper symbols transitions hexadecimal vowels letter_odds dictionary slashes dots extension uuid prefix placeholder given quoted secret_near other_near repeats block".split()
 CANDIDATES = "doc_id bigint, start bigint, end bigint, rule string, features array<double>"
-#: Pairs of letters that are common in words of many languages, most common first.
-_PAIRS = set("th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur la el ta un es ie ei ge ue qu ci os ad".split())
 
 
-def dictionary(tokenizer: str) -> frozenset[str]:
+@dataclass(frozen=True)
+class Language:
+    """Words, and for each letter the odds (log2) of the letters after it in them against even odds."""
+
+    words: frozenset[str]
+    odds: dict[str, float]
+
+    def transitions(self, letters: str) -> float:
+        """Mean odds of the pairs of letters in a value; 0 if it has none."""
+        pairs = [letters[i : i + 2] for i in range(len(letters) - 1)]
+        known = [self.odds[p] for p in pairs if p in self.odds]
+        return sum(known) / max(1, len(known))
+
+
+def language(words: frozenset[str]) -> Language:
+    """Transition odds of the words' letters, each pair counted once more than it comes."""
+    pairs = Counter(w[i : i + 2] for w in words for i in range(len(w) - 1))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    total = {a: sum(pairs[a + b] + 1 for b in letters) for a in letters}
+    return Language(words, {a + b: math.log2((pairs[a + b] + 1) / total[a] * len(letters)) for a in letters for b in letters})
+
+
+def dictionary(tokenizer: str) -> Language:
     """Words of four to twelve letters in a public tokenizer's vocabulary."""
     from tokenizers import Tokenizer
 
-    return frozenset(w for v in Tokenizer.from_file(tokenizer).get_vocab() if (w := v.removesuffix("</w>")).isascii() and w.isalpha() and 4 <= len(w) <= 12)
+    return language(frozenset(w for v in Tokenizer.from_file(tokenizer).get_vocab() if (w := v.removesuffix("</w>")).isascii() and w.isalpha() and 4 <= len(w) <= 12))
 
 
 def coverage(value: str, words: frozenset[str]) -> float:
@@ -62,13 +84,12 @@ def kind(c: str) -> str:
     return "0" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else "."
 
 
-def describe(text: str, start: int, end: int, given: bool, words: frozenset[str]) -> list[float]:
+def describe(text: str, start: int, end: int, given: bool, known: Language) -> list[float]:
     """The features of a candidate, in the order of FEATURES."""
     value = text[start:end]
     n, kinds = len(value), [kind(c) for c in value]
     counts = Counter(value)
     letters = [c for c in value.lower() if c.isalpha()]
-    pairs = [a + b for a, b in zip(value.lower(), value.lower()[1:], strict=False) if (a + b).isalpha()]
     left, right = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
     near = set(re.findall(r"[a-z0-9_\-]+", left.lower().replace("=", " ").replace(":", " "))[-4:]) | set(re.findall(r"[a-z0-9_\-]+", right.lower())[:2])
     return [
@@ -80,8 +101,8 @@ def describe(text: str, start: int, end: int, given: bool, words: frozenset[str]
         sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n,
         float(bool(_HEX.fullmatch(value))),
         sum(c in "aeiou" for c in letters) / max(1, len(letters)),
-        sum(p in _PAIRS for p in pairs) / max(1, len(pairs)),
-        coverage(value, words),
+        known.transitions(value.lower()),
+        coverage(value, known.words),
         value.count("/") / n,
         value.count(".") / n,
         float(bool(_NAME.search(value))),
@@ -130,8 +151,11 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return [(a, b, r) for (a, b), r in sorted(spans.items())]
 
 
-def labelled_findings(n: int = FINDINGS, seed: int = 7) -> list[tuple[str, int, int, int]]:
-    """(text, start, end, label): made findings, half of them secrets, in prose of made words; the same for a seed."""
+def labelled_findings(n: int = FINDINGS, seed: int = 7, without: tuple[int, ...] = (), only: tuple[int, ...] = ()) -> list[tuple[str, int, int, int]]:
+    """(text, start, end, label): made findings, half of them secrets, in prose of made words; the same for a seed.
+
+    without, only: kinds of findings, by their numbers, that are left out or are the only ones, to test on kinds that were not trained on.
+    """
     r = random.Random(seed)
     hexa, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     pick = lambda s, k: "".join(r.choice(s) for _ in range(k))
@@ -170,9 +194,12 @@ def labelled_findings(n: int = FINDINGS, seed: int = 7) -> list[tuple[str, int,
         lambda: (r.choice(["version ", "build "]), f"{r.randint(1, 20)}.{r.randint(0, 30)}.{digits(4)}-{word()}.{digits(3)}"),
         lambda: ("", word().capitalize() + word().capitalize() + word().capitalize() + digits(r.randint(1, 2)) + word()),
     ]
+    pools = [[f for i, f in enumerate(pool) if i not in without and (not only or i in only)] for pool in (others, secrets)]
     out = []
     for k in range(n):
-        before, value = r.choice(secrets if k % 2 else others)()
+        if not pools[k % 2]:
+            continue
+        before, value = r.choice(pools[k % 2])()
         head = prose(r.randint(2, 9)) + r.choice([" ", ". ", "\n"]) + before
         close = '"' if before.endswith('"') else "'" if before.endswith("'") else ""
         out.append((head + value + close + r.choice([" ", ". ", ", ", "\n"]) + prose(r.randint(2, 9)), len(head), len(head) + len(value), k % 2))

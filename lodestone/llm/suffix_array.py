@@ -1,14 +1,15 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, with numpy.
 
-The scans of induced sorting are taken bucket by bucket: what a bucket's suffixes induce is dealt out at once,
-and only runs of one symbol need another round within their bucket.
+Over a small alphabet the scans of induced sorting are taken bucket by bucket: what a bucket's suffixes induce is dealt
+out at once, and only runs of one symbol need another round within their bucket. Over a large one, as a reduced
+string has, they go suffix by suffix. Both take linear time.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Alphabets up to this size are scanned by bucket; a reduced string over a larger one is sorted by doubling prefixes.
+#: Alphabets up to this size are scanned by bucket, larger ones suffix by suffix.
 BUCKETS = 1 << 10
 
 
@@ -53,6 +54,8 @@ def _spread(pile: list[np.ndarray], text: np.ndarray, small: np.ndarray, kind: b
 
 def induce(text: np.ndarray, small: np.ndarray, size: int, seeds: np.ndarray) -> np.ndarray:
     """All suffixes in the order that the seeds (leftmost S-type suffixes, in order within each symbol) induce."""
+    if size > BUCKETS:
+        return _one_by_one(text, small, size, seeds)
     large: list[list[np.ndarray]] = [[] for _ in range(size)]
     left: list[list[np.ndarray]] = [[] for _ in range(size)]
     _deal(seeds, text[seeds], left)
@@ -77,22 +80,33 @@ def induce(text: np.ndarray, small: np.ndarray, size: int, seeds: np.ndarray) ->
     return np.concatenate(out)[::-1]
 
 
-def doubling(text: np.ndarray) -> np.ndarray:
-    """The suffix array by doubling sorted prefixes."""
-    n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
-    step = 1
-    while True:
-        key = rank * (n + 2)
-        key[: n - step] += rank[step:] if step < n else 0
-        order = np.argsort(key, kind="stable")
-        sorted_ = key[order]
-        new = np.concatenate([[1], 1 + np.cumsum(sorted_[1:] != sorted_[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n:
-            return order
-        step *= 2
+def _one_by_one(text: np.ndarray, small: np.ndarray, size: int, seeds: np.ndarray) -> np.ndarray:
+    """induce() over an alphabet of any size."""
+    ends = np.cumsum(np.bincount(text, minlength=size))
+    symbols, rises, n = text.tolist(), small.tolist(), len(text)
+    out, tail = [-1] * n, ends.tolist()
+    for i in reversed(seeds.tolist()):
+        c = symbols[i]
+        tail[c] -= 1
+        out[tail[c]] = i
+    head = [0, *ends[:-1].tolist()]
+    c = symbols[n - 1]
+    out[head[c]] = n - 1
+    head[c] += 1
+    for k in range(n):
+        j = out[k] - 1
+        if j >= 0 and not rises[j]:
+            c = symbols[j]
+            out[head[c]] = j
+            head[c] += 1
+    tail = ends.tolist()
+    for k in range(n - 1, -1, -1):
+        j = out[k] - 1
+        if j >= 0 and rises[j]:
+            c = symbols[j]
+            tail[c] -= 1
+            out[tail[c]] = j
+    return np.array(out, np.int64)
 
 
 def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
@@ -100,8 +114,6 @@ def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
     n = len(text)
     if n < 2:
         return np.arange(n)
-    if size > BUCKETS:
-        return doubling(text)
     small = classify(text)
     left = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if not len(left):

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, lean, small_batches
 from .hashing import SpanHasher, mix
-from .jaccard_join import DEALT, _batch, gaps, pack, unpack
+from .jaccard_join import DEALT, _batch, bucket_of, gaps, pack, unpack
 from .packing import slices
 from .suffix_array import common_prefixes, suffix_array
 from .warc import open_store
@@ -43,21 +43,22 @@ def join_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def anchors(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first window, last window, anchor's hash) of each run of windows with one anchor, in order; windows by their starts.
 
-    Texts are taken a part at a time, so that the arrays of a part stay small.
+    PART windows are taken at once, so that the arrays stay small, however long a text is; a run may be cut there.
     """
-    cut = np.unique(np.append(np.searchsorted(begin, np.arange(0, begin[-1], PART)), len(begin) - 1)).tolist()
-    parts = [_anchors(data[begin[a] : begin[b]], begin[a : b + 1] - begin[a]) for a, b in zip([0, *cut[:-1]], cut, strict=True) if a < b]
-    at = [begin[a] for a, b in zip([0, *cut[:-1]], cut, strict=True) if a < b]
-    if not parts:
-        return _anchors(data[:0], np.zeros(1, np.int64))
-    return np.concatenate([p[0] + x for p, x in zip(parts, at, strict=True)]), np.concatenate([p[1] + x for p, x in zip(parts, at, strict=True)]), np.concatenate([p[2] for p in parts])
+    found = []
+    for at in range(0, max(1, len(data) - SPAN + 1), PART):
+        first, last, key = _anchors(data[at : at + PART + SPAN - 1], begin[1:] - 1 - at)
+        found.append((first + at, last + at, key))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _anchors(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for one part; ends: places of the bytes between texts."""
     n = len(data) - SPAN + 1
     none = np.empty(0, np.int64)
     if n <= 0:
         return none, none, none.astype(np.uint64)
+    ends = ends[(ends >= 0) & (ends < len(data))]
     raw = data.tobytes()
     eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,)).copy()
     h = mix(eight[:-16] * np.uint64(0x9E3779B97F4A7C15) + mix(eight[8:-8] * np.uint64(0xC2B2AE3D27D4EB4F) + mix(eight[16:])))
@@ -69,9 +70,8 @@ def _anchors(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarra
         low = np.minimum(low[:-step], low[step:])
         done += step
     place = (low[:n] & np.uint64((1 << 28) - 1)).astype(np.int64)
-    ends = begin[1:] - 1
     cut = np.zeros(n + 1, np.int32)
-    np.add.at(cut, np.clip(np.maximum(ends - SPAN + 1, begin[:-1]), 0, n), 1)
+    np.add.at(cut, np.clip(ends - SPAN + 1, 0, n), 1)
     np.add.at(cut, np.clip(ends + 1, 0, n), -1)
     inside = np.cumsum(cut[:n]) == 0
     fresh = np.ones(n, bool)
@@ -89,10 +89,6 @@ def _cut(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[bytes]]]:
         yield batch.column(0)[lo:hi].to_numpy(), [x or b"" for x in batch.column(1)[lo:hi].cast(pa.binary()).to_pylist()]
 
 
-def _ranges(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return np.append(np.searchsorted(keys, np.array([(k << 64) // buckets for k in range(buckets)], np.uint64)), len(keys))
-
-
 def _press(data: bytes) -> np.ndarray:
     import zstandard
 
@@ -143,8 +139,8 @@ def _deal(docs: DataFrame, buckets: int, path: str) -> DataFrame:
                 held = np.add.reduceat(other.astype(np.int64), at) if len(at) else at
                 each = key[at] | (np.searchsorted(_GRADES, held, "right") - 1).astype(np.uint64)
                 rows = [(-1 - number, pack(_save(path, ids, begin, _press(data.tobytes()))))]
-                of = _ranges(each, buckets)
-                rows += [(k, pack(gaps(each[of[k] : of[k + 1]]))) for k in range(buckets) if of[k] < of[k + 1]]
+                to, of = np.unique(bucket_of(each, buckets), return_index=True)
+                rows += [(k, pack(gaps(each[a:b]))) for k, a, b in zip(to.tolist(), of.tolist(), [*of[1:].tolist(), len(each)], strict=False)]
                 yield _batch(DEALT, key=[r[0] for r in rows], slice=[number] * len(rows), data=[r[1] for r in rows])
                 number += 1
 
@@ -207,9 +203,9 @@ def _stretches(shards: int, path: str):
         shard, route = (route % np.uint64(shards)).astype(np.int64), (route >> np.uint64(32)).astype(np.uint32)
         out = [(-1 - number, pack(name, gaps(start.astype(np.uint32)), place.astype(np.uint32)))]
         by = np.argsort(shard, kind="stable")
-        of = np.searchsorted(shard[by], np.arange(shards + 1))
-        for k in range(shards):
-            own = by[of[k] : of[k + 1]]
+        to, of = np.unique(shard[by], return_index=True)
+        for k, a, b in zip(to.tolist(), of.tolist(), [*of[1:].tolist(), len(by)], strict=False):
+            own = by[a:b]
             if len(own):
                 out.append((k, pack(own.astype(np.uint32), low[own], high[own], size[own], route[own], _press(_take(text, start[index[own]], size[own].astype(np.int64)).tobytes()))))
         return pa.Table.from_batches([_batch(DEALT, key=[r[0] for r in out], slice=[number] * len(out), data=[r[1] for r in out])])
@@ -335,7 +331,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id")
     docs = docs.where(F.col("doc_id").isNotNull())
     bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, shards = max(1, bytes_ // (20 * (1 << 20))), max(1, bytes_ // (6 << 20))
-    parts = lambda n: int(min(10_000, max(n, 12)))
+    parts = lambda n: int(max(n // 2, 12))
     path = fresh_path(docs.sparkSession, "slices")
     dealt = _deal(docs, buckets, path).repartition(parts(shards), "key")
     told = dealt.groupBy("key").applyInArrow(lean(_shared), DEALT).repartition(parts(shards), "slice")

@@ -7,7 +7,6 @@ significant by extreme-value statistics, whose tail probability, calibrated on l
 from __future__ import annotations
 
 import math
-import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,17 +14,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import lean, materialize, small_batches
-from .decontam import _CLASS, _LOWER
+from .decontam import _CLASS
+from .folding import fold
 from .hashing import SpanHasher, mix
 from .packing import slices
 
 #: The model is fitted on at most so many labelled rows of each class, those with the smallest hashes of their ids,
 #: and of each of these texts on all its words. Bounds the fit, not the scoring.
 TRAIN_ROWS = 5_000
-#: Features kept, by weight. Bounds what is broadcast.
-FEATURES = 100_000
 
 #: Bytes of the word beginnings that are features too, as words of one stem differ in their ends.
 PREFIXES = (6, 5, 4)
@@ -41,7 +40,7 @@ SEGMENTS = "array<struct<start:bigint,end:bigint,score:double,expect:double>>"
 
 @dataclass
 class Words:
-    """The words of many texts: text number, byte range in the joined texts, hashes, hashes of their beginnings."""
+    """The words of many texts: text number, byte range in the text, hashes, hashes of their beginnings."""
 
     text: np.ndarray
     start: np.ndarray
@@ -55,20 +54,17 @@ class Splitter:
         self.hasher = SpanHasher()
 
     def __call__(self, texts: list[bytes]) -> Words:
-        data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-        begin = np.cumsum([0] + [len(t) + 1 for t in texts])
-        low = _LOWER[data]
-        accent = np.flatnonzero(data[:-1] == 0xC3) + 1
-        low[accent[(data[accent] >= 0x80) & (data[accent] <= 0x9E) & (data[accent] != 0x97)]] += 32
+        folded = fold(texts)
+        data, begin = folded.data, folded.begin
         kind = _CLASS[data] > 0
         before = np.concatenate([[False], kind[:-1]])
         start, stop = np.flatnonzero(kind & ~before), np.flatnonzero(~kind & before)
-        sums = self.hasher.sums(low)
+        sums = self.hasher.sums(data)
         keys = [self.hasher.spans(sums, start, stop)]
         for n in PREFIXES:
             # A beginning is another feature than the word of the same letters.
             keys.append(np.where(stop - start > n, self.hasher.spans(sums, start, np.minimum(stop, start + n)) ^ np.uint64(0x5851F42D4C957F2D), np.uint64(0)))
-        return Words(np.searchsorted(begin, start, "right") - 1, start, stop, begin, keys)
+        return Words(np.searchsorted(begin, start, "right") - 1, folded.back[start], folded.back[stop], begin, keys)
 
 
 @dataclass
@@ -122,24 +118,15 @@ def features(words: Words) -> Features:
     return Features(np.concatenate(key), np.concatenate(text))
 
 
-def lexicon(known: Features, toxic: np.ndarray, own: np.ndarray) -> Lexicon:
-    """Log-odds of every feature between the classes with Dirichlet priors, less DOUBT standard errors, towards 0.
+def log_odds(bad: Column, good: Column, n_bad: float, n_good: float, total: float) -> Column:
+    """A feature's log-odds between the classes with Dirichlet priors, less DOUBT standard errors, towards 0.
 
-    toxic: each text's label; own: whether a text takes part.
+    bad, good: texts of each class that hold it; n_bad, n_good: texts of each class; total: bad and good over all features.
     """
-    use = own[known.text]
-    each, place = np.unique(known.key[use], return_inverse=True)
-    side = toxic[known.text[use]]
-    bad = np.bincount(place, side, len(each))
-    good = np.bincount(place, ~side, len(each))
-    n_bad, n_good = max(1.0, (toxic & own).sum()), max(1.0, (~toxic & own).sum())
-    prior = np.maximum(PRIOR, PRIOR_TOKENS * (bad + good) / max(1.0, (bad + good).sum()))
-    odds = np.log((bad + prior) / (n_bad + 2 * prior)) - np.log((good + prior) / (n_good + 2 * prior))
-    doubt = DOUBT * np.sqrt(1 / (bad + prior) + 1 / (good + prior))
-    weight = np.sign(odds) * np.maximum(0, np.abs(odds) - doubt)
-    best = np.argsort(-np.abs(weight), kind="stable")[:FEATURES]
-    best = np.sort(best[weight[best] != 0])
-    return Lexicon(each[best], weight[best])
+    prior = F.greatest(F.lit(PRIOR), F.lit(PRIOR_TOKENS / max(1.0, total)) * (bad + good))
+    odds = F.log((bad + prior) / (n_bad + 2 * prior)) - F.log((good + prior) / (n_good + 2 * prior))
+    doubt = DOUBT * F.sqrt(1 / (bad + prior) + 1 / (good + prior))
+    return F.signum(odds) * F.greatest(F.lit(0.0), F.abs(odds) - doubt)
 
 
 def hits(words: Words, known: Lexicon) -> Hits:
@@ -203,11 +190,11 @@ class Model:
     a: float
     b: float
 
-    def evidence(self, size: int, found: list[tuple[int, int, float]]) -> float:
-        """-ln of the chance of segments like the best ones of a text, by sum statistics."""
-        x = sorted((self.rate * s - math.log(self.scale * max(1, size)) for _, _, s in found), reverse=True)
+    def evidence(self, size: int, scores: list[float]) -> float:
+        """-ln of the chance of segments like the best ones of a text, by sum statistics over any number of them."""
+        x = sorted((self.rate * s - math.log(self.scale * max(1, size)) for s in scores), reverse=True)
         best = total = 0.0
-        for r, v in enumerate(x[:50], 1):
+        for r, v in enumerate(x, 1):
             if v <= 0 and r > 1:
                 break
             total += v
@@ -223,13 +210,21 @@ class Model:
         return self.scale * max(1, size) * math.exp(-min(700.0, self.rate * score))
 
 
-def tail(h: Hits, toxic: np.ndarray, own: np.ndarray, drift: float) -> tuple[float, float]:
-    """lambda and K from clean texts: lambda of their words' gains, K from their best segments."""
-    clean = ~toxic & own
-    value, n = np.unique(np.round(h.weight[clean[h.text]], 2), return_counts=True)
-    value, n = np.append(value, 0.0), np.append(n, max(1.0, h.size[clean].sum() - n.sum()))
-    top = max(float(h.weight.max(initial=0)), drift + 1)
-    value, n = np.append(value, top) - drift, np.append(n, 1.0)  # one gain of the largest size more than was seen
+@dataclass
+class Measured:
+    """Sample texts, scored by the lexicon of those on the other side: side, label, words, and the segments' scores for each drift."""
+
+    side: np.ndarray
+    toxic: np.ndarray
+    size: np.ndarray
+    scores: list[list[list[float]]]
+
+
+def tail(gains: dict[float, float], top: float, size: np.ndarray, best: np.ndarray, drift: float) -> tuple[float, float]:
+    """lambda and K from clean texts: lambda of their words' weights (and how often each comes), K from their best segments."""
+    value, n = np.array([*gains, 0.0]), np.array([*gains.values(), max(1.0, size.sum() - sum(gains.values()))])
+    # One weight of the largest size more than was seen.
+    value, n = np.append(value, max(top, drift + 1)) - drift, np.append(n, 1.0)
     p = n / n.sum()
     if (p * value).sum() >= 0:
         value = value - (p * value).sum() - drift
@@ -237,59 +232,33 @@ def tail(h: Hits, toxic: np.ndarray, own: np.ndarray, drift: float) -> tuple[flo
     for _ in range(60):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if (p * np.exp(np.minimum(mid * value, 500))).sum() < 1 else (lo, mid)
-    best = np.zeros(len(toxic))
-    for k, _, found in found_in(h, drift):
-        best[k] = max((s for _, _, s in found), default=0)
-    total = (h.size[clean] * np.exp(-lo * best[clean])).sum()
-    return lo, float(min(1.0, max(1e-9, clean.sum() / max(total, 1.0))))
+    total = (size * np.exp(-lo * best)).sum()
+    return lo, float(min(1.0, max(1e-9, len(size) / max(total, 1.0))))
 
 
-def fit(texts: list[bytes], toxic: np.ndarray, weights: tuple[float, float]) -> Model | None:
-    """A model from labelled texts; weights: rows of each class (clean, toxic) that one text stands for.
+def fit(known: Measured, gains: list[dict[float, float]], top: float, weights: tuple[float, float]) -> tuple[float, float, float, float, float]:
+    """(lambda, K, drift, a, b) of the drift whose calibration makes the labels likeliest.
 
-    The two halves of the texts score each other for the calibration; the lexicon then comes from all of them.
-    Texts are cut into words a few megabytes at a time.
+    gains: the weights of clean texts' words by side; weights: rows of each class (clean, toxic) that one text stands for.
     """
-    if toxic.all() or not toxic.any():
-        return None
-    split = Splitter()
-    sizes = np.cumsum([0] + [len(t) + 1 for t in texts])
-    bounds = np.unique(np.searchsorted(sizes, np.arange(0, sizes[-1] + (2 << 20), 2 << 20)).clip(0, len(texts))).tolist()
-    parts = list(zip(bounds[:-1], bounds[1:], strict=True))
-    known = []
-    for lo, hi in parts:
-        f = features(split(texts[lo:hi]))
-        known.append(Features(f.key, (f.text + lo).astype(np.int32)))
-    known = Features(np.concatenate([f.key for f in known]), np.concatenate([f.text for f in known]))
-    first = np.zeros(len(texts), bool)
-    for side in (toxic, ~toxic):
-        first[np.flatnonzero(side)[::2]] = True
-    crossed = [(own, lexicon(known, toxic, ~own)) for own in (first, ~first)]
-    all_hits: list[list[Hits]] = [[], []]
-    for lo, hi in parts:
-        words = split(texts[lo:hi])
-        for side, (_, lex) in zip(all_hits, crossed, strict=True):
-            h = hits(words, lex)
-            side.append(Hits(h.text + lo, h.place, h.weight, h.size))
-    sides = [(own, Hits(*(np.concatenate([getattr(h, c) for h in side]) for c in ("text", "place", "weight", "size")))) for side, (own, _) in zip(all_hits, crossed, strict=True)]
-    row = np.where(toxic, weights[1], weights[0])
+    row = np.where(known.toxic, weights[1], weights[0])
     row = row / row.mean()
     best = None
-    for drift in DRIFTS:
-        rate, scale, evidence = [], [], np.zeros(len(texts))
-        for own, h in sides:
-            m = Model(Lexicon(np.empty(0, np.uint64), np.empty(0)), *tail(h, toxic, own, drift), drift, 0, 0)
-            rate.append(m.rate)
-            scale.append(m.scale)
-            for k, size, found in found_in(h, drift):
-                if own[k]:
-                    evidence[k] = m.evidence(size, found)
-        a, b = calibrate(evidence, toxic, row)
+    for d, drift in enumerate(DRIFTS):
+        most = np.array([max(s[d], default=0.0) for s in known.scores])
+        evidence, tails = np.zeros(len(most)), []
+        for side in (0, 1):
+            clean = ~known.toxic & (known.side == side)
+            m = Model(Lexicon(np.empty(0, np.uint64), np.empty(0)), *tail(gains[side], top, known.size[clean], most[clean], drift), drift, 0, 0)
+            tails.append((m.rate, m.scale))
+            for k in np.flatnonzero((known.side == side) & (most > 0)).tolist():
+                evidence[k] = m.evidence(int(known.size[k]), known.scores[k][d])
+        a, b = calibrate(evidence, known.toxic, row)
         p = np.clip(1 / (1 + np.exp(-np.clip(a + b * evidence, -40, 40))), 1e-9, 1 - 1e-9)
-        loss = -(row * np.where(toxic, np.log(p), np.log1p(-p))).sum()
+        loss = -(row * np.where(known.toxic, np.log(p), np.log1p(-p))).sum()
         if best is None or loss < best[0]:
-            best = (loss, sum(rate) / 2, sum(scale) / 2, drift, a, b)
-    return Model(lexicon(known, toxic, np.ones(len(texts), bool)), *best[1:])
+            best = (loss, sum(t[0] for t in tails) / 2, sum(t[1] for t in tails) / 2, drift, a, b)
+    return best[1:]
 
 
 def calibrate(evidence: np.ndarray, toxic: np.ndarray, row: np.ndarray) -> tuple[float, float]:
@@ -310,37 +279,93 @@ def held_out(key: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model | None:
-    """Fit a model on the labelled documents that are not held out; None if a class is missing."""
+    """Fit a model on the labelled documents that are not held out; None if a class is missing.
+
+    Of several labels of one id the largest counts, of several texts the least. Two halves of the sample score each other for
+    the calibration; the lexicon then comes from both. The texts stay on the executors: features are counted and
+    weighed there, and the driver gets the features that weigh and each sample text's segment scores.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).where(~held_out(F.col(key))).groupBy(F.col(key).alias("_key")).agg(F.max(F.col(label).cast("int")).alias("_toxic"))
     own = known.groupBy().agg(F.sum("_toxic").alias("toxic"), F.count("*").alias("n")).first()
     if not own.n or not own.toxic or own.toxic == own.n:
         return None
+    small_batches(docs.sparkSession)
     parts = [known.where(F.col("_toxic") == y).orderBy(F.xxhash64("_key"), "_key").limit(rows) for y in (0, 1)]
     chosen = F.broadcast(materialize(parts[0].unionByName(parts[1]), "toxic-rows"))  # at most 2 * rows pairs of numbers
     sample = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text")).join(chosen, "_key")
+    sample = sample.groupBy("_key").agg(F.min("_text").alias("text"), F.max("_toxic").alias("toxic"))
+    turn = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("_key"), "_key")) % 2  # at most `rows` rows in each class
+    sample = materialize(sample.withColumn("side", turn).drop("_key").repartition(max(1, min(64, 2 * rows // 100)), F.xxhash64("text")), "toxic-sample")
+    sizes = {(r.side, r.toxic): r["count"] for r in sample.groupBy("side", "toxic").count().collect()}
+    n = [[float(sizes.get((s, y), 0)) for y in (0, 1)] for s in (0, 1)]
+    if not n[0][1] + n[1][1] or not n[0][0] + n[1][0]:
+        return None
 
-    def run(table: pa.Table) -> pa.Table:
-        # Repeated ids give repeated rows; one of each is enough.
-        chosen: dict[int, tuple[bytes, int]] = {}
-        for k, t, y in zip(table["_key"].to_pylist(), table["_text"].cast(pa.binary()).to_pylist(), table["_toxic"].to_pylist(), strict=True):
-            chosen[k] = min(chosen.get(k, (t, y)), (t, y))
-        rows_ = [chosen[k] for k in sorted(chosen)]
-        toxic = np.array([y == 1 for _, y in rows_])
-        n_toxic = max(1, int(toxic.sum()))
-        m = fit([t for t, _ in rows_], toxic, ((own.n - own.toxic) / max(1, len(toxic) - n_toxic), own.toxic / n_toxic))
-        return pa.table({"model": pa.array([pickle.dumps(None if m is None else (m.words.key, m.words.weight, m.rate, m.scale, m.drift, m.a, m.b))], pa.binary())})
-
-    # One task fits the bounded sample; its model has at most FEATURES weights.
-    model = materialize(sample.groupBy(F.lit(0).alias("_all")).applyInArrow(lean(run), "model binary"), "toxic-model").first()
-    got = pickle.loads(model.model) if model else None
-    return Model(Lexicon(got[0], got[1]), *got[2:]) if got else None
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, Words]]:
+        split = Splitter()
+        for batch in batches:
+            for lo, hi in slices(batch.column("text")):
+                words = split(batch.column("text")[lo:hi].cast(pa.binary()).to_pylist())
+                yield batch.column("side")[lo:hi].to_numpy(), batch.column("toxic")[lo:hi].to_numpy(), words
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for side, toxic, words in cut(batches):
+            f = features(words)
+            each, place = np.unique(f.key, return_inverse=True)
+            group = (2 * side + toxic)[f.text]
+            held = [np.bincount(place, group == g, len(each)).astype(np.int64) for g in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(each.view(np.int64)), *map(pa.array, held)], ["key", "g0", "b0", "g1", "b1"])
+
+    counts = sample.mapInArrow(lean(count), "key bigint, g0 bigint, b0 bigint, g1 bigint, b1 bigint").groupBy("key").agg(*(F.sum(c).cast("double").alias(c) for c in ("g0", "b0", "g1", "b1")))
+    counts = materialize(counts, "toxic-counts")
+    total = counts.agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("g0", "b0", "g1", "b1"))).first()
+    half = lambda s: log_odds(F.col(f"b{s}"), F.col(f"g{s}"), max(1.0, n[s][1]), max(1.0, n[s][0]), total[f"b{s}"] + total[f"g{s}"])
+    both = log_odds(F.col("b0") + F.col("b1"), F.col("g0") + F.col("g1"), n[0][1] + n[1][1], n[0][0] + n[1][0], sum(total))
+    # The lexicon for a side comes from the other one.
+    weighed = counts.select("key", half(1).alias("w0"), half(0).alias("w1"), both.alias("w")).where("w0 <> 0 or w1 <> 0 or w <> 0").toArrow()
+    found = weighed["key"].to_numpy().view(np.uint64)
+    order = np.argsort(found)
+    lexicons = []
+    for c in ("w0", "w1", "w"):
+        w = weighed[c].to_numpy()[order]
+        lexicons.append(Lexicon(found[order][w != 0], w[w != 0]))
+    sent = docs.sparkSession.sparkContext.broadcast(lexicons[:2])
+    schema = "side int, toxic int, size bigint, weight int, times bigint, scores array<array<double>>"
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text, and rows for how often each weight (in hundredths) comes in the clean ones."""
+        for side, toxic, words in cut(batches):
+            scores = [[[] for _ in DRIFTS] for _ in side]
+            out: list[tuple] = []
+            for s in (0, 1):
+                h = hits(words, sent.value[s])
+                for d, drift in enumerate(DRIFTS):
+                    for k, _, segs in found_in(h, drift):
+                        if side[k] == s:
+                            scores[k][d] = [x for _, _, x in segs]
+                clean = (side == s) & (toxic == 0)
+                value, times = np.unique(np.round(100 * h.weight[clean[h.text]]).astype(int), return_counts=True)
+                out += [(s, 0, None, int(v), int(t), None) for v, t in zip(value, times, strict=True)]
+            size = np.bincount(words.text, minlength=len(side))
+            out += [(int(s), int(y), int(z), None, None, x) for s, y, z, x in zip(side, toxic, size, scores, strict=True)]
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.list_(pa.float64())))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [c.split()[0] for c in schema.split(", ")])
+
+    measured = materialize(sample.mapInArrow(lean(measure), schema), "toxic-measured")
+    texts = measured.where("size is not null").select("side", "toxic", "size", "scores").toArrow()
+    gains: list[dict[float, float]] = [{}, {}]
+    for r in measured.where("size is null").groupBy("side", "weight").agg(F.sum("times").alias("times")).collect():
+        gains[r.side][r.weight / 100] = float(r.times)
+    own_texts = Measured(texts["side"].to_numpy(), texts["toxic"].to_numpy() == 1, texts["size"].to_numpy(), texts["scores"].to_pylist())
+    stands_for = ((own.n - own.toxic) / (n[0][0] + n[1][0]), own.toxic / (n[0][1] + n[1][1]))
+    return Model(lexicons[2], *fit(own_texts, gains, max((float(x.weight.max(initial=0)) for x in lexicons[:2])), stands_for))
 
 
 def score(docs: DataFrame, model: Model | None, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, score (0 to 1), predicted (int) and the significant segments, as byte ranges, of every whole text.
 
     A null or empty text has no segments and the score of a text without evidence; without a model scores are 0.
-    Repeated rows are scored as often as they come.
+    Repeated rows are scored as often as they come; whole texts of any length are scanned.
     """
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -358,11 +383,11 @@ def score(docs: DataFrame, model: Model | None, *, text: str = "text", key: str
                     words = split([x or b"" for x in batch.column(1)[lo:hi].cast(pa.binary()).to_pylist()])
                     first = np.searchsorted(words.text, np.arange(n))
                     for k, size, found in found_in(hits(words, m.words), m.drift):
-                        scores[k] = m.probability(m.evidence(size, found))
+                        scores[k] = m.probability(m.evidence(size, [s for _, _, s in found]))
                         for a, b, s in found:
                             e = m.expect(size, s)
                             if e < EXPECT:
-                                spans[k].append({"start": int(words.start[first[k] + a] - words.begin[k]), "end": int(words.stop[first[k] + b - 1] - words.begin[k]), "score": s, "expect": e})
+                                spans[k].append({"start": int(words.start[first[k] + a]), "end": int(words.stop[first[k] + b - 1]), "score": s, "expect": e})
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[lo:hi], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(spans, kind)], ["doc_id", "score", "predicted", "segments"]
                 )

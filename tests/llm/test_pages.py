@@ -1,9 +1,10 @@
 import base64
+import gzip
 import hashlib
 
 from pyspark.sql import functions as F
 
-from lodestone.llm import html_extract, warc
+from lodestone.llm import html_extract, queries, warc
 from lodestone.llm.common import fresh_path
 
 LONG = "Long enough a sentence, with commas, to count as a paragraph of the article."
@@ -18,7 +19,8 @@ def test_article_without_clutter():
 
 def test_best_container_by_score_keeps_siblings():
     page = f"<body><div><a href=x>{LONG}</a></div><div class=story><p>{LONG}</p><p>{LONG} two</p><ul><li><a href=1>l</a><li><a href=2>m</a></ul></div><div class=menu>x</div></body>"
-    assert html_extract.main_text(page) == f"{LONG}\n{LONG} two"
+    assert html_extract.main_text(page) == f"{LONG}\n{LONG} two\nl\nm"  # a list of links in what is marked as content stays
+    assert html_extract.main_text(page.replace(" class=story", "")) == f"{LONG}\n{LONG} two"
 
 
 def test_odd_pages():
@@ -57,7 +59,7 @@ def test_warc_round_trip(spark):
 
 def test_warc_pushes_predicates_and_splits_files(spark):
     path = fresh_path(spark, "test")
-    warc.archive(spark.createDataFrame(PAGES, "page_id long, url string, html string").coalesce(1), path)
+    warc.archive(spark.createDataFrame(PAGES, "page_id long, url string, html string").coalesce(1), path, step=1)
     whole = warc.read(spark, path, payloads=False)
     assert whole.where("record_type = 'revisit'").count() == 2
     assert [r.record_id for r in whole.where("record_id in ('<urn:page:2>', '<urn:page:9>') and payload_bytes > 0").collect()] == ["<urn:page:2>"]
@@ -74,3 +76,55 @@ def test_warc_least_and_empty(spark):
     warc.archive(spark.createDataFrame(PAGES, "page_id long, url string, html string"), path, least=5)
     assert warc.read(spark, path).where("record_type = 'revisit'").count() == 1
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def warc_rows(spark, *rows):
+    return spark.createDataFrame(list(rows), "page_id long, url string, html string")
+
+
+def test_warc_repeated_and_null_keys_keep_every_payload(spark):
+    path = fresh_path(spark, "test")
+    warc.archive(warc_rows(spark, (5, "u", "AAA"), (5, "u", "BBB"), (9, "u", "AAA"), (10, "u", "BBB"), (None, "u", "AAA"), (None, "u", "C")), path)
+    got = sorted(((r.record_id, r.record_type, r.refers_to, r.payload and bytes(r.payload)) for r in warc.read(spark, path).collect()), key=str)
+    page = "<urn:page:{}>".format
+    assert got == sorted(
+        [(page(5), "revisit", page(9), None), (page(5), "revisit", page(10), None), (page(9), "response", None, b"AAA"), (page(10), "response", None, b"BBB"), (page(""), "revisit", page(9), None), (page(""), "response", None, b"C")], key=str
+    )
+
+
+def test_warc_headers_of_any_length_and_appended_archives(spark):
+    path, url = fresh_path(spark, "test"), "http://a/" + "x" * 1_000_000
+    warc.archive(warc_rows(spark, (1, url, "one")), path)
+    warc.archive(warc_rows(spark, (2, "u", "two")), path)
+    assert {r.record_id: len(r.target_uri) for r in warc.read(spark, path, payloads=False).collect()} == {"<urn:page:1>": len(url), "<urn:page:2>": 1}
+    warc.read(spark, path).where("record_id = '<urn:page:2>'").select(*(c.split()[0] for c in warc.WRITE_SCHEMA.split(", "))).write.format("lodestone_warc").mode("overwrite").option("path", path + "x").save()
+    more = warc.read(spark, path + "x").select(*(c.split()[0] for c in warc.WRITE_SCHEMA.split(", ")))
+    warc.archive(warc_rows(spark, (3, "u", "three")), path + "y")
+    more.write.format("lodestone_warc").mode("overwrite").option("path", path + "y").save()
+    assert [(r.record_id, bytes(r.payload)) for r in warc.read(spark, path + "y").collect()] == [("<urn:page:2>", b"two")]
+
+
+def test_archives_of_others(spark, tmp_path):
+    def made(kind, number, block, **more):
+        lines = [f"WARC/1.0\r\nWARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{number}>", *(f"{k.replace('_', '-')}: {v}" for k, v in more.items()), f"Content-Length: {len(block)}"]
+        return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+    records = [made("warcinfo", 1, b"software: x\r\n"), made("response", 2, http + b"body\r\n\r\nWARC/1.0\r\n", Content_Type="application/http; msgtype=response"), made("metadata", 3, b"z" * 700_000, Content_Type="text/plain"), made("response", 4, http, Content_Type="application/http")]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    got = warc.read(spark, str(tmp_path))
+    assert got.groupBy("record_id", "record_type", "payload_bytes", "payload").count().where("count = 3").count() == 4 == got.count() / 3
+    assert bytes(warc.read(spark, str(tmp_path / "b.warc.gz")).where("record_id = '<urn:uuid:2>'").first().payload) == b"body\r\n\r\nWARC/1.0\r\n"
+    assert warc.read(spark, str(tmp_path), payloads=False).where("record_type = 'response'").count() == 6
+
+
+def test_warc_query_reads_what_it_wrote(spark, tmp_path):
+    warc_rows(spark, *PAGES).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in queries.op7_warc(spark, str(tmp_path)).collect()}
+    for k, _, html in PAGES:
+        raw = (html or "").encode()
+        last = max(j for j, _, h in PAGES if (h or "") == (html or ""))
+        want = (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if last == k else "revisit", None if last == k else last)
+        assert (got[k].payload_bytes, got[k].payload_digest, got[k].record_type, got[k].refers_to) == want

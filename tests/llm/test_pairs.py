@@ -46,10 +46,11 @@ def near_copies(seed, n=160):
     return rows
 
 
-@pytest.mark.parametrize("size", [4 << 20, 600])
-def test_join_equals_brute_force(spark, monkeypatch, size):
+@pytest.mark.parametrize(("size", "bucket"), [(4 << 20, 1 << 19), (600, 100)])
+def test_join_equals_brute_force(spark, monkeypatch, size, bucket):
     monkeypatch.setattr(jj, "SLICE", size)
-    monkeypatch.setattr(jj, "TREE", 1 << 20 if size > 1000 else 64)
+    monkeypatch.setattr(jj, "BUCKET", bucket)
+    monkeypatch.setattr(jj, "TREE", 1 << 20 if size > 1000 else 640)
     rows = near_copies(size)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jj.similar(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == brute_join(rows)
@@ -85,8 +86,9 @@ def test_components(spark):
     assert got == {x: y for x, y in up.items() if any(x in e and e[0] != e[1] for e in edges)}
 
 
-@pytest.mark.parametrize("letters", [1, 2, 3, 5])
-def test_suffix_arrays(letters):
+@pytest.mark.parametrize(("letters", "buckets"), [(1, 1024), (2, 1024), (3, 1024), (5, 1024), (3, 2), (5, 1)])
+def test_suffix_arrays(monkeypatch, letters, buckets):
+    monkeypatch.setattr(sa, "BUCKETS", buckets)
     r = random.Random(letters)
     for _ in range(150):
         t = [r.randrange(letters) for _ in range(r.randint(1, 40))] * r.choice([1, 1, 3])
@@ -101,6 +103,14 @@ def test_suffix_arrays(letters):
             assert shared[a] == n
 
 
+def test_suffix_array_of_many_names():
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefgh ") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    raw = "".join(r.choice(words) for _ in range(20_000)).encode()[:60_000]
+    order = sa.suffix_array(np.frombuffer(raw, np.uint8).astype(np.int64), 257)
+    assert order.tolist() == sorted(range(len(raw)), key=lambda i: raw[i : i + 200])
+
+
 def brute_repeats(rows):
     first, raw = {}, [(k, (t or "").encode()) for k, t in rows]
     for k, b in raw:

@@ -146,7 +146,7 @@ def test_long_secrets_are_found_whole():
         (f'token: "{key}"', (key, "assignment")),
     ):
         assert [(text[a:b], rule) for a, b, rule in secret_scan.candidates(text)] == want
-    words = frozenset(["wordy"])
+    words = secret_scan.language(frozenset(["wordy"]))
     value = "wordy" * 100 + "x7" * 250
     assert secret_scan.describe(value, 0, len(value), True, words)[secret_scan.FEATURES.index("dictionary")] == 0.5
 
