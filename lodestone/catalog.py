@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .functions import metadata, tables, text
 from .operators import blocks, bm25, chunk, fuse, rank, sync, vectors
 from .plans import answer, evaluate
+from .sources.scratch import spread
 from .streaming.ingest import windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,8 +37,13 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, d: str, name: str = "documents") -> DataFrame:
+    """A table of texts, which is costly to work on, over all cores."""
+    return spread(_t(spark, d, name))
+
+
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "documents").withColumnRenamed("doc_id", "id")
+    return _texts(spark, d).withColumnRenamed("doc_id", "id")
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +104,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score
 
 @_query(f"SELECT doc_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_distinct FROM (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents)")
 def tokenize_counts(spark: SparkSession, d: str) -> DataFrame:
-    own = _t(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"))
+    own = _texts(spark, d).select("doc_id", text.tokens(F.col("text")).alias("t"))
     return own.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
 
 
@@ -114,7 +120,7 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT doc_id, sha256(strip_accents(lower(text))) AS folded FROM documents")
 def fold_accents(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "documents").select("doc_id", F.sha2(text.fold_accents(F.col("text")), 256).alias("folded"))
+    return _texts(spark, d).select("doc_id", F.sha2(text.fold_accents(F.col("text")), 256).alias("folded"))
 
 
 @_query(r"SELECT min(doc_id) AS doc_id, count(*)::BIGINT AS n FROM documents GROUP BY substring(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), 1, 500)")
@@ -264,7 +270,7 @@ c AS (SELECT doc_id, i, trim(substring(text, i * {_SIZE - _OVERLAP} + 1, {_SIZE}
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::BIGINT AS chunk_id, sha256(chunk) AS sha, length(chunk)::BIGINT AS n FROM c WHERE chunk <> ''"""
 )
 def hard_split_chunks(spark: SparkSession, d: str) -> DataFrame:
-    own = _t(spark, d, "documents").select("doc_id", F.posexplode(text.hard_split(F.col("text"), _SIZE, _OVERLAP)).alias("i", "chunk"))
+    own = _texts(spark, d).select("doc_id", F.posexplode(text.hard_split(F.col("text"), _SIZE, _OVERLAP)).alias("i", "chunk"))
     return own.select("doc_id", F.col("i").cast("long").alias("chunk_id"), F.sha2("chunk", 256).alias("sha"), F.length("chunk").cast("long").alias("n"))
 
 
@@ -277,7 +283,7 @@ p AS (SELECT doc_id, list_filter(list_transform(l, lambda x: """ + _STRIP.format
 SELECT doc_id, len(l)::BIGINT AS n_sentences, sha256(array_to_string(l, chr(10))) AS sha FROM p"""
 )
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
-    own = _t(spark, d, "documents").select("doc_id", text.sentences(F.col("text")).alias("l"))
+    own = _texts(spark, d).select("doc_id", text.sentences(F.col("text")).alias("l"))
     return own.select("doc_id", F.size("l").cast("long").alias("n_sentences"), F.sha2(F.array_join("l", "\n"), 256).alias("sha"))
 
 
@@ -287,7 +293,7 @@ p AS (SELECT doc_id, list_filter(list_transform(l, lambda x: """ + _STRIP.format
 SELECT doc_id, len(l)::BIGINT AS n_paragraphs, sha256(array_to_string(l, chr(30))) AS sha FROM p"""
 )
 def paragraph_split(spark: SparkSession, d: str) -> DataFrame:
-    own = _t(spark, d, "documents").select("doc_id", text.paragraphs(F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))).alias("l"))
+    own = _texts(spark, d).select("doc_id", text.paragraphs(F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))).alias("l"))
     return own.select("doc_id", F.size("l").cast("long").alias("n_paragraphs"), F.sha2(F.array_join("l", "\x1e"), 256).alias("sha"))
 
 
@@ -317,7 +323,7 @@ pieces AS (SELECT {key}, t, CASE WHEN length(t) <= {_SIZE} THEN [t] WHEN n < 2 T
 SELECT doc_id || '_chunk_' || chunk_id AS id, text, doc_id::VARCHAR AS parent_id, chunk_id, 'text' AS block_types FROM u"""
 )
 def recursive_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunk.chunk_documents(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), _SIZE, _OVERLAP)
+    return chunk.chunk_documents(_texts(spark, d).select(F.col("doc_id").alias("id"), "text"), _SIZE, _OVERLAP)
 
 
 @_query(
@@ -331,7 +337,7 @@ u AS (SELECT doc_id, unnest(chunks) AS text, (generate_subscripts(chunks, 1) - 1
 SELECT doc_id || '_chunk_' || chunk_id AS id, text, doc_id::VARCHAR AS parent_id, chunk_id, 'text' AS block_types FROM u"""
 )
 def simple_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunk.chunk_documents(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), _SIZE, _OVERLAP, mode="simple")
+    return chunk.chunk_documents(_texts(spark, d).select(F.col("doc_id").alias("id"), "text"), _SIZE, _OVERLAP, mode="simple")
 
 
 # No turn is a heading, so a conversation is a greedy packing of its turns; one that is too long is cut on its own.
@@ -373,7 +379,7 @@ _CLASS = r"""CASE WHEN regexp_matches(line, '^(#{1,6})\s+(.+)$') THEN 'heading'
 
 @_query(f"WITH {_LINES} SELECT doc_id, {_CLASS} AS block_type, count(*)::BIGINT AS n FROM tl WHERE line <> '' GROUP BY ALL")
 def markdown_line_classes(spark: SparkSession, d: str) -> DataFrame:
-    own = _t(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", F.trim("line")).where("line <> ''")
+    own = _texts(spark, d).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", F.trim("line")).where("line <> ''")
     return own.select("doc_id", blocks.line_class(F.col("line"))["block_type"].alias("block_type")).groupBy("doc_id", "block_type").agg(F.count("*").alias("n"))
 
 

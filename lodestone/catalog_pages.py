@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import _CLASS, _PAGE, _STRIP, _SYNC, QUERIES, SQL, _page_columns, _query, _sync_tables, _t
+from .catalog import _CLASS, _PAGE, _STRIP, _SYNC, QUERIES, SQL, _page_columns, _query, _sync_tables, _t, _texts
 from .functions import metadata
 from .operators import blocks, sync
 from .sources.scratch import fresh_path
@@ -56,7 +56,7 @@ def _pages_of(spark: SparkSession, d: str) -> DataFrame:
         F.lit("["), block("h", "heading_2", text(F.col("lang"))), F.lit(","), block("p", "paragraph", text(F.col("text"))), F.lit(","), block("b", "bulleted_list_item", text(F.col("source"))), F.lit(","),
         F.lit('{"id":"c","type":"code","code":{"language":"sql","rich_text":[{"text":{"content":"x"}}]}},{"id":"e","type":"equation","equation":{}},{"id":"i","type":"image","image":{"type":"file","file":{"url":"u"}}},'), table, F.lit("]"),
     )
-    return _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("page_id"), trees.alias("blocks"), F.create_map().cast("map<string,string>").alias("meta"))
+    return _texts(spark, d).select(F.col("doc_id").cast("string").alias("page_id"), trees.alias("blocks"), F.create_map().cast("map<string,string>").alias("meta"))
 
 
 @_query(f"WITH {_UNITS} SELECT page_id, ordinal, block_type, heading_path, sha256(text) AS sha FROM units")

@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that the driver and all executors share."""
+"""Intermediate tables in the folder that the driver and all executors share, and tables of few partitions."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -52,3 +53,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table as read from files, over all cores if its rows lie in fewer partitions than there are cores; else as it is.
+
+    A small file is one partition, and costly columns would keep one core busy. No column is read to find out.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.select(F.spark_partition_id().alias("p")).distinct().count() < cores else table
