@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import common, decontam, jaccard_join, line_dedup, packing, quality
 from lodestone.llm.queries import tokenizer_path
+from lodestone.sources.scratch import spread
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -59,7 +60,7 @@ STAGES = [("quality_rules", rules), ("line_dedup", lines), ("near_duplicates", n
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each one's rows are written and read again before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES[:-1]:
         docs = common.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -69,7 +69,7 @@ def quality_rules(docs: DataFrame, *, ratio: float = RATIO, min_docs: int = MIN_
     base = base.withColumn("n_repeat_words", F.when(F.monotonically_increasing_id() >= 0, F.coalesce(covered, F.lit(0)).cast("long"))).drop("_again")
     base = base.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
-    found = with_frequent_lines(base, frequent_lines(docs, ratio, min_docs, text=text, host=host), host)
+    found = with_frequent_lines(base, frequent_lines(docs, ratio, min_docs, text=text, host=host), host, text)
     gone = F.when(F.size("_bad") == 0, 0).otherwise(F.aggregate(F.zip_with("_norm", "_count", lambda h, n: F.when(F.array_contains("_bad", h), n).otherwise(0)), F.lit(0), lambda a, n: a + n))
     return (
         found.withColumn("n_left_words", F.col("n_words") - gone.cast("long"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import spread
 from . import decontam, html_extract, jaccard_join, line_dedup, packing, quality, secret_scan, suffix_dedup, toxicity, warc
 
 
@@ -12,45 +13,50 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of texts, which is costly to work on, over all cores."""
+    return spread(_table(spark, sf_dir, name))
+
+
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+    return html_extract.extract(_texts(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.drop_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+    return line_dedup.drop_lines(_texts(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.similar(_table(spark, sf_dir, "documents"))
+    return jaccard_join.similar(_texts(spark, sf_dir))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(_table(spark, sf_dir, "documents")).select(
+    return quality.quality_rules(_texts(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_left_words", "base_failed", "kept"
     )
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontam.find_leaks(_texts(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return secret_scan.scan(_texts(spark, sf_dir), tokenizer_path())
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _texts(spark, sf_dir)
     scored = toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "segments")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return suffix_dedup.remove_repeats(_texts(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda c: F.regexp_extract(c, "<urn:page:(-?\\d+)>", 1).try_cast("bigint")
-    got = warc.round_trip(_table(spark, sf_dir, "pages"))
+    got = warc.round_trip(_texts(spark, sf_dir, "pages"))
     # Sizes and digests of responses are those of the payloads that were read; a revisit has none and tells them by its headers.
     return got.select(
         number("record_id").alias("page_id"),
@@ -69,7 +75,7 @@ def tokenizer_path() -> str:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path()).select(
+    return packing.pack(_texts(spark, sf_dir), tokenizer_path()).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
 

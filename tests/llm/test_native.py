@@ -21,6 +21,15 @@ def test_line_dedup_drops_what_most_pages_of_a_host_hold(spark):
     assert got[101].text == "menu here\nother 1"  # too few pages on this host
 
 
+def test_line_dedup_beyond_what_is_broadcast(spark, monkeypatch):
+    rows = [(i, f"menu here\nown {i}", "a" if i % 3 else None) for i in range(60)] + [(100, None, "a"), (101, "menu here", "b")]
+    df = docs(spark, *rows).repartition(5)
+    want = sorted(map(repr, line_dedup.drop_lines(df, min_pages=5).collect()))
+    for name in ("BROADCAST_ROWS", "HOST_PAGES"):
+        monkeypatch.setattr(line_dedup, name, 7 if name == "HOST_PAGES" else 0)
+    assert sorted(map(repr, line_dedup.drop_lines(df, min_pages=5).collect())) == want and sum("menu" in r for r in want) == 1
+
+
 def test_copies_of_a_page_count_once(spark):
     rows = [(i, "the same page\nsecond line", "a") for i in range(30)] + [(50 + i, f"page {i}", None) for i in range(30)]
     got = line_dedup.drop_lines(docs(spark, *rows), min_pages=5)

@@ -1,7 +1,10 @@
 import base64
 import gzip
 import hashlib
+import os
 
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import html_extract, queries, warc
@@ -23,6 +26,33 @@ def test_best_container_by_score_keeps_siblings():
     assert html_extract.main_text(page.replace(" class=story", "")) == f"{LONG}\n{LONG} two"
 
 
+def test_the_score_decides_without_and_across_articles():
+    body = f"<h1>Head</h1><p>{LONG}</p><p>{LONG} two</p><ol><li><a href=1>ref one</a></li><li><a href=2>ref two</a></li></ol>"
+    page = f"<body><nav><a href=x>menu</a></nav><div class=ad>buy</div><article>{body}</article><footer>foot</footer></body>"
+    want = f"Head\n{LONG}\n{LONG} two\nref one\nref two"
+    assert html_extract.main_text(page) == want
+    assert html_extract.main_text(page.replace("article>", "div>")) == want.rpartition("\nref one")[0]
+    # Of two articles the fuller one, wherever it stands.
+    short = "<article><p>A teaser of some other story, of a few words</p></article>"
+    assert html_extract.main_text(f"<main>{short}<article>{body}</article></main>") == want
+    # Not the first article, but where the points are.
+    assert html_extract.main_text(f"<body><article><p>Teaser only, a few words of it.</p></article><div>{body.replace('<ol>', '<ul>')}</div></body>").startswith(f"Head\n{LONG}")
+
+
+def test_what_nothing_ends_holds_nothing():
+    for tag in ("svg", "iframe", "object", "noscript", "select", "video"):
+        assert html_extract.main_text(f"<article><p>{LONG}</p><{tag} x=y><p>{LONG} two</p></article>") == f"{LONG}\n{LONG} two", tag
+        assert html_extract.main_text(f"<article><p>{LONG}</p><{tag}>no</{tag}><p>{LONG} two</p></article>") == f"{LONG}\n{LONG} two", tag
+    assert html_extract.main_text(f"<article><p>{LONG} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> so</p></article>") == f"{LONG} x=2 so"
+    assert html_extract.main_text(f"<article><p title='{'a>b' * 60_000}'>{LONG}</p></article>") == LONG
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_pages_read_the_same_without_their_article_tags():
+    for page in pq.read_table("/root/testdata/sf0.001/pages.parquet")["html"].to_pylist():
+        assert html_extract.main_text(page) == html_extract.main_text(page.replace("<article>", "<div>").replace("</article>", "</div>"))
+
+
 def test_odd_pages():
     for page, want in ((None, ""), ("", ""), ("   ", ""), ("plain text", "plain text"), ("<p>a<b>b</b>c</p>", "abc"), ("<!-- x --><p>&#233;&lt;", "é<"), ("<a href='x>broken <p>text", "broken\ntext"), ("<script>never closed", ""), ("<p>a<br>b", "a\nb"), ("</p></div>x", "x")):
         assert html_extract.main_text(page) == want, page
