@@ -2,15 +2,15 @@
 
 Over a small alphabet the scans of induced sorting are taken bucket by bucket: what a bucket's suffixes induce is dealt
 out at once, and only runs of one symbol need another round within their bucket. Over a large one, as a reduced
-string has, they go suffix by suffix. Both take linear time.
+string has, and in short strings they go suffix by suffix. Both take linear time.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Alphabets up to this size are scanned by bucket, larger ones suffix by suffix.
-BUCKETS = 1 << 10
+#: Size of the alphabets that are scanned by bucket; strings up to so many symbols are scanned suffix by suffix.
+BUCKETS, SHORT = 1 << 9, 1 << 11
 
 
 def classify(text: np.ndarray) -> np.ndarray:
@@ -54,7 +54,7 @@ def _spread(pile: list[np.ndarray], text: np.ndarray, small: np.ndarray, kind: b
 
 def induce(text: np.ndarray, small: np.ndarray, size: int, seeds: np.ndarray) -> np.ndarray:
     """All suffixes in the order that the seeds (leftmost S-type suffixes, in order within each symbol) induce."""
-    if size > BUCKETS:
+    if len(text) <= SHORT or size > BUCKETS:
         return _one_by_one(text, small, size, seeds)
     large: list[list[np.ndarray]] = [[] for _ in range(size)]
     left: list[list[np.ndarray]] = [[] for _ in range(size)]
@@ -82,30 +82,29 @@ def induce(text: np.ndarray, small: np.ndarray, size: int, seeds: np.ndarray) ->
 
 def _one_by_one(text: np.ndarray, small: np.ndarray, size: int, seeds: np.ndarray) -> np.ndarray:
     """induce() over an alphabet of any size."""
-    ends = np.cumsum(np.bincount(text, minlength=size))
-    symbols, rises, n = text.tolist(), small.tolist(), len(text)
-    out, tail = [-1] * n, ends.tolist()
-    for i in reversed(seeds.tolist()):
-        c = symbols[i]
+    ends, n = np.cumsum(np.bincount(text, minlength=size)), len(text)
+    # Symbols of the suffixes that a scan places; -1 for the others, and for what stands before the first one.
+    falls, rises = (np.append(np.where(kind, text, -1), -1).tolist() for kind in (~small, small))
+    out, tail, head = [0] * n, ends.tolist(), [0, *ends[:-1].tolist()]
+    for i, c in zip(seeds[::-1].tolist(), text[seeds[::-1]].tolist(), strict=True):
         tail[c] -= 1
         out[tail[c]] = i
-    head = [0, *ends[:-1].tolist()]
-    c = symbols[n - 1]
+    c = int(text[n - 1])
     out[head[c]] = n - 1
     head[c] += 1
-    for k in range(n):
-        j = out[k] - 1
-        if j >= 0 and not rises[j]:
-            c = symbols[j]
-            out[head[c]] = j
-            head[c] += 1
+    for i in out:  # sees what is placed ahead of it
+        c = falls[i - 1]
+        if c >= 0:
+            at = head[c]
+            out[at] = i - 1
+            head[c] = at + 1
     tail = ends.tolist()
-    for k in range(n - 1, -1, -1):
-        j = out[k] - 1
-        if j >= 0 and rises[j]:
-            c = symbols[j]
-            tail[c] -= 1
-            out[tail[c]] = j
+    for i in reversed(out):
+        c = rises[i - 1]
+        if c >= 0:
+            at = tail[c] - 1
+            out[at] = i - 1
+            tail[c] = at
     return np.array(out, np.int64)
 
 

@@ -86,9 +86,10 @@ def test_components(spark):
     assert got == {x: y for x, y in up.items() if any(x in e and e[0] != e[1] for e in edges)}
 
 
-@pytest.mark.parametrize(("letters", "buckets"), [(1, 1024), (2, 1024), (3, 1024), (5, 1024), (3, 2), (5, 1)])
-def test_suffix_arrays(monkeypatch, letters, buckets):
+@pytest.mark.parametrize(("letters", "buckets", "short"), [(1, 1024, 0), (2, 1024, 0), (3, 1024, 2048), (5, 1024, 0), (5, 2, 0), (5, 4, 5), (7, 3, 2048)])
+def test_suffix_arrays(monkeypatch, letters, buckets, short):
     monkeypatch.setattr(sa, "BUCKETS", buckets)
+    monkeypatch.setattr(sa, "SHORT", short)
     r = random.Random(letters)
     for _ in range(150):
         t = [r.randrange(letters) for _ in range(r.randint(1, 40))] * r.choice([1, 1, 3])
