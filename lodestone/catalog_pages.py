@@ -9,6 +9,7 @@ from .catalog import _CLASS, _PAGE, _STRIP, _SYNC, QUERIES, SQL, _page_columns,
 from .functions import metadata
 from .operators import blocks, sync
 from .sources.scratch import fresh_path
+from .sources.state import StateStore
 from .sources.store import CorpusStore
 
 __all__ = ["QUERIES", "SQL"]
@@ -157,6 +158,23 @@ def sync_write_back(spark: SparkSession, d: str) -> DataFrame:
     return _synced(spark, d)[1]
 
 
+@_query(
+    """SELECT doc_id::VARCHAR AS page_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE sha256(text) END AS content_hash FROM documents WHERE doc_id % 4 <> 1
+UNION ALL SELECT (-doc_id - 1)::VARCHAR, 'new' FROM documents WHERE doc_id % 3 = 0"""
+)
+def state_mutations(spark: SparkSession, d: str) -> DataFrame:
+    """A sync state after a first write, a clear, a write anew, removals, and an upsert of old and new records."""
+    state = _sync_tables(spark, d)[0].select("page_id", "content_hash", "last_edited_time", F.lit("").alias("hash_written_at"), F.lit("").alias("title"), F.array().cast("array<string>").alias("indexed_ids"))
+    store, number = StateStore(spark, fresh_path(spark, "state")), F.col("page_id").cast("bigint")
+    store.write(state)
+    store.clear()
+    store.upsert(state)
+    store.remove(state.where(number % 4 == 1))
+    fresh = state.where(number % 3 == 0).withColumn("content_hash", F.lit("new"))
+    store.upsert(fresh.where(number % 4 != 1).unionByName(fresh.withColumn("page_id", (-number - 1).cast("string"))))
+    return store.read().select("page_id", "content_hash")
+
+
 def _refuse(page: str, sha: str) -> None:
     if int(page) % 4 == 0:
         raise ValueError(f"{page} refused")

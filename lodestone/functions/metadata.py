@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ DOCUMENT_LINES = (("Bài", "title"), ("Week", "week"), ("Date", "date"), ("Modul
 SUMMARY_LINE = "Tổng hợp"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _field(prop: Column, path: str) -> Column:
     return F.get_json_object(prop, f"$.{path}")
 
@@ -42,6 +49,10 @@ def rich_text(items: Column) -> Column:
 
 def property_value(prop: Column) -> Column:
     """A typed property (JSON) as a plain string: titles and texts joined, dates by their start, selects by name, lists by commas."""
+    return _let(prop, _plain_value)
+
+
+def _plain_value(prop: Column) -> Column:
     kind, blank = _field(prop, "type"), F.lit("")
     formula = _field(prop, "formula.type")
     return (
@@ -74,8 +85,8 @@ def plain_properties(props: Column) -> Column:
 def by_alias(props: Column, field: str) -> Column:
     """The value of the first alias of the field, in order of priority, that a property has; null if none."""
     named = F.transform(F.map_entries(props), lambda e: F.struct(normal_key(e["key"]).alias("key"), e["value"].alias("value")))
-    first = lambda alias: F.get(F.filter(named, lambda e: e["key"] == alias), F.lit(0))["value"]
-    return property_value(F.coalesce(*(first(a) for a in ALIASES[field])))
+    first = lambda own, alias: F.get(F.filter(own, lambda e: e["key"] == alias), F.lit(0))["value"]
+    return property_value(_let(named, lambda own: F.coalesce(*(first(own, a) for a in ALIASES[field]))))
 
 
 def title(props: Column) -> Column:

@@ -12,9 +12,10 @@ from ..config import Settings
 from ..errors import ConfigError
 from ..functions.metadata import source_label
 from ..operators import bm25, fuse, rank, vectors
+from ..operators.chunk import chunk_documents
 from ..sources.scratch import materialize
 from ..sources.store import as_filter
-from .providers import NOT_FOUND, extract_answer, with_retries
+from .providers import NOT_FOUND, embed, extract_answer, with_retries
 
 MODES = {"vector": "vector", "keyword": "keyword", "hybrid_rrf": "hybrid_rrf", "hybrid": "hybrid_rrf"}
 
@@ -120,3 +121,11 @@ def answer(corpus: DataFrame, questions: DataFrame, *, generator: Callable[[str]
         "query_id", "question", "_a.answer", "_a.error", "_a.attempt_count", F.lit(generator is None).alias("generation_skipped"), F.coalesce("contexts", empty).alias("contexts"), F.coalesce("source_ids", empty).alias("source_ids"),
         *(F.coalesce(c, F.lit(0)).alias(c) for c in ("retrieved_count", "reranked_count", "final_count")),
     )
+
+
+def baseline(docs: DataFrame, questions: DataFrame, *, settings: Settings | None = None, generator: Callable[[str], str] | None = extract_answer, provider: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
+    """answer() by the plain way to compare with: docs(id, text) cut by lines, and the few nearest chunks by vectors, without any reordering."""
+    s = settings or Settings()
+    chunks = embed(chunk_documents(docs, s.chunk_size, s.chunk_overlap, mode="simple"), s.embed_dim, provider=provider, batch=s.embed_batch)
+    asked = embed(questions, s.embed_dim, text="question", into="vector", provider=provider, batch=s.embed_batch)
+    return answer(chunks, asked, mode="vector", top_k=s.simple_k, rerank=False, mmr=False, settings=s, generator=generator)

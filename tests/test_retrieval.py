@@ -107,6 +107,34 @@ def test_answers_cite_and_refuse(spark):
     assert got[1].answer == NOT_FOUND and got[1].contexts == []
 
 
+def test_baseline_answers_from_plain_chunks(spark):
+    got = {r.query_id: r for r in answer.baseline(corpus(spark), questions(spark, "the range function counts", "")).collect()}
+    assert got[0].answer == "the range function counts" and got[0].final_count == 2 and got[0].source_ids[0] == "1_chunk_0"
+    assert got[1].answer == NOT_FOUND if 1 in got else True
+
+
+def test_holders_of_passages(spark):
+    docs = spark.createDataFrame([(1, "aa the quick brown fox jumps bb"), (2, "xthe quick brown fox jumpsy"), (3, "the quick brown"), (4, None), (5, "one two three")], "id long, text string")
+    asked = [(0, "the quick brown fox jumps"), (1, "one two three"), (2, "fox j"), (3, None), (4, "quick brown fox jumps over a dog")]
+    got = {(r.query_id, r.id) for r in evaluate.holders(docs, spark.createDataFrame(asked, "query_id long, question string")).collect()}
+    assert got == {(0, 1), (0, 2), (1, 5), (2, 1), (2, 2)}
+
+
+def test_judge_is_tried_again_and_tells_errors(spark):
+    def judge(q, a, c, t):
+        if q == "bad":
+            raise ValueError("key s3cret refused")
+        return {"faithfulness": 0.5}
+
+    rows = [(f"s{i}", q, "an answer", "", ["c"], "truth") for i, q in enumerate(["good", "bad", "good"])] + [("s9", "good", "", "", ["c"], "truth")]
+    df = spark.createDataFrame(rows, "sample_id string, question string, answer string, error string, contexts array<string>, ground_truth string")
+    got = {r.sample_id: r for r in evaluate.score(df, judge, batch=2, attempts=1, secrets=("s3cret",)).collect()}
+    assert got["s0"].metrics == {"faithfulness": 0.5} and got["s1"].ragas_error == "failed: key <redacted> refused" and got["s9"].ragas_error.startswith("skipped")
+    open_ = evaluate.score(df, None).withColumn("metrics", F.lit(None).cast("map<string,double>"))
+    again = {r.sample_id: r for r in evaluate.backfill(open_, judge).collect()}
+    assert again["s2"].metrics == {"faithfulness": 0.5} and len(again) == 4
+
+
 def test_providers():
     assert abs(sum(x * x for x in hashed("a b c", 16)) - 1) < 1e-9
     calls = []

@@ -1,9 +1,11 @@
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.config import Settings
 from lodestone.errors import StoreError
 from lodestone.operators import sync
 from lodestone.sources.files import report_formats, write_report
+from lodestone.sources.state import StateStore
 from lodestone.sources.store import CorpusStore
 from lodestone.streaming.ingest import ingest
 
@@ -65,7 +67,6 @@ def test_apply_swaps_once(spark, tmp_path):
 
 
 def test_streaming_ingest_takes_files_once(spark, tmp_path):
-    from pyspark.sql import functions as F
     from pyspark.sql.types import StructType
 
     (tmp_path / "in").mkdir()
@@ -85,3 +86,46 @@ def test_settings_and_formats(spark, tmp_path):
         report_formats(["xls"])
     out = write_report(spark.createDataFrame([(1,)], "a int"), "# x", str(tmp_path / "r"), ["json", "md"])
     assert spark.read.json(out["json"]).count() == 1 and spark.read.text(out["md"]).first().value == "# x"
+
+
+def test_state_store(spark, tmp_path):
+    _, state = tables(spark)
+    store = StateStore(spark, str(tmp_path / "state"))
+    assert store.read().count() == 0
+    store.write(state.unionByName(state.where("page_id = 'gone'")))
+    store.upsert(state.where("page_id = 'edited'").withColumn("content_hash", F.lit("z")))
+    store.remove(state.where("page_id = 'gone'"))
+    assert {r.page_id: r.content_hash for r in store.read().collect()} == {"same_hash": "h", "edited": "z", "same_time": "x", "equal": "h"}
+    store.clear()
+    assert store.read().count() == 0 and len(list((tmp_path / "state").glob("CURRENT-*"))) == 2
+
+
+def test_a_whole_sync_counts_failures_and_repairs(spark, tmp_path):
+    source, state = tables(spark)
+    store = CorpusStore(spark, str(tmp_path / "s"), buckets=3)
+    store.upsert(rows(spark, *((f"{p}_1", "x", {"page_id": p, "source_type": "notion"}) for p in ("gone", "equal", "edited"))))
+    make = lambda b: b.select(F.concat("page_id", F.lit("_2")).alias("id"), F.lit("t").alias("text"), F.create_map(F.lit("page_id"), F.col("page_id"), F.lit("source_type"), F.lit("notion")).alias("meta"), F.array(F.lit(1.0).cast("float")).alias("embedding"))
+
+    def refuse(page, sha):
+        if page == "fresh":
+            raise ValueError("down")
+
+    got = sync.run(store, source.withColumn("title", F.lit("T")), state, make, "now", write_back=refuse)
+    top = got.summary.first()
+    assert (top.pages_new, top.pages_changed, top.hashes_written, top.hash_write_failures) == (1, 1, 1, 1)
+    assert sorted(r.id for r in store.get().collect()) == ["edited_2", "equal_1", "fresh_2"]
+    after = {r.page_id: list(r.indexed_ids) for r in got.state.collect()}
+    assert after["fresh"] == ["fresh_2"] and after["edited"] == ["edited_2"] and "gone" not in after
+    fixed = {r.page_id: (r.content_hash, list(r.indexed_ids)) for r in sync.repair_state(got.state, store).collect()}
+    assert fixed["equal"] == ("h", ["equal_1"]) and fixed["same_time"] == ("", [])
+
+
+def test_a_small_change_leaves_other_buckets(spark, tmp_path):
+    store = CorpusStore(spark, str(tmp_path / "s"), buckets=16)
+    store.upsert(rows(spark, *((f"k{i}", "x", {"source_type": "pdf"}) for i in range(60))))
+    before = store._current()["at"]
+    store.upsert(rows(spark, ("k7", "y", {"source_type": "pdf"})))
+    after = store._current()["at"]
+    assert sum(before[b] != after[b] for b in before) == 1 and store.count() == 60
+    store.delete({"source_type": "pdf"})
+    assert store.count() == 0
