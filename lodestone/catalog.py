@@ -231,7 +231,7 @@ def relevance_normalized(spark: SparkSession, d: str) -> DataFrame:
 
 _PRINT = r"substring(trim(regexp_replace(lower(hc.text), '\s+', ' ', 'g')), 1, 500)"
 _MMR_STEP = """
-p{i} AS (SELECT *, {i}::BIGINT AS mmr_rank FROM w{j} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY worst >= 0.82, round(0.65 * relevance - 0.35 * worst, 9) DESC, relevance DESC, place) = 1),
+p{i} AS (SELECT *, {i}::BIGINT AS mmr_rank FROM w{j} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY worst >= 0.82, round(0.65 * relevance - 0.35 * worst, 12) DESC, relevance DESC, place) = 1),
 w{i} AS (SELECT w.* EXCLUDE (worst), greatest(w.worst, CASE WHEN len(w.t) > 0 AND len(p.t) > 0 THEN len(list_intersect(w.t, p.t)) / len(list_distinct(w.t || p.t)) ELSE 0 END) AS worst
          FROM w{j} w JOIN p{i} p ON w.query_id = p.query_id WHERE w.id <> p.id)"""
 
@@ -245,7 +245,7 @@ w0 AS (SELECT query_id, id, rank, t, n, place, round(CASE WHEN hi > lo THEN (raw
     + ",".join(_MMR_STEP.format(i=i, j=i - 1) for i in (1, 2, 3, 4))
     + """,
 taken AS (SELECT * FROM p1 UNION ALL BY NAME SELECT * FROM p2 UNION ALL BY NAME SELECT * FROM p3 UNION ALL BY NAME SELECT * FROM p4)
-SELECT query_id, id, relevance, mmr_rank, round(0.65 * relevance - 0.35 * worst, 9) AS mmr_score, round(worst, 9) AS mmr_penalty, worst >= 0.82 AS mmr_duplicate FROM taken WHERE n > 4
+SELECT query_id, id, relevance, mmr_rank, round(0.65 * relevance - 0.35 * worst, 12) AS mmr_score, round(worst, 9) AS mmr_penalty, worst >= 0.82 AS mmr_duplicate FROM taken WHERE n > 4
 UNION ALL SELECT query_id, id, relevance, place + 1, 1, 0, false FROM w0 WHERE n <= 4"""
 )
 def mmr_topk(spark: SparkSession, d: str) -> DataFrame:

@@ -112,7 +112,7 @@ def mmr(candidates: DataFrame, k: int, *, lambda_: float = 0.65, similarity: flo
         worst, left, taken = [0.0] * n, list(range(n)), []
         while left and len(taken) < k:
             free = [i for i in left if worst[i] < similarity]
-            score = lambda i: round(lambda_ * rel[i] - (1 - lambda_) * worst[i], 9)
+            score = lambda i: round(lambda_ * rel[i] - (1 - lambda_) * worst[i], 12)
             best = min(free or left, key=lambda i: (-score(i), -rel[i], i))
             taken.append((best, score(best), worst[best], not free))
             left.remove(best)
