@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh_path, lean, materialize, small_batches
-from .folding import fold
+from .folding import Folded, fold
 from .hashing import Sequence, SpanHasher, common, mix
 from .packing import slices
 
@@ -69,9 +69,8 @@ class Canon:
         starts = np.concatenate([[0], ends[:-1] + 1])
         self.units = np.sort(self.hasher.spans(self.hasher.sums(raw), starts, ends))
 
-    def __call__(self, texts: list[bytes], names: bool = True) -> Templates:
+    def __call__(self, folded: Folded, names: bool = True) -> Templates:
         """names: whether names are placeholders; else they are words, as in texts whose case was changed."""
-        folded = fold(texts)
         data, begin, back = folded.data, folded.begin, folded.back
         kind = _CLASS[data]
         point = np.flatnonzero((data == 44) | (data == 46))
@@ -166,7 +165,7 @@ class Bench:
 
 def bench(items: list[tuple[int, str]], window: int, names: bool) -> Bench:
     """Items shorter than a window are one window of their own size."""
-    t = Canon()([x.encode() for _, x in items], names)
+    t = Canon()(fold([x.encode() for _, x in items]), names)
     sizes = np.bincount(t.text, minlength=len(items))
     first = np.cumsum(sizes) - sizes
     tables = []
@@ -353,10 +352,10 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], window: int, share: f
         for batch in batches:
             for lo, hi in slices(batch.column(1)):
                 keys = batch.column(0)[lo:hi]
-                raw = [x or b"" for x in batch.column(1)[lo:hi].cast(pa.binary()).to_pylist()]
+                folded = fold([x or b"" for x in batch.column(1)[lo:hi].cast(pa.binary()).to_pylist()])
                 best: dict[tuple, tuple] = {}
                 for names, block in benches:
-                    for d, i, same, n, *rest in matches(canon(raw, names), block, share, long):
+                    for d, i, same, n, *rest in matches(canon(folded, names), block, share, long):
                         if not names and not same:
                             continue
                         row = (same, n / max(1, int(block.sizes[i])), (d, i, same, n, *rest), int(block.sizes[i]))

@@ -18,10 +18,10 @@ def folder(spark, tmp_path_factory):
     base, passage = prose(60), prose(30)
     rows = [(k, prose(r.randint(1, 60)), "en", f"s{k % 3}", 0) for k in range(40)]
     rows += [(50 + k, base + " " + prose(k), "de", "s0", 0) for k in range(6)] + [(60, None, None, None, None), (61, "", "en", "s1", 0), (62, passage + " x", "en", "s1", 0), (63, "Token = \"a8Kd93LmQx72VbNw56TyUi01\"", "en", "s1", 0)]
-    rows += [(100 + k, prose(30) + (" vileone grotty vileone" if k % 3 == 0 else ""), "en", "s2", 0) for k in range(90)]
+    rows += [(100 + k, prose(30) + (" vileone grotty vileone" if k % 3 == 0 else ""), "en", "s2", 0) for k in range(300)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(1, passage), (2, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
-    spark.createDataFrame([(100 + k, 1, int(k % 3 == 0)) for k in range(90)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(100 + k, 1, int(k % 3 == 0)) for k in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame([(1, "u", f"<article><p>{base}</p></article>"), (2, None, None)], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
     return path, rows
 
