@@ -33,6 +33,8 @@ SLICE = 2 << 20
 PART = 1 << 19
 #: N-grams of a bucket; cost of the sets that one tree holds: their n-grams, and so many more for each set.
 BUCKET, TREE, EACH = 1 << 19, 1 << 18, 128
+#: Sets of large blocks that are sent to every executor, as rows of a few numbers; more are joined by a shuffle.
+SENT = 100_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -405,13 +407,20 @@ def _pieces(prefix: DataFrame, blocks: DataFrame, classes: DataFrame) -> DataFra
     large = load.where(F.col("load") > TREE)
     if large.isEmpty():
         return whole
-    inner = prefix.join(own.join(large, "block"), "node")
+    # Prefixes are many, the sets of large blocks are few: where these can be sent, prefixes stay where they are.
+    inside = materialize(own.join(large, "block"), "inside")
+    few_sets = common.small_enough(inside, SENT)
+    sent = F.broadcast if few_sets else lambda df: df
+    inner = prefix.join(sent(inside), "node")
     anchor = inner.groupBy("node").agg(F.min(F.xxhash64("token")).alias("anchor"), F.first("block").alias("block"), F.first("cost").alias("cost"), F.first("load").alias("load"))
     anchor = materialize(anchor, "anchors")
     group = anchor.groupBy("block", "anchor").agg(F.ceil(F.sum("cost") / TREE).cast("bigint").alias("parts"))
     few, many = F.xxhash64("block", F.pmod("anchor", F.ceil(F.col("load") / TREE).cast("bigint"))), F.xxhash64("block", "anchor", F.pmod(F.xxhash64("node"), F.col("parts")))
     cell = materialize(anchor.join(group, ["block", "anchor"]).select("node", F.when(F.col("parts") > 1, many).otherwise(few).alias("cell")), "cells")
-    met = prefix.join(cell, "node")
+    met = prefix.join(sent(cell), "node")
+    # Only n-grams of several cells are dealt out again.
+    spans = met.groupBy("token", "class").agg(F.min("cell").alias("lo"), F.max("cell").alias("hi")).where("lo <> hi").select("token", "class")
+    met = materialize(met.join(spans, ["token", "class"]), "met")
     other = met.select("token", "class", F.col("cell").alias("other")).distinct()
     cross = met.join(other, ["token", "class"]).where("cell <> other")
     cross = cross.select(F.least("cell", "other").alias("x"), F.greatest("cell", "other").alias("y"), "node", (F.col("cell") > F.col("other")).cast("int").alias("side")).distinct()
