@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import os
+import time
 
 import pyarrow.parquet as pq
 import pytest
@@ -53,6 +54,49 @@ def test_pages_read_the_same_without_their_article_tags():
         assert html_extract.main_text(page) == html_extract.main_text(page.replace("<article>", "<div>").replace("</article>", "</div>"))
 
 
+def test_other_stories_beside_the_article_go():
+    for n in (1, 3):
+        teasers = f"<article><h2><a href=x>Other story</a></h2><p>{LONG[:40]}, and more</p></article>" * n
+        page = f"<main><article><h1>Head</h1><p>{LONG}</p><p>{LONG} two</p></article>{teasers}</main>"
+        assert html_extract.main_text(page) == f"Head\n{LONG}\n{LONG} two"
+    assert html_extract.main_text("<main><article>main</article><article>teaser</article><article>teaser</article></main>") == "main"
+
+
+def test_a_name_condemns_only_with_the_score():
+    for name in ("side-effects", "related-work", "share-price", "search-algorithms", "social-history", "market-share"):
+        page = f'<article><h1>H</h1><p>{LONG}</p><div class="{name}"><p>{LONG} in</p></div><section id="{name}"><h2>T</h2><p>{LONG} too</p></section></article>'
+        assert html_extract.main_text(page) == f"H\n{LONG}\n{LONG} in\nT\n{LONG} too", name
+        links = page.replace(f"<p>{LONG} in</p>", "<a href=x>one</a> <a href=y>two</a>")
+        assert html_extract.main_text(links) == f"H\n{LONG}\nT\n{LONG} too", name
+    for name in ("sidebar", "comments", "reader-comments", "related-posts", "share-bar", "ad", "ad-slot", "cookie-notice", "newsletter-signup", "social-links", "right-sidebar"):
+        assert html_extract.main_text(f'<article><h1>H</h1><p>{LONG}</p><p>{LONG} two</p><div class="{name}"><p>{LONG} in</p></div></article>') == f"H\n{LONG}\n{LONG} two", name
+    whole = "".join(f"<p>{LONG} {i}</p>" for i in range(6))
+    assert html_extract.main_text(f'<body><div class="sidebar">{whole}</div><div class="ad">buy</div></body>').count("\n") == 5
+
+
+def test_the_cost_of_odd_marks_is_linear():
+    for page in ("<a " * 350_000, '<a "x>y" ' * 100_000, "<svg>" * 50_000 + "</svg>", "<" * 300_000, "<!--" * 100_000, "<b>" * 50_000 + "x"):
+        began = time.process_time()
+        html_extract.main_text(page)
+        assert time.process_time() - began < 10, page[:10]
+    assert html_extract.main_text(f"<article><p>{LONG}</p><svg>x<p>{LONG} two</p></article>") == f"{LONG}\n{LONG} two"
+
+
+#: Pages without an article element, and their texts, by hand.
+PLAIN_PAGES = [
+    (f"<body><div id=top><a href=/>Home</a> <a href=/a>News</a></div><div><h1>Head</h1><p>{LONG}</p><p>{LONG} two</p></div><div id=foot>Contact us</div></body>", f"Head\n{LONG}\n{LONG} two"),
+    (f"<body><table><tr><td><a href=a>x</a><br><a href=b>y</a></td><td><p>{LONG}</p><p>{LONG} two</p></td></tr></table></body>", f"{LONG}\n{LONG} two"),
+    (f"<body><ul><li><a href=a>Menu one</a><li><a href=b>Menu two</a></ul><div class=text><p>{LONG}</p><blockquote>{LONG} said</blockquote><ul><li>point one<li>point two</ul></div></body>", f"{LONG}\n{LONG} said\npoint one\npoint two"),
+    (f"<body><div class=post-body><p>{LONG}</p><pre>a = 1\nb = 2</pre></div><div class=comments><div><p>{LONG} I think</p></div></div></body>", f"{LONG}\na = 1 b = 2"),
+    (f"<body><section><h2>Part</h2><p>{LONG}</p></section></body>", f"Part\n{LONG}"),
+]
+
+
+def test_pages_without_an_article_by_hand():
+    for page, want in PLAIN_PAGES:
+        assert html_extract.main_text(page) == want, page
+
+
 def test_odd_pages():
     for page, want in ((None, ""), ("", ""), ("   ", ""), ("plain text", "plain text"), ("<p>a<b>b</b>c</p>", "abc"), ("<!-- x --><p>&#233;&lt;", "é<"), ("<a href='x>broken <p>text", "broken\ntext"), ("<script>never closed", ""), ("<p>a<br>b", "a\nb"), ("</p></div>x", "x")):
         assert html_extract.main_text(page) == want, page
