@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import spread
-from . import decontam, html_extract, jaccard_join, line_dedup, packing, quality, secret_scan, suffix_dedup, toxicity, warc
+from . import decontam, html_extract, imatch, jaccard_join, line_dedup, packing, quality, secret_scan, suffix_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,4 +80,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_line_dedup, op3_decontamination, op4_secret_scan, op5_toxicity, op6_suffix_dedup, op7_warc, op8_jaccard_join, op9_quality_rules, op10_packing)}
+def op13_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_line_dedup, op3_decontamination, op4_secret_scan, op5_toxicity, op6_suffix_dedup, op7_warc, op8_jaccard_join, op9_quality_rules, op10_packing, op13_imatch_fingerprints)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality
+from . import imatch, line_dedup, quality
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -49,4 +49,28 @@ res AS (SELECT base.doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS wo
 fin AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM res)
 SELECT *, NOT base_failed AND 100 * n_left_words >= {quality.MIN_LEFT_PERCENT} * n_words AS kept FROM fin"""
 
-ORACLE = {"op2_line_dedup": OP2, "op9_quality_rules": OP9}
+OP13 = rf"""
+WITH own AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+nxt AS (SELECT doc_id, text, n, coalesce(lead(text) OVER w, first_value(text) OVER w) AS t, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS nid FROM own WINDOW w AS (ORDER BY doc_id DESC)),
+ids AS (SELECT doc_id, n, nid, left(text, n - n // 3) || left(t, n // 3) AS edited, text FROM nxt),
+texts AS (SELECT 2 * doc_id AS id, text AS t FROM ids UNION ALL SELECT 2 * doc_id + 1, edited FROM ids),
+cut AS (SELECT id, t, list_distinct(list_filter(regexp_split_to_array(lower(t), '{imatch.BETWEEN}'), lambda x: x <> '')) AS ts FROM texts),
+held AS (SELECT id, unnest(ts) AS term, len(ts) AS m FROM cut),
+band AS (SELECT term FROM held WHERE id % 2 = 0 GROUP BY term HAVING count(*) * {imatch.COMMON} <= (SELECT count(*) FROM own) AND count(*) * {imatch.RARE} >= (SELECT count(*) FROM own)),
+known AS (SELECT id, term, md5(term) AS h, greatest(0, ceil(log2(m / {imatch.LOAD}.0)))::INT AS j FROM held SEMI JOIN band USING (term)),
+levels AS (SELECT *, unnest([0, 1]) AS more FROM known),
+kept AS (SELECT id, term, j + more AS j, h[9:9] || translate(h[10:10], '0123456789abcdef', '0000111122223333') AS slot FROM levels
+         WHERE j + more = 0 OR ('0x' || h[1:8])::BIGINT < 4294967296 // (1::BIGINT << (j + more))),
+marks AS (SELECT id, printf('%02X', j) || slot || md5(string_agg(term, ' ' ORDER BY term))[1:6] AS e FROM kept GROUP BY id, j, slot),
+prints AS (SELECT id, coalesce(es, ['ff' || md5(t)[1:8]]) AS es FROM cut LEFT JOIN (SELECT id, list(e ORDER BY e) AS es FROM marks GROUP BY id) USING (id)),
+pairs AS (SELECT doc_id, 0 AS k, a.es AS a, b.es AS b FROM ids JOIN prints AS a ON a.id = 2 * doc_id JOIN prints AS b ON b.id = 2 * doc_id + 1
+          UNION ALL SELECT doc_id, 1, a.es, b.es FROM ids JOIN prints AS a ON a.id = 2 * doc_id JOIN prints AS b ON b.id = 2 * nid),
+alike AS (SELECT doc_id, k, a, b, list_intersect(list_transform(a, lambda z: left(z, 2)), list_transform(b, lambda z: left(z, 2))) AS c FROM pairs),
+shared AS (SELECT doc_id, k, list_filter(a, lambda z: list_contains(c, left(z, 2))) AS a, list_filter(b, lambda z: list_contains(c, left(z, 2))) AS b FROM alike),
+sized AS (SELECT doc_id, k, len(list_intersect(a, b)) AS same, len(list_distinct(list_transform(list_concat(a, b), lambda z: left(z, 4)))) AS n FROM shared),
+near AS (SELECT doc_id, max(same / n) FILTER (k = 0) AS e, max(same / n) FILTER (k = 1) AS x FROM sized WHERE n > 0 GROUP BY doc_id)
+SELECT ids.doc_id, ids.n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, array_to_string(a.es, '') AS fingerprint, array_to_string(b.es, '') AS edited_fingerprint,
+       coalesce(near.e, 0.0) AS near_edited, coalesce(near.x, 0.0) AS near_next
+FROM ids JOIN prints AS a ON a.id = 2 * ids.doc_id JOIN prints AS b ON b.id = 2 * ids.doc_id + 1 LEFT JOIN near ON near.doc_id = ids.doc_id"""
+
+ORACLE = {"op2_line_dedup": OP2, "op9_quality_rules": OP9, "op13_imatch_fingerprints": OP13}
