@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import imatch, line_dedup, quality
+from . import imatch, line_dedup, quality, vector_codes
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -73,4 +73,30 @@ SELECT ids.doc_id, ids.n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, ar
        coalesce(near.e, 0.0) AS near_edited, coalesce(near.x, 0.0) AS near_next
 FROM ids JOIN prints AS a ON a.id = 2 * ids.doc_id JOIN prints AS b ON b.id = 2 * ids.doc_id + 1 LEFT JOIN near ON near.doc_id = ids.doc_id"""
 
-ORACLE = {"op2_line_dedup": OP2, "op9_quality_rules": OP9, "op13_imatch_fingerprints": OP13}
+
+_WHOLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_DISTANCE = "(list_inner_product({a}, {a}) - 2 * list_inner_product({a}, {b}) + list_inner_product({b}, {b}))::BIGINT"
+
+
+def _codes() -> str:
+    """Rounds of the full search, unrolled."""
+    parts, entries, rounds = vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.ROUNDS
+    d = _DISTANCE.format(a="cut.x", b="c.x")
+    steps = [f"""own AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE {_WHOLE}),
+cut AS (SELECT vec_id, label, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS x FROM (SELECT *, unnest(range({parts})) AS p FROM own)),
+c0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x FROM cut WHERE vec_id IN (SELECT vec_id FROM own ORDER BY vec_id LIMIT {entries}))"""]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS (SELECT vec_id, label, p, any_value(cut.x) AS x, min({d} * {entries} + e) AS m FROM cut JOIN c{i} AS c USING (p) GROUP BY vec_id, label, p)")
+        if i < rounds:
+            steps.append(f"""s{i} AS (SELECT p, e, list(floor(s / n) ORDER BY i) AS x FROM (SELECT p, m % {entries} AS e, i, sum(x[i]) AS s, count(*) AS n FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM a{i}) GROUP BY ALL) GROUP BY p, e),
+c{i + 1} AS (SELECT p, e, coalesce(s{i}.x, c{i}.x) AS x FROM c{i} LEFT JOIN s{i} USING (p, e))""")
+    return f"""
+WITH {', '.join(steps)},
+book AS (SELECT sha256(string_agg(v, ',' ORDER BY p, e, i)) AS h FROM (SELECT p, e, unnest(range(1, len(x) + 1)) AS i, unnest(x)::BIGINT::VARCHAR AS v FROM c{rounds})),
+coded AS (SELECT vec_id, label, string_agg(printf('%02x', (m % {entries})::INT), '' ORDER BY p) AS code, sum(m // {entries})::BIGINT AS error FROM a{rounds} GROUP BY vec_id, label)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM coded, book"""
+
+
+OP11 = _codes()
+
+ORACLE = {"op2_line_dedup": OP2, "op9_quality_rules": OP9, "op11_vector_codes": OP11, "op13_imatch_fingerprints": OP13}
