@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import spread
-from . import decontam, html_extract, imatch, jaccard_join, line_dedup, packing, quality, secret_scan, suffix_dedup, toxicity, vector_codes, warc
+from . import decontam, hard_negatives, html_extract, imatch, jaccard_join, line_dedup, packing, quality, secret_scan, suffix_dedup, toxicity, vector_codes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,8 +86,13 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", "codebooks_sha256")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _texts(spark, sf_dir, "embeddings").withColumn("label", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 def op13_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_line_dedup, op3_decontamination, op4_secret_scan, op5_toxicity, op6_suffix_dedup, op7_warc, op8_jaccard_join, op9_quality_rules, op10_packing, op11_vector_codes, op13_imatch_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_line_dedup, op3_decontamination, op4_secret_scan, op5_toxicity, op6_suffix_dedup, op7_warc, op8_jaccard_join, op9_quality_rules, op10_packing, op11_vector_codes, op12_hard_negatives, op13_imatch_fingerprints)}

@@ -99,4 +99,13 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 
 OP11 = _codes()
 
-ORACLE = {"op2_line_dedup": OP2, "op9_quality_rules": OP9, "op11_vector_codes": OP11, "op13_imatch_fingerprints": OP13}
+OP12 = f"""
+WITH own AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+             FROM embeddings WHERE label IS NOT NULL AND {_WHOLE}),
+scored AS (SELECT a.id AS anchor_id, c.id AS id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score FROM own AS a JOIN own AS c ON a.id <> c.id WHERE a.id % 100 = 0),
+good AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS n FROM scored WHERE same) WHERE n <= 5),
+bad AS (SELECT good.*, id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY good.anchor_id, positive_id ORDER BY score DESC, id) AS rank
+        FROM good JOIN scored ON good.anchor_id = scored.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM bad WHERE rank <= 10"""
+
+ORACLE = {"op2_line_dedup": OP2, "op9_quality_rules": OP9, "op11_vector_codes": OP11, "op12_hard_negatives": OP12, "op13_imatch_fingerprints": OP13}
