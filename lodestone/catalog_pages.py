@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import catalog
 from .catalog import _CLASS, _PAGE, _STRIP, _SYNC, QUERIES, SQL, _page_columns, _query, _sync_tables, _t, _texts
 from .functions import metadata
 from .operators import blocks, sync
+from .operators.keyword_index import KeywordIndex
+from .operators.vector_index import VectorIndex
 from .sources.scratch import fresh_path
 from .sources.state import StateStore
 from .sources.store import CorpusStore
@@ -189,3 +192,52 @@ def _synced(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     got = sync.run(store, source.withColumn("title", F.lit("")), state, lambda lessons: lessons.select(*row(F.concat("page_id", F.lit("_0")))), "now", write_back=_refuse)
     held = store.get().groupBy(F.col("meta")["page_id"].alias("page_id")).agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("stored"))
     return got.state.join(held, "page_id", "left").select("page_id", "content_hash", "last_edited_time", "hash_written_at", F.array_join("indexed_ids", ",").alias("indexed"), "stored"), got.summary
+
+
+def _indexed(spark: SparkSession, d: str) -> VectorIndex:
+    """An index of all embeddings after a later batch that replaces and adds rows, and after removals."""
+    own = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    index = VectorIndex(spark, fresh_path(spark, "vectors"))
+    index.build(own.where("id % 10 <> 9"))
+    index.upsert(own.where("id % 10 = 9").unionByName(own.where("id % 10 = 4").withColumn("embedding", F.transform("embedding", lambda x: -x))))
+    index.delete(own.where("id % 10 = 5"))
+    return index
+
+
+@_query()
+def vector_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest rows by the index; exact distances, recall by tests."""
+    return _indexed(spark, d).search(catalog._query_vectors(spark, d), catalog.K)
+
+
+@_query("SELECT vec_id AS id, round(list_sum(list_transform(embedding, lambda x: (CASE WHEN vec_id % 10 = 4 THEN -x ELSE x END)::DOUBLE)), 6) AS total FROM embeddings WHERE vec_id % 10 <> 5")
+def vector_index_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What the index holds after all changes, and after its lists were written anew."""
+    index = _indexed(spark, d)
+    index.compact()
+    return index.read().select("id", F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"))
+
+
+def _keywords(spark: SparkSession, d: str) -> KeywordIndex:
+    """A keyword index of all documents, made of a first batch, one that adds and replaces some, and removals that are taken back."""
+    docs = catalog._docs(spark, d).select("id", "text")
+    index = KeywordIndex(spark, fresh_path(spark, "keywords"))
+    index.upsert(docs.where("id % 10 <> 3").withColumn("text", F.when(F.col("id") % 50 == 1, F.concat("text", F.lit(" old"), "text")).otherwise(F.col("text"))))
+    index.upsert(docs.where("id % 10 = 3 or id % 50 = 1 or id % 100 = 2"))
+    index.delete(docs.where("id % 100 = 2"))
+    index.upsert(docs.where("id % 100 = 2"))
+    return index
+
+
+@_query(SQL["bm25_topk"])
+def keyword_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """bm25_topk by an index that was changed in steps."""
+    return _keywords(spark, d).search(catalog._questions(spark, d), catalog.K)
+
+
+@_query(SQL["term_document_frequency"].replace(", count(*)::BIGINT AS tf", ""))
+def keyword_index_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Document frequencies by the index after the same steps, its segments then written as one."""
+    index = _keywords(spark, d)
+    index.merge()
+    return index.terms()

@@ -62,3 +62,8 @@ def spread(table: DataFrame) -> DataFrame:
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
     return table.repartition(cores) if table.select(F.spark_partition_id().alias("p")).distinct().count() < cores else table
+
+
+def small_enough(table: DataFrame, rows: int) -> bool:
+    """Whether a table has at most so many rows: the check before a broadcast."""
+    return table.limit(rows + 1).count() <= rows
