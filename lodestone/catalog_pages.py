@@ -141,6 +141,21 @@ def store_filter(spark: SparkSession, d: str) -> DataFrame:
     return store.get({"source_type": "en", "document_id": "d4"}).agg(F.count("*").alias("n"))
 
 
+@_query(
+    """SELECT doc_id::VARCHAR AS id, sha256(text) AS sha_before, CASE WHEN doc_id % 7 <> 1 OR doc_id % 5 = 0 THEN sha256(CASE WHEN doc_id % 5 = 0 THEN 'new ' || text ELSE text END) END AS sha_after
+FROM documents WHERE doc_id % 5 = 0 OR doc_id % 7 = 1"""
+)
+def store_versions(spark: SparkSession, d: str) -> DataFrame:
+    """What a page's removal and an update by id, by two writers, changed between two versions of a store."""
+    docs, store = _t(spark, d, "documents"), CorpusStore(spark, fresh_path(spark, "store"), buckets=8)
+    store.upsert(_stored(docs))
+    first = store.versions()[-1]
+    CorpusStore(spark, store.path).delete({"page_id": "p1"})
+    store.upsert(_stored(docs.where("doc_id % 5 = 0"), F.concat(F.lit("new "), "text")))
+    before, after = (store.read(v).select("id", F.sha2("text", 256).alias(c)) for v, c in ((first, "sha_before"), (None, "sha_after")))
+    return before.join(after, "id", "left").where("sha_after is null or sha_before <> sha_after")
+
+
 @_query(
     f"""WITH {_SYNC} SELECT page_id, CASE WHEN status IN ('new', 'changed') THEN src.content_hash ELSE st.content_hash END AS content_hash, CASE WHEN status = 'skipped' THEN st.last_edited_time ELSE src.last_edited_time END AS last_edited_time,
     CASE WHEN status IN ('new', 'changed') THEN 'now' ELSE st.hash_written_at END AS hash_written_at, CASE WHEN status IN ('new', 'changed') THEN page_id || '_0' ELSE '' END AS indexed,

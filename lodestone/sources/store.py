@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import StoreError
 from ..schema import STORED
+from .log import KEEP, VersionLog
 from .scratch import materialize
 
 
@@ -27,66 +28,138 @@ def as_filter(where: Mapping[str, object] | Column | None) -> Column | None:
 
 #: Buckets of a new store. A change rewrites the buckets that it touches.
 BUCKETS = 64
+#: Bits and hashes of a bucket's filter for each value of an attribute: about one bucket in a hundred is opened in vain.
+BITS, HASHES = 10, 7
 
 
 class CorpusStore:
-    """Documents with vectors under a path, in buckets by id; one writer at a time.
+    """Documents with vectors under a path, in buckets by id; any number of writers and readers.
 
-    A mutation writes the buckets that it touches anew, and then a list of where each bucket is; the newest list counts.
-    So readers see the old or the new version, a failed write leaves the old one, and what a small change costs does not
-    grow with the store. Files go through Hadoop's file systems.
+    A mutation writes the buckets that it touches anew, and then commits a version of where each bucket is. So readers see one
+    version or another, a failed write leaves the old one, and what a small change costs does not grow with the store. A writer that finds
+    others' versions before its own joins them if they touched other buckets, and starts anew if not. Beside the buckets lie Bloom filters of ids,
+    source types and metadata values, so that a change or a query by such a value opens only buckets that may hold it. Files go
+    through Hadoop's file systems. opened has the buckets that the last change or filtered read opened; None for all.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.new_buckets = spark, path.rstrip("/"), buckets
-        jvm = spark.sparkContext._jvm
-        self._p = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._p(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._p(self.path))
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, keep: int = KEEP):
+        self.spark, self.path, self.new_buckets, self.keep = spark, path.rstrip("/"), buckets, keep
+        self.log = VersionLog(spark, self.path)
+        self.opened: set[int] | None = None
 
-    def _lists(self) -> list[str]:
-        return sorted(n for s in self._fs.listStatus(self._p(self.path)) if (n := s.getPath().getName()).startswith("CURRENT-"))
+    def _current(self, version: int | None = None) -> dict:
+        """{"buckets": their number, "at": {bucket: folder}} of a version, by default the newest."""
+        version = self.log.latest() if version is None else version
+        return self.log.read(version) if version else {"buckets": self.new_buckets, "at": {}}
 
-    def _list(self, name: str | None) -> dict:
-        """{"buckets": their number, "at": {bucket: folder}} of a version."""
-        if name is None:
-            return {"buckets": self.new_buckets, "at": {}}
-        return json.loads(self.spark.read.text(f"{self.path}/{name}", wholetext=True).first().value)
-
-    def _current(self) -> dict:
-        names = self._lists()
-        return self._list(names[-1] if names else None)
+    def versions(self) -> list[int]:
+        """Versions that can be read."""
+        return self.log.versions()
 
     def _read(self, current: dict, buckets: set[int] | None = None) -> DataFrame:
         paths = [f"{self.path}/{folder}" for b, folder in current["at"].items() if buckets is None or int(b) in buckets]
         return self.spark.read.schema(STORED).parquet(*paths) if paths else self.spark.createDataFrame([], STORED)
 
-    def read(self) -> DataFrame:
-        return self._read(self._current())
-
-    def _rewrite(self, touched: Callable[[Column], DataFrame], keep: Callable[[DataFrame], DataFrame], fresh: DataFrame | None = None) -> None:
-        """Write anew the buckets of touched(bucket of an id): what keep() leaves of their rows, and the fresh rows."""
-        current = self._current()
-        bucket = F.pmod(F.xxhash64("id"), F.lit(current["buckets"])).cast("int").alias("bucket")
-        numbers = {r.bucket for r in touched(bucket).distinct().collect()}  # at most as many as there are buckets
-        if not numbers:
-            return
-        table = keep(self._read(current, numbers)).select(*STORED.names)
+    def read(self, version: int | None = None) -> DataFrame:
+        """The rows of a version, by default of the newest."""
+        return self._read(self._current(version))
+
+    def _write_filters(self, name: str) -> None:
+        """Bloom filters of what a folder's buckets hold: the words that have bits, for each bucket and attribute."""
+        rows = self.spark.read.parquet(f"{self.path}/{name}").select("bucket", "id", "source_type", "meta")
+        pairs = F.concat(F.array(F.struct(F.lit("id").alias("key"), F.col("id").alias("value")), F.struct(F.lit("source_type").alias("key"), F.col("source_type").alias("value"))), F.map_entries(F.coalesce("meta", F.create_map().cast("map<string,string>"))))
+        held = rows.select("bucket", F.explode(pairs).alias("p")).select("bucket", "p.key", "p.value").where("value is not null").distinct()
+        held = materialize(held, "values")
+        # A power of two of words, so that a value is looked up by few sizes.
+        sizes = held.groupBy("bucket", "key").agg(F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(1.0), F.count("*") * BITS / 64)))).cast("long").alias("words"))
+        bits = held.join(sizes, ["bucket", "key"]).withColumn("bit", F.explode(self._bits(F.col("value"), F.col("words"))))
+        words = bits.groupBy("bucket", "key", "words", F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+        words.repartition("key").sortWithinPartitions("key", "words", "word").write.parquet(f"{self.path}/{name}-filters")
+
+    @staticmethod
+    def _bits(value: Column, words: Column) -> Column:
+        return F.array(*(F.pmod(F.xxhash64(value, F.lit(i)), words * 64) for i in range(HASHES)))
+
+    def _holding(self, current: dict, key: str, values: DataFrame) -> set[int]:
+        """The buckets that may hold one of values(value) as that attribute; some may not."""
+        live: dict[str, set[int]] = {}
+        for b, folder in current["at"].items():
+            live.setdefault(folder.partition("/")[0], set()).add(int(b))
+        out: set[int] = set()
+        filters = None
+        for name in live:
+            part = self.spark.read.schema("bucket int, key string, words long, word long, bits long").parquet(f"{self.path}/{name}-filters").where(F.col("key") == key).withColumn("name", F.lit(name))
+            filters = part if filters is None else filters.unionByName(part)
+        if filters is None:
+            return out
+        filters = materialize(filters, "filters")
+        asked = filters.select("words").distinct().crossJoin(values.where("value is not null").distinct())  # a row for each size of a filter
+        bits = asked.withColumn("bit", F.explode(F.array_distinct(self._bits(F.col("value"), F.col("words"))))).withColumn("word", F.expr("bit div 64"))
+        need = bits.groupBy("words", "value").agg(F.count("*").alias("need"))
+        hit = filters.join(bits, ["words", "word"]).where("(bits & shiftleft(1L, cast(bit % 64 as int))) != 0").groupBy("name", "bucket", "words", "value").agg(F.count("*").alias("n"))
+        for r in hit.join(need, ["words", "value"]).where("n = need").select("name", "bucket").distinct().collect():  # a row for each bucket at most
+            if r.bucket in live[r.name]:
+                out.add(r.bucket)
+        return out
+
+    def _candidates(self, current: dict, where: Mapping[str, object] | Column | None) -> set[int] | None:
+        """The buckets that may hold rows that match; None for all."""
+        out = None
+        if isinstance(where, Mapping):
+            for key, value in where.items():
+                if isinstance(value, str):
+                    own = self._holding(current, key, self.spark.createDataFrame([(value,)], "value string"))
+                    out = own if out is None else out & own
+        return out
+
+    def _rewrite(self, opened: Callable[[dict], set[int] | None], touched: Callable[[DataFrame, Column], DataFrame], keep: Callable[[DataFrame], DataFrame], fresh: DataFrame | None = None) -> None:
+        """Write anew the buckets of touched(rows, bucket of an id): what keep() leaves of their rows, and the fresh rows.
+
+        Rows are those of the buckets opened(version), to find out which are touched.
+        """
+
+        def write(base: int, current: dict) -> dict | None:
+            bucket = F.pmod(F.xxhash64("id"), F.lit(current["buckets"])).cast("int").alias("bucket")
+            self.opened = opened(current)
+            numbers = {r.bucket for r in touched(self._read(current, self.opened), bucket).distinct().collect()}  # at most as many as there are buckets
+            if not numbers:
+                return None
+            self.opened = None if self.opened is None else self.opened | numbers
+            return self._put(current, numbers, keep(self._read(current, numbers)), fresh, bucket)
+
+        def merge(newer: dict, own: dict) -> dict | None:
+            if newer["buckets"] != own["buckets"] or set(newer["touched"]) & set(own["touched"]):
+                return None
+            at = {b: folder for b, folder in newer["at"].items() if int(b) not in own["touched"]}
+            return own | {"at": at | {b: folder for b, folder in own["at"].items() if int(b) in own["touched"]}}
+
+        self.log.change(write, merge, {"buckets": self.new_buckets, "at": {}})
+        self.log.vacuum(self._folders, self.keep)
+
+    def _put(self, current: dict, numbers: set[int], table: DataFrame, fresh: DataFrame | None, bucket: Column) -> dict:
+        table = table.select(*STORED.names)
         table = table if fresh is None else table.unionByName(fresh.select(*STORED.names))
         name = f"data-{uuid.uuid4().hex}"
         table.select("*", bucket).repartition(len(numbers), "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{name}")
-        written = [n for s in self._fs.listStatus(self._p(f"{self.path}/{name}")) if (n := s.getPath().getName()).startswith("bucket=")]
+        written = [n for s in self.log.fs.listStatus(self.log._p(f"{self.path}/{name}")) if (n := s.getPath().getName()).startswith("bucket=")]
+        if written:
+            self._write_filters(name)
         at = {b: folder for b, folder in current["at"].items() if int(b) not in numbers} | {n.partition("=")[2]: f"{name}/{n}" for n in written}
-        old = self._lists()
-        out = self._fs.create(self._p(f"{self.path}/CURRENT-{int(old[-1][8:20]) + 1 if old else 0:012d}"))
-        out.write(bytearray(json.dumps({"buckets": current["buckets"], "at": at}).encode()))
-        out.close()
-        # Readers of the last version may still run; folders of older ones go.
-        live = {*at.values(), *current["at"].values()}
-        for o in old[:-1]:
-            for folder in set(self._list(o)["at"].values()) - live:
-                self._fs.delete(self._p(f"{self.path}/{folder}"), True)
-            self._fs.delete(self._p(f"{self.path}/{o}"), False)
+        return {"buckets": current["buckets"], "at": at, "touched": sorted(numbers)}
+
+    @staticmethod
+    def _folders(told: dict) -> set[str]:
+        return set(told["at"].values()) | {f"{folder.partition('/')[0]}-filters" for folder in told["at"].values()}
+
+    def rebucket(self, buckets: int) -> None:
+        """Deal all rows anew to so many buckets, for a store that has grown or shrunk; other writers start anew."""
+
+        def write(base: int, current: dict) -> dict | None:
+            bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket")
+            return None if current["buckets"] == buckets else self._put({"buckets": buckets, "at": {}}, set(range(buckets)), self._read(current), None, bucket)
+
+        self.log.change(write, lambda newer, own: None, {"buckets": self.new_buckets, "at": {}})
+        self.log.vacuum(self._folders, self.keep)
 
     def _checked(self, rows: DataFrame) -> DataFrame:
         """The rows to store, written once: of repeated ids one; a row without a vector is refused."""
@@ -99,34 +172,37 @@ class CorpusStore:
     def upsert(self, rows: DataFrame) -> None:
         """Replace by id, add what is new. Of repeated ids in the batch one wins; a row without a vector is refused."""
         rows = self._checked(rows)
-        self._rewrite(lambda bucket: rows.select(bucket), lambda old: old.join(rows.select("id"), "id", "left_anti"), rows)
+        self._rewrite(lambda now: set(), lambda _, bucket: rows.select(bucket), lambda old: old.join(rows.select("id"), "id", "left_anti"), rows)
 
     def delete(self, where: Mapping[str, object] | Column | None) -> None:
         """Delete the rows that match; nothing for an empty condition or a blank value."""
         if where is None or (isinstance(where, Mapping) and (not where or any(v in (None, "") for v in where.values()))):
             return
         gone = F.coalesce(as_filter(where), F.lit(False))
-        self._rewrite(lambda bucket: self.read().where(gone).select(bucket), lambda old: old.where(~gone))
+        self._rewrite(lambda now: self._candidates(now, where), lambda held, bucket: held.where(gone).select(bucket), lambda old: old.where(~gone))
 
     def replace_source(self, source_type: str, rows: DataFrame) -> None:
         """One source's rows anew, other sources as they are, in one swap."""
         rows = self._checked(rows).withColumn("source_type", F.lit(source_type))
         own = F.col("source_type") == source_type
-        self._rewrite(lambda bucket: self.read().where(own).select(bucket).unionByName(rows.select(bucket)), lambda old: old.where(~own).join(rows.select("id"), "id", "left_anti"), rows)
+        self._rewrite(lambda now: self._candidates(now, {"source_type": source_type}), lambda held, bucket: held.where(own).select(bucket).unionByName(rows.select(bucket)), lambda old: old.where(~own).join(rows.select("id"), "id", "left_anti"), rows)
 
     def replace_pages(self, pages: DataFrame, rows: DataFrame) -> None:
         """Remove all rows of pages(page_id), and add or replace the rows, in one swap."""
         rows, stale = self._checked(rows), pages.select(F.col("page_id").alias("_page")).distinct()
         of = F.col("meta").getItem("page_id") == F.col("_page")
         self._rewrite(
-            lambda bucket: self.read().join(stale, of, "left_semi").select(bucket).unionByName(rows.select(bucket)),
+            lambda now: self._holding(now, "page_id", stale.select(F.col("_page").alias("value"))),
+            lambda held, bucket: held.join(stale, of, "left_semi").select(bucket).unionByName(rows.select(bucket)),
             lambda old: old.join(stale, of, "left_anti").join(rows.select("id"), "id", "left_anti"),
             rows,
         )
 
     def get(self, where: Mapping[str, object] | Column | None = None, limit: int | None = None) -> DataFrame:
-        """id, text, meta; the filter reaches the scan, and vectors are not read."""
-        own = self.read().select("id", "text", "meta", "source_type")
+        """id, text, meta; only buckets that may hold a value asked for are opened, the filter reaches the scan, and vectors are not read."""
+        current = self._current()
+        self.opened = self._candidates(current, where)
+        own = self._read(current, self.opened).select("id", "text", "meta", "source_type")
         condition = as_filter(where)
         own = own if condition is None else own.where(condition)
         return (own if limit is None else own.limit(limit)).drop("source_type")

@@ -8,7 +8,7 @@ from lodestone import catalog_pages as catalog
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation events documents embeddings pages benchmark conversations".split()
-CHECKED = "tokenize_counts bm25_topk vector_topk rrf_hybrid_topk hard_split_chunks recursive_chunks units_scoped_chunks mmr_topk eval_recall_at_k markdown_table heading_path_fill block_units page_properties lesson_hashes store_mutations state_mutations sync_run".split()
+CHECKED = "tokenize_counts bm25_topk vector_topk rrf_hybrid_topk hard_split_chunks recursive_chunks units_scoped_chunks mmr_topk eval_recall_at_k markdown_table heading_path_fill block_units page_properties lesson_hashes store_mutations state_mutations sync_run store_versions vector_index_rows".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="needs the driver's tables")
 

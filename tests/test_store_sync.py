@@ -1,3 +1,5 @@
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +131,46 @@ def test_a_small_change_leaves_other_buckets(spark, tmp_path):
     assert sum(before[b] != after[b] for b in before) == 1 and store.count() == 60
     store.delete({"source_type": "pdf"})
     assert store.count() == 0
+
+
+def test_a_value_opens_only_buckets_that_may_hold_it(spark, tmp_path):
+    store = CorpusStore(spark, str(tmp_path / "s"), buckets=32)
+    store.upsert(rows(spark, *((f"k{i}", "x", {"source_type": "pdf", "document_id": f"d{i // 3}", "page_id": f"p{i // 2}"}) for i in range(240)), ("odd", "x", None)))
+    homes = {r.id: r.b for r in store.read().select("id", F.pmod(F.xxhash64("id"), F.lit(32)).alias("b")).collect()}
+    assert sorted(r.id for r in store.get({"document_id": "d5"}).collect()) == ["k15", "k16", "k17"]
+    own = {homes[f"k{i}"] for i in (15, 16, 17)}
+    assert own <= store.opened and len(store.opened) <= len(own) + 3
+    assert store.get({"document_id": "d5", "page_id": "p0"}).count() == 0 and len(store.opened) <= 2
+    assert store.get({"document_id": "none"}).count() == 0 and len(store.opened) <= 2
+    assert store.get({"id": "odd"}).count() == 1 and len(store.opened) <= 3
+    assert store.get({"source_type": "pdf"}).count() == 240
+    store.delete({"document_id": "d5"})
+    assert store.count() == 238 and len(store.opened) <= len(own) + 3
+    store.replace_pages(spark.createDataFrame([("p0",), ("nowhere",)], "page_id string"), rows(spark, ("k0", "y", {"source_type": "pdf", "page_id": "p0"})))
+    assert store.count() == 237 and len(store.opened) <= 8
+    assert [r.text for r in store.get({"page_id": "p0"}).collect()] == ["y"]
+
+
+def test_writers_at_once_lose_nothing(spark, tmp_path):
+    store = CorpusStore(spark, str(tmp_path / "s"), buckets=8, keep=50)
+    store.upsert(rows(spark, *((f"k{i}", "x", {"source_type": "pdf", "page_id": f"p{i}"}) for i in range(20))))
+    failed = []
+
+    def write(i):
+        try:
+            own = CorpusStore(spark, store.path, keep=50)
+            own.upsert(rows(spark, (f"n{i}", "y", {"source_type": "pdf", "page_id": f"n{i}"})))
+            own.delete({"page_id": f"p{i}"})
+        except Exception as e:
+            failed.append(e)
+
+    threads = [threading.Thread(target=write, args=(i,)) for i in range(3)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not failed
+    assert sorted(r.id for r in store.read().collect()) == sorted([f"k{i}" for i in range(3, 20)] + ["n0", "n1", "n2"])
+    assert store.versions() == list(range(1, 8)) and store.read(1).count() == 20
+    store.rebucket(3)
+    assert store.count() == 20 and set(store._current()["at"]) <= {"0", "1", "2"} and [r.id for r in store.get({"page_id": "p9"}).collect()] == ["k9"]
