@@ -21,13 +21,15 @@ from pyspark.sql.window import Window
 from ..functions.text import distance_to_score
 from ..sources.log import VersionLog
 from ..sources.scratch import materialize, small_enough
-from .vectors import BLOCK, squared_distance
+from .vectors import BLOCK, CELLS, squared_distance
 
 #: Rows that the quantizers are fitted on, at most (all rows are indexed); passes of the fit; entries of a code; rows of the sample that are
 #: tried as queries, and the share of their ten nearest in the sample that the lists probed by default hold.
 SAMPLE, PASSES, ENTRIES, TRIED, RECALL = 20_000, 12, 256, 200, 0.95
 #: Rows of a file of a list, and marks of gone rows that are sent to every executor.
 FILE_ROWS, BROADCAST_GONE = 250_000, 500_000
+#: Codes that a task of a search reads, about, once there are more than its cores read with less.
+TASK_ROWS = 1 << 20
 
 
 def _centres(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -102,6 +104,19 @@ def _by_code(model: Quantizer, asked: np.ndarray, ids: list, kind: pa.DataType,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[int, np.ndarray] = {}
+        worst, held, n = np.full(len(asked), np.inf), [], 0
+
+        def sift() -> list[tuple]:
+            """What is left of all that is held: most rows of each query; worst is the last of them."""
+            q, rough, lists = (np.concatenate(v) for v in list(zip(*held))[:3])
+            order = np.lexsort((rough, q))
+            own = q[order]
+            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            place = np.arange(len(own)) - np.repeat(starts, np.diff(np.r_[starts, len(own)]))
+            keep, last = order[place < most], order[place == most - 1]
+            worst[q[last]] = rough[last]
+            return [(q[keep], rough[keep], lists[keep], pa.concat_arrays([h[3] for h in held]).take(pa.array(keep)))]
+
         for batch in batches:
             at, codes = batch.column("list").to_numpy(), np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(-1, model.parts)
             for l in np.unique(at).tolist():
@@ -109,19 +124,21 @@ def _by_code(model: Quantizer, asked: np.ndarray, ids: list, kind: pa.DataType,
                 if l not in tables:
                     tables.clear()  # rows come list by list
                     tables[l] = model.tables(asked[queries], l)
-                rough = np.zeros((len(queries), len(own)))
-                for p in range(model.parts):
-                    rough += tables[l][:, p, codes[own, p]]
-                if len(own) > most:
-                    best = np.argpartition(rough, most - 1, axis=1)[:, :most]
-                else:
-                    best = np.broadcast_to(np.arange(len(own)), rough.shape)
-                q = np.repeat(queries, best.shape[1])
-                rows = own[best.reshape(-1)]
-                yield pa.RecordBatch.from_pydict({
-                    "query_id": pa.array([ids[i] for i in q.tolist()], kind), "id": batch.column("id").take(pa.array(rows)),
-                    "list": pa.array(np.full(len(q), l, np.int32)), "rough": pa.array(np.take_along_axis(rough, best, 1).reshape(-1)),
-                })
+                for lo in range(0, len(own), max(1, CELLS // len(queries))):
+                    part = own[lo : lo + max(1, CELLS // len(queries))]
+                    rough = np.zeros((len(queries), len(part)))
+                    for p in range(model.parts):
+                        rough += tables[l][:, p, codes[part, p]]
+                    q, r = np.nonzero(rough <= worst[queries][:, None])
+                    held.append((queries[q], rough[q, r], np.full(len(q), l, np.int32), batch.column("id").take(pa.array(part[r]))))
+                    n += len(q)
+                    if n > CELLS:
+                        held, n = sift(), 0
+        if held:
+            (q, rough, lists, found), *_ = sift()
+            for lo in range(0, len(q), 100_000):
+                some = slice(lo, lo + 100_000)
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array([ids[i] for i in q[some].tolist()], kind), "id": found.slice(lo, 100_000), "list": pa.array(lists[some]), "rough": pa.array(rough[some])})
 
     return run
 
@@ -264,7 +281,9 @@ class VectorIndex:
             near = np.argsort((model.lists**2).sum(1)[None, :] - 2 * x @ model.lists.T, axis=1, kind="stable")[:, :probes]
             probed = {int(l): np.flatnonzero((near == l).any(1)) for l in np.unique(near)}
             codes += sum(counts[l] * len(q) for l, q in probed.items())
-            rows = self._live(told, ["id", "code"], set(probed))
+            # Each task passes on its best rows, so many small lists are read by one.
+            tasks = max(self.spark.sparkContext.defaultParallelism, sum(counts[l] for l in probed) // TASK_ROWS)
+            rows = self._live(told, ["id", "code"], set(probed)).coalesce(tasks)
             found = rows.mapInArrow(_by_code(model, x, part["query_id"].to_pylist(), to_arrow_type(asked.schema["query_id"].dataType), probed, rerank * k), shape)
             out = found if out is None else out.unionByName(found)
         if out is None:
