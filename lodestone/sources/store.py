@@ -93,7 +93,10 @@ class CorpusStore:
         if filters is None:
             return out
         filters = materialize(filters, "filters")
-        asked = filters.select("words").distinct().crossJoin(values.where("value is not null").distinct())  # a row for each size of a filter
+        sizes = [r.words for r in filters.select("words").distinct().collect()]  # powers of two
+        if not sizes:
+            return out
+        asked = values.where("value is not null").distinct().withColumn("words", F.explode(F.array(*(F.lit(n).cast("long") for n in sizes))))
         bits = asked.withColumn("bit", F.explode(F.array_distinct(self._bits(F.col("value"), F.col("words"))))).withColumn("word", F.expr("bit div 64"))
         need = bits.groupBy("words", "value").agg(F.count("*").alias("need"))
         hit = filters.join(bits, ["words", "word"]).where("(bits & shiftleft(1L, cast(bit % 64 as int))) != 0").groupBy("name", "bucket", "words", "value").agg(F.count("*").alias("n"))
