@@ -27,6 +27,8 @@ from .packing import slices
 WINDOW, SHARE, LONG, LEAST = 8, 0.5, 32, 4
 #: Windows of the benchmark that are sent to executors at once; a larger benchmark goes in blocks.
 BLOCK_WINDOWS = 1 << 20
+#: Neighbouring runs of which the fullest chain is kept.
+SPAN = 128
 
 SCHEMA = "doc_id bigint, item_id bigint, kind string, n_tokens bigint, n_item_tokens bigint, n_slots bigint, start bigint, end bigint"
 
@@ -233,39 +235,101 @@ class Chain:
         lo = max(at, self.end, self.place + line)
         theirs, mine = slice(first + lo - line, first + end - line), slice(lo, end)
         slot = b.slot[theirs]
-        to, back, equal = dict(self.to), dict(self.back), 0
-        for p, q in zip(b.value[theirs][slot].tolist(), t.value[mine][slot].tolist(), strict=True):
-            if to.setdefault(p, q) != q or back.setdefault(q, p) != p:
-                return None
-            equal += p == q
-        s = int(slot.sum())
+        s, to, back, equal = int(np.count_nonzero(slot)), self.to, self.back, 0
+        if s:  # maps are shared with the chain before where nothing is added to them
+            to, back = dict(to), dict(back)
+            for p, q in zip(b.value[theirs][slot].tolist(), t.value[mine][slot].tolist(), strict=True):
+                if to.setdefault(p, q) != q or back.setdefault(q, p) != p:
+                    return None
+                equal += p == q
         return Chain(self.n + end - lo, self.words + end - lo - s + equal, self.slots + s, self.same and equal == s, to, back, self.start if self.n else lo, end, end - line)
 
 
+class Runs:
+    """Runs of an item in a text, in order of the text, and how much the fullest chain that ends with each holds.
+
+    They lie in spans of SPAN runs twice, by their place in the text and in the item; of each span the fullest chain is known.
+    """
+
+    def __init__(self, at: np.ndarray, end: np.ndarray, line: np.ndarray, size: int):
+        self.at, self.end, self.line, self.size = at, end, line, size
+        self.full, spans = np.zeros(len(at), np.int64), len(at) // SPAN + 1
+        self.by_place = np.argsort(end - line, kind="stable")
+        self.places = (end - line)[self.by_place]
+        self.span_of = np.empty(len(at), np.int64)
+        self.span_of[self.by_place] = np.arange(len(at)) // SPAN
+        self.in_text, self.in_item = np.zeros(spans, np.int64), np.zeros(spans, np.int64)
+
+    def set(self, j: int, full: int) -> None:
+        self.full[j] = full
+        for top, span in ((self.in_text, j // SPAN), (self.in_item, self.span_of[j])):
+            top[span] = max(top[span], full)
+
+    def _totals(self, j: int, k: np.ndarray) -> np.ndarray:
+        """What chains that end with the runs k hold together with run j; 0 where it cannot follow."""
+        end, line, full = self.end[k], self.line[k], self.full[k]
+        gain = self.end[j] - np.maximum(np.maximum(self.at[j], end), end - line + self.line[j])
+        return np.where((gain > 0) & (full > 0) & (np.abs(line - self.line[j]) <= self.size), full + gain, 0)
+
+    def before(self, j: int) -> Iterator[int]:
+        """Runs whose chains are fuller with run j than it is alone, the fullest first, of equal ones the first in the text.
+
+        A chain gains no more than the run's length, so spans whose fullest chain cannot reach the best total are not looked at. Of
+        the two ways to cut runs into spans that is taken which leaves fewer of them.
+        """
+        low, n = int(np.searchsorted(self.at, self.at[j] - 3 * self.size)), int(self.end[j] - self.at[j])
+        if low >= j:
+            return
+        text = self.in_text[: (j - 1) // SPAN + 1] + n
+        text[: low // SPAN] = 0
+        item = self.in_item[: int(np.searchsorted(self.places, self.end[j] - self.line[j])) // SPAN + 1] + n
+
+        def look(bound: np.ndarray, by_text: bool = False) -> tuple[np.ndarray, np.ndarray]:
+            span = len(bound) - 1 - int(np.argmax(bound[::-1]))
+            bound[span] = 0
+            k = np.arange(span * SPAN, min(j, (span + 1) * SPAN)) if by_text else self.by_place[span * SPAN : (span + 1) * SPAN]
+            k = k[(k >= low) & (k < j)]
+            return k, self._totals(j, k)
+
+        best = max(n + 1, int(look(item.copy())[1].max(initial=0)))
+        bound = min(text, item, key=lambda x: int(np.count_nonzero(x >= best)))
+        seen: list[tuple[np.ndarray, np.ndarray]] = []
+        while True:
+            if bound.max() >= best:
+                seen.append(look(bound, bound is text))
+                best = max(best, int(seen[-1][1].max(initial=0)))
+                continue
+            total = max((int(t.max(initial=0)) for _, t in seen), default=0)
+            if total < best and best > n + 1:  # the best ones did not agree: others may now be in reach
+                best = max(total, n + 1)
+                continue
+            if total <= n:
+                return
+            first, where = min((int(k[t == total].min()), i) for i, (k, t) in enumerate(seen) if (t == total).any())
+            k, t = seen[where]
+            t[k == first] = 0
+            yield first
+
+
 def chains(at: np.ndarray, end: np.ndarray, line: np.ndarray, t: Templates, b: Bench, item: int) -> Iterator[Chain]:
     """For each run, in order of the text, the fullest agreeing chain that ends with it.
 
     Two runs follow one another if they do so in the text and in the item, at lines not further apart than the item is long.
     """
     size, first, out = int(b.sizes[item]), int(b.first[item]), []
-    full = np.zeros(len(at), np.int64)
+    runs = Runs(at, end, line, size)
     none = Chain(0, 0, 0, True, {}, {}, 0, 0, 0)
-    for j in range(len(at)):
-        own = none.then(int(at[j]), int(end[j]), int(line[j]), t, b, first)
+    for j, (x, y, z) in enumerate(zip(at.tolist(), end.tolist(), line.tolist(), strict=True)):
+        own = none.then(x, y, z, t, b, first)
         out.append(own)
         if own is None:
             continue
-        full[j] = own.n
-        near = np.arange(np.searchsorted(at, at[j] - 3 * size), j)
-        near = near[(full[near] > 0) & (np.abs(line[near] - line[j]) <= size)] if len(near) and size >= LEAST else near[:0]
-        if len(near):
-            gain = end[j] - np.maximum(np.maximum(at[j], end[near]), end[near] - line[near] + line[j])
-            total = np.where(gain > 0, full[near] + gain, 0)
-            for k in near[np.argsort(-total, kind="stable")][: int((total > own.n).sum())].tolist():
-                longer = out[k].then(int(at[j]), int(end[j]), int(line[j]), t, b, first)
-                if longer:
-                    out[j], full[j] = longer, longer.n
-                    break
+        for k in runs.before(j) if size >= LEAST else ():
+            longer = out[k].then(x, y, z, t, b, first)
+            if longer:
+                out[j] = longer
+                break
+        runs.set(j, out[j].n)
         yield out[j]
 
 

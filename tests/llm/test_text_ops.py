@@ -315,3 +315,36 @@ def test_toxicity_of_long_texts_and_two_labels(spark):
     assert got[900].predicted == 0 and got[901].predicted == 1 and len(got[901].segments) >= 60
     model = toxicity.train(docs.limit(0), spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert model is None
+
+
+def test_chains_of_spans_equal_those_of_all_runs(monkeypatch):
+    """Texts and items of two words and some numbers, whose runs follow one another in many ways and often disagree."""
+    rng, seen = random.Random(5), 0
+    monkeypatch.setattr(decontam, "SPAN", 4)
+    for size in (12, 60, 150, 150):
+        word = lambda: rng.choice(["red", "blue"]) if rng.random() < 0.9 else str(rng.randrange(3))
+        items, texts = ([(n, " ".join(word() for _ in range(size))) for n in range(2)] for _ in range(2))
+        b, t = decontam.bench(items, 6, False), decontam.Canon()(folding.fold([x.encode() for _, x in texts]), False)
+        runs = []
+        keep = lambda at, end, line, t, b, item: runs.append((at, end, line, item)) or iter(())
+        with monkeypatch.context() as m:
+            m.setattr(decontam, "chains", keep)
+            decontam.matches(t, b, 0.0)
+        for at, end, line, item in runs:
+            first, whole, none, want = int(b.first[item]), int(b.sizes[item]), decontam.Chain(0, 0, 0, True, {}, {}, 0, 0, 0), []
+            for j in range(len(at)):
+                step = (int(at[j]), int(end[j]), int(line[j]), t, b, first)
+                own = none.then(*step)
+                want.append(own)
+                if own is None:
+                    continue
+                options = []
+                for k in range(j):
+                    if want[k] and at[k] >= at[j] - 3 * whole and abs(line[k] - line[j]) <= whole:
+                        gain = int(end[j] - max(at[j], end[k], end[k] - line[k] + line[j]))
+                        if gain > 0 and want[k].n + gain > own.n:
+                            options.append((-want[k].n - gain, k))
+                want[j] = next((c for _, k in sorted(options) if (c := want[k].then(*step))), own)
+                seen += len(options) > 1
+            assert list(decontam.chains(at, end, line, t, b, item)) == [c for c in want if c]
+    assert seen > 100
