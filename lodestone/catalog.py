@@ -465,12 +465,12 @@ diff AS (SELECT coalesce(src.page_id, st.page_id) AS page_id, CASE WHEN src.page
     WHEN src.content_hash = st.content_hash THEN 'hash_unchanged' ELSE 'changed' END AS status FROM src FULL JOIN st ON src.page_id = st.page_id)"""
 
 
-def _sync_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _sync_tables(spark: SparkSession, d: str, *more: str) -> tuple[DataFrame, DataFrame]:
     docs = _t(spark, d, "documents")
     sha = F.sha2("text", 256)
     source = docs.select(
         F.col("doc_id").cast("string").alias("page_id"), sha.alias("content_hash"), F.when(F.col("doc_id") % 3 == 0, sha).otherwise("").alias("remote_hash"),
-        F.when(F.col("doc_id") % 11 == 0, "2024-02-01T00:00:00Z").otherwise("2024-01-01T00:00:00Z").alias("last_edited_time"),
+        F.when(F.col("doc_id") % 11 == 0, "2024-02-01T00:00:00Z").otherwise("2024-01-01T00:00:00Z").alias("last_edited_time"), *more,
     )
     state = docs.where("doc_id % 7 <> 0").select(
         F.col("doc_id").cast("string").alias("page_id"), F.when(F.col("doc_id") % 5 == 0, "old").otherwise(sha).alias("content_hash"),

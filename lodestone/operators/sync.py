@@ -6,13 +6,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import one_line
 from ..functions.text import parse_iso
 from ..schema import SYNC_STATE
-from ..sources.scratch import materialize
+from ..sources.scratch import materialize, observed
 from ..sources.store import CorpusStore
 
 COUNTERS = ("new", "changed", "hash_unchanged", "skipped", "removed")
@@ -45,10 +45,18 @@ def diff(source: DataFrame, state: DataFrame, *, live: bool = True) -> DataFrame
     return both.withColumn("status", status).drop("_in", "_known")
 
 
+def counters() -> dict[str, Column]:
+    """Aggregates over the rows of diff(): pages seen, and pages of each status."""
+    return {"pages_seen": F.count_if(F.col("status") != "removed")} | {f"pages_{s}": F.count_if(F.col("status") == s) for s in COUNTERS}
+
+
 def summary(changes: DataFrame, mode: str = "incremental") -> DataFrame:
     """One row of counters."""
-    counts = [F.count_if(F.col("status") == s).alias(f"pages_{s}") for s in COUNTERS]
-    return changes.agg(F.lit(mode).alias("sync_mode"), F.count_if(F.col("status") != "removed").alias("pages_seen"), *counts).select("sync_mode", "pages_seen", *(f"pages_{s}" for s in COUNTERS))
+    return changes.agg(F.lit(mode).alias("sync_mode"), *(c.alias(n) for n, c in counters().items()))
+
+
+def _row(spark: SparkSession, counts: dict[str, int], mode: str = "incremental") -> DataFrame:
+    return spark.range(1).select(F.lit(mode).alias("sync_mode"), *(F.lit(v).cast("bigint").alias(n) for n, v in counts.items()))
 
 
 def unit_counts(units: DataFrame, page: str = "page_id") -> DataFrame:
@@ -87,19 +95,19 @@ def run(store: CorpusStore, lessons: DataFrame, state: DataFrame, prepare: Calla
 
     Only new and changed lessons are prepared: prepare(lessons) -> (id, text, meta with page_id, embedding). The store changes in
     one swap; then hashes are written back, on the executors; failures are counted and do not stop the sync. Lessons
-    with a blank page_id are left out. live: allow the cheap skips, which trust the remote hash and edit time.
+    with a blank page_id are left out. live: allow the cheap skips, which trust the remote hash and edit time. Counters are
+    gathered while statuses and errors are written.
     """
     lessons = lessons.where(F.trim(F.coalesce("page_id", F.lit(""))) != "")
-    changes = materialize(diff(lessons.select("page_id", "content_hash", "remote_hash", "last_edited_time", "title"), state, live=live), "changes")
+    changes, counts = observed(diff(lessons.select("page_id", "content_hash", "remote_hash", "last_edited_time", "title"), state, live=live), "changes", **counters())
     due = changes.where(F.col("status").isin("new", "changed")).select("page_id")
     documents = materialize(prepare(lessons.join(due, "page_id", "left_semi")), "documents")
     apply(store, changes, documents)
     indexed = documents.groupBy(F.col("meta").getItem("page_id").alias("page_id")).agg(F.sort_array(F.collect_list("id")).alias("indexed_ids"))
     after = materialize(next_state(changes, state, indexed, now), "state")
     written = write_hashes(outbox(changes), write_back) if write_back else outbox(changes).select("page_id", F.lit(None).cast("string").alias("error")).limit(0)
-    written = materialize(written, "written")
-    counts = written.agg(F.count_if(F.col("error") == "").alias("hashes_written"), F.count_if(F.col("error") != "").alias("hash_write_failures"))
-    return Synced(changes, documents, after, summary(changes).crossJoin(counts), written)
+    written, failures = observed(written, "written", hashes_written=F.count_if(F.col("error") == ""), hash_write_failures=F.count_if(F.col("error") != ""))
+    return Synced(changes, documents, after, _row(store.spark, counts | failures), written)
 
 
 @dataclass

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
@@ -55,6 +55,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, name: str, **counters: Column) -> tuple[DataFrame, dict[str, int]]:
+    """materialize(), and aggregates over the rows written, which the writing tasks gather: there is no further scan. A task that is run again counts once."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    out = materialize(df.observe(seen, *(c.alias(n) for n, c in counters.items())), name)
+    return out, seen.get
+
+
 def spread(table: DataFrame) -> DataFrame:
     """A table as read from files, over all cores if its rows lie in fewer partitions than there are cores; else as it is.
 
