@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import mimetypes
-from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import SourceError
-from ..schema import SAMPLE, UNIT
+from ..schema import SAMPLE
+from .layout import Ocr, Parser, layout, units
 
 
 def read_testset(spark: SparkSession, path: str) -> DataFrame:
@@ -40,11 +39,12 @@ def read_binaries(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content", F.sha2("content", 256).alias("document_id"), F.coalesce(known[ending], F.lit("application/octet-stream")).alias("mime"))
 
 
-Parser = Callable[[bytes], list[dict]]
+#: Resolution of pages that are read as pictures.
+SCAN_DPI = 150
 
 
 def pdf_blocks(content: bytes) -> list[dict]:
-    """Pages of a PDF as [{"blocks": [{"lines": [[span, ...], ...], "bbox": [...]}, ...], "tables": [rows, ...]}], by PyMuPDF if it is there."""
+    """Pages of a PDF as [{"blocks": [{"lines": [[span, ...], ...], "bbox": [...]}, ...], "tables": [rows, ...], "scan": picture}], by PyMuPDF if it is there."""
     try:
         import fitz
     except ImportError as e:
@@ -54,66 +54,18 @@ def pdf_blocks(content: bytes) -> list[dict]:
         for page in pdf:
             got = page.get_text("dict")["blocks"]
             blocks = [{"lines": [[s["text"] for s in line["spans"]] for line in b.get("lines", [])], "bbox": list(b["bbox"]), "image": b.get("image")} for b in got]
-            out.append({"blocks": blocks, "tables": [t.extract() for t in page.find_tables().tables]})
+            out.append({"blocks": blocks, "tables": [t.extract() for t in page.find_tables().tables], "scan": page.get_pixmap(dpi=SCAN_DPI).tobytes("png") if not page.get_text().strip() else None})
     return out
 
 
-def block_text(block: dict) -> str:
-    """Spans of a line joined, lines joined by line feeds, blank ones dropped."""
-    lines = ("".join(spans).strip() for spans in block.get("lines") or [])
-    return "\n".join(x for x in lines if x)
+def pdf_units(files: DataFrame, parser: Parser = pdf_blocks, ocr: Ocr | None = None, cap: int = 20) -> DataFrame:
+    """UNIT rows of files(path, content, document_id): text blocks in page order, OCR of at most `cap` images of each, then all tables.
 
-
-def box(value: object) -> str:
-    """Four numbers with two decimals, or empty."""
-    return ",".join(f"{float(v):.2f}" for v in value) if isinstance(value, list | tuple) and len(value) == 4 else ""
-
-
-def table_lines(rows: list[list[str]]) -> str:
-    """Rows of cells as a Markdown table: empty rows go, short ones are padded, the first is the header."""
-    full = [r for r in rows if any(r)]
-    width = max(map(len, full), default=0)
-    padded = [[c.replace("|", "\\|") for c in r] + [""] * (width - len(r)) for r in full]
-    return "\n".join(f"| {' | '.join(r)} |" for r in [*padded[:1], ["---"] * width, *padded[1:]]) if full else ""
-
-
-def pdf_units(files: DataFrame, parser: Parser = pdf_blocks, ocr: Callable[[bytes], dict] | None = None, cap: int = 20) -> DataFrame:
-    """UNIT rows of files(path, content, document_id): text blocks in page order, OCR of images up to a cap, then all tables.
-
-    A failed OCR leaves a marked unit (ocr_error). A file that has no pages is an error.
+    A failed OCR leaves a marked unit (ocr_error). A file that has no pages, or another ending than .pdf, is an error.
     """
-    def units(path: str, content: bytes, sha: str) -> Iterator[tuple]:
-        pages = parser(bytes(content))
-        if not pages:
-            raise SourceError(f"no pages: {path}")
-        n, images = 0, 0
-        base = {"source_type": "pdf", "source_file": path.rpartition("/")[2], "document_id": sha, "page_count": str(len(pages))}
-        for p, page in enumerate(pages, 1):
-            for i, b in enumerate(page.get("blocks") or []):
-                meta = base | {"page_number": str(p), "source_granularity": "page_block", "block_type": "paragraph", "block_id": f"block_{i}", "bbox": box(b.get("bbox"))}
-                text = block_text(b)
-                if text:
-                    yield f"pdf_{sha}_page_{p}_block_{i}", n, text, meta
-                    n += 1
-                elif b.get("image") and ocr and images < cap:
-                    images += 1
-                    seen = ocr(b["image"])
-                    if seen.get("text") or seen.get("error"):
-                        yield f"pdf_{sha}_page_{p}_image_{i}", n, seen.get("text") or "[Image without text]", meta | {"source_granularity": "page_image", "block_type": "image", "image_ocr_text": "yes" if seen.get("text") else "", "ocr_error": seen.get("error") or ""}
-                        n += 1
-        for p, page in enumerate(pages, 1):
-            for i, rows in enumerate(page.get("tables") or []):
-                text = table_lines([[" ".join(str(c or "").split("\n")).strip() for c in r] for r in rows])
-                if text:
-                    yield f"pdf_{sha}_page_{p}_table_{i}", n, text, base | {"page_number": str(p), "source_granularity": "page_table", "block_type": "table", "table_index": str(i)}
-                    n += 1
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [u for path, content, sha in zip(batch["path"], batch["content"], batch["document_id"], strict=True) for u in units(path, content, sha)]
-            yield pd.DataFrame(rows, columns=UNIT.names)
-
-    return files.select("path", "content", "document_id").mapInPandas(run, UNIT)
+    kind = F.lower(F.col("path")).endswith(".pdf")
+    wrong = F.raise_error(F.concat(F.lit("not a PDF: "), F.coalesce("path", F.lit("")))).cast("binary")
+    return units(layout(files.withColumn("content", F.when(kind, F.col("content")).otherwise(wrong)), parser), ocr, cap)
 
 
 def pdf_pages(files: DataFrame, parser: Parser = pdf_blocks) -> DataFrame:
