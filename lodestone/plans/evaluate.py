@@ -30,8 +30,8 @@ REPORT_COLUMNS = (
     "answer_relevancy context_precision context_recall ragas_error"
 ).split()
 
-#: judge(question, answer, contexts, ground_truth) -> metric values; runs on executors.
-Judge = Callable[[str, str, list[str], str], dict[str, float]]
+#: judge(question, answer, contexts, ground_truth) -> metric values; runs on executors. With keys, a key comes last.
+Judge = Callable[..., dict[str, float]]
 #: Records that go to a judge between two delays.
 JUDGE_BATCH = 4
 
@@ -69,11 +69,13 @@ def skip_reason(error: Column, answer_: Column, contexts: Column, truth: Column)
     )
 
 
-def score(records: DataFrame, judge: Judge | None, *, batch: int = JUDGE_BATCH, delay: float = 0.0, attempts: int = 0, secrets: tuple[str, ...] = ()) -> DataFrame:
+def score(records: DataFrame, judge: Judge | None, *, batch: int = JUDGE_BATCH, delay: float = 0.0, attempts: int = 0, secrets: tuple[str, ...] = (), keys: tuple[str, ...] | None = None) -> DataFrame:
     """records with metrics map<string,double> (finite values only) and ragas_error.
 
     Records that cannot be judged are not sent and tell why. After each batch a task waits for the delay; a record whose
-    judge fails is tried again up to `attempts` times, and then tells the error, secrets masked.
+    judge fails is tried again up to `attempts` times, each time with all keys in order, and then tells the last error and
+    which key had it, keys and secrets masked. Given no keys (an empty tuple), records that could be judged tell that;
+    keys=None is a judge that needs none.
     """
     truth = F.col("ground_truth") if "ground_truth" in records.columns else F.lit(None).cast("string")
     own = records.withColumn("ragas_error", skip_reason(F.col("error"), F.col("answer"), F.col("contexts"), truth))
@@ -92,23 +94,28 @@ def score(records: DataFrame, judge: Judge | None, *, batch: int = JUDGE_BATCH,
                 if sent and sent % batch == 0:
                     time.sleep(delay)
                 sent += 1
-                out.append(_judged(judge, row, attempts, delay, secrets))
+                out.append(_judged(judge, row, attempts, delay, secrets, keys))
             yield pd.DataFrame({"metrics": pd.Series([m for m, _ in out], dtype=object), "error": pd.Series([e for _, e in out], dtype=object)})
 
     own = own.withColumn("_got", run("ragas_error", "question", "answer", "contexts", truth))
     return own.withColumns({"metrics": F.map_filter("_got.metrics", lambda k, v: finite(v).isNotNull()), "ragas_error": F.coalesce("ragas_error", "_got.error")}).drop("_got")
 
 
-def _judged(judge: Judge, row: list, attempts: int, delay: float, secrets: tuple[str, ...]) -> tuple[dict | None, str | None]:
+def _judged(judge: Judge, row: list, attempts: int, delay: float, secrets: tuple[str, ...], keys: tuple[str, ...] | None) -> tuple[dict | None, str | None]:
+    if keys == ():
+        return None, "failed: the judge has no key"
+    question, answer_, contexts, truth = row
+    asked = (question, answer_, [] if contexts is None else list(contexts), truth)
+    tries = [("", ())] if keys is None else [(f"key {k}/{len(keys)}: ", (key,)) for k, key in enumerate(keys, 1)]
     error = ""
     for n in range(attempts + 1):
-        try:
-            question, answer_, contexts, truth = row
-            return {k: float(v) for k, v in judge(question, answer_, [] if contexts is None else list(contexts), truth).items()}, None
-        except Exception as e:  # noqa: BLE001  told in the record
-            error = one_line(e, secrets)
-            if n < attempts:
-                time.sleep(delay)
+        for which, key in tries:
+            try:
+                return {k: float(v) for k, v in judge(*asked, *key).items()}, None
+            except Exception as e:  # noqa: BLE001  told in the record
+                error = which + one_line(e, (*secrets, *(keys or ())))
+        if n < attempts:
+            time.sleep(delay)
     return None, f"failed: {error}"
 
 

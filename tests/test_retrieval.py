@@ -135,6 +135,24 @@ def test_judge_is_tried_again_and_tells_errors(spark):
     assert again["s2"].metrics == {"faithfulness": 0.5} and len(again) == 4
 
 
+def test_judge_tries_all_keys_at_each_attempt(spark, tmp_path):
+    def judge(q, a, c, t, key):
+        calls = tmp_path / q
+        with calls.open("a") as f:
+            f.write(key)
+        if q == "bad" or len(calls.read_text()) < 3:
+            raise ValueError(f"{key} is used up")
+        return {"faithfulness": 1.0}
+
+    rows = [(q, q, "" if q == "none" else "an answer", "", ["c"], "truth") for q in ("good", "bad", "none")]
+    df = spark.createDataFrame(rows, "sample_id string, question string, answer string, error string, contexts array<string>, ground_truth string")
+    got = {r.sample_id: (r.metrics, r.ragas_error) for r in evaluate.score(df, judge, attempts=1, keys=("x", "y")).collect()}
+    assert got["good"] == ({"faithfulness": 1.0}, None) and (tmp_path / "good").read_text() == "xyx"
+    assert got["bad"] == (None, "failed: key 2/2: <redacted> is used up") and (tmp_path / "bad").read_text() == "xyxy"
+    assert got["none"][1].startswith("skipped") and not (tmp_path / "none").exists()
+    assert {r.sample_id: r.ragas_error for r in evaluate.score(df, judge, keys=()).collect()}["good"] == "failed: the judge has no key"
+
+
 def test_providers():
     assert abs(sum(x * x for x in hashed("a b c", 16)) - 1) < 1e-9
     calls = []
