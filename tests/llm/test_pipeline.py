@@ -33,3 +33,25 @@ def test_rows_without_an_id_pass_unless_they_leak(spark, tmp_path):
     assert sorted(x.text for x in left.collect()) == sorted(t for _, t in rows)
     clean = stages["decontamination"](spark, left, str(tmp_path))
     assert {x.text for x in clean.collect()} == {rows[0][1], rows[2][1]}
+
+
+def test_near_duplicates_do_not_move_texts(spark, monkeypatch):
+    """Over tables too large for Spark's own broadcast, no plan of the last step deals texts out; beyond SENT ids they are, with equal results."""
+    r = random.Random(8)
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    base = prose(200)
+    rows = [(i, prose(60), "en", "s", 0) for i in range(20)] + [(50 + i, base + f" w{i}", "en", "s", 0) for i in range(5)]
+    rows += [(3, rows[3][1], "de", "t", 0), (None, prose(9), "en", "s", 0), (60, "", "en", "s", 0), (61, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = stage(spark, docs, "")
+        plan = left._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+        got = sorted((x.doc_id for x in left.collect()), key=str)
+        assert got == sorted([*range(20), 50, 60, 61, None], key=str)
+        monkeypatch.setattr(corpus_pipeline, "SENT", 1)
+        assert sorted((x.doc_id for x in stage(spark, docs, "").collect()), key=str) == got
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
