@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 
 from .common import lean, materialize, small_batches
 from .hashing import mix
-from .tokens import WordBpe
+from .tokens import forget, kept_bpe
 
 #: Tokens of a sequence, the id that ends a document, and tokens of a shard of the index.
 WINDOW, END, SHARD = 2048, 1, 1 << 20
+#: Bytes of text that are encoded at once.
+PART = 1 << 18
 #: BM25's constants; documents of the sample for each bound between shards.
 K1, B, SAMPLE = 1.2, 0.75, 64
+#: Neighbours that are put in order at first, as most windows are full by then; the others follow if they are not.
+FEW = 64
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -51,7 +55,7 @@ class Index:
         own = weigh(n, df) if idf is None else idf[terms]
         number = np.repeat(np.arange(len(df)), df)
         self.weight = impact(own[number], tf, sizes[self.doc], sizes.mean() if idf is None else mean)
-        self.df, self.n = df, n
+        self.df = df
         # Scores of terms that many documents hold are rows of a table, which has at most 8 times the postings.
         wide = df * 8 > n
         self.row = np.where(wide, np.cumsum(wide) - 1, -1)
@@ -60,6 +64,17 @@ class Index:
         self.table[self.row[number[inside]], self.doc[inside]] = self.weight[inside]
         by_doc = np.argsort(self.doc, kind="stable")
         self.held, self.cut = number[by_doc], np.searchsorted(self.doc[by_doc], np.arange(n + 1))
+        # Documents that can be found, and how many postings of a term are theirs.
+        self.live, self.size = np.arange(n), df
+
+    def narrow(self, free: np.ndarray) -> None:
+        """Find only the free documents from now on; scores and the order of the others do not change."""
+        keep = free[self.live]
+        self.live, self.table = self.live[keep], np.compress(keep, self.table, axis=1)
+        inside = keep[self.doc]
+        before = np.concatenate([[0], np.cumsum(inside)])
+        self.lo, self.size = before[self.lo], before[self.lo + self.size] - before[self.lo]
+        self.doc, self.weight = (np.cumsum(keep) - 1)[self.doc[inside]], self.weight[inside]
 
     def neighbours(self, seed: int, free: np.ndarray | None = None, most: int = 0) -> np.ndarray:
         """Documents that share any term with the seed, best first, ties by position.
@@ -71,14 +86,14 @@ class Index:
         row = self.row[own]
         score = self.table[row[row >= 0]].sum(0, dtype=np.float64)
         thin = own[row < 0]
-        size = self.df[thin]
+        size = self.size[thin]
         if len(thin):
             rows = np.repeat(self.lo[thin] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            score += np.bincount(self.doc[rows], self.weight[rows], self.n)
-        found = np.flatnonzero(score if free is None else (score > 0) & free)
+            score += np.bincount(self.doc[rows], self.weight[rows], len(self.live))
+        found = np.flatnonzero(score if free is None else (score > 0) & free[self.live])
         if 0 < most < len(found):
             found = found[score[found] >= np.partition(score[found], -most)[-most]]
-        return found[np.argsort(-score[found], kind="stable")]
+        return self.live[found[np.argsort(-score[found], kind="stable")]]
 
 
 def order(docs: list[np.ndarray], window: int, idf: np.ndarray | None = None, mean: float = 0.0) -> list[int]:
@@ -88,7 +103,14 @@ def order(docs: list[np.ndarray], window: int, idf: np.ndarray | None = None, me
     shares a term with the seed, the next one in order seeds the rest of the window.
     """
     index, free, out, after = Index(docs, idf, mean), np.ones(len(docs), bool), [], 0
-    room, queue = 0, iter(())
+    room, queue, left = 0, iter(()), len(docs)
+
+    def nearest(seed: int) -> Iterator[int]:
+        few = index.neighbours(seed, free, min(room, FEW))  # a document has a token at least
+        yield from few.tolist()
+        if len(few) >= FEW:  # those are used by now
+            yield from index.neighbours(seed, free, room).tolist()
+
     while True:
         doc = next(queue, -1) if room else -1
         seeds = doc < 0
@@ -100,6 +122,9 @@ def order(docs: list[np.ndarray], window: int, idf: np.ndarray | None = None, me
             doc = after
             room = room or window
         free[doc] = False
+        left -= 1
+        if 4 * left < 3 * len(index.live):
+            index.narrow(free)
         out.append(int(doc))
         n = len(docs[doc])
         if n >= room:
@@ -108,7 +133,7 @@ def order(docs: list[np.ndarray], window: int, idf: np.ndarray | None = None, me
         else:
             room -= n
         if seeds and room:
-            queue = iter(index.neighbours(doc, free, room).tolist())  # a document has a token at least
+            queue = nearest(doc)
 
 
 def cut(sizes: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
@@ -129,13 +154,23 @@ def cut(sizes: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     return doc, at - begins[doc], np.diff(np.append(at, total)), seq, at - bounds[seq]
 
 
-def _planes(ids: np.ndarray) -> bytes:
-    """Ids by byte planes, which compress better."""
-    return ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def _planes(docs: list[np.ndarray]) -> list[bytes]:
+    """Each document's ids by byte planes, which compress better."""
+    flat, ends = np.concatenate(docs).astype("<u4"), np.cumsum([len(d) for d in docs]).tolist()
+    low = [(flat >> np.uint32(8 * k)).astype(np.uint8).tobytes() for k in range(4)]
+    return [b"".join([x[a:b] for x in low]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def _ids(column: pa.Array) -> list[np.ndarray]:
-    return [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").ravel() for x in column.to_pylist()]
+    rows = column.to_pylist()
+    sizes = [len(x) // 4 for x in rows]
+    flat = np.zeros(sum(sizes), np.uint32)
+    for k in range(4):
+        plane = np.frombuffer(b"".join([x[k * n : (k + 1) * n] for x, n in zip(rows, sizes, strict=True)]), np.uint8)
+        if plane.any():
+            flat |= plane.astype(np.uint32) << np.uint32(8 * k)
+    ends = np.cumsum(sizes, dtype=np.int64).tolist()
+    return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def signatures(docs: list[np.ndarray], keys: np.ndarray, idf: np.ndarray, mean: float) -> np.ndarray:
@@ -144,13 +179,18 @@ def signatures(docs: list[np.ndarray], keys: np.ndarray, idf: np.ndarray, mean:
     From the top: the weightiest term that another document holds, the second, bits of the third, bits of the key's hash.
     """
     term, doc, tf, sizes = postings(docs)
-    weight = impact(idf[term], tf, sizes[doc], mean)
-    by = np.lexsort((term, -weight, doc))
+    by = np.argsort(doc.astype(np.min_scalar_type(len(docs))), kind="stable")
     term, doc = term[by], doc[by]
-    rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
+    weight = impact(idf[term], tf[by], sizes[doc], mean)
+    first = np.searchsorted(doc, np.arange(len(docs)))
     top = np.zeros((3, len(docs)), np.int64)
     for k in range(3):
-        top[k, doc[rank == k]] = term[rank == k]
+        most = np.maximum.reduceat(weight, first)
+        at = np.flatnonzero(weight == most[doc])
+        at = at[np.diff(doc[at], prepend=-1) > 0]  # of equal weights, the smallest term
+        at = at[weight[at] >= 0]
+        top[k, doc[at]] = term[at]
+        weight[at] = -1
     third = (mix(top[2].astype(np.uint64)) >> np.uint64(54)).astype(np.int64)
     low = (mix(keys.astype(np.uint64)) >> np.uint64(51)).astype(np.int64)
     return (top[0] & 0xFFFFF) << 43 | (top[1] & 0xFFFFF) << 23 | third << 13 | low
@@ -173,26 +213,33 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end: int = EN
     small_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, last = WordBpe(tokenizer), np.array([end], np.uint32)
-        for batch in batches:
-            for lo, hi in slices(batch.column(1)):
-                coded = [_planes(np.concatenate([ids, last])) for ids in bpe.encode([t or "" for t in batch.column(1)[lo:hi].to_pylist()])]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi].cast(pa.int64()), pa.array(coded, pa.binary())], ["doc_id", "ids"])
-
-    coded = materialize(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(encode), "doc_id bigint, ids binary"), "ids")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, last = kept_bpe(tokenizer), np.array([end], np.uint32)
         df, n, tokens = np.zeros(0, np.int64), 0, 0
         for batch in batches:
-            for lo, hi in slices(batch.column(1)):
-                term, _, _, sizes = postings(_ids(batch.column(1)[lo:hi]))
+            for lo, hi in slices(batch.column(1), PART):
+                own = [np.concatenate([ids, last]) for ids in bpe.encode([t or "" for t in batch.column(1)[lo:hi].to_pylist()])]
+                term, _, _, sizes = postings(own)
                 more = np.bincount(term, minlength=len(df))
                 more[: len(df)] += df
                 df, n, tokens = more, n + len(sizes), tokens + int(sizes.sum())
-        term = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(term, [-1, -2])), pa.array(np.append(df[term], [n, tokens]))], ["term", "df"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi].cast(pa.int64()), pa.array(_planes(own), pa.binary()), pa.nulls(hi - lo, pa.binary())], ["doc_id", "ids", "counts"])
+        # What the task has counted is a row of its own, so documents are not read again for it.
+        told = np.append(df, [n, tokens]).astype("<i8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([told], pa.binary())], ["doc_id", "ids", "counts"])
+
+    written = materialize(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(encode), "doc_id bigint, ids binary, counts binary"), "ids")
+    coded = written.where("ids is not null").select("doc_id", "ids")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for batch in batches:
+            for told in batch.column(0).to_pylist():
+                df = np.frombuffer(told, "<i8")
+                term = np.flatnonzero(df[:-2])
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(term, [-1, -2])), pa.array(np.append(df[term], df[-2:]))], ["term", "df"])
 
-    total = {r.term: r.df for r in coded.mapInArrow(lean(count), "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect()}
+    counts = written.where("counts is not null").select("counts")
+    total = {r.term: r.df for r in counts.mapInArrow(lean(count), "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect()}
     n, tokens = total.pop(-1, 0), total.pop(-2, 0)
     df = np.zeros(max(total, default=0) + 1, np.int64)
     df[list(total)] = list(total.values())
@@ -202,6 +249,7 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end: int = EN
     sent = spark.sparkContext.broadcast((idf, bridge, mean))
 
     def deal(batches: Iterator[pa.RecordBatch], bounds=None) -> Iterator[pa.RecordBatch]:
+        forget()
         _, weights, size = sent.value
         cuts = np.empty(0, np.int64) if bounds is None else bounds.value
         for batch in batches:
@@ -226,6 +274,7 @@ def pack(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end: int = EN
         yield from deal(batches, bounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         weights, _, size = sent.value
         keys, held, n, sequence, at_shard = [], [], 0, 0, -1
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from types import ModuleType
 
 import numpy as np
 
@@ -49,15 +51,21 @@ def word_starts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class WordBpe:
     """Ids of whole texts, as tokenizers gives them for a lower-casing BPE with word ends, which never joins two words.
 
-    In such a vocabulary a word's ids do not depend on its neighbours, so each distinct word is encoded once
-    and found again by its 64-bit hash. At most about max_words are remembered.
+    In such a vocabulary a word's ids do not depend on its neighbours, so a distinct word is encoded once and found
+    again by its 64-bit hash, in a table of SLOTS places. The first word of a place keeps it, as common words come early;
+    another is encoded whenever it comes. At most about max_words are remembered.
     """
 
+    SLOTS = 1 << 21
+
     def __init__(self, path: str, max_words: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # The same model for words that are in lower case and cut already, with a space between them.
+        self.cut_words = Tokenizer(self.tokenizer.model)
+        self.cut_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary, suffix = self.tokenizer.get_vocab(), self.tokenizer.model.end_of_word_suffix
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for s, i in vocabulary.items() if s.endswith(suffix)]] = True
@@ -67,8 +75,9 @@ class WordBpe:
         self._reset()
 
     def _reset(self) -> None:
-        self.known, self.word = np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.flat, self.sizes, self.starts = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        # Of a place: its word's hash and number, no word at first. Of a word: its ids are flat[cuts[word] : cuts[word + 1]].
+        self.held, self.word = np.zeros(self.SLOTS, np.uint64), np.full(self.SLOTS, -1, np.int32)
+        self.flat, self.cuts = np.empty(0, np.uint32), np.zeros(1, np.int32)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One uint32 array of ids for each text."""
@@ -77,38 +86,58 @@ class WordBpe:
         data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
         ends = np.cumsum([len(r) + 1 for r in raw])
         start, stop = word_starts(data)
-        each, first, back = np.unique(self.hasher.spans(self.hasher.sums(data), start, stop), return_index=True, return_inverse=True)
-        word = self._numbers(each, data, start[first], stop[first])[back]
-        size = self.sizes[word]
+        word = self._numbers(self.hasher.spans(self.hasher.sums(data), start, stop), data, start, stop)
+        first = self.cuts[word]
+        size = self.cuts[word + 1] - first
         total = np.cumsum(size)
-        ids = self.flat[np.arange(total[-1] if len(total) else 0) + np.repeat(self.starts[word] - total + size, size)]
+        ids = self.flat[np.arange(total[-1] if len(total) else 0) + np.repeat(first - total + size, size)]
         cuts = np.concatenate([[0], total])[np.concatenate([[0], np.searchsorted(start, ends)])]
         out = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         other = [k for k, p in enumerate(plain) if not p]
-        for k, e in zip(other, self.tokenizer.encode_batch([texts[k] for k in other], add_special_tokens=False), strict=True):
+        for k, e in zip(other, self.tokenizer.encode_batch_fast([texts[k] for k in other], add_special_tokens=False), strict=True):
             out[k] = np.array(e.ids, np.uint32)
         return out
 
-    def _numbers(self, each: np.ndarray, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """The words' numbers in the table; new words are encoded and join it."""
-        if len(self.known) > self.max_words:
+    def _numbers(self, key: np.ndarray, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """The words' numbers; words that the table does not hold are encoded and join it."""
+        if len(self.cuts) > self.max_words:
             self._reset()
-        at = np.searchsorted(self.known, each)
-        new = np.append(self.known, 0)[at] != each
-        new |= at == len(self.known)
-        out = np.empty(len(each), np.int64)
-        out[~new] = self.word[at[~new]]
-        if new.any():
-            out[new] = np.arange(new.sum()) + len(self.sizes)
+        place = (key & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        out = self.word[place]
+        missed = np.flatnonzero((self.held[place] != key) | (out < 0))
+        if len(missed):
+            each, at, back = np.unique(key[missed], return_index=True, return_inverse=True)
+            at = missed[at]
             raw = data.tobytes()
-            strings = [raw[a:b].decode() for a, b in zip(start[new].tolist(), stop[new].tolist(), strict=True)]
-            ids = np.concatenate([np.array(self.tokenizer.encode(" ".join(strings[k : k + 5000]), add_special_tokens=False).ids, np.uint32) for k in range(0, len(strings), 5000)])
+            strings = [raw[a:b].decode() for a, b in zip(start[at].tolist(), stop[at].tolist(), strict=True)]
+            coded = self.cut_words.encode_batch_fast([" ".join(strings[k : k + 500]) for k in range(0, len(strings), 500)], add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in coded])
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(strings):
                 raise ValueError("the tokenizer does not end every word")
+            number = np.arange(len(each), dtype=np.int32) + np.int32(len(self.cuts) - 1)
+            self.cuts = np.concatenate([self.cuts, (ends + len(self.flat)).astype(np.int32)])
             self.flat = np.concatenate([self.flat, ids])
-            self.sizes = np.concatenate([self.sizes, np.diff(ends, prepend=0)])
-            self.starts = np.cumsum(self.sizes) - self.sizes
-            self.word = np.insert(self.word, at[new], out[new])
-            self.known = np.insert(self.known, at[new], each[new])
+            empty = self.word[place[at]] < 0
+            to = place[at[empty]]
+            self.held[to], self.word[to] = each[empty], number[empty]  # of new words that share a place the last one gets it
+            out[missed] = number[back]
         return out
+
+
+def _kept() -> dict[str, WordBpe]:
+    # This package travels with each task's code, so its own variables last for a task; what Python has imported lasts as long as the worker.
+    return sys.modules.setdefault("_lodestone_tokenizers", ModuleType("_lodestone_tokenizers")).__dict__.setdefault("kept", {})
+
+
+def kept_bpe(path: str) -> WordBpe:
+    """The tokenizer of a path with the words of earlier tasks of this worker, until forget()."""
+    if path not in (kept := _kept()):
+        kept.clear()
+        kept[path] = WordBpe(path)
+    return kept[path]
+
+
+def forget() -> None:
+    """Drop what kept_bpe() keeps: for tasks of later stages, which need the memory."""
+    _kept().clear()

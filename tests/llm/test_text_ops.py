@@ -3,10 +3,11 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from lodestone.llm import decontam, folding, packing, secret_scan, toxicity
+from lodestone.llm import decontam, folding, packing, secret_scan, tokens, toxicity
 from lodestone.llm.queries import tokenizer_path
 from lodestone.llm.tokens import WordBpe
 
@@ -23,6 +24,63 @@ def test_ids_equal_the_tokenizers():
         assert ids.tolist() == e.ids, t
 
 
+def test_ids_when_words_share_places_or_are_dropped():
+    plain, r = Tokenizer.from_file(tokenizer_path()), random.Random(3)
+    for slots, words in ((4, 1_000_000), (1 << 10, 50)):
+        bpe = WordBpe(tokenizer_path(), max_words=words)
+        bpe.SLOTS = slots
+        bpe._reset()
+        for _ in range(20):
+            texts = [" ".join("".join(r.choice("abcé'1") for _ in range(r.randint(1, 4))) for _ in range(r.randint(0, 60))) for _ in range(8)]
+            for t, ids in zip(texts, bpe.encode(texts), strict=True):
+                assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids, t
+
+
+def test_words_are_kept_from_task_to_task_and_encoded_once():
+    bpe = tokens.kept_bpe(tokenizer_path())
+    assert tokens.kept_bpe(tokenizer_path()) is bpe
+    bpe.encode(["river copper violin"])
+    inner = bpe.tokenizer
+
+    class Other:
+        """A tokenizer that is asked for no word."""
+
+        def encode_batch_fast(self, texts, **_):
+            assert not texts
+            return []
+
+    bpe.tokenizer = bpe.cut_words = Other()
+    assert bpe.encode(["copper river"])[0].tolist() == inner.encode("copper river", add_special_tokens=False).ids
+    tokens.forget()
+    assert tokens.kept_bpe(tokenizer_path()) is not bpe
+
+
+def test_a_worker_loads_one_tokenizer_for_all_of_its_tasks(spark):
+    """The package travels with each task's code, so what a task keeps in the package's own variables is gone after it."""
+    path = tokenizer_path()
+
+    def task(batches):
+        for _ in batches:
+            bpe = tokens.kept_bpe(path)
+            bpe.tasks = getattr(bpe, "tasks", 0) + 1
+            yield pa.RecordBatch.from_pydict({"id": [bpe.tasks]})
+
+    got = spark.range(12).repartition(12).mapInArrow(task, "id long").collect()
+    assert max(r.id for r in got) >= 3  # 12 tasks on 4 cores
+
+
+def test_signatures_hold_the_weightiest_terms():
+    r = np.random.default_rng(5)
+    docs = [r.integers(0, 30, n).astype(np.uint32) for n in (1, 2, 3, 5, 40, 200, 7)]
+    idf = np.where(np.arange(30) % 5 == 0, 0.0, np.arange(30) // 3 + 1.0)  # with ties, and terms that no other document holds
+    got = packing.signatures(docs, np.arange(len(docs)), idf, 20.0)
+    for d, s in zip(docs, got.tolist(), strict=True):
+        term, tf = np.unique(d, return_counts=True)
+        weight = packing.impact(idf[term], tf, np.full(len(term), len(d)), 20.0)
+        top = [*term[np.lexsort((term, -weight))].tolist(), 0, 0][:2]
+        assert [s >> 43, s >> 23 & 0xFFFFF] == top
+
+
 def test_packing_places_every_id_once(spark):
     r = random.Random(4)
     rows = [(i, " ".join(r.choice(["red", "blue", "sky", "apple", "house", f"x{i}"]) for _ in range(r.choice([0, 3, 40, 900])))) for i in range(120)] + [(500, None), (500, None), (501, "word " * 5000)]
