@@ -81,6 +81,20 @@ def test_signatures_hold_the_weightiest_terms():
         assert [s >> 43, s >> 23 & 0xFFFFF] == top
 
 
+def test_a_narrowed_index_finds_the_free_documents_in_the_same_order():
+    r = np.random.default_rng(8)
+    docs = [np.append(r.zipf(1.3, n) % 300 + 2, 1).astype(np.uint32) for n in r.integers(0, 60, 200)]
+    whole, narrowed, free = packing.Index(docs), packing.Index(docs), np.ones(200, bool)
+    for _ in range(5):
+        free &= r.random(200) < 0.7
+        narrowed.narrow(free)
+        assert len(narrowed.live) == narrowed.table.shape[1] == free.sum()
+        for seed in range(0, 200, 7):
+            assert narrowed.neighbours(seed, free).tolist() == whole.neighbours(seed, free).tolist()
+    flat = packing._ids(pa.array(packing._planes([*docs, np.array([1 << 31, 70_000], np.uint32)]), pa.binary()))
+    assert all(np.array_equal(a, b) for a, b in zip(flat, docs, strict=False)) and flat[-1].tolist() == [1 << 31, 70_000]
+
+
 def test_packing_places_every_id_once(spark):
     r = random.Random(4)
     rows = [(i, " ".join(r.choice(["red", "blue", "sky", "apple", "house", f"x{i}"]) for _ in range(r.choice([0, 3, 40, 900])))) for i in range(120)] + [(500, None), (500, None), (501, "word " * 5000)]
