@@ -1,8 +1,11 @@
 import math
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
+from lodestone.functions import terms
+from lodestone.functions.text import tokens
 from lodestone.operators import bm25, fuse, rank, vectors
 from lodestone.plans import answer, evaluate
 from lodestone.plans.providers import NOT_FOUND, embed, first_of, hashed, rotate, with_retries
@@ -39,6 +42,29 @@ def test_bm25_equals_the_formula(spark):
     assert all(r.query_id == 0 for r in got)
 
 
+def test_bm25_scores_in_place_and_keeps_ties_to_the_smaller_id(spark, monkeypatch):
+    """Pairs of a document and a query are neither joined nor dealt out, however queries, documents and terms are cut."""
+    r = random.Random(5)
+    docs = [(i, " ".join(r.choice("a b c d e f g".split()) for _ in range(r.randrange(9))), "") for i in range(80)] + [(80 + i, "a b b rare", "") for i in range(9)]
+    asked = ["a b", "c d e a", "rare g", "f", "nowhere", ""]
+    for name, value in {"BLOCK": 3, "CELLS": 10, "ROWS": 7, "WIDE": 2}.items():
+        monkeypatch.setattr(bm25, name, value)
+    df = spark.createDataFrame(docs, "id long, text string, kind string").repartition(3)
+    got = bm25.search(df, questions(spark, *asked), 4)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = {(q, i, s, n) for q, text in enumerate(asked) for n, (i, s) in enumerate(sorted(brute_bm25(docs, text).items(), key=lambda x: (-x[1], x[0]))[:4], 1)}
+    assert {(x.query_id, x.id, x.keyword_score, x.keyword_rank) for x in got.collect()} == want
+
+
+def test_terms_counted_by_batches_are_the_tokens_of_columns(spark):
+    texts = ["Crème brûlée, crème. .x. ... a..b v1.0.", "ΣΑΣ Ǆ ŉ İstanbul ẞ ﬁ K", "\u0301 e\u0301é \u0301", "plain ASCII, twice twice.", "", None, "Tiếng Việt ỹ Ỹ ё й", "一二 ab\u00a0c\x85d", "." * 50 + "é" + "." * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want = {x.id: (len(x.t), Counter(x.t)) for x in df.select("id", tokens(F.col("text")).alias("t")).collect()}
+    assert {x.id: (x.dl, Counter({y.term: y.tf for y in x.t})) for x in terms.postings(df).collect()} == want
+    asked = ["creme", "e", "twice", "viet"]
+    assert {x.id: (x.dl, {asked[t]: f for t, f in zip(x.t, x.f, strict=True)}) for x in terms.counted(df, asked).collect()} == {i: (n, {t: c[t] for t in asked if c[t]}) for i, (n, c) in want.items()}
+
+
 def test_filter_comes_before_statistics(spark):
     q = questions(spark, "range")
     whole = answer.retrieve(corpus(spark), q, 3, mode="keyword").first().keyword_score
