@@ -239,3 +239,19 @@ def test_evaluation_summary_and_report(spark):
     top = evaluate.summarize(got).first()
     assert top.question_count == 2 and top.faithfulness == 1.0 and top.context_recall is None
     assert "| keyword | 2 |" in evaluate.markdown(got, "x.jsonl", "now")
+
+
+def test_candidates_are_written_before_they_meet_the_texts(spark):
+    """A small written table tells its size, so it goes to the texts."""
+    from lodestone import catalog
+
+    assert any("lodestone-fused" in f for f in catalog.mmr_topk(spark, "/root/testdata/sf0.001").inputFiles())
+
+
+def test_presets_read_only_texts_that_a_channel_found(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i} common" if i < 3 else f"w{i}", [float(i)]) for i in range(40)], "id long, text string, embedding array<double>")
+    samples = spark.createDataFrame([("a", "common", [1.0])], "sample_id string, question string, vector array<double>")
+    seen = []
+    monkeypatch.setattr(evaluate, "answer", lambda corpus, *a, **k: seen.append({r.id for r in corpus.collect()}) or answer.answer(corpus, *a, **k))
+    got = {r.pipeline_name: r.source_ids for r in evaluate.run(docs, samples, ["vector", "keyword", "hybrid_rrf"], top_k=2, candidate_k=3, generator=None).collect()}
+    assert seen == [{0, 1, 2}] * 3 and got["vector"] == ["1", "0"] and got["keyword"] == ["0", "1"]
